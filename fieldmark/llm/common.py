@@ -30,11 +30,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def buckets(spark: SparkSession) -> int:
-    """Hash ranges of a reduce side: grows with the shuffle partitions the cluster is set to."""
+def units(spark: SparkSession) -> int:
+    """Units that texts are dealt to: in proportion to the shuffle partitions the cluster is set to."""
     return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def ranges(spark: SparkSession) -> int:
+    """Hash ranges that units exchange hashes with; fewer, as each pair of the two costs a row."""
+    return max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+
+
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     """Hash range of each 64-bit hash; monotone in the hash."""
     return (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, buckets, cells, chunks
+from .common import bucket_of, cells, chunks, ranges, units
 from .words import windows, words
 
 _PART = "bucket long, unit long, body binary"
@@ -161,9 +161,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if window < 2:
         raise ValueError("window must be at least 2 words")
     spark, block = df.sparkSession, (window + 1) // 2
-    n = buckets(spark)
+    n = ranges(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(n)).alias("unit"), F.xxhash64(text).alias("key"), F.col(id_col).alias("id"), text.alias("text"))
+    docs = df.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(units(spark))).alias("unit"), F.xxhash64(text).alias("key"), F.col(id_col).alias("id"), text.alias("text"))
     none = pa.table({"bucket": pa.array([], pa.int64()), "unit": pa.array([], pa.int64()), "body": pa.array([], pa.binary())})
 
     def probe(table: pa.Table) -> pa.Table:
