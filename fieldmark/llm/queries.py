@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import mixing, pii, quality
 from .bpe import encode_decode
+from .common import stored
 from .lm_score import score
 from .minhash import near_duplicates
 from .substring_dedup import remove_repeats
@@ -28,6 +30,27 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.sanitised(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    place = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["at"], s["to"])), ",")
+    of = lambda kind: F.filter("_spans", lambda s: s["kind"] == kind)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    base = F.sha2(place(F.filter("_spans", lambda s: s["kind"] != "term")), 256)
+    return out.select("doc_id", *counts, base.alias("base_sha256"), place(F.col("_spans")).alias("spans"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    out = quality.judged(stored(quality.measured(docs).drop("text"), "measures"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return out.select("doc_id", *[F.col(f"_q.{c}").alias(c) for c in names], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(_table(spark, sf_dir, "documents"), keep=["doc_id"], weights=(5, 2, 1), cap=3)
+    return out.select("doc_id", *[F.col(f"_mix.{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(_table(spark, sf_dir, "documents"), window=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -37,6 +60,6 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_bpe_encode_decode, op4_lm_score, op9_substring_dedup, op10_minhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_bpe_encode_decode, op4_lm_score, op5_pii, op7_quality_rules, op8_mixing, op9_substring_dedup, op10_minhash)}
 
 ORACLES: dict[str, str] = {}
