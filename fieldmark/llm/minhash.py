@@ -6,9 +6,9 @@ bits (two bytes; 0 when empty).  Bands of compressed registers give candidates,
 corrected for chance collisions of registers screens them, and full sets confirm links.
 
 Steps: documents with equal sets form a class; classes that agree on a band are grouped.  Groups
-of up to ``SMALL`` classes are compared in full, larger ones with their least class; where that
-leaves a large group in several components, the rest of its pairs across components follow, so no
-group is cut off.  Components come from joins (see ``graph``); nothing is gathered on the driver.
+of up to ``SMALL`` classes are compared in full, larger ones with two heads; where that leaves a
+large group in several components, its pairs across components follow, block by block inside tasks
+that return only links that join components, so no group is cut off.  Components come from joins (see ``graph``); nothing is gathered on the driver.
 
 Number of bands: the most rows a band may have so that a pair right at the threshold is missed
 with a probability under 2e-5.
@@ -32,6 +32,7 @@ from .words import mix, sequence_hash, windows, words
 MANTISSA = 10
 REGISTERS = 160
 SMALL = 8
+BLOCK = 512
 #: Standard errors below the threshold at which an estimate rules a pair out.
 SLACK = 4.5
 
@@ -180,8 +181,58 @@ def _sets(docs: DataFrame, classes: DataFrame, need: DataFrame, size: int) -> Da
     return docs.join(reps, same).select("c", "text").mapInArrow(run, "c long, items binary").dropDuplicates(["c"])
 
 
+def _linked(rest: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components within clusters of overlapping groups, from rows (c, n, comp, b).
+
+    ``b`` is a class of each group, so (c, b) ties the groups' classes into clusters.  A cluster is cut into
+    blocks, every pair of blocks is a task's work: it screens pairs across components by estimate, checks
+    what is left on full sets, and returns only links that join components it had apart.
+    """
+    t = percent / 100
+    cluster = components(rest.select(F.col("c").alias("a"), "b"))
+    one = rest.select("c", "n", "comp").distinct().join(cluster.select(F.col("node").alias("c"), F.col("comp").alias("cluster")), "c")
+    size = one.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    one = one.join(size, "cluster").withColumn("i", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    at = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("i")).alias("lo"), F.greatest(j, F.col("i")).alias("hi")))
+    one = one.join(classes.select("c", "sketch"), "c").join(sets, "c").withColumn("at", F.explode(at)).select("cluster", "at.*", "i", "c", "n", "comp", "sketch", "items")
+
+    def run(table: pa.Table) -> pa.Table:
+        c, n, comp, i = (table.column(x).to_numpy() for x in ("c", "n", "comp", "i"))
+        regs, items = np.stack(cells(table.column("sketch"), np.uint16)), cells(table.column("items"), np.uint64)
+        root = {int(x): int(x) for x in comp}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        across = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
+        links = []
+        for x in range(len(c)):
+            ys = np.arange(x + 1, len(c))
+            ys = ys[(comp[ys] != comp[x]) & (100 * np.minimum(n[x], n[ys]) >= percent * np.maximum(n[x], n[ys]))]
+            if across:
+                ys = ys[i[ys] != i[x]]
+            if not len(ys):
+                continue
+            est, used = estimate(regs[x : x + 1], regs[ys], np.full(len(ys), n[x]), n[ys])
+            for y in ys[est >= t - SLACK * np.sqrt(t * (1 - t) / np.maximum(used, 1))].tolist():
+                p, q = find(int(comp[x])), find(int(comp[y]))
+                if p != q:
+                    both = np.concatenate([items[x], items[y]])
+                    both.sort()
+                    inner = int((both[1:] == both[:-1]).sum())
+                    if 100 * inner >= percent * (len(both) - inner):
+                        root[p] = q
+                        links.append((int(c[x]), int(c[y])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return one.groupBy("cluster", "lo", "hi").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
-    """Per row: the id, ``n_shingles``, ``component_id`` (least id reachable over links) and ``kept``.
+    """Per row: the id, ``n_shingles``, ``component_id`` (least id reachable over links) and ``kept``,
+    with ``text_key`` (xxhash64 of the text) and ``first_key``, that of the component's first text.
 
     Linked are rows with 100 * intersection >= percent * union of their sets of ``size``-word shingles.
     """
@@ -193,10 +244,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = stored(signed.where("n > 0").groupBy("c").agg(rep, F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
 
     member = _bands(classes, rows, bands)
-    group = stored(member.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min_by(F.struct("c", "n"), "c").alias("head")).where("size > 1"), "groups")
-    member = stored(member.join(group, "band").select("band", "c", "n", "size", "head"), "members")
+    group = stored(member.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "groups")
+    member = member.join(group, "band")
+    # the original of a group of copies shares bands with more of them than they do among each other
+    known = member.groupBy("c").agg(F.sum("size").alias("known"))
+    member = stored(member.join(known, "c"), "members")
+    who = F.struct("c", "n")
+    head = member.where(f"size > {SMALL}").groupBy("band").agg(F.array(F.max_by(who, F.struct("known", "c")), F.min_by(who, "c")).alias("heads"))
     near = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    star = member.where(f"size > {SMALL} and c <> head.c").select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("head.c").alias("a"), F.col("head.n").alias("na"))
+    star = member.where(f"size > {SMALL}").join(head, "band").select("c", "n", F.explode(F.array_distinct("heads")).alias("head")).where("c <> head.c")
+    ends = F.when(F.col("c") < F.col("head.c"), F.struct(who.alias("a"), F.col("head").alias("b"))).otherwise(F.struct(F.col("head").alias("a"), who.alias("b")))
+    star = star.select(ends.alias("e")).select(F.col("e.b.c").alias("b"), F.col("e.b.n").alias("nb"), F.col("e.a.c").alias("a"), F.col("e.a.n").alias("na"))
     few = member.where(f"size <= {SMALL}")
     x, y = (few.select("band", F.col("c").alias(s), F.col("n").alias(f"n{s}")) for s in "ab")
     pairs = x.join(y, "band").where("a < b").select("b", "nb", "a", "na").unionByName(star).where(near).select("a", "b").distinct()
@@ -210,7 +268,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         side = lambda s: comp.select(F.col("node").alias(s), F.col("comp").alias(f"c{s}"))
         return p.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select(*p.columns)
 
-    sets = stored(_sets(docs, classes, both(pairs), size), "sets")
+    need = both(pairs).unionByName(member.where(f"size > {SMALL}").select("c")).distinct()
+    sets = stored(_sets(docs, classes, need, size), "sets")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a"))
     links = stored(_confirmed(best, sets, percent), "links")
     comp = components(links)
@@ -219,18 +278,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # large groups that still lie in several components
     big = member.where(f"size > {SMALL}").join(comp, F.col("c") == F.col("node"), "left").select("band", "c", "n", F.coalesce("comp", "c").alias("comp"))
-    split = big.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    rest = stored(big.join(split, "band").select("band", "c", "n", "comp"), "rest")
-    x, y = (rest.select("band", F.col("c").alias(s), F.col("n").alias(f"n{s}"), F.col("comp").alias(f"c{s}")) for s in "ab")
-    left = x.join(y, "band").where("ca <> cb and a < b").where(near).select("a", "b").distinct()
-    left = stored(_screened(left.join(pairs, ["a", "b"], "left_anti"), classes, percent), "candidates")
-    if not left.isEmpty():
-        more = stored(_confirmed(left, _sets(docs, classes, both(left), size), percent), "links")
+    split = big.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("c").alias("b")).where("lo <> hi")
+    rest = stored(big.join(split, "band").select("c", "n", "comp", "b").distinct(), "rest")
+    if not rest.isEmpty():
+        more = stored(_linked(rest, classes, sets, percent), "links")
         comp = stored(components(links.unionByName(more)), "components")
 
-    whole = classes.join(comp, F.col("c") == F.col("node"), "left").select("c", F.coalesce("comp", "c").alias("comp"), F.struct("rep.none", "rep.id").alias("least"))
-    named = whole.join(whole.groupBy("comp").agg(F.min("least").alias("first")), "comp").select("c", F.col("first.id").alias("component_id"))
-    found = signed.where("n > 0").select("id", "n", "c").join(named, "c").select("id", "n", "component_id")
-    none = signed.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
+    whole = classes.join(comp, F.col("c") == F.col("node"), "left").select("c", F.coalesce("comp", "c").alias("comp"), F.col("rep").alias("least"))
+    named = whole.join(whole.groupBy("comp").agg(F.min("least").alias("first")), "comp").select("c", F.col("first.id").alias("component_id"), F.col("first.key").alias("first_key"))
+    found = signed.where("n > 0").select("id", "n", "c", "key").join(named, "c").select("id", "n", "component_id", "key", "first_key")
+    none = signed.where("n = 0").select("id", "n", F.col("id").alias("component_id"), "key", F.col("key").alias("first_key"))
     out = found.unionByName(none)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("key").alias("text_key"), "first_key")
