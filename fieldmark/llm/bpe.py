@@ -154,22 +154,24 @@ def _encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", batch: int = 256, digests: bool = False) -> DataFrame:
-    """Per row: the id, ``ids array<int>``, ``n_tokens`` and ``decoded`` (the bytes the ids stand for).
+def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", batch: int = 256, digests: bool = False, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """Per row: the columns ``keep`` (default: the id), ``ids array<int>``, ``n_tokens`` and ``decoded``
+    (the bytes the ids stand for).
 
     With ``digests``, ``ids_sha256`` (of the ids as little-endian unsigned 32-bit integers) and
     ``decoded_sha256`` stand in for ``ids`` and ``decoded``.  The ranks are read from ``ranks_path``,
     a file that every worker has, once a worker.
     """
-    idt = df.schema[id_col].dataType.simpleString()
+    keep = tuple(keep or (id_col,))
     body = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens long, ids array<int>, decoded binary"
+    names = [*keep, *[x.split()[0] for x in body.split(", ")]]
 
     def run(batches):
         enc = _encoder(ranks_path, pattern)
         for rows in batches:
             for at in range(0, rows.num_rows, batch):
                 part = rows.slice(at, batch)
-                ids = enc.encode(part.column(1).to_pylist())
+                ids = enc.encode(part.column(len(keep)).to_pylist())
                 back = [enc.decode(x) for x in ids]
                 n = pa.array([len(x) for x in ids], pa.int64())
                 if digests:
@@ -179,7 +181,8 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
                     ]
                 else:
                     made = [pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(0), n, *made], names=[x.split()[0] for x in ["id", *body.split(", ")]])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], n, *made], names=names)
 
-    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return docs.mapInArrow(run, f"id {idt}, {body}").withColumnRenamed("id", id_col)
+    docs = df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[: len(keep)]]
+    return docs.mapInArrow(run, ", ".join([*kinds, body]))

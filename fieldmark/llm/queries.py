@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, quality
+import corpus_pipeline
+
+from . import mixing, pii, quality, url_filter
+from .ann import nearest
 from .bpe import encode_decode
 from .common import stored
+from .html_extract import extract
 from .lm_score import score
 from .minhash import near_duplicates
 from .substring_dedup import remove_repeats
@@ -19,6 +23,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,6 +51,25 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, base.alias("base_sha256"), place(F.col("_spans")).alias("spans"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold neither fetch dates nor a list, so both follow from ids and hosts by rule.
+
+    Pages are fetched on day ``page_id % 366`` of 2024.  Of the hosts and their parent domains, those
+    with an md5 prefix divisible by 3 are blocked from some day, and half of these later allowed again.
+    """
+    start = F.to_date(F.lit("2024-01-01"))
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(start, F.pmod("page_id", F.lit(366)).cast("int")).alias("fetched_at"))
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("host")).where("host is not null").distinct()
+    both = hosts.unionByName(hosts.where("host like '%.%.%'").select(F.regexp_replace("host", r"^[^.]*\.", "").alias("host"))).distinct()
+    both = both.withColumn("h", F.conv(F.substring(F.md5("host"), 1, 8), 16, 10).cast("long")).where("h % 3 = 0")
+    entry = lambda action, day: F.struct(F.lit(action).alias("action"), F.date_add(start, day.cast("int")).alias("listed_at"))
+    day = F.col("h") % 200
+    dated = F.array(entry("block", day), entry("allow", day + 60 + F.col("h") % 50))
+    entries = both.select(F.col("host").alias("domain"), F.explode(F.slice(dated, F.lit(1), F.when(F.col("h") % 2 == 0, 2).otherwise(1))).alias("e")).select("domain", "e.*")
+    out = url_filter.judged(pages, entries)
+    return out.select("page_id", "url", "fetched_at", *[F.col(f"_verdict.{c}").alias(c) for c in ("host", "matched", "action", "since", "kept")])
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     out = quality.judged(stored(quality.measured(docs).drop("text"), "measures"))
@@ -57,9 +88,43 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
+    out = near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_bpe_encode_decode, op4_lm_score, op5_pii, op7_quality_rules, op8_mixing, op9_substring_dedup, op10_minhash)}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_ann, op2_html_extract, op3_bpe_encode_decode, op4_lm_score, op5_pii, op6_url_filter, op7_quality_rules,
+        op8_mixing, op9_substring_dedup, op10_minhash, pipeline,
+    )
+}
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op6_url_filter"] = r"""
+WITH p AS (
+  SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(((page_id % 366) + 366) % 366 AS INTEGER) AS DATE) AS fetched_at,
+         nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.+$', ''), '') AS host
+  FROM pages),
+d AS (
+  SELECT host FROM p WHERE host IS NOT NULL
+  UNION SELECT regexp_replace(host, '^[^.]*\.', '') FROM p WHERE host LIKE '%.%.%'),
+h AS (SELECT host AS domain, CAST('0x' || substr(md5(host), 1, 8) AS BIGINT) AS h FROM d),
+e AS (
+  SELECT domain, 'block' AS action, CAST(DATE '2024-01-01' + CAST(h % 200 AS INTEGER) AS DATE) AS since FROM h WHERE h % 3 = 0
+  UNION ALL
+  SELECT domain, 'allow', CAST(DATE '2024-01-01' + CAST(h % 200 + 60 + h % 50 AS INTEGER) AS DATE) FROM h WHERE h % 6 = 0),
+i AS (SELECT *, lead(since) OVER (PARTITION BY domain ORDER BY since) AS until FROM e),
+m AS (
+  SELECT p.page_id, i.domain, i.action, i.since,
+         row_number() OVER (PARTITION BY p.page_id ORDER BY length(i.domain) DESC) AS k
+  FROM p JOIN i ON (p.host = i.domain OR p.host LIKE '%.' || i.domain)
+   AND contains(i.domain, '.') AND i.since <= p.fetched_at AND (i.until IS NULL OR p.fetched_at < i.until))
+SELECT p.page_id, p.url, p.fetched_at, p.host, m.domain AS matched, m.action, m.since, coalesce(m.action <> 'block', true) AS kept
+FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.k = 1
+"""
