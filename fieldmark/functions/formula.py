@@ -82,7 +82,7 @@ def parse(text: str) -> Formula:
         raise FormulaError(f"missing operand in {text!r}")
     names = []
     for a in atoms:
-        names += [v for v in re.findall(rf"{NAME}(?!\s*\()", a) if v not in names]
+        names += [v for v in re.findall(rf"{NAME}+(?!\s*\()", a) if v not in names]
     return Formula((((),) if intercept else ()) + tuple(terms), text, tuple(names))
 
 
