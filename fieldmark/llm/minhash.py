@@ -181,20 +181,18 @@ def _sets(docs: DataFrame, classes: DataFrame, need: DataFrame, size: int) -> Da
     return docs.join(reps, same).select("c", "text").mapInArrow(run, "c long, items binary").dropDuplicates(["c"])
 
 
-def _linked(rest: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join components within clusters of overlapping groups, from rows (c, n, comp, b).
+def _joining(rest: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of components that a link joins, within groups, from rows (band, c, n, comp, size).
 
-    ``b`` is a class of each group, so (c, b) ties the groups' classes into clusters.  A cluster is cut into
-    blocks, every pair of blocks is a task's work: it screens pairs across components by estimate, checks
-    what is left on full sets, and returns only links that join components it had apart.
+    A group is cut into blocks, and every pair of blocks is a task's work: it screens pairs across
+    components by estimate, checks what is left on full sets, and returns only links that join
+    components it had apart.
     """
     t = percent / 100
-    cluster = components(rest.select(F.col("c").alias("a"), "b"))
-    one = rest.select("c", "n", "comp").distinct().join(cluster.select(F.col("node").alias("c"), F.col("comp").alias("cluster")), "c")
-    size = one.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    one = one.join(size, "cluster").withColumn("i", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    one = rest.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     at = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("i")).alias("lo"), F.greatest(j, F.col("i")).alias("hi")))
-    one = one.join(classes.select("c", "sketch"), "c").join(sets, "c").withColumn("at", F.explode(at)).select("cluster", "at.*", "i", "c", "n", "comp", "sketch", "items")
+    body = classes.select("c", "sketch").join(sets, "c")
+    one = one.join(body, "c").withColumn("at", F.explode(at)).select("band", "at.*", "i", "c", "n", "comp", "sketch", "items")
 
     def run(table: pa.Table) -> pa.Table:
         c, n, comp, i = (table.column(x).to_numpy() for x in ("c", "n", "comp", "i"))
@@ -224,10 +222,10 @@ def _linked(rest: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
                     inner = int((both[1:] == both[:-1]).sum())
                     if 100 * inner >= percent * (len(both) - inner):
                         root[p] = q
-                        links.append((int(c[x]), int(c[y])))
+                        links.append((int(comp[x]), int(comp[y])))
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    return one.groupBy("cluster", "lo", "hi").applyInArrow(run, "a long, b long")
+    return one.groupBy("band", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
@@ -263,26 +261,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def both(p: DataFrame) -> DataFrame:
         return p.select(F.col("a").alias("c")).unionByName(p.select(F.col("b").alias("c"))).distinct()
 
-    def across(p: DataFrame, comp: DataFrame) -> DataFrame:
-        """Pairs whose ends aren't in one component yet."""
-        side = lambda s: comp.select(F.col("node").alias(s), F.col("comp").alias(f"c{s}"))
-        return p.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select(*p.columns)
-
     need = both(pairs).unionByName(member.where(f"size > {SMALL}").select("c")).distinct()
     sets = stored(_sets(docs, classes, need, size), "sets")
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a"))
-    links = stored(_confirmed(best, sets, percent), "links")
-    comp = components(links)
-    links = links.unionByName(stored(_confirmed(across(pairs, comp), sets, percent), "links"))
+    links = stored(_confirmed(pairs, sets, percent), "links")
     comp = stored(components(links), "components")
 
     # large groups that still lie in several components
     big = member.where(f"size > {SMALL}").join(comp, F.col("c") == F.col("node"), "left").select("band", "c", "n", F.coalesce("comp", "c").alias("comp"))
-    split = big.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("c").alias("b")).where("lo <> hi")
-    rest = stored(big.join(split, "band").select("c", "n", "comp", "b").distinct(), "rest")
-    if not rest.isEmpty():
-        more = stored(_linked(rest, classes, sets, percent), "links")
-        comp = stored(components(links.unionByName(more)), "components")
+    split = big.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
+    rest = big.join(split.select("band", "size"), "band")
+    more = stored(_joining(rest, classes, sets, percent), "links")
+    if not more.isEmpty():
+        joined = components(more).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+        every = comp.unionByName(classes.select(F.col("c").alias("node"), F.col("c").alias("comp")).join(comp.select("node"), "node", "left_anti"))
+        comp = stored(every.join(joined, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "components")
 
     whole = classes.join(comp, F.col("c") == F.col("node"), "left").select("c", F.coalesce("comp", "c").alias("comp"), F.col("rep").alias("least"))
     named = whole.join(whole.groupBy("comp").agg(F.min("least").alias("first")), "comp").select("c", F.col("first.id").alias("component_id"), F.col("first.key").alias("first_key"))
