@@ -204,7 +204,7 @@ def test_pii_base_spans(spark):
 
 def test_pii_revealing_terms(spark):
     rows = [(i, f"note {i} from Quartermain reach q@x.org now and text number {i * 7}") for i in range(6)]
-    rows += [(100 + i, f"reach me now and then from here {i}") for i in range(60)]
+    rows += [(100 + i, f"reach me now and then from here text {i}") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = pii.sanitised(df)
     terms = {(r["doc_id"], s["hit"]) for r in out.collect() for s in r["_spans"] if s["kind"] == "term"}
