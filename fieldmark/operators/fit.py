@@ -339,6 +339,31 @@ def fit_models(frame: CaptureFrame, specs: Sequence[Spec], strategy: str = "hybr
     return p.grouped.crossJoin(F.broadcast(ids)).groupBy("model_id").applyInPandas(run, FIT_SCHEMA)  # ids: a row a model
 
 
+def covariance(frame: CaptureFrame, spec: Spec = Spec(), strategy: str = "hybrid") -> DataFrame:
+    """(row, col, information, covariance, correlation) of the coefficients; null where one is on a bound."""
+    p = _prepare(frame, {0: spec})
+    q = _problem(p.grouped.toPandas(), p.columns[0], frame.occasions)
+    names = p.names[0]
+    lower, upper = (np.array([BOUNDS[a][i] for a, _ in names]) for i in (0, 1))
+    best = strategy_named(strategy)(lambda t: value_and_gradient(t, q), np.asarray(p.starts[0]), lower, upper)
+    info = -hessian(best.theta, lambda t: value_and_gradient(t, q)[1])
+    free = (best.theta > lower + 1e-9) & (best.theta < upper - 1e-9)
+    cov = np.full_like(info, np.nan)
+    cov[np.ix_(free, free)] = np.linalg.pinv(info[np.ix_(free, free)])
+    sd = np.sqrt(np.diag(cov))
+    some = lambda v: None if np.isnan(v) else float(v)
+    label = [f"{a}_{t}" for a, t in names]
+    k = range(len(label))
+    rows = [(label[i], label[j], some(info[i, j]), some(cov[i, j]), some(cov[i, j] / (sd[i] * sd[j]))) for i in k for j in k]
+    return frame.df.sparkSession.createDataFrame(rows, "row string, col string, information double, covariance double, correlation double")
+
+
+def strategies_compared(frame: CaptureFrame, spec: Spec = Spec(), names: Sequence[str] = ("newton", "multi_start", "adam")) -> DataFrame:
+    """A fit by each strategy: log-likelihood, convergence, iterations."""
+    rows = [(s, (r := fit(frame, spec, s))["log_likelihood"], r["converged"], r["n_iterations"]) for s in names]
+    return frame.df.sparkSession.createDataFrame(rows, "strategy string, log_likelihood double, converged boolean, n_iterations int")
+
+
 def formula_grid(phi: Sequence[str], p: Sequence[str], f: Sequence[str]) -> list[Spec]:
     """All combinations, phi outermost."""
     return [Spec(a, b, c) for a in phi for b in p for c in f]

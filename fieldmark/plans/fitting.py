@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.operators import infer, prepare
-from fieldmark.operators.fit import FIT_SCHEMA, Spec, bootstrap, bootstrap_summary, fit, fit_models, formula_grid, parameters
+from fieldmark.operators import agree, infer, prepare, sampling
+from fieldmark.operators.fit import FIT_SCHEMA, Spec, bootstrap, bootstrap_summary, covariance, fit, fit_models, formula_grid, parameters, strategies_compared
 from fieldmark.operators.select import comparison
 from fieldmark.plans.base import population, query
 from fieldmark.sources.histories import CaptureFrame, rounded
+from fieldmark.sources.simulate import simulated
 
 
 @query("fit_constant")
@@ -47,3 +48,33 @@ def fit_continuous(spark: SparkSession, sf: str) -> DataFrame:
 @query("bootstrap_refits")
 def bootstrap_refits(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(bootstrap_summary(bootstrap(population(spark, sf), replicates=40)), 4)
+
+
+@query("fit_covariance")
+def fit_covariance(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(covariance(population(spark, sf)), 4)
+
+
+@query("strategy_comparison")
+def strategy_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(strategies_compared(population(spark, sf)), 3)
+
+
+@query("fit_simulated")
+def fit_simulated(spark: SparkSession, sf: str) -> DataFrame:
+    """Recovery of known parameters from simulated histories."""
+    row = fit(simulated(spark, 4000, 7, phi=0.7, p=0.6, seed=42))
+    return rounded(parameters(spark.createDataFrame([row], FIT_SCHEMA)), 4)
+
+
+@query("agreement_pipeline")
+def agreement_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """Fits on two hash halves, their estimates paired, compared and put through the gate."""
+    frame = population(spark, sf)
+    sides = []
+    for first in (True, False):
+        half = frame.df.where((sampling.uniform(3, "id") < 0.5) == F.lit(first))
+        fits = fit_models(CaptureFrame(half, frame.occasions, frame.names, frame.covariates), [Spec()])
+        sides.append(parameters(fits).select(F.concat_ws("_", "param", F.lit("intercept")).alias("param"), "estimate", "se"))
+    cmp = agree.compared(agree.paired(*sides, ["param"]))
+    return rounded(agree.simple_gate(cmp), 6)

@@ -153,3 +153,13 @@ def test_adapters_and_errors(spark, tmp_path):
     s._ADAPTERS.pop(0)
     s.export(spark.createDataFrame([(1.23456789,)], "a double"), str(tmp_path / "out"), "json")
     assert spark.read.json(str(tmp_path / "out")).first()["a"] == 1.234568
+
+
+def test_recovery_and_covariance(spark, dipper):
+    from fieldmark.operators.fit import covariance
+    from fieldmark.sources.simulate import simulated
+
+    est = {q["param"]: q for q in fit(simulated(spark, 3000, 7, phi=0.7, p=0.6))["params"]}
+    assert 1 / (1 + math.exp(-est["phi"]["estimate"])) == pytest.approx(0.7, abs=0.05) and 1 / (1 + math.exp(-est["p"]["estimate"])) == pytest.approx(0.6, abs=0.06)
+    cov = {(r["row"], r["col"]): r for r in covariance(dipper).collect()}
+    assert cov["phi_(Intercept)", "phi_(Intercept)"]["covariance"] == pytest.approx(0.100604**2, rel=1e-3) and len(cov) == 9
