@@ -83,9 +83,3 @@ def bytes_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     buf = text.buffers()[2]
     data = np.frombuffer(buf, np.uint8)[off[0] : off[-1]] if buf is not None else np.empty(0, np.uint8)
     return data, off - off[0]
-
-
-def ragged(lengths: np.ndarray) -> np.ndarray:
-    """0..n-1 for each n of ``lengths``, end to end."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cells, chunks, ragged, stored
+from .common import cells, chunks, stored
 from .graph import components
 from .words import mix, sequence_hash, windows, words
 

@@ -128,3 +128,13 @@ m AS (
 SELECT p.page_id, p.url, p.fetched_at, p.host, m.domain AS matched, m.action, m.since, coalesce(m.action <> 'block', true) AS kept
 FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.k = 1
 """
+
+ORACLES["op9_substring_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM d),
+k AS (SELECT *, CASE WHEN i + 34 <= n THEN md5(string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) END AS k FROM w),
+c AS (SELECT k FROM k WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1),
+g AS (SELECT r, i, word, max(CAST(c.k IS NOT NULL AS INT)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) = 1 AS gone FROM k LEFT JOIN c USING (k)),
+s AS (SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM g GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (r)
+"""
