@@ -1,12 +1,12 @@
 r"""Information-theoretic sanitisation of personal data (DataFrame functions only).
 
 Base spans (e-mail addresses, IPv4 addresses, card and phone numbers) are the protected entities.
-Words within ``REACH`` words of one are candidate terms.  Over the corpus, n(t, e) is the number of
-documents in which term t stands near entity e and n(t) the number of documents that hold t at all;
-t reveals e as far as P(e | t) = n(t, e) / n(t) exceeds P(e) = n(e) / n, in bits
-log2(P(e | t) / P(e)).  Terms with support in ``SUPPORT`` different texts or more, P(e | t) of
-``SHARE`` and at least ``BITS_OVER`` bits exceed the disclosure threshold, and are removed as spans of
-kind ``term`` where they stand near the entity.
+Words within ``REACH`` words of one, however many characters away, are candidate terms for it.  Over
+the corpus, n(t, e) is the number of documents that hold both term t and entity e, n(t) and n(e) of
+those that hold t or e; t reveals e as far as P(e | t) = n(t, e) / n(t) exceeds P(e) = n(e) / n, in bits
+log2(P(e | t) / P(e)).  Candidates that meet the entity in ``SUPPORT`` different texts or more, with
+P(e | t) of ``SHARE`` and at least ``BITS_OVER`` bits, exceed the disclosure threshold, and are removed
+as spans of kind ``term`` wherever they stand, in documents without the entity as well.
 
 The Java patterns match as the plain ones do, leftmost and without overlaps, but possessively or
 anchored at the start of a run, so no text makes them recurse or run in quadratic time:
@@ -35,8 +35,6 @@ MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]",
 SPAN = "array<struct<kind:string,at:int,to:int,hit:string>>"
 WORD = r"[^\x20\x09-\x0D]+"
 REACH = 3
-#: Characters beside a span that are searched for its nearest words.
-NEAR = 120
 SUPPORT, SHARE, BITS_OVER = 3, 0.9, 3.0
 
 
@@ -80,23 +78,59 @@ def base_spans(df: DataFrame, text: Column) -> DataFrame:
     return df.withColumn("_base", F.concat(*[_located(k, F.col(f"_{k}"), text) for k in KINDS])).drop(*[f"_{k}" for k in KINDS])
 
 
-def _terms(near: DataFrame, docs: DataFrame) -> DataFrame:
-    """(entity, term) beyond the threshold, from rows (entity, term, text key, row) near entities."""
-    pair = near.groupBy("entity", "term").agg(F.countDistinct("key").alias("support"), F.countDistinct("row").alias("n_te"))
-    # a term stands near entities in at most n(t) documents, so these bounds drop no pair over the threshold
+def _entity(s: Column) -> Column:
+    return F.concat_ws(":", s["kind"], F.when(s["kind"].isin("card", "phone"), _digits(s["hit"])).otherwise(F.lower(s["hit"])))
+
+
+def _around(s: Column, text: Column) -> Column:
+    """Words within ``REACH`` words of span ``s``; what adjoins the span itself is none."""
+    stretch = rf"^[^\x20\x09-\x0D]*+((?:[\x20\x09-\x0D]++[^\x20\x09-\x0D]++){{0,{REACH}}})"
+    left = F.reverse(F.regexp_extract(F.reverse(F.substring(text, F.lit(1), s["at"])), stretch, 1))
+    right = F.regexp_extract(F.substring(text, s["to"] + 1, F.length(text)), stretch, 1)
+    return F.regexp_extract_all(F.lower(F.concat(left, F.lit(" "), right)), F.lit(WORD), F.lit(0))
+
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+
+
+def _terms(some: DataFrame, docs: DataFrame) -> DataFrame:
+    """Terms beyond the threshold of any entity, from the rows with entities (row, key, text, near) and all texts."""
+    n = docs.count()
+    held = some.select("key", F.explode(F.array_distinct("near.entity")).alias("entity"))
+    # n(t, e) is n(e) at most, so these bounds drop no pair over the threshold
+    n_e = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.countDistinct("key").alias("texts"))
+    n_e = n_e.where((F.col("texts") >= SUPPORT) & (F.log2(F.lit(float(max(n, 1))) / F.col("n_e")) >= BITS_OVER)).select("entity", "n_e")
+    near = some.select("row", F.explode("near").alias("x")).select("row", "x.entity", F.explode("x.words").alias("term"))
     around = near.groupBy("term").agg(F.countDistinct("row").alias("n_ctx"))
-    pair = pair.where(F.col("support") >= SUPPORT).join(around, "term").where(F.col("n_te") >= SHARE * F.col("n_ctx"))
-    pair = stored(pair.select("entity", "term", "n_te"), "pairs")
+    pair = near.select("entity", "term").distinct().join(n_e, "entity").join(around, "term").where(F.col("n_e") >= SHARE * F.col("n_ctx"))
+    pair = stored(pair.select("entity", "term", "n_e"), "pairs")
     if pair.isEmpty():
-        return pair.select("entity", "term")
-    n = docs.count()
-    terms = pair.select("term").distinct()
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    n_t = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n_e = near.groupBy("entity").agg(F.countDistinct("row").alias("n_e"))
+        return pair.select("term")
+    n_t = docs.select(F.explode(_words(F.col("text"))).alias("term")).join(pair.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    pair = stored(pair.join(n_t, "term").where(F.col("n_e") >= SHARE * F.col("n_t")), "pairs")
+    both = some.select("key", F.array_distinct("near.entity").alias("entities"), F.explode(_words(F.col("text"))).alias("term"))
+    both = both.join(pair.select("term").distinct(), "term", "left_semi").select("key", "term", F.explode("entities").alias("entity"))
+    n_te = both.join(pair, ["entity", "term"]).groupBy("entity", "term", "n_e", "n_t").agg(F.count(F.lit(1)).alias("n_te"), F.countDistinct("key").alias("support"))
     share = F.col("n_te") / F.col("n_t")
     over = F.log2(share / (F.col("n_e") / F.lit(float(max(n, 1)))))
-    return pair.join(n_t, "term").join(n_e, "entity").where((share >= SHARE) & (over >= BITS_OVER)).select("entity", "term")
+    return n_te.where((F.col("support") >= SUPPORT) & (share >= SHARE) & (over >= BITS_OVER)).select("term").distinct()
+
+
+def _placed(text: Column, terms: Column) -> Column:
+    """Spans of all words of ``text`` that are among ``terms``, in order."""
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    both = F.zip_with(words, F.slice(F.split(text, WORD, -1), F.lit(1), F.size(words)), lambda w, g: F.struct(w.alias("w"), F.lower(w).alias("t"), g.alias("g")))
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("out"))
+
+    def step(acc, x):
+        at = acc["pos"] + F.length(x["g"])
+        to = at + F.length(x["w"])
+        span = F.struct(F.lit("term").alias("kind"), at.alias("at"), to.alias("to"), x["t"].alias("hit"))
+        grown = F.when(F.array_contains(terms, x["t"]), F.array_append(acc["out"], span).cast(SPAN)).otherwise(acc["out"])
+        return F.struct(to.alias("pos"), grown.cast(SPAN).alias("out"))
+
+    return F.aggregate(both, start, step)["out"]
 
 
 def sanitised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,39 +138,18 @@ def sanitised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = base_spans(df, text)
     docs = df.select(text.alias("text"))
-    # what follows concerns the few rows with spans; the others take no part in the shuffles
     ident = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
-    some = found.where(F.size("_base") > 0).select(ident.alias("row"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"), F.explode("_base").alias("s")).distinct()
-    entity = F.concat_ws(":", F.col("s.kind"), F.when(F.col("s.kind").isin("card", "phone"), _digits(F.col("s.hit"))).otherwise(F.lower("s.hit")))
-    left0 = F.greatest(F.col("s.at") - NEAR, F.lit(0))
-    left, right = F.substring("text", left0 + 1, F.col("s.at") - left0), F.substring("text", F.col("s.to") + 1, F.lit(NEAR))
-
-    def placed(side: Column, offset: Column) -> Column:
-        """(term, at, to) of the words of ``side``, whose first character is at ``offset`` in the text."""
-        words = F.regexp_extract_all(side, F.lit(WORD), F.lit(0))
-        gaps = F.split(side, WORD, -1)
-        start = F.struct(offset.cast("int").alias("pos"), F.array().cast("array<struct<term:string,at:int,to:int>>").alias("out"))
-        both = F.zip_with(words, F.slice(gaps, F.lit(1), F.size(words)), lambda w, g: F.struct(w.alias("w"), g.alias("g")))
-
-        def step(acc, x):
-            at = acc["pos"] + F.length(x["g"])
-            to = at + F.length(x["w"])
-            return F.struct(to.alias("pos"), F.array_append(acc["out"], F.struct(F.lower(x["w"]).alias("term"), at.alias("at"), to.alias("to"))).cast("array<struct<term:string,at:int,to:int>>").alias("out"))
-
-        return F.aggregate(both, start, step)["out"]
-
-    # a word cut by the edge of the searched stretch is dropped, as is what adjoins the span itself
-    l_words = F.filter(placed(left, left0), lambda w: ((w["at"] > left0) | (left0 == 0)) & (w["to"] < F.col("s.at")))
-    r_words = F.filter(placed(right, F.col("s.to")), lambda w: (w["at"] > F.col("s.to")) & ((w["to"] < F.col("s.to") + NEAR) | (w["to"] == F.length("text"))))
-    l_words = F.slice(l_words, F.greatest(F.size(l_words) - (REACH - 1), F.lit(1)), F.lit(REACH))
-    words = F.concat(l_words, F.slice(r_words, F.lit(1), F.lit(REACH)))
-    near = stored(some.select("row", "key", entity.alias("entity"), F.explode(words).alias("w")).select("row", "key", "entity", "w.*"), "near")
-    revealing = stored(_terms(near, docs), "terms")
-    spans = near.join(revealing, ["entity", "term"]).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("at", "to", "term"))).alias("_terms"))
-    spans = spans.select(F.col("row").alias("_row"), F.transform("_terms", lambda x: F.struct(F.lit("term").alias("kind"), x["at"].alias("at"), x["to"].alias("to"), x["term"].alias("hit"))).cast(SPAN).alias("_terms"))
+    # candidates come from the few rows with spans; the others take no part in their shuffles
+    near = F.transform("_base", lambda s: F.struct(_entity(s).alias("entity"), _around(s, text).alias("words")))
+    some = stored(found.where(F.size("_base") > 0).select(ident.alias("row"), F.xxhash64(F.col(text_col)).alias("key"), text.alias("text"), near.alias("near")), "near")
+    revealing = stored(_terms(some, docs), "terms")
+    if revealing.isEmpty():
+        return found.withColumnRenamed("_base", "_spans")
+    hits = df.select(ident.alias("_row"), F.explode(_words(text)).alias("term")).join(revealing, "term", "left_semi").groupBy("_row").agg(F.collect_set("term").alias("_terms"))
     # a term inside a base span is covered already
-    clear = F.filter(F.coalesce("_terms", F.array().cast(SPAN)), lambda t: ~F.exists("_base", lambda b: (b["at"] < t["to"]) & (t["at"] < b["to"])))
-    return found.withColumn("_row", ident).join(spans, "_row", "left").withColumn("_spans", F.concat("_base", clear)).drop("_row", "_terms", "_base")
+    clear = F.filter(_placed(text, F.col("_terms")), lambda t: ~F.exists("_base", lambda b: (b["at"] < t["to"]) & (t["at"] < b["to"])))
+    clear = F.when(F.col("_terms").isNotNull(), clear).otherwise(F.array().cast(SPAN))
+    return found.withColumn("_row", ident).join(hits, "_row", "left").withColumn("_spans", F.concat("_base", clear)).drop("_row", "_terms", "_base")
 
 
 def redacted(df: DataFrame, text_col: str = "text") -> DataFrame:

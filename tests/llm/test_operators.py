@@ -213,6 +213,20 @@ def test_pii_revealing_terms(spark):
     assert texts[3] == "note 3 from [TERM] reach [EMAIL] now and text number 21" and texts[101] == rows[7][1]
 
 
+def test_pii_terms_of_whole_texts(spark):
+    """Terms beyond any stretch of characters, counted by document, and removed at every place."""
+    far, long = " " * 150, "y" * 150
+    rows = [(i, f"Quartermain again: a{i} b{i} c{i} d{i} {far} Quartermain {long}{i} q@x.org z{i}") for i in range(19)]
+    rows += [(50, "only Quartermain without an address"), (51, "Ostrander writes o@x.org"), (52, "Ostrander says that we reach them at o@x.org"), (53, "o@x.org and then by phone Ostrander")]
+    rows += [(100 + i, f"reach me now and then from here text {i}") for i in range(200)]
+    out = pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: [(s["hit"], s["at"]) for s in r["_spans"] if s["kind"] == "term"] for r in out.collect()}
+    for i, t in rows:
+        want = [(m.group().lower(), m.start()) for m in re.finditer("Quartermain|Ostrander", t)]
+        assert [x for x in got[i] if x[0] in ("quartermain", "ostrander")] == want, t
+    assert not any(got[i] for i, _ in rows if i >= 100)
+
+
 def test_lm_score(docs):
     all_rows = rows_of(docs, "doc_id", "text")
     tokens = [((t or "").encode().translate(LOWER).split()) + [None] for _, t in all_rows]
