@@ -3,8 +3,9 @@
 Measures of each text: words, characters in words, symbols, repeated lines, words in repeated
 windows.  Their rates go into mergeable quantile sketches per language and source; sketches of
 groups under ``MIN_GROUP`` documents give way to the merged ones of their language, then of all.
-Outer fences (quartiles plus ``REACH`` interquartile ranges, a least spread and rounding outwards
-to 1/20, so sketch noise doesn't move verdicts) are joined back and decide, beside a base rule.
+Outer fences (the ``TAIL`` quantiles plus ``REACH`` times their distance from the median, a least spread
+and rounding outwards to 1/20, so sketch noise doesn't move verdicts) are joined back and decide, beside
+a base rule.  Where a tail quantile is 0 too, the least spread decides; at ``TAIL``, junk of up to a tenth of a group doesn't move its own fence.
 
 Edge cases: null texts count as empty (0 words, base_failed); null languages and sources are
 groups of their own; repeated rows each count; other columns pass through whatever their names.
@@ -21,12 +22,13 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 MIN_GROUP = 200
 REACH = 3.0
+TAIL = 0.9
 #: rate -> (expression over the measures ``_q``, least spread added to the fence, has a lower fence)
 RATES = {
     "symbols": ("n_symbols / n_words", 0.1, False),
     "word_length": ("word_chars / n_words", 2.0, True),
-    "dup_lines": ("n_dup_lines / n_lines", 0.5, False),
-    "repeats": ("n_repeat_words / n_words", 0.3, False),
+    "dup_lines": ("n_dup_lines / n_lines", 0.2, False),
+    "repeats": ("n_repeat_words / n_words", 0.1, False),
 }
 
 
@@ -84,12 +86,12 @@ def fences(df: DataFrame, lang_col: str, source_col: str) -> DataFrame:
     l1, l2 = at(by_lang, 1).withColumnRenamed("lang", "lang1"), at(whole, 2)
     joined = leaf.join(l1, F.col("lang").eqNullSafe(F.col("lang1"))).crossJoin(F.broadcast(l2))  # l2 is one row
     pick = lambda r: F.when(F.col("n") >= MIN_GROUP, F.col(r)).when(F.col("n1") >= MIN_GROUP, F.col(f"{r}1")).otherwise(F.col(f"{r}2"))
-    joined = joined.select("lang", "source", *[F.kll_sketch_get_quantile_double(pick(r), F.array(F.lit(0.25), F.lit(0.75))).alias(r) for r in RATES])
+    joined = joined.select("lang", "source", *[F.kll_sketch_get_quantile_double(pick(r), F.array(F.lit(1 - TAIL), F.lit(0.5), F.lit(TAIL))).alias(r) for r in RATES])
     out = []
     for r, (_, slack, lower) in RATES.items():
-        lo, hi = F.col(r)[0], F.col(r)[1]
-        out.append((F.ceil((hi + REACH * (hi - lo) + slack) * 20) / 20).alias(f"hi_{r}"))
-        out.append((F.floor((lo - REACH * (hi - lo) - slack) * 20) / 20 if lower else F.lit(None).cast("double")).alias(f"lo_{r}"))
+        lo, mid, hi = (F.col(r)[i] for i in range(3))
+        out.append((F.ceil(F.round((hi + REACH * (hi - mid) + slack) * 20, 9)) / 20).alias(f"hi_{r}"))
+        out.append((F.floor(F.round((lo - REACH * (mid - lo) - slack) * 20, 9)) / 20 if lower else F.lit(None).cast("double")).alias(f"lo_{r}"))
     return joined.select("lang", "source", *out)
 
 

@@ -150,6 +150,22 @@ def test_quality_verdicts(spark):
     assert all(got[i] for i, *_ in clean) and not any(got[i] for i, *_ in junk)
 
 
+@pytest.mark.parametrize("rate", list(quality.RATES))
+def test_quality_fences_beyond_the_base_rule(spark, rate):
+    """Each rate rejects a document that the base rule keeps, and no ordinary one."""
+    r = random.Random(7)
+    plain = [(i, "\n".join(" ".join(r.choice(VOCAB) for _ in range(12)) for _ in range(10))) for i in range(300)]
+    odd = {
+        "symbols": " ".join(f"w{k}" + "#" * (k % 4 == 0) for k in range(120)),
+        "word_length": " ".join("x" * 20 + str(k) for k in range(120)),
+        "dup_lines": "\n".join("one and the same" if k % 3 == 0 else " ".join(f"u{k}x{j}" for j in range(8)) for k in range(12)),
+        "repeats": " ".join(f"v{k}" for k in range(160)) + " " + " ".join(f"v{k}" for k in range(20)),
+    }[rate]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in [*plain, (999, odd)]], "doc_id long, text string, lang string, source string")
+    got = {x["doc_id"]: (x["_base_failed"], x["_kept"]) for x in quality.judged(stored(quality.measured(df), "q")).collect()}
+    assert got.pop(999) == (False, False) and set(got.values()) == {(False, True)}
+
+
 def test_mixing(docs):
     m = mixing.mix(docs, keep=["doc_id", "source"]).select("doc_id", "source", "_mix.*").collect()
     size, target, taken = defaultdict(int), {}, defaultdict(int)
