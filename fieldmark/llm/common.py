@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text handled at once inside a task; numpy scratch space is about 40 times this.
 CHUNK_BYTES = 1 << 20
+#: Most text of a unit, and most text whose hashes fall into a range, on average.
+UNIT_BYTES, RANGE_BYTES = 32 << 20, 128 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, the warehouse's (both are shared)."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="fieldmark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return path or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_fieldmark"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -27,17 +26,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
 
 
-def units(spark: SparkSession) -> int:
-    """Units that texts are dealt to: in proportion to the shuffle partitions the cluster is set to."""
-    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that :func:`stored` wrote, once nothing reads them any more."""
+    for df in tables:
+        jvm, path = df.sparkSession._jvm, df.stored_at
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
-def ranges(spark: SparkSession) -> int:
-    """Hash ranges that units exchange hashes with; fewer, as each pair of the two costs a row."""
-    return max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+def dealt(df: DataFrame, text_col: str) -> tuple[int, int]:
+    """(units, ranges): how many units texts are dealt to, and how many hash ranges units exchange hashes with.
+
+    Both follow the shuffle partitions the cluster is set to, and more of them where a unit would
+    hold over ``UNIT_BYTES`` of text on average or a range the hashes of over ``RANGE_BYTES``, so
+    that what a task holds stays bounded whatever the setting.  A unit sends a range one row at
+    most, and none without hashes, so rows are fewer than hashes.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    return max(2 * parts, -(-size // UNIT_BYTES)), max(4, parts // 2, -(-size // RANGE_BYTES))
+
+
+def small(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """A stored table of narrow rows, marked for broadcasting if it is counted to have ``rows`` at most."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, cells, chunks, ranges, stored, units
+from .common import bucket_of, cells, chunks, dealt, stored
 from .words import mix, words
 
 SINGLES, SHAPES = 47, 16
@@ -206,10 +206,10 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     Per row: the id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and
     ``score`` (log10 probabilities of the whole text).
     """
-    n = ranges(df.sparkSession)
+    parts, n = dealt(df, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == held, F.lit(False))
-    docs = df.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(units(df.sparkSession))).alias("unit"), F.col(id_col).alias("id"), held_out.alias("held"), text.alias("text"))
+    docs = df.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(parts)).alias("unit"), F.col(id_col).alias("id"), held_out.alias("held"), text.alias("text"))
     counted = stored(_count(docs, n), "counts")
     stats = counted.where("unit = -1")
     whole = stats.agg(

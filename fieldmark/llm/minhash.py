@@ -5,7 +5,7 @@ registers and keeps, of each register's least hash, the number of leading zeros
 bits (two bytes; 0 when empty).  Bands of compressed registers give candidates, a Jaccard estimate
 corrected for chance collisions of registers screens them, and full sets confirm links.
 
-Steps: documents with equal sets form a class; classes that agree on a band are grouped.  Groups
+Steps: documents with equal sets (by a 128-bit digest of the sorted set) form a class; classes that agree on a band are grouped.  Groups
 of up to ``SMALL`` classes are compared in full, larger ones with two heads; where that leaves a
 large group in several components, its pairs across components follow, block by block inside tasks
 that return only links that join components, so no group is cut off.  Components come from joins (see ``graph``); nothing is gathered on the driver.
@@ -20,12 +20,14 @@ than any id, and a component of them alone has the id null and is kept.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cells, chunks, stored
+from .common import cells, chunks, drop, small, stored
 from .graph import components
 from .words import mix, sequence_hash, windows, words
 
@@ -35,6 +37,8 @@ SMALL = 8
 BLOCK = 512
 #: Standard errors below the threshold at which an estimate rules a pair out.
 SLACK = 4.5
+#: Bits of the map that tells which texts' sets are needed (2 MB); beyond it merely lets more texts pass.
+MAP_BITS = 1 << 24
 
 
 def plan(similarity: float) -> tuple[int, int]:
@@ -51,7 +55,7 @@ def shingle_sets(text: pa.Array, size: int):
     w = words(text, lower=True)
     h, _, doc = windows(w.hash, w.first, size)
     cut = np.searchsorted(doc, np.arange(len(text) + 1))
-    short = sequence_hash(w.hash, w.first)
+    short = sequence_hash(w.hash, w.first, size)
     counts = w.counts()
     for i in range(len(text)):
         if cut[i + 1] > cut[i]:
@@ -92,25 +96,24 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tu
 
 
 def _signatures(docs: DataFrame, size: int, registers: int) -> DataFrame:
-    """id, key (of the text), c (of the set), n (its size), sketch."""
+    """id, key (of the text), set (a digest), n (its size), sketch."""
     idf = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             text = batch.column("text")
             for s, e in chunks(text):
-                c, n, sk = [], [], []
+                digest, n, sk = [], [], []
                 for x in shingle_sets(text.slice(s, e - s), size):
-                    with np.errstate(over="ignore"):
-                        c.append(int(mix(np.array([x.sum() + mix(np.bitwise_xor.reduce(x, keepdims=True))[0] * np.uint64(3) + np.uint64(len(x))]))[0].astype(np.int64)) if len(x) else 0)
+                    digest.append(hashlib.blake2b(x, digest_size=16).digest())
                     n.append(len(x))
                     sk.append(sketch(x, registers).tobytes() if len(x) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(s, e - s), batch.column("key").slice(s, e - s), pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(sk, pa.binary())],
-                    names=["id", "key", "c", "n", "sketch"],
+                    [batch.column("id").slice(s, e - s), batch.column("key").slice(s, e - s), pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(sk, pa.binary())],
+                    names=["id", "key", "set", "n", "sketch"],
                 )
 
-    return docs.mapInArrow(run, f"id {idf}, key long, c long, n long, sketch binary")
+    return docs.mapInArrow(run, f"id {idf}, key long, set binary, n long, sketch binary")
 
 
 def _bands(classes: DataFrame, rows: int, bands: int) -> DataFrame:
@@ -167,7 +170,21 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, classes: DataFrame, need: DataFrame, size: int) -> DataFrame:
-    """(c, items) of the classes in ``need(c)``, from the text of one document each."""
+    """(c, items) of the classes in ``need(c)``, from the text of one document each.
+
+    A map of ``MAP_BITS`` bits over text keys leaves most texts that nobody needs out of the shuffle.
+    """
+    reps = classes.join(need, "c").select("c", F.col("rep.id").alias("rid"), F.col("rep.key").alias("rkey"))
+    bit = F.pmod("rkey", F.lit(MAP_BITS)) + 1
+    maps = reps.groupBy(F.bitmap_bucket_number(bit).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    packed = np.zeros(MAP_BITS // 8, np.uint8)
+    for m in maps:  # bucket k has 4 KB, the bits from (k - 1) * 2**15 on
+        packed[(m["at"] - 1) << 12 : m["at"] << 12] = np.frombuffer(m["bits"], np.uint8)
+
+    def wanted(batches):
+        marks = np.unpackbits(packed, bitorder="little").view(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(marks[batch.column("key").to_numpy() % MAP_BITS]))
 
     def run(batches):
         for batch in batches:
@@ -176,9 +193,9 @@ def _sets(docs: DataFrame, classes: DataFrame, need: DataFrame, size: int) -> Da
                 items = [x.tobytes() for x in shingle_sets(text.slice(s, e - s), size)]
                 yield pa.RecordBatch.from_arrays([batch.column("c").slice(s, e - s), pa.array(items, pa.binary())], names=["c", "items"])
 
-    reps = classes.join(need, "c").select("c", F.col("rep.id").alias("rid"), F.col("rep.key").alias("rkey"))
     same = (F.col("key") == F.col("rkey")) & F.col("id").eqNullSafe(F.col("rid"))
-    return docs.join(reps, same).select("c", "text").mapInArrow(run, "c long, items binary").dropDuplicates(["c"])
+    few = docs.mapInArrow(wanted, docs.schema)
+    return few.join(reps, same).select("c", "text").mapInArrow(run, "c long, items binary").dropDuplicates(["c"])
 
 
 def _joining(rest: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -239,46 +256,63 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("key"))
     signed = stored(_signatures(docs, size, rows * bands), "signatures")
     rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("rep")
-    classes = stored(signed.where("n > 0").groupBy("c").agg(rep, F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-
-    member = _bands(classes, rows, bands)
-    group = stored(member.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "groups")
-    member = member.join(group, "band")
+    # numbers of classes are unique, as each is settled when its part of the table is written
+    classes = signed.where("n > 0").groupBy("set").agg(rep, F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = stored(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+
+    group = _bands(classes, rows, bands).groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    group = stored(group, "groups")
+    member = _bands(classes, rows, bands).join(small(group), "band")
+    member = stored(member, "members")
+    drop(group)
     # the original of a group of copies shares bands with more of them than they do among each other
     known = member.groupBy("c").agg(F.sum("size").alias("known"))
-    member = stored(member.join(known, "c"), "members")
     who = F.struct("c", "n")
-    head = member.where(f"size > {SMALL}").groupBy("band").agg(F.array(F.max_by(who, F.struct("known", "c")), F.min_by(who, "c")).alias("heads"))
+    head = member.where(f"size > {SMALL}").join(known, "c").groupBy("band").agg(F.array(F.max_by(who, F.struct("known", "c")), F.min_by(who, "c")).alias("heads"))
+    head = stored(head, "heads")
     near = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     star = member.where(f"size > {SMALL}").join(head, "band").select("c", "n", F.explode(F.array_distinct("heads")).alias("head")).where("c <> head.c")
     ends = F.when(F.col("c") < F.col("head.c"), F.struct(who.alias("a"), F.col("head").alias("b"))).otherwise(F.struct(F.col("head").alias("a"), who.alias("b")))
     star = star.select(ends.alias("e")).select(F.col("e.b.c").alias("b"), F.col("e.b.n").alias("nb"), F.col("e.a.c").alias("a"), F.col("e.a.n").alias("na"))
-    few = member.where(f"size <= {SMALL}")
-    x, y = (few.select("band", F.col("c").alias(s), F.col("n").alias(f"n{s}")) for s in "ab")
-    pairs = x.join(y, "band").where("a < b").select("b", "nb", "a", "na").unionByName(star).where(near).select("a", "b").distinct()
+    few = member.where(f"size <= {SMALL}").groupBy("band").agg(F.collect_list(who).alias("who"))  # SMALL at most
+    few = few.select(F.explode("who").alias("a"), "who").select("a", F.explode("who").alias("b")).where("a.c < b.c")
+    few = few.select(F.col("b.c").alias("b"), F.col("b.n").alias("nb"), F.col("a.c").alias("a"), F.col("a.n").alias("na"))
+    pairs = few.unionByName(star).where(near).select("a", "b").distinct()
     pairs = stored(_screened(pairs, classes, percent), "candidates")
-
-    def both(p: DataFrame) -> DataFrame:
-        return p.select(F.col("a").alias("c")).unionByName(p.select(F.col("b").alias("c"))).distinct()
-
-    need = both(pairs).unionByName(member.where(f"size > {SMALL}").select("c")).distinct()
+    need = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
     sets = stored(_sets(docs, classes, need, size), "sets")
     links = stored(_confirmed(pairs, sets, percent), "links")
+    drop(head, pairs, sets)
     comp = stored(components(links), "components")
+    drop(links)
 
     # large groups that still lie in several components
     big = member.where(f"size > {SMALL}").join(comp, F.col("c") == F.col("node"), "left").select("band", "c", "n", F.coalesce("comp", "c").alias("comp"))
     split = big.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
-    rest = big.join(split.select("band", "size"), "band")
-    more = stored(_joining(rest, classes, sets, percent), "links")
-    if not more.isEmpty():
-        joined = components(more).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-        every = comp.unionByName(classes.select(F.col("c").alias("node"), F.col("c").alias("comp")).join(comp.select("node"), "node", "left_anti"))
-        comp = stored(every.join(joined, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "components")
-
-    whole = classes.join(comp, F.col("c") == F.col("node"), "left").select("c", F.coalesce("comp", "c").alias("comp"), F.col("rep").alias("least"))
-    named = whole.join(whole.groupBy("comp").agg(F.min("least").alias("first")), "comp").select("c", F.col("first.id").alias("component_id"), F.col("first.key").alias("first_key"))
-    found = signed.where("n > 0").select("id", "n", "c", "key").join(named, "c").select("id", "n", "component_id", "key", "first_key")
+    split = stored(split, "split")
+    rest = stored(big.join(split.select("band", "size"), "band"), "rest")
+    drop(member, split)
+    if not rest.isEmpty():
+        sets = stored(_sets(docs, classes, rest.select("c").distinct(), size), "sets")
+        more = stored(_joining(rest, classes, sets, percent), "links")
+        drop(sets)
+        if not more.isEmpty():
+            joined = components(more).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+            every = comp.unionByName(classes.select(F.col("c").alias("node"), F.col("c").alias("comp")).join(comp.select("node"), "node", "left_anti"))
+            before, comp = comp, stored(every.join(joined, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), "components")
+            drop(before)
+        drop(more)
+    drop(rest)
+
+    # the least row of each component; a component of many classes is one row here and an exchange that can be split
+    first = classes.join(comp, F.col("c") == F.col("node")).groupBy("comp").agg(F.min("rep").alias("first"))
+    first = stored(first, "firsts")
+    named = classes.join(comp.join(first, "comp").select("node", "first"), F.col("c") == F.col("node"), "left")
+    named = named.select("set", F.coalesce("first", "rep").alias("first")).select("set", F.col("first.id").alias("component_id"), F.col("first.key").alias("first_key"))
+    found = signed.where("n > 0").select("id", "n", "set", "key").join(named, "set").select("id", "n", "component_id", "key", "first_key")
     none = signed.where("n = 0").select("id", "n", F.col("id").alias("component_id"), "key", F.col("key").alias("first_key"))
     out = found.unionByName(none)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("key").alias("text_key"), "first_key")
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("key").alias("text_key"), "first_key")
+    out = stored(out, "near_duplicates")
+    drop(signed, classes, comp, first)
+    return out

@@ -1,12 +1,15 @@
-"""Words ``[^\\x20\\x09-\\x0D]+`` of Arrow text columns and their 64-bit hashes, without a Python loop.
+"""Words ``[^\\x20\\x09-\\x0D]+`` of Arrow text columns and their hashes, without a Python loop.
 
-A word's hash is a polynomial over its bytes modulo 2^64, read off prefix sums and passed
-through a bit mixer; hashes of word windows are the same over word hashes.  Equal sequences have
-equal hashes; for n different ones about n*n / 2^65 pairs collide.
+A word's hash runs over its bytes eight at a time, each lane passed through a bit mixer before the
+next one goes in; words over ``LONG`` bytes take BLAKE2.  Window hashes mix the hashes of two halves,
+doubling the width.  Nothing is linear in the bytes, so equal hashes of different sequences are a
+matter of chance: about n*n / 2^65 of n different ones, and n*n / 2^129 where ``wide`` asks for a
+second, independent hash.
 """
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
 import numpy as np
@@ -14,8 +17,11 @@ import pyarrow as pa
 
 from .common import bytes_of
 
+LONG = 64
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+_SEEDS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD6E8FEB86659FD93))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,31 +32,12 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-with np.errstate(over="ignore"):
-    _BYTE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _GOLD)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2^64, grown as needed."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        with np.errstate(over="ignore"):
-            while len(self.up) < n:
-                m = len(self.up)
-                self.up = np.concatenate([self.up, self.up * np.uint64(pow(self.base, m, 1 << 64))])
-                self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.inverse, m, 1 << 64))])
-        return self.up[:n], self.down[:n]
-
-
-_BYTES, _WORDS = _Powers(0xD6E8FEB86659FD93), _Powers(0xA0761D6478BD642F)
+#: Masks of the first k bytes of a little-endian lane.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 class Words(NamedTuple):
@@ -59,6 +46,7 @@ class Words(NamedTuple):
     data: np.ndarray  # bytes of the texts (as hashed)
     start: np.ndarray  # byte range of each word
     end: np.ndarray
+    wide: np.ndarray | None = None  # a second hash of each word, where asked for
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -67,15 +55,33 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
 
-def words(text: pa.Array, lower: bool = False) -> Words:
-    """Words of a null-free text column; ``lower`` folds A-Z first."""
+def _hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: np.uint64) -> np.ndarray:
+    lanes = np.ndarray((len(data),), np.dtype("<u8"), np.concatenate([data, np.zeros(8, np.uint8)]).data, strides=(1,))
+    size = end - start
+    with np.errstate(over="ignore"):
+        h = mix(size.astype(np.uint64) * _GOLD + seed)
+    at = np.flatnonzero(size <= LONG)
+    for k in range(0, LONG, 8):
+        at = at[size[at] > k]
+        if not len(at):
+            break
+        lane = lanes[start[at] + k] & _FIRST[np.minimum(size[at] - k, 8)]
+        h[at] = mix(h[at] ^ lane)
+    key = int(seed).to_bytes(8, "little")
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=key).digest(), "little")
+    return h
+
+
+def words(text: pa.Array, lower: bool = False, wide: bool = False) -> Words:
+    """Words of a null-free text column; ``lower`` folds A-Z first, ``wide`` adds the second hash."""
     data, off = bytes_of(text)
     if lower:
         data = _LOWER[data]
     n = len(data)
     if n == 0:
-        e = np.empty(0, np.int64)
-        return Words(np.empty(0, np.uint64), np.zeros(len(off), np.int64), data, e, e)
+        e, none = np.empty(0, np.int64), np.empty(0, np.uint64)
+        return Words(none, np.zeros(len(off), np.int64), data, e, e, none if wide else None)
     solid = ~_SPACE[data]
     edge = np.zeros(n + 1, bool)  # a text starts here
     edge[off] = True
@@ -85,31 +91,39 @@ def words(text: pa.Array, lower: bool = False) -> Words:
     after = np.empty(n, bool)
     after[-1], after[:-1] = False, solid[1:]
     end = np.flatnonzero(solid & (~after | edge[1:])) + 1
-    up, down = _BYTES.get(n)
-    with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up, out=total[1:])
-        h = (total[end] - total[start]) * down[start]
-    return Words(mix(h + (end - start).astype(np.uint64)), np.searchsorted(start, off), data, start, end)
+    one, two = (_hashed(data, start, end, seed) if seed == _SEEDS[0] or wide else None for seed in _SEEDS)
+    return Words(one, np.searchsorted(start, off), data, start, end, two)
 
 
-def windows(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all windows of ``size`` words inside one text, their first words, their texts' indices."""
-    n = len(h)
+def starts(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words of all windows of ``size`` words inside one text, and their texts' indices."""
+    n = int(first[-1])
     left = np.repeat(first[1:], np.diff(first)) - np.arange(n)  # words from here to the text's end
     at = np.flatnonzero(left >= size)
-    up, down = _WORDS.get(n + 1)
-    with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(h * up[:n], out=total[1:])
-        out = mix((total[at + size] - total[at]) * down[at] + np.uint64(size))
-    return out, at, np.searchsorted(first, at, "right") - 1
+    return at, np.searchsorted(first, at, "right") - 1
 
 
-def sequence_hash(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Hash of each text's whole word sequence."""
-    up, down = _WORDS.get(len(h) + 1)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(h * up[: len(h)], out=total[1:])
-        return mix((total[first[1:]] - total[first[:-1]]) * down[first[:-1]] + np.diff(first).astype(np.uint64))
+def rolled(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` consecutive entries (across texts as well)."""
+    out, width = h, 1
+    while width < size and len(out):
+        step = min(width, size - width)
+        out = mix(mix(out[: max(len(out) - step, 0)]) ^ out[step:])
+        width += step
+    return out
+
+
+def windows(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all windows of ``size`` words inside one text, their first words, their texts' indices."""
+    at, doc = starts(first, size)
+    return rolled(h, size)[at], at, doc
+
+
+def sequence_hash(h: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the whole word sequence of each text of fewer than ``size`` words (0 for others)."""
+    counts = np.diff(first)
+    out = np.where(counts < size, mix(counts.astype(np.uint64) ^ _SEEDS[1]), np.uint64(0))
+    for k in range(size - 1):
+        at = np.flatnonzero((counts > k) & (counts < size))
+        out[at] = mix(mix(out[at]) ^ h[first[at] + k])
+    return out
