@@ -1,14 +1,15 @@
 """Main text of HTML pages by minimum-cut labelling.
 
 A page is read into text blocks (runs of text between block-level tags) below their open elements.
-A log-linear classifier gives each block the cost of either label from its ancestors' tags and
-class names, link share, length and punctuation; these are terminal capacities.  Neighbouring
+A log-linear classifier gives each block the cost of either label from link share, length and
+punctuation, and from what its ancestors' tags and names say; these are terminal capacities.  Weights are
+set by hand, as no table has labelled blocks.  Neighbouring
 blocks, and blocks and elements that are parent and child in the DOM, are tied by smoothness edges.
 The minimum cut, found by max-flow, separates content from boilerplate.
 
 Edge cases: null or empty html gives an empty text; broken or cut markup is read as far as it goes
 (an unfinished tag is markup, an unfinished character reference is text); pages are read whole;
-repeated rows are read each.
+repeated rows are read each.  Reading takes linear time; deep or stray markup makes no difference.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-PART = re.compile(r"[a-z]+")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # fixed values: HTML elements by how they lay out or hold text
 RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "xmp", "noembed", "noframes"}
@@ -39,39 +40,78 @@ CLOSES = {
 #: Elements that implied closing doesn't look beyond.
 SCOPE = set("article aside body div footer form header html main nav ol section table td th ul dl".split())
 
-# the classifier: weights of log-odds for content
-TAG_WEIGHT = {"article": 4.0, "main": 3.0, "nav": -8.0, "footer": -8.0, "aside": -8.0, "form": -8.0, "header": -4.0, "menu": -8.0, "dialog": -8.0, "blockquote": 0.5, "p": 0.5, "h1": 0.5, "h2": 0.5, "h3": 0.5, "pre": 0.5}
-BAD_NAMES = set(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer "
-    "form header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended "
-    "related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe teaser toolbar tags widget warning alert".split()
+#: Elements that an opening tag may close.
+CLOSABLE = set().union(*CLOSES.values())
+
+# fixed values: what names of elements say
+LAYOUT = set("area block body box col column container content count grid group holder inner item items layout list outer page panel region row section text wrap wrapper".split())
+MODIFIERS = set("disable enable has hide is no not show toggle with without".split())
+TAXONOMY = set("cat category format status tag tags type".split())
+APART = set(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer gdpr header masthead modal nav navbar navigation newsletter notice "
+    "notices popup promo promoted promotion recommended related replies reply respond sidebar signup sponsor sponsored subscribe teaser toolbar warning widget".split()
 )
-GOOD_NAMES = set("article body content entry main post story text".split())
-NAME_BAD, NAME_GOOD = -8.0, 2.0
-BIAS, PER_LOG_WORD, LINKS, SENTENCE, RIGHTS = -2.0, 0.8, -5.0, 0.8, -2.0
-ADJACENT, SIBLING, CHILD = 0.3, 0.6, 0.4
+ASIDE = set("alert bar byline form login menu meta pager pagination search share sharing skip social tag tags".split())
+GOOD = set("article entry main post story".split())
+
+# the classifier: weights of log-odds for content
+TAGS = {"nav": -12.0, "footer": -12.0, "aside": -12.0, "form": -12.0, "menu": -12.0, "dialog": -12.0, "header": -6.0, "article": 3.0, "main": 2.0}
+NAME_APART, NAME_ASIDE, NAME_GOOD = -7.0, -2.0, 1.5
+BIAS, PER_LOG_WORD, LINKS, SENTENCE, RIGHTS, MOST = -2.0, 1.2, -6.0, 1.0, -3.0, 5.0
+# smoothness: neighbours on the page, neighbours in one element, parent and child in the DOM
+ADJACENT, SIBLING, CHILD = 0.3, 0.9, 0.7
+
+
+def name_odds(attributes: str) -> tuple[float, float]:
+    """(least, greatest) evidence of an element's class, id and role names.
+
+    A name counts by its first word and by its last that isn't a word of layout; names with words
+    like "no" or "has" say what the element lacks or holds, and "tags-travel" what the page is about.
+    """
+    low, high = 0.0, 0.0
+    for m in NAMES.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            parts = [x.lower() for x in PART.findall(name)]
+            if not parts or MODIFIERS & set(parts) or (len(parts) > 1 and parts[0] in TAXONOMY):
+                continue
+            ends = {parts[0], next((x for x in reversed(parts) if x not in LAYOUT), parts[0])}
+            if ends & APART:
+                low = min(low, NAME_ASIDE if parts[0] in GOOD and ends & {"header", "footer"} else NAME_APART)
+            elif ends & ASIDE:
+                low = min(low, NAME_ASIDE)
+            elif ends & GOOD or "content" in parts or "text" in parts:
+                high = NAME_GOOD
+    return low, high
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "score", "node", "hidden")
+    __slots__ = ("tag", "parent", "stop", "node", "hidden", "low", "high", "named", "holds")
 
     def __init__(self, tag: str, parent: _Element | None, attributes: str):
-        self.tag, self.parent, self.node = tag, parent, -1
-        score = TAG_WEIGHT.get(tag, 0.0)
-        if attributes:
-            names = {w for m in NAMES.finditer(attributes) for w in PART.findall((m[1] or m[2] or m[3] or "").lower())}
-            if names & BAD_NAMES and tag not in ("body", "html", "article", "main"):
-                score += NAME_BAD
-            elif names & GOOD_NAMES:
-                score += NAME_GOOD
-        self.score = score + (parent.score if parent else 0.0)
+        self.tag, self.parent, self.node, self.holds = tag, parent, -1, False
+        self.stop = self if parent is None or tag in CLOSABLE or tag in SCOPE else parent.stop
         self.hidden = tag in HIDDEN or bool(parent and parent.hidden)
+        own = TAGS.get(tag, 0.0)
+        self.named, good = name_odds(attributes) if attributes and tag not in ("body", "html", "main") else (0.0, 0.0)
+        self.low, self.high = min(own, 0.0), max(own, good)
+        if tag == "header" and parent and parent.within("article"):
+            self.low = NAME_ASIDE
+
+    def within(self, tag: str) -> bool:
+        e, steps = self, 0
+        while e is not None and steps < 8:
+            if e.tag == tag:
+                return True
+            e, steps = e.parent, steps + 1
+        return False
 
 
 def blocks(html: str) -> list[tuple[str, _Element, int]]:
-    """(text, element, characters in links) of the text blocks in page order."""
+    """(text, element, characters in links) of the text blocks in page order; elements have their evidence."""
     out: list[tuple[str, _Element, int]] = []
     here = root = _Element("", None, "")
+    every = [root]
+    opened: dict[str, int] = {}
     buffer: list[str] = []
     linked, link = 0, 0
 
@@ -83,6 +123,13 @@ def blocks(html: str) -> list[tuple[str, _Element, int]]:
             buffer.clear()
         linked = 0
 
+    def leave(to: _Element) -> None:
+        """Close all elements up to ``to``, which stays open."""
+        nonlocal here
+        while here is not to:
+            opened[here.tag] -= 1
+            here = here.parent
+
     at = 0
     while at <= len(html):
         m = TAG.search(html, at)
@@ -112,44 +159,74 @@ def blocks(html: str) -> list[tuple[str, _Element, int]]:
         flush()
         link = 0
         if closing:
-            e = here
-            while e is not root and e.tag != tag:
-                e = e.parent
-            if e is not root:
-                here = e.parent
+            if opened.get(tag):
+                e = here
+                while e.tag != tag:
+                    e = e.parent
+                leave(e.parent)
             continue
-        ends = CLOSES.get(tag)
-        if ends:
-            e = here
+        if ends := CLOSES.get(tag):
+            e = here.stop
             while e is not root and (e.tag in ends or e.tag not in SCOPE):
                 if e.tag in ends:
-                    here = e.parent
-                e = e.parent
+                    leave(e.parent)
+                e = e.parent.stop
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(html, at)
             at = end.end() if end else len(html)
         elif tag != "hr" and not (tag in HIDDEN and attributes.endswith("/")):
             here = _Element(tag, here, attributes)
+            every.append(here)
+            opened[tag] = opened.get(tag, 0) + 1
     flush()
+    _settle(every)
     return out
 
 
+def _settle(every: list[_Element]) -> None:
+    """Hand evidence down, parents first: the worst against and the best for content among an element and those it is in.
+
+    What holds the page's main element, or an article that isn't apart itself, isn't judged by its name.
+    """
+    apart: dict[int, bool] = {}
+    for e in every:
+        apart[id(e)] = e.named < 0 or e.low < 0 or bool(e.parent and apart[id(e.parent)] and e.tag != "main")
+        if e.tag == "main" or (e.tag == "article" and e.named == 0):
+            up = e.parent
+            if e.tag == "article":  # comments are articles too: those in something apart by name don't count
+                x = up
+                while x is not None and x.named == 0 and not x.holds:
+                    x = x.parent
+                if x is not None and x.named < NAME_ASIDE and not x.holds:
+                    continue
+            while up is not None and not up.holds:
+                up.holds = True
+                up = up.parent
+    for e in every:
+        if not e.holds:
+            e.low = min(e.low, e.named)
+        if e.parent:  # what speaks against an element ends what its surroundings say for it
+            e.low, e.high = min(e.low, e.parent.low), max(e.high, e.parent.high if e.low == 0 else 0.0)
+
+
 def log_odds(text: str, element: _Element, linked: int) -> float:
     words = text.count(" ") + 1
-    z = BIAS + element.score + PER_LOG_WORD * np.log1p(words) + LINKS * min(1.0, linked / len(text))
+    z = BIAS + PER_LOG_WORD * np.log1p(words) + LINKS * min(1.0, linked / len(text))
     if text[-1] in ".!?…:;\"'”»)":
         z += SENTENCE
     if "©" in text or "copyright" in text.lower():
         z += RIGHTS
-    return float(z)
+    if element.tag in ("h1", "h2", "h3"):
+        z += SENTENCE
+    return float(np.clip(z, -MOST, MOST)) + element.low + element.high
 
 
 def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Labels (True: content) of least cost: |odds| of nodes labelled against their odds, plus cut edges.
 
     A node whose odds outweigh all its edges keeps its own label in some minimum cut; such nodes go
-    first, handing their edges to their neighbours as odds.  Max-flow by shortest augmenting paths
-    settles what is left.
+    first, handing their edges to their neighbours as odds.  Max-flow by blocking flows on level
+    graphs settles what is left.
     """
     n = len(odds)
     odds = list(odds)
@@ -157,53 +234,94 @@ def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool
     for a, b, w in edges:
         near[a][b] = near[a].get(b, 0.0) + w
         near[b][a] = near[b].get(a, 0.0) + w
+    tied = [sum(x.values()) for x in near]
     label: list[bool | None] = [None] * n
     todo = deque(range(n))
     while todo:
         i = todo.popleft()
-        if label[i] is None and abs(odds[i]) >= sum(near[i].values()):
+        if label[i] is None and abs(odds[i]) >= tied[i] - 1e-9:
             label[i] = odds[i] > 0
             for j, w in near[i].items():
                 odds[j] += w if label[i] else -w
+                tied[j] -= w
                 del near[j][i]
                 todo.append(j)
             near[i] = {}
     rest = [i for i in range(n) if label[i] is None]
     if rest:
-        s, t = n, n + 1
-        cap: dict[int, dict[int, float]] = {i: dict(near[i]) for i in rest}
-        cap[s], cap[t] = {}, {}
+        source = _flow(rest, odds, near)
         for i in rest:
-            if odds[i] > 0:
-                cap[s][i], cap[i][s] = odds[i], 0.0
-            else:
-                cap[i][t], cap[t][i] = -odds[i], 0.0
+            label[i] = i in source
+    return [bool(x) for x in label]
+
+
+def _flow(rest: list[int], odds: list[float], near: list[dict[int, float]]) -> set[int]:
+    """Nodes on the source's side of a minimum cut; terminals have odds as capacities."""
+    s, t = -1, -2
+    to: list[int] = []
+    cap: list[float] = []
+    arcs: dict[int, list[int]] = {i: [] for i in (*rest, s, t)}
+
+    def arc(a: int, b: int, forth: float, back: float) -> None:
+        arcs[a].append(len(to))
+        to.append(b)
+        cap.append(forth)
+        arcs[b].append(len(to))
+        to.append(a)
+        cap.append(back)
+
+    for i in rest:
+        if odds[i] > 0:
+            arc(s, i, odds[i], 0.0)
+        elif odds[i] < 0:
+            arc(i, t, -odds[i], 0.0)
+        for j, w in near[i].items():
+            if i < j:
+                arc(i, j, w, w)
+    while True:
+        level = {s: 0}
+        queue = deque([s])
+        while queue:
+            i = queue.popleft()
+            for x in arcs[i]:
+                if cap[x] > 1e-9 and to[x] not in level:
+                    level[to[x]] = level[i] + 1
+                    queue.append(to[x])
+        if t not in level:
+            return set(level)
+        turn = dict.fromkeys(level, 0)
+        path: list[int] = []
         while True:
-            back = {s: s}
-            queue = deque([s])
-            while queue and t not in back:
-                i = queue.popleft()
-                for j, c in cap[i].items():
-                    if c > 1e-9 and j not in back:
-                        back[j] = i
-                        queue.append(j)
-            if t not in back:
+            i = to[path[-1]] if path else s
+            if i == t:
+                flow = min(cap[x] for x in path)
+                first = 0
+                for k, x in enumerate(path):
+                    cap[x] -= flow
+                    cap[x ^ 1] += flow
+                for k, x in enumerate(path):
+                    if cap[x] <= 1e-9:
+                        first = k
+                        break
+                del path[first:]
+                continue
+            own = arcs[i]
+            while turn[i] < len(own):
+                x = own[turn[i]]
+                if cap[x] > 1e-9 and level.get(to[x], -1) == level[i] + 1:
+                    break
+                turn[i] += 1
+            if turn[i] < len(own):
+                path.append(own[turn[i]])
+            elif path:
+                path.pop()
+                turn[to[path[-1]] if path else s] += 1
+            else:
                 break
-            path, j = [], t
-            while j != s:
-                path.append((back[j], j))
-                j = back[j]
-            flow = min(cap[i][j] for i, j in path)
-            for i, j in path:
-                cap[i][j] -= flow
-                cap[j][i] += flow
-        for i in rest:
-            label[i] = i in back
-    return [bool(x) for x in label]
 
 
-def main_text(html: str) -> str:
-    """Content blocks of a page, joined by line ends."""
+def labelled(html: str) -> list[tuple[str, float, bool]]:
+    """(text, own log-odds, label of the cut) of the blocks of a page."""
     found = blocks(html)
     odds = [log_odds(*b) for b in found]
     edges = []
@@ -222,8 +340,12 @@ def main_text(html: str) -> str:
             if not fresh:
                 break
             node, up = up.node, up.parent
-    label = min_cut(odds, edges)
-    return "\n".join(b[0] for b, keep in zip(found, label) if keep)
+    return [(b[0], z, keep) for b, z, keep in zip(found, odds, min_cut(odds, edges))]
+
+
+def main_text(html: str) -> str:
+    """Content blocks of a page, joined by line ends."""
+    return "\n".join(text for text, _, keep in labelled(html) if keep)
 
 
 def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
