@@ -1,11 +1,14 @@
 """Quality rules with adaptive thresholds (DataFrame functions only).
 
 Measures of each text: words, characters in words, symbols, repeated lines, words in repeated
-windows.  Their rates go into mergeable quantile sketches per language and source; sketches of
-groups under ``MIN_GROUP`` documents give way to the merged ones of their language, then of all.
-Outer fences (the ``TAIL`` quantiles plus ``REACH`` times their distance from the median, a least spread
-and rounding outwards to 1/20, so sketch noise doesn't move verdicts) are joined back and decide, beside
-a base rule.  Where a tail quantile is 0 too, the least spread decides; at ``TAIL``, junk of up to a tenth of a group doesn't move its own fence.
+windows.  Their rates go into quantile sketches per language and source: counts in cells whose
+bounds grow by a fixed factor, so a quantile is within ``ERROR`` of the true one in proportion, sketches merge
+by adding counts, and the result doesn't depend on how rows are dealt out.  A group's quantiles are drawn
+towards its language's, and those towards the corpus', as by ``PRIOR`` further documents, so small groups have thresholds of
+their own without resting on a few documents.
+Outer fences (the ``TAIL`` quantiles plus ``REACH`` times their distance from the median, and a least spread) are
+joined back and decide, beside a base rule.  Where a tail quantile is 0, the least spread decides; at ``TAIL``,
+junk of up to a tenth of a group doesn't move its own fence.
 
 Edge cases: null texts count as empty (0 words, base_failed); null languages and sources are
 groups of their own; repeated rows each count; other columns pass through whatever their names.
@@ -13,14 +16,19 @@ groups of their own; repeated rows each count; other columns pass through whatev
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small, stored
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-MIN_GROUP = 200
+ERROR, PRIOR = 0.01, 50
+STEP = math.log((1 + ERROR) / (1 - ERROR))
+#: The cell of 0.
+NOTHING = -1_000_000
 REACH = 3.0
 TAIL = 0.9
 #: rate -> (expression over the measures ``_q``, least spread added to the fence, has a lower fence)
@@ -76,28 +84,43 @@ def _rate(name: str) -> Column:
     return F.col(f"_q.{top}") / F.greatest(F.col(f"_q.{bottom}"), F.lit(1)).cast("double")
 
 
+def _cell(x: Column) -> Column:
+    """Cell of a rate: 0 has one of its own, the others end at powers of ``(1 + ERROR) / (1 - ERROR)``."""
+    return F.when(x > 0, F.ceil(F.ln(x) / F.lit(STEP)).cast("int")).otherwise(F.lit(NOTHING))
+
+
+def _quantiles(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rate, n, lo, mid, hi) of each group's sketch, rows (keys, rate, cell, n)."""
+    up = Window.partitionBy(*keys, "rate").orderBy("cell")  # a group has some hundred cells
+    whole = cells.withColumns({"up": F.sum("n").over(up), "all": F.sum("n").over(Window.partitionBy(*keys, "rate"))})
+    value = F.when(F.col("cell") == NOTHING, F.lit(0.0)).otherwise(F.exp(F.col("cell") * F.lit(STEP)) * (1 - ERROR))
+    at = lambda q: F.min(F.when(F.col("up") * 100 >= F.col("all") * round(100 * q), value))
+    return whole.groupBy(*keys, "rate").agg(F.sum("n").alias("n"), at(1 - TAIL).alias("lo"), at(0.5).alias("mid"), at(TAIL).alias("hi"))
+
+
 def fences(df: DataFrame, lang_col: str, source_col: str) -> DataFrame:
-    """(lang, source, lo_*, hi_*): fences of each language and source, from merged sketches."""
-    base = df.where("_q.n_words > 0").select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), *[_rate(r).alias(r) for r in RATES])
-    leaf = stored(base.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(r, 400).alias(r) for r in RATES]), "sketches")
-    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(r).alias(r) for r in RATES]]
-    by_lang, whole = leaf.groupBy("lang").agg(*merged), leaf.agg(*merged)
-    at = lambda df, s: df.select(*(c for c in df.columns if c in ("lang", "source")), F.col("n").alias(f"n{s}"), *[F.col(r).alias(f"{r}{s}") for r in RATES])
-    l1, l2 = at(by_lang, 1).withColumnRenamed("lang", "lang1"), at(whole, 2)
-    joined = leaf.join(l1, F.col("lang").eqNullSafe(F.col("lang1"))).crossJoin(F.broadcast(l2))  # l2 is one row
-    pick = lambda r: F.when(F.col("n") >= MIN_GROUP, F.col(r)).when(F.col("n1") >= MIN_GROUP, F.col(f"{r}1")).otherwise(F.col(f"{r}2"))
-    joined = joined.select("lang", "source", *[F.kll_sketch_get_quantile_double(pick(r), F.array(F.lit(1 - TAIL), F.lit(0.5), F.lit(TAIL))).alias(r) for r in RATES])
-    out = []
+    """(lang, source, lo_*, hi_*): fences of each language and source."""
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rate"), _cell(_rate(r)).alias("cell")) for r in RATES])).alias("x")
+    base = df.where("_q.n_words > 0").select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), each).select("lang", "source", "x.*")
+    leaf = stored(base.groupBy("lang", "source", "rate", "cell").agg(F.count(F.lit(1)).alias("n")), "sketches")
+    merged = lambda *keys: _quantiles(leaf.groupBy(*keys, "rate", "cell").agg(F.sum("n").alias("n")), list(keys))
+    named = lambda df, k: df.select(*[F.col(c).alias(f"{c}{k}") for c in df.columns])
+    one, two = named(merged("lang"), 1), named(merged(), 2)  # two has a row a rate
+    out = _quantiles(leaf, ["lang", "source"]).join(one, F.col("lang").eqNullSafe(F.col("lang1")) & (F.col("rate") == F.col("rate1"))).join(F.broadcast(two), F.col("rate") == F.col("rate2"))
+    for q in ("lo", "mid", "hi"):
+        above = (F.col("n1") * F.col(f"{q}1") + PRIOR * F.col(f"{q}2")) / (F.col("n1") + PRIOR)
+        out = out.withColumn(q, (F.col("n") * F.col(q) + PRIOR * above) / (F.col("n") + PRIOR))
+    cut = []
     for r, (_, slack, lower) in RATES.items():
-        lo, mid, hi = (F.col(r)[i] for i in range(3))
-        out.append((F.ceil(F.round((hi + REACH * (hi - mid) + slack) * 20, 9)) / 20).alias(f"hi_{r}"))
-        out.append((F.floor(F.round((lo - REACH * (mid - lo) - slack) * 20, 9)) / 20 if lower else F.lit(None).cast("double")).alias(f"lo_{r}"))
-    return joined.select("lang", "source", *out)
+        hi = F.col("hi") + REACH * (F.col("hi") - F.col("mid")) + slack
+        lo = F.col("lo") - REACH * (F.col("mid") - F.col("lo")) - slack if lower else F.lit(None).cast("double")
+        cut += [F.max(F.when(F.col("rate") == r, hi)).alias(f"hi_{r}"), F.max(F.when(F.col("rate") == r, lo)).alias(f"lo_{r}")]
+    return out.groupBy("lang", "source").agg(*cut)
 
 
 def judged(df: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """``df`` (with ``_q``, best a stored table as it is read twice) with ``_base_failed`` and ``_kept``."""
-    cut = fences(df, lang_col, source_col)
+    cut = small(stored(fences(df, lang_col, source_col), "fences"))
     cut = cut.select(F.struct(*cut.columns).alias("_cut"))
     failed = F.expr("_q.n_words < 20 or 100 * _q.n_repeat_words > 30 * _q.n_words")
     outside = F.lit(False)
