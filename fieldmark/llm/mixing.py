@@ -7,7 +7,7 @@ whose hash lies under a threshold are taken once more.  The threshold comes from
 by source and leading hash bits; only the bucket where the budget runs out is refined by the next
 bits, until it holds one hash, which goes in if that brings the source nearer to its target.
 
-Edge cases: null texts have size 0; null sources are one source, the last; null ids hash as null;
+Edge cases: null texts have size 0; null sources are one source, the last; null ids hash as empty;
 rows with equal id and text share a hash and are taken alike; an empty table gives an empty one.
 """
 
@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 BITS, LEVEL = 60, 12
@@ -73,15 +73,16 @@ def mix(df: DataFrame, keep: Sequence[str] | None = None, id_col: str = "doc_id"
     ``copies`` is how often the mix takes the row, ``taken`` its size times that.
     """
     size: Column = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sha = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
-    rows = df.select(*(keep if keep is not None else df.columns), F.struct(F.col(source_col).alias("source"), size.alias("size"), F.shiftrightunsigned(sha, 64 - BITS).alias("hash")).alias("_m"))
+    named = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\n"), F.coalesce(text_col, F.lit("")))
+    sha = F.conv(F.substring(F.md5(named), 1, BITS // 4), 16, 10).cast("long")
+    rows = df.select(*(keep if keep is not None else df.columns), F.struct(F.col(source_col).alias("source"), size.alias("size"), sha.alias("hash")).alias("_m"))
     rows = stored(rows, "sizes")
     sizes = rows.select("_m.*")
     src = targets(sizes, weights, cap)
     fits = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(cap))).otherwise(F.lit(0)).cast("long")
     src = src.withColumn("fits", fits).withColumn("rest", F.when(F.col("fits") < cap, F.col("target") - F.col("fits") * F.col("source_size")).otherwise(0.0))
-    src = _thresholds(sizes, src)
-    src = src.select(F.struct(*src.columns).alias("_src"))
+    src = stored(_thresholds(sizes, src), "thresholds")
+    src = small(src).select(F.struct(*src.columns).alias("_src"))
     copies = F.col("_src.fits") + F.coalesce((F.col("_m.hash") < F.col("_src.below")).cast("long"), F.lit(0))
     out = F.struct(F.col("_m.size").alias("size"), F.col("_src.source_size").alias("source_size"), F.col("_src.target").alias("target"), copies.alias("copies"), (copies * F.col("_m.size")).alias("taken"))
     return rows.join(src, F.col("_m.source").eqNullSafe(F.col("_src.source"))).withColumn("_mix", out).drop("_m", "_src")
