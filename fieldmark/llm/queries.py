@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import mixing, pii, quality, url_filter
 from .ann import nearest
 from .bpe import encode_decode
@@ -60,7 +58,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.to_date(F.lit("2024-01-01"))
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(start, F.pmod("page_id", F.lit(366)).cast("int")).alias("fetched_at"))
     hosts = pages.select(url_filter.host_of(F.col("url")).alias("host")).where("host is not null").distinct()
-    both = hosts.unionByName(hosts.where("host like '%.%.%'").select(F.regexp_replace("host", r"^[^.]*\.", "").alias("host"))).distinct()
+    both = hosts.unionByName(hosts.where(F.col("host").like("%.%.%") & ~F.col("host").rlike(url_filter.ADDRESS)).select(F.regexp_replace("host", r"^[^.]*\.", "").alias("host"))).distinct()
     both = both.withColumn("h", F.conv(F.substring(F.md5("host"), 1, 8), 16, 10).cast("long")).where("h % 3 = 0")
     entry = lambda action, day: F.struct(F.lit(action).alias("action"), F.date_add(start, day.cast("int")).alias("listed_at"))
     day = F.col("h") % 200
@@ -92,15 +90,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ann, op2_html_extract, op3_bpe_encode_decode, op4_lm_score, op5_pii, op6_url_filter, op7_quality_rules,
-        op8_mixing, op9_substring_dedup, op10_minhash, pipeline,
+        op8_mixing, op9_substring_dedup, op10_minhash,
     )
 }
 
@@ -109,11 +103,11 @@ ORACLES: dict[str, str] = {}
 ORACLES["op6_url_filter"] = r"""
 WITH p AS (
   SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(((page_id % 366) + 366) % 366 AS INTEGER) AS DATE) AS fetched_at,
-         nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.+$', ''), '') AS host
+         nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]]+)', 1)), '\.+$', ''), '') AS host
   FROM pages),
 d AS (
   SELECT host FROM p WHERE host IS NOT NULL
-  UNION SELECT regexp_replace(host, '^[^.]*\.', '') FROM p WHERE host LIKE '%.%.%'),
+  UNION SELECT regexp_replace(host, '^[^.]*\.', '') FROM p WHERE host LIKE '%.%.%' AND NOT regexp_matches(host, '^(\[.*|[0-9.]+)$')),
 h AS (SELECT host AS domain, CAST('0x' || substr(md5(host), 1, 8) AS BIGINT) AS h FROM d),
 e AS (
   SELECT domain, 'block' AS action, CAST(DATE '2024-01-01' + CAST(h % 200 AS INTEGER) AS DATE) AS since FROM h WHERE h % 3 = 0
@@ -123,7 +117,7 @@ i AS (SELECT *, lead(since) OVER (PARTITION BY domain ORDER BY since) AS until F
 m AS (
   SELECT p.page_id, i.domain, i.action, i.since,
          row_number() OVER (PARTITION BY p.page_id ORDER BY length(i.domain) DESC) AS k
-  FROM p JOIN i ON (p.host = i.domain OR p.host LIKE '%.' || i.domain)
+  FROM p JOIN i ON (p.host = i.domain OR (p.host LIKE '%.' || i.domain AND NOT regexp_matches(p.host, '^(\[.*|[0-9.]+)$')))
    AND contains(i.domain, '.') AND i.since <= p.fetched_at AND (i.until IS NULL OR p.fetched_at < i.until))
 SELECT p.page_id, p.url, p.fetched_at, p.host, m.domain AS matched, m.action, m.since, coalesce(m.action <> 'block', true) AS kept
 FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.k = 1
@@ -138,3 +132,97 @@ g AS (SELECT r, i, word, max(CAST(c.k IS NOT NULL AS INT)) OVER (PARTITION BY r
 s AS (SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM g GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (r)
 """
+
+ORACLES["op7_quality_rules"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents),
+w AS (SELECT r, len(ws) AS n, unnest(range(1, len(ws) + 1)) AS i, ws FROM d),
+k AS (SELECT r, i, CASE WHEN i + 7 <= n THEN array_to_string(ws[i:i + 7], ' ') END AS k FROM w),
+c AS (SELECT r, k FROM k WHERE k IS NOT NULL GROUP BY r, k HAVING count(*) > 1),
+g AS (
+  SELECT r, max(CAST(c.k IS NOT NULL AS INT)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS again
+  FROM k LEFT JOIN c USING (r, k)),
+s AS (SELECT r, sum(again) AS n_repeat_words FROM g GROUP BY r),
+m AS (
+  SELECT r, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(ls) AS BIGINT) AS n_lines,
+         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN s USING (r)),
+x AS (
+  SELECT r, lang, source, unnest([
+           {'rate': 'symbols', 'x': CAST(n_symbols AS DOUBLE) / greatest(n_words, 1), 'slack': 0.1},
+           {'rate': 'word_length', 'x': CAST(word_chars AS DOUBLE) / greatest(n_words, 1), 'slack': 2.0},
+           {'rate': 'dup_lines', 'x': CAST(n_dup_lines AS DOUBLE) / greatest(n_lines, 1), 'slack': 0.2},
+           {'rate': 'repeats', 'x': CAST(n_repeat_words AS DOUBLE) / greatest(n_words, 1), 'slack': 0.1}], recursive := true)
+  FROM m WHERE n_words > 0),
+v AS (SELECT *, CASE WHEN x > 0 THEN exp(ceil(ln(x) / ln(1.01 / 0.99)) * ln(1.01 / 0.99)) * 0.99 ELSE 0.0 END AS v FROM x),
+q AS (
+  SELECT CASE WHEN grouping(source) = 0 THEN 2 WHEN grouping(lang) = 0 THEN 1 ELSE 0 END AS level, lang, source, rate, any_value(slack) AS slack, count(*) AS n,
+         quantile_disc(v, 0.1) AS lo, quantile_disc(v, 0.5) AS mid, quantile_disc(v, 0.9) AS hi
+  FROM v GROUP BY GROUPING SETS ((lang, source, rate), (lang, rate), (rate))),
+f AS (
+  SELECT a.lang, a.source, a.rate, a.slack,
+         (a.n * a.lo + 50 * (b.n * b.lo + 50 * c.lo) / (b.n + 50)) / (a.n + 50) AS lo,
+         (a.n * a.mid + 50 * (b.n * b.mid + 50 * c.mid) / (b.n + 50)) / (a.n + 50) AS mid,
+         (a.n * a.hi + 50 * (b.n * b.hi + 50 * c.hi) / (b.n + 50)) / (a.n + 50) AS hi
+  FROM q a JOIN q b ON a.rate = b.rate AND a.lang IS NOT DISTINCT FROM b.lang AND b.level = 1 JOIN q c ON a.rate = c.rate AND c.level = 0
+  WHERE a.level = 2),
+o AS (
+  SELECT r FROM x JOIN f ON x.rate = f.rate AND x.lang IS NOT DISTINCT FROM f.lang AND x.source IS NOT DISTINCT FROM f.source
+  WHERE x.x > hi + 3 * (hi - mid) + f.slack OR (x.rate = 'word_length' AND x.x < lo - 3 * (mid - lo) - f.slack) GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND o.r IS NULL AS kept
+FROM m LEFT JOIN o USING (r)
+"""
+
+ORACLES["op8_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(10) || coalesce(text, '')), 1, 15) AS BIGINT) AS hash
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 3.0::DOUBLE * sum(size) AS top,
+         CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w
+  FROM d GROUP BY source),
+l AS (
+  SELECT *, row_number() OVER (ORDER BY top / w, source NULLS LAST) AS k,
+         (sum(source_size) OVER () - coalesce(sum(top) OVER (ORDER BY top / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY top / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+  FROM s),
+t AS (SELECT source, source_size, least(top, w * (SELECT arg_min(level, k) FROM l WHERE top / w >= level)) AS target FROM l),
+u AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target / source_size) AS BIGINT), 3) ELSE 0 END AS fits FROM t),
+r AS (SELECT *, CASE WHEN fits < 3 THEN target - fits * source_size ELSE 0.0 END AS rest FROM u),
+h AS (
+  SELECT d.source, hash, rest, sum(sum(size)) OVER (PARTITION BY d.source ORDER BY hash) AS up, sum(sum(size)) OVER (PARTITION BY d.source ORDER BY hash) - sum(size) AS before
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source WHERE rest > 0 GROUP BY d.source, hash, rest),
+e AS (SELECT source, max(hash) AS last FROM h WHERE before < rest AND (up <= rest OR up - rest <= rest - before) GROUP BY source)
+SELECT d.doc_id, d.size, r.source_size, r.target, CAST(d.size * (fits + CASE WHEN d.hash <= e.last THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source
+"""
+
+ORACLES["op10_minhash"] = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(ws[i:i + 2], ' ') AS s FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 2, least(len(ws), 1)) + 1)) AS i FROM d)),
+n AS (SELECT r, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS c FROM s GROUP BY r),
+c AS (SELECT c, min(r) AS r, any_value(n) AS n FROM n GROUP BY c),
+i AS (SELECT x.r AS a, y.r AS b, count(*) AS both FROM s x JOIN s y ON x.s = y.s AND x.r < y.r WHERE x.r IN (SELECT r FROM c) AND y.r IN (SELECT r FROM c) GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN c p ON p.r = a JOIN c q ON q.r = b WHERE 100 * both >= 85 * (p.n + q.n - both)),
+t AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT r, r FROM c),
+g(a, b) AS (SELECT a, b FROM t UNION SELECT g.a, t.b FROM g JOIN t ON g.b = t.a),
+k AS (SELECT a, min(b) AS k FROM g GROUP BY a),
+m AS (SELECT n.r, n.n, k.k FROM n JOIN c USING (c) JOIN k ON k.a = c.r),
+f AS (SELECT k, min(doc_id) AS first FROM m JOIN d USING (r) GROUP BY k)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(first, doc_id) AS component_id, doc_id = coalesce(first, doc_id) AS kept
+FROM d LEFT JOIN m USING (r) LEFT JOIN f USING (k)
+"""

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from fieldmark.llm import ann, bpe, graph, html_extract, lm_score, minhash, mixing, pii, quality, substring_dedup, url_filter
 from fieldmark.llm.common import stored
+from fieldmark.llm.words import windows as windows_of
+from fieldmark.llm.words import words as words_of
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 rng = random.Random(5)
@@ -218,29 +220,96 @@ def test_pii_base_spans(spark):
         assert [(s["kind"], s["at"], s["to"]) for s in got[i] if s["kind"] != "term"] == want, t
 
 
-def test_pii_revealing_terms(spark):
-    rows = [(i, f"note {i} from Quartermain reach q@x.org now and text number {i * 7}") for i in range(6)]
-    rows += [(100 + i, f"reach me now and then from here text {i}") for i in range(60)]
+def brute_terms(texts):
+    """Terms over the disclosure threshold, counted by document."""
+    words_, ents = [], []
+    for t in texts:
+        words_.append(set(re.findall(pii.WORD, (t or "").lower())))
+        hits = [(k, m.group()) for k, p in PII.items() for m in re.finditer(p, t or "") if valid(k, m.group())]
+        ents.append({(k, re.sub("[^0-9]", "", h) if k in ("card", "phone") else h.lower()) for k, h in hits})
+    n, out = len(texts), set()
+    n_t, n_e = Counter(w for ws in words_ for w in ws), Counter(e for es in ents for e in es)
+    n_te, support = Counter(), defaultdict(set)
+    for t, ws, es in zip(texts, words_, ents):
+        for w in ws:
+            for e in es:
+                n_te[w, e] += 1
+                support[w, e].add(t)
+    for (w, e), c in n_te.items():
+        if len(support[w, e]) >= pii.SUPPORT and c / n_t[w] >= pii.SHARE and math.log2(c / n_t[w] / (n_e[e] / n)) >= pii.BITS_OVER:
+            out.add(w)
+    return out
+
+
+@pytest.mark.parametrize("doubled", [False, True])
+def test_pii_revealing_terms(spark, doubled):
+    rows = [(i, f"Note {i} from Quartermain reach q@x.org now and text number {i * 7}") for i in range(6)]
+    rows += [(20 + i, f"far Ostrander {'y' * 150}{i} a b c d e f g h {' ' * 150} +1 (555) 123-4567 z{i % 2}") for i in range(4)] + [(30, "note that Ostrander has no number here")]
+    rows += [(40 + i, "the same text 1.2.3.4 again and Samesake") for i in range(5)]
+    rows += [(100 + i, f"reach me now and then from here text number {i} a b c d e f g h") for i in range(90)] + [(300, None), (301, "")]
+    rows = rows + rows if doubled else rows
     df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_terms([t for _, t in rows])
+    assert {"quartermain", "far"} <= want and not {"reach", "samesake", "ostrander", "a"} & want
     out = pii.sanitised(df)
-    terms = {(r["doc_id"], s["hit"]) for r in out.collect() for s in r["_spans"] if s["kind"] == "term"}
-    assert terms == {(i, "quartermain") for i in range(6)}
+    got = {(r["doc_id"], s["hit"], s["at"], s["to"]) for r in out.collect() for s in r["_spans"] if s["kind"] == "term"}
+    base = {i: [(m.start(), m.end()) for k, p in PII.items() for m in re.finditer(p, t or "") if valid(k, m.group())] for i, t in rows}
+    assert got == {(i, m.group().lower(), m.start(), m.end()) for i, t in rows for m in re.finditer(pii.WORD, t or "") if m.group().lower() in want and not any(x < m.end() and m.start() < y for x, y in base[i])}
     texts = dict(rows_of(pii.redacted(out), "doc_id", "text"))
-    assert texts[3] == "note 3 from [TERM] reach [EMAIL] now and text number 21" and texts[101] == rows[7][1]
+    assert texts[3] == "Note 3 from [TERM] reach [EMAIL] now and text number 21" and texts[101] == "reach me now and then from here text number 1 a b c d e f g h" and texts[300] is None and texts[301] == ""
 
 
-def test_pii_terms_of_whole_texts(spark):
-    """Terms beyond any stretch of characters, counted by document, and removed at every place."""
-    far, long = " " * 150, "y" * 150
-    rows = [(i, f"Quartermain again: a{i} b{i} c{i} d{i} {far} Quartermain {long}{i} q@x.org z{i}") for i in range(19)]
-    rows += [(50, "only Quartermain without an address"), (51, "Ostrander writes o@x.org"), (52, "Ostrander says that we reach them at o@x.org"), (53, "o@x.org and then by phone Ostrander")]
-    rows += [(100 + i, f"reach me now and then from here text {i}") for i in range(200)]
-    out = pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = {r["doc_id"]: [(s["hit"], s["at"]) for s in r["_spans"] if s["kind"] == "term"] for r in out.collect()}
-    for i, t in rows:
-        want = [(m.group().lower(), m.start()) for m in re.finditer("Quartermain|Ostrander", t)]
-        assert [x for x in got[i] if x[0] in ("quartermain", "ostrander")] == want, t
-    assert not any(got[i] for i, _ in rows if i >= 100)
+def test_pii_redacts_overlaps_and_many_spans_in_time(spark):
+    import time
+
+    many = " ".join(f"u{i}@x{i}.org {i}" for i in range(20_000))
+    df = spark.createDataFrame([(1, "call 4111 1111 1111 1111 now"), (2, many), (3, "a@b.c1.2.3.4")], "doc_id long, text string")
+    began = time.time()
+    got = dict(rows_of(pii.redacted(pii.sanitised(df)), "doc_id", "text"))
+    assert got[2].split(" ") == [x for i in range(20_000) for x in ("[EMAIL]", str(i))] and time.time() - began < 120
+    assert got[1] == "call [CARD] now" and got[3] == "[EMAIL]"
+
+
+def brute_kept(rows):
+    """Verdicts from log-cell quantiles per language and source, drawn towards the language's and the corpus'."""
+    step, rates = math.log(1.01 / 0.99), {}
+    for i, t, lang, source in rows:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", t or "") if x]
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        c = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        flag = [0] * len(w)
+        for k in range(len(w) - 7):
+            if c[tuple(w[k : k + 8])] > 1:
+                flag[k : k + 8] = [1] * 8
+        rates[i] = (lang, source, len(w), sum(flag), [sum(ch in "#*$%&|<>" for ch in t or "") / max(len(w), 1), sum(map(len, w)) / max(len(w), 1), (len(lines) - len(set(lines))) / max(len(lines), 1), sum(flag) / max(len(w), 1)])
+    cells = lambda ok, k: sorted(0.0 if x[4][k] == 0 else math.exp(math.ceil(math.log(x[4][k]) / step) * step) * 0.99 for x in rates.values() if x[2] and ok(x))
+    out = {}
+    for i, x in rates.items():
+        bad = x[2] < 20 or 100 * x[3] > 30 * x[2]
+        for k, (slack, lower) in enumerate([(0.1, 0), (2.0, 1), (0.2, 0), (0.1, 0)]):
+            if not x[2]:
+                continue
+            own, lang, every = cells(lambda y: y[:2] == x[:2], k), cells(lambda y: y[0] == x[0], k), cells(lambda y: True, k)
+            at = lambda v, q: v[-(-len(v) * q // 100) - 1]
+            mixed = [(len(own) * at(own, q) + 50 * (len(lang) * at(lang, q) + 50 * at(every, q)) / (len(lang) + 50)) / (len(own) + 50) for q in (10, 50, 90)]
+            bad |= x[4][k] > mixed[2] + 3 * (mixed[2] - mixed[1]) + slack or (lower and x[4][k] < mixed[0] - 3 * (mixed[1] - mixed[0]) - slack)
+        out[i] = not bad
+    return out
+
+
+def test_quality_kept_by_brute_force(spark):
+    r = random.Random(17)
+    rows = []
+    for i in range(260):
+        w = [r.choice(VOCAB) + "#" * (r.random() < r.choice([0, 0, 0.05, 0.4])) for _ in range(r.randint(0, 90))]
+        w = [x * r.choice([1, 1, 1, 4]) if i % 9 == 0 else x for x in w]
+        t = "\n".join(" ".join(w[k : k + 10]) for k in range(0, len(w), 10)) + ("\nsame line here" * (i % 6 if i % 5 == 0 else 0))
+        rows.append((i, t if i % 50 else None, r.choice(["en", "de", None]), r.choice(["a", "a", "a", "b", None])))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = brute_kept(rows)
+    for parts in (1, 7):
+        got = dict(rows_of(quality.judged(stored(quality.measured(df.repartition(parts)), "q")), "doc_id", "_kept"))
+        assert got == want and 0 < sum(want.values()) < 240
 
 
 def test_lm_score(docs):
@@ -334,13 +403,13 @@ def test_min_cut_is_minimal():
 
 
 def test_url_filter(spark):
-    caps = [(1, "https://a.b.com/x", "2024-02-01"), (2, "http://b.com.", "2024-01-01"), (3, "http://user@A.B.com:80/", "2024-03-05"), (4, None, "2024-02-01"), (5, "nonsense", "2024-02-01"), (6, "http://b.com/", None), (7, "http://zb.com/", "2024-02-01"), (1, "https://a.b.com/x", "2024-02-01")]
-    lists = [("b.com", "block", "2024-01-15"), ("b.com", "allow", "2024-03-01"), ("a.b.com", "block", "2024-03-05"), ("a.b.com", "allow", "2024-03-05"), (None, "block", "2024-01-01"), ("c.com", None, None)]
+    caps = [(1, "https://a.b.com/x", "2024-02-01"), (2, "http://b.com.", "2024-01-01"), (3, "http://user@A.B.com:80/", "2024-03-05"), (4, None, "2024-02-01"), (5, "nonsense", "2024-02-01"), (6, "http://b.com/", None), (7, "http://zb.com/", "2024-02-01"), (1, "https://a.b.com/x", "2024-02-01"), (8, "http://[2001:DB8::1]:80/x", "2024-02-01"), (9, "http://1.2.3.4/", "2024-02-01"), (10, "http://u@v@5.6.7.8:9", "2024-02-01"), (11, "http://d.com", "2024-02-01")]
+    lists = [("3.4", "block", "2024-01-01"), ("[2001:db8::1]", "block", "2024-01-01"), ("5.6.7.8", "block", "2024-01-01"), ("d.com", "block", "2024-01-01"), ("d.com", "watch", "2024-01-01"), ("b.com", "block", "2024-01-15"), ("b.com", "allow", "2024-03-01"), ("a.b.com", "block", "2024-03-05"), ("a.b.com", "allow", "2024-03-05"), (None, "block", "2024-01-01"), ("c.com", None, None)]
     c = spark.createDataFrame(caps, "page_id long, url string, d string").withColumn("fetched_at", F.to_date("d")).withColumn("host", F.lit("clash"))
     e = spark.createDataFrame(lists, "domain string, action string, d string").select("domain", "action", F.to_date("d").alias("listed_at"))
     out = url_filter.judged(c, e)
     got = {r[0]: (r[1], r[2]) for r in rows_of(out, "page_id", "_verdict.matched", "_verdict.kept")}
-    assert got == {1: ("b.com", False), 2: (None, True), 3: ("a.b.com", False), 4: (None, True), 5: (None, True), 6: (None, True), 7: (None, True)}
+    assert got == {1: ("b.com", False), 2: (None, True), 3: ("a.b.com", False), 4: (None, True), 5: (None, True), 6: (None, True), 7: (None, True), 8: ("[2001:db8::1]", False), 9: (None, True), 10: ("5.6.7.8", False), 11: ("d.com", False)}
     assert out.count() == len(caps) and "host" in out.columns and url_filter.judged(c.limit(0), e).count() == 0 and url_filter.judged(c, e.limit(0)).where("not _verdict.kept").count() == 0
 
 
@@ -382,3 +451,119 @@ def test_pipeline_stages(spark, docs):
     assert mixed.columns == d.columns
     t = cp.tokens(spark, d, "")
     assert t.where("not round_trip").count() == 0 and t.count() == d.count()
+
+
+def _thue_morse(n, swap=False):
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+def test_words_that_collide_modulo_powers_of_two(spark):
+    """Sequences that any polynomial modulo 2^64 takes for equal, as words and as sequences of words."""
+    one, two = _thue_morse(1024), _thue_morse(1024, True)
+    tail = " ".join(f"t{i}" for i in range(40))
+    df = spark.createDataFrame([(1, one), (2, two), (3, one + " " + tail), (4, two + " " + tail)], "doc_id long, text string")
+    assert sorted(rows_of(minhash.near_duplicates(df), "component_id")) == [(1,), (2,), (3,), (3,)]
+    cut = spark.createDataFrame([(3, f"{one} " + " ".join(tail.split()[:34])), (4, f"{two} " + " ".join(tail.split()[:34]))], "doc_id long, text string")
+    assert rows_of(substring_dedup.remove_repeats(cut).groupBy().sum("n_removed"), "sum(n_removed)") == [(0,)]
+    spread = [" ".join(_thue_morse(2048, k)) for k in (False, True)]
+    assert len(set(lm_words(x) for x in spread)) == 2
+
+
+def lm_words(text):
+    w = words_of(pa.array([text]), wide=True)
+    return (windows_of(w.hash, w.first, 2048)[0][0], windows_of(w.wide, w.first, 2048)[0][0])
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(ann, "CELL", 900)
+    monkeypatch.setattr(ann, "CODE_BLOCK", 1500)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 40)
+
+
+def _recall(spark, x, k=5, every=50):
+    got = ann.nearest(spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>"), k=k, every=every).toPandas()
+    unit, hit, all_ = x / np.linalg.norm(x, axis=1, keepdims=True), 0, 0
+    for q in range(0, len(x), every):
+        s = unit @ unit[q]
+        s[q] = -9
+        mine = got[got.query_id == q].sort_values("rank")
+        assert len(mine) == k and mine["score"].to_numpy() == pytest.approx(s[mine["vec_id"].to_numpy()], abs=1e-12)
+        hit += (np.round(mine["score"].to_numpy(), 12) >= np.round(np.sort(s)[-k], 12)).sum()
+        all_ += k
+    return hit / all_
+
+
+def test_ann_recall_on_clusters_and_skewed_norms(spark, small_blocks):
+    """Over 10,000 vectors in several cells, blocks and query blocks: strangers, loose, close and very close clusters."""
+    r = np.random.default_rng(2)
+    x = [r.normal(size=(4000, 32))]
+    for spread, n in ((0.1, 2000), (0.01, 2000), (0.001, 2500)):
+        x += [r.normal(size=32) + spread * r.normal(size=(n // 2, 32)) for _ in range(2)]
+    x = np.concatenate(x) * np.exp(2 * r.normal(size=(10500, 1)))
+    assert _recall(spark, x[r.permutation(len(x))]) >= 0.95
+
+
+def test_ann_ties_are_all_scored(spark):
+    """Over 200 multiples of few directions: equal codes, of which the least ids must come out."""
+    r = np.random.default_rng(4)
+    way = r.normal(size=(3, 8))
+    rows = [(i, (2.0 ** (i % 50) * way[i % 3]).tolist()) for i in range(1200)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, every=100).toPandas()
+    for q in range(0, 1200, 100):
+        want = [i for i in range(q % 3, 40, 3) if i != q][:5]
+        assert sorted(got[got.query_id == q]["vec_id"]) == want
+
+
+def test_ann_extreme_sizes_and_clashing_columns(spark):
+    rows = [(i, [s * v for v in ([1.0, 2.0, 3.0] if i % 2 else [3.0, -1.0, 0.5])]) for i, s in enumerate([1e200, 1e-200, 1e-300, 1e300, 1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("id", "v", "c", "q", "cell", "rank", "score", "ids")})
+    got = ann.nearest(df, k=2, every=2).toPandas()
+    assert not got["score"].isna().any() and sorted(got[got.query_id == 0]["vec_id"]) == [2, 4] and got["score"].min() == pytest.approx(1)
+
+
+def _page(name, extra=""):
+    para = "<p>" + "Plain words of a paragraph that goes on for a while, as they do. " * 3 + "</p>"
+    return f'<body><nav><a href=x>Home</a> <a href=y>News</a></nav><div class="{name}">{para}{extra}{para}</div><div class="comments"><h3>Comments</h3>{para}{para}</div><footer>{para}</footer></body>', para
+
+
+@pytest.mark.parametrize("name", ["post-body no-sidebar", "content has-comments", "entry tags-travel", "article-share-wrapper", "plain", "pageWithSidebar"])
+def test_html_names_are_weighed(name):
+    page, para = _page(name)
+    assert html_extract.main_text(page).split("\n") == [para[3:-4].strip()] * 2
+
+
+def test_html_cut_changes_labels():
+    """A line that looks like boilerplate on its own stays between paragraphs, and a lone one goes."""
+    page, para = _page("plain", "<p>Indeed</p>")
+    assert [(z > 0, keep) for t, z, keep in html_extract.labelled(page) if t == "Indeed"] == [(False, True)]
+    assert html_extract.main_text(page).split("\n")[1] == "Indeed"
+
+
+def test_html_generated_pages():
+    """Main text known from the making: blocks in random wrappers, with boilerplate around and inside."""
+    r = random.Random(12)
+    say = lambda n: " ".join(r.choice(VOCAB) for _ in range(n)) + "."
+    for _ in range(60):
+        paras = [say(r.randint(12, 80)) for _ in range(r.randint(1, 12))]
+        inside = r.choice(["", f"<aside>{say(30)}</aside>", f'<div class="advert">{say(20)}</div>', f"<script>{say(9)}</script>", f'<div class="newsletter-signup"><p>{say(15)}</p></div>'])
+        body = "".join(f"<p>{p}</p>" + (inside if k == 0 else "") for k, p in enumerate(paras))
+        tag, name = r.choice([("article", "post"), ("main", ""), ("div", "entry-content"), ("div", "article-body"), ("section", "story no-ads")])
+        comments = "".join(f'<article class="comment-body"><p>{say(40)}</p></article>' for _ in range(r.randint(0, 9)))
+        page = f'<html><head><title>{say(4)}</title></head><body class="has-sidebar"><div id="cookie-notice"><p>{say(18)}</p></div><header><ul>' + "".join(f"<li><a href=/>{say(2)}</a></li>" for _ in range(8))
+        page += f'</ul></header><div class="layout-with-sidebar"><{tag} class="{name}">{body}</{tag}><div class="sidebar-left"><p>{say(30)}</p></div></div><section id="comments">{comments}</section><footer><p>{say(25)}</p></footer></body></html>'
+        assert html_extract.main_text(page) == "\n".join(paras), page
+
+
+def test_html_large_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    for page in ("<div>" * 40_000 + "</section>" * 40_000 + "x", "<div><p>some short</p></div>" * 40_000, "<p>a<div>" + "<center>" * 20_000 + "<p>b</p>" * 20_000):
+        html_extract.main_text(page)
+    assert time.time() - began < 60
+
+
+def test_html_empty_table_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", PAGE, "a", "b", 3)], "page_id long, url string, html string, text string, __html string, n_chars int")
+    assert html_extract.extract(df).count() == 1 and html_extract.extract(df.limit(0)).count() == 0
