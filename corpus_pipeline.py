@@ -2,16 +2,19 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of ``documents``.  ``run`` applies them to ``documents``.
+
+Edge cases: documents without words go with the quality rules; of rows with equal id and text one
+stays, a row with a null id like any other; null languages and sources are groups of their own;
+columns beyond those of ``documents`` pass through all but the last stage; empty tables stay empty.
 """
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.llm import bpe, minhash, mixing, pii, quality
-from fieldmark.llm.common import stored
+from fieldmark.llm.common import drop, stored
 
 #: Stages 2 and 5 can't be stated in SQL (sketches, merges); tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -25,10 +28,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more)."""
-    stay = minhash.near_duplicates(docs, size=5, percent=80).where("kept and text_key = first_key").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
-    return keyed.join(stay, same, "left_semi").dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
+    found = minhash.near_duplicates(docs, size=5, percent=80).where("kept and text_key = first_key")
+    row = lambda id_, key: [F.col(id_).isNull().alias("_none"), F.coalesce(id_, F.lit(0)).alias("_id"), key.alias("_key")]
+    stay = found.select(*row("doc_id", F.col("text_key")))
+    # one exchange of the texts serves the join and what is left of rows with equal id and text
+    keyed = docs.select("*", *row("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))))
+    return keyed.join(stay, ["_none", "_id", "_key"], "left_semi").dropDuplicates(["_none", "_id", "_key"]).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +51,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether decoding them gives the text back."""
+    import public_tokenizers
+
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     out = bpe.encode_decode(docs, path, public_tokenizers.PATTERN, keep=("doc_id", "lang", "source", "text"))
     back = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
@@ -64,6 +71,10 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each stage's result written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
