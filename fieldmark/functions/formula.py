@@ -3,7 +3,7 @@
 ``~ 1 + a + b*c + a:b + I(a^2) + log(a) + poly(a, 2)``; ``a*b`` adds main effects and the product
 (for three factors: mains and the three-way product), ``-1`` or ``0`` drops the intercept at either
 end.  A categorical variable gives a 0/1 column for each level but the first; an array column (one
-value an occasion) gives a column for each occasion.
+value an occasion) gives a column for each occasion, and one of text for each occasion and level but the first.
 """
 
 from __future__ import annotations
@@ -104,10 +104,16 @@ def describe(df: DataFrame, names: tuple[str, ...], occasions: int, max_levels:
     text = [n for n in names if kinds[n] in ("string", "boolean")]
     levels = {}
     if text:
+        count = df.agg(*[F.countDistinct(F.col(n)).alias(n) for n in text]).first()
+        if big := [n for n in text if count[n] > max_levels]:
+            raise FormulaError(f"too many levels: {big}")
         got = df.agg(*[F.array_sort(F.collect_set(F.col(n).cast("string"))).alias(n) for n in text]).first()
         levels = {n: tuple(got[n]) for n in text}
-        if big := [n for n in text if len(levels[n]) > max_levels]:
-            raise FormulaError(f"too many levels: {big}")
+    for n in (n for n in names if kinds[n] in ("array<string>", "array<boolean>")):
+        found = df.select(F.explode(n).alias("v")).select(F.col("v").cast("string").alias("v")).where("v is not null").distinct().limit(max_levels + 1).collect()
+        if len(found) > max_levels:
+            raise FormulaError(f"too many levels: {[n]}")
+        levels[n] = tuple(sorted(r["v"] for r in found))
     return Data(tuple(df.columns), levels, {n: occasions for n in names if kinds[n].startswith("array")})
 
 
@@ -128,6 +134,12 @@ def _atom(text: str, data: Data) -> Named:
         return [(text, MATH[m[1]](F.expr(m[2]).cast("double")))]
     if not re.fullmatch(NAME, text):
         raise FormulaError(f"can't read {text!r}")
+    if text in data.occasions and text in data.levels:
+        at = lambda t: F.element_at(text, t + 1).cast("string")
+        levels = data.levels[text]
+        if len(levels) < 2:
+            return [(f"{text}_t{t}", F.lit(1.0)) for t in range(data.occasions[text])]
+        return [(f"{text}_{v}_t{t}", F.when(at(t) == F.lit(v), 1.0).otherwise(0.0)) for t in range(data.occasions[text]) for v in levels[1:]]
     if text in data.occasions:
         return [(f"{text}_t{t}", F.element_at(text, t + 1).cast("double")) for t in range(data.occasions[text])]
     if text in data.levels:

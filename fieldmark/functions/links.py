@@ -6,6 +6,7 @@ Every expression stays inside whole-stage code generation; logarithms are guarde
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column
@@ -77,7 +78,13 @@ def log_beta_prior(q, alpha: float = 2.0, beta: float = 2.0) -> Column:
 
 
 def log_normal_prior(f, mode: float = 0.05, sigma: float = 0.75) -> Column:
-    """Log of a log-normal density in f without its constant; mode and sigma as given."""
+    """Log of a log-normal density in f, by its mode and sigma."""
     f = F.greatest(col(f), F.lit(1e-12))
     mu = F.ln(F.lit(mode)) + sigma * sigma
-    return -F.ln(f) - F.power(F.ln(f) - mu, F.lit(2.0)) / (2.0 * sigma * sigma)
+    return -F.ln(f) - F.power(F.ln(f) - mu, F.lit(2.0)) / (2.0 * sigma * sigma) - F.lit(math.log(sigma) + 0.5 * math.log(2.0 * math.pi))
+
+
+def barrier(q, jeffreys: bool = False) -> Column:
+    """Log of q(1 - q), halved for ``jeffreys``."""
+    q = col(q)
+    return (F.ln(q + EPS) + F.ln(1.0 - q + EPS)) * (0.5 if jeffreys else 1.0)

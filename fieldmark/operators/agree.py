@@ -7,6 +7,8 @@ over result rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +17,7 @@ from pyspark.sql.types import DoubleType
 
 from fieldmark.functions.dist import t_cdf, t_quantile
 
+MOST_RANKED = 10_000
 T1_95 = 12.706204736432095  # t quantile with one degree of freedom, 97.5 %
 
 
@@ -36,7 +39,14 @@ def parameter_type(name: Column) -> Column:
     return F.when(head.isin("phi", "p", "f"), head).otherwise("other")
 
 
-_t_sf = F.udf(lambda t, df: None if t is None else 1.0 - t_cdf(t, df), DoubleType())
+@F.pandas_udf(DoubleType())
+def _t_sf(t: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(x) else 1.0 - t_cdf(x, d) for x, d in zip(t, df)], dtype=float)
+
+
+def correlation(a: str, b: str) -> Column:
+    """Pearson's r as an aggregate; null where a column is constant."""
+    return F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
 
 
 def equivalence(pairs: DataFrame, margin: float = 0.05, alpha: float = 0.05, with_p: bool = False) -> DataFrame:
@@ -130,7 +140,12 @@ def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
 
 
 def rank_agreement(df: DataFrame, a: str, b: str, id_col: str) -> DataFrame:
-    """Pair counts, Kendall's tau-a and tau-b, Spearman's rho, exact matches and a class (few rows: all pairs)."""
+    """Pair counts, Kendall's tau-a and tau-b, Spearman's rho, exact matches and a class.
+
+    All pairs are compared, so tables of over ``MOST_RANKED`` rows (models, parameters) are refused.
+    """
+    if (n := df.count()) > MOST_RANKED:
+        raise ValueError(f"{n} rows to rank; at most {MOST_RANKED}")
     x, y = (df.select(F.col(id_col).alias(f"{s}i"), F.col(a).alias(f"{s}a"), F.col(b).alias(f"{s}b")) for s in ("x", "y"))
     p = x.join(y, F.col("xi") < F.col("yi"))
     sign = F.signum(F.col("xa") - F.col("ya")) * F.signum(F.col("xb") - F.col("yb"))
@@ -143,7 +158,7 @@ def rank_agreement(df: DataFrame, a: str, b: str, id_col: str) -> DataFrame:
         "tau_a": F.try_divide(diff, F.col("pairs")),
         "tau_b": F.try_divide(diff, F.sqrt((F.col("pairs") - F.col("ties_a")).cast("double") * (F.col("pairs") - F.col("ties_b")))),
     })
-    r = average_rank(average_rank(df, a, "_ra"), b, "_rb").agg(F.corr("_ra", "_rb").alias("rho"), F.avg((F.col("_ra") == F.col("_rb")).cast("double")).alias("exact"))
+    r = average_rank(average_rank(df, a, "_ra"), b, "_rb").agg(correlation("_ra", "_rb").alias("rho"), F.avg((F.col("_ra") == F.col("_rb")).cast("double")).alias("exact"))
     return tau.crossJoin(F.broadcast(r)).withColumn("agreement", F.when(F.col("tau_b") >= 0.8, "high").when(F.col("tau_b") >= 0.6, "moderate").otherwise("low"))  # one row each
 
 
@@ -157,10 +172,10 @@ def concordance(pairs: DataFrame, t: float | None = None) -> DataFrame:
             raise ValueError("Need at least 3 pairs")
         t = t_quantile(0.975, n - 1)
     one = rows.agg(
-        F.count(F.lit(1)).alias("n"), F.corr("est_a", "est_b").alias("r"),
+        F.count(F.lit(1)).alias("n"), correlation("est_a", "est_b").alias("r"),
         F.try_divide(2.0 * F.covar_samp("est_a", "est_b"), F.var_samp("est_a") + F.var_samp("est_b") + F.power(F.avg("est_a") - F.avg("est_b"), F.lit(2.0))).alias("ccc"),
         F.avg(F.abs("d")).alias("mae"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmse"), F.avg("d").alias("bias"), F.stddev_samp("d").alias("sd"),
-        F.abs(F.coalesce(F.corr("m", "d"), F.lit(0.0))).alias("proportional_bias"), F.median("d").alias("median_diff"),
+        F.abs(F.coalesce(correlation("m", "d"), F.lit(0.0))).alias("proportional_bias"), F.median("d").alias("median_diff"),
     )
     one = one.withColumns({"loa_lower": F.col("bias") - t * F.col("sd"), "loa_upper": F.col("bias") + t * F.col("sd"), "t_bias": F.try_divide(F.col("bias"), F.col("sd") / F.sqrt("n"))})
     c = F.col("ccc")
@@ -281,6 +296,7 @@ def simple_gate(cmp: DataFrame, converged: Column | None = None) -> DataFrame:
 
 
 def conclusion(rate: Column) -> Column:
+    """What a pass rate says of a whole validation."""
     return F.when(rate >= 0.9, "excellent").when(rate >= 0.8, "good").when(rate >= 0.7, "acceptable").otherwise("poor")
 
 
@@ -289,3 +305,73 @@ def fold_stability(rows: DataFrame, by: list[str] = ["param"]) -> DataFrame:  #
     cv = F.try_divide(F.stddev_samp("value"), F.abs(F.avg("value")))
     out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), cv.alias("cv"))
     return out.withColumn("stability", F.when(F.col("cv") < 0.01, "very_stable").when(F.col("cv") < 0.05, "stable").when(F.col("cv") < 0.2, "moderate").otherwise("unstable"))
+
+
+def fold_metrics(rows: DataFrame, by: list[str] = ["param"]) -> DataFrame:  # noqa: B006
+    """Over (repeat, fold, keys, abs_diff, rel_pct, converged): means and spreads of both differences, share converged, stability."""
+    out = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("abs_diff").alias("mean_abs"), F.stddev_pop("abs_diff").alias("sd_abs"), F.avg("rel_pct").alias("mean_rel"),
+        F.stddev_pop("rel_pct").alias("sd_rel"), F.avg(F.col("converged").cast("double")).alias("convergence_rate"),
+    )
+    cv = F.try_divide(F.col("sd_rel"), F.abs("mean_rel"))
+    return out.withColumn("stability", F.when(cv < 0.01, "very_stable").when(cv < 0.05, "stable").when(cv < 0.2, "moderate").otherwise("unstable"))
+
+
+def fold_likelihoods(rows: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Over (val_ll, val_n, train_ll, train_n) a fold: mean and spread per individual, their ratio, and how consistent folds are."""
+    each, own = F.try_divide(F.col("val_ll"), F.col("val_n")), F.try_divide(F.col("train_ll"), F.col("train_n"))
+    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("folds"), F.avg(each).alias("mean_ll"), F.stddev_pop(each).alias("sd_ll"), F.avg(own).alias("train_mean_ll"))
+    out = out.withColumn("consistency", F.try_divide(F.col("sd_ll"), F.abs("mean_ll")))
+    return out.withColumn("label", F.when(F.col("consistency") < 0.05, "consistent").when(F.col("consistency") < 0.15, "moderate").otherwise("inconsistent"))
+
+
+def convergence_agreement(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """One row over two tables of fits (keys, converged): how often both, one or neither converged, and the share that agree."""
+    j = a.select(*on, F.col("converged").alias("ca")).join(b.select(*on, F.col("converged").alias("cb")), on)
+    return j.agg(
+        F.count(F.lit(1)).alias("models"), F.count_if(F.col("ca") & F.col("cb")).alias("both"), F.count_if(F.col("ca") != F.col("cb")).alias("one"),
+        F.count_if(~F.col("ca") & ~F.col("cb")).alias("neither"), F.avg((F.col("ca") == F.col("cb")).cast("double")).alias("agreement"),
+    )
+
+
+def categories(df: DataFrame, column: str) -> DataFrame:
+    """Distribution of a category: counts and shares."""
+    g = df.groupBy(F.col(column).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    return g.withColumn("share", F.col("n") / F.sum("n").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))  # a row a category
+
+
+def stacked(tables: dict[str, DataFrame], label: str = "dataset") -> DataFrame:
+    """Results of several data sets under each other, with the data set's name first."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.select(F.lit(k).alias(label), "*") for k, df in tables.items()])
+
+
+def publication_summary(cmp: DataFrame, models: DataFrame | None = None) -> DataFrame:
+    """Rows (section, metric, value, note): overall, by type, critical parameters, models, and the conclusion."""
+    def long(df: DataFrame, section: Column) -> DataFrame:
+        cols = [c for c, t in df.dtypes if t in ("double", "bigint", "int")]
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in cols])).alias("m")
+        return df.select(section.alias("section"), each).select("section", "m.*", F.lit(None).cast("string").alias("note"))
+
+    whole = comparison_summary(cmp)
+    parts = [long(whole, F.lit("overall")), long(comparison_summary(cmp, ["param_type"]), F.concat(F.lit("type: "), F.col("param_type"))), long(comparison_summary(critical(cmp)), F.lit("critical"))]
+    if models is not None:
+        ok = F.col("status").isin("EXCELLENT", "GOOD", "ACCEPTABLE").cast("double")
+        parts.append(long(models.agg(F.count(F.lit(1)).alias("n"), F.avg(ok).alias("pass_rate"), F.avg("aic_diff").alias("mean_aic_diff")), F.lit("models")))
+    end = whole.select(F.lit("conclusion").alias("section"), F.lit("pass_rate").alias("metric"), F.col("pass_rate").alias("value"), conclusion(F.col("pass_rate")).alias("note"))
+    return reduce(DataFrame.unionByName, [*parts, end])
+
+
+def jackknife_means(pairs: DataFrame) -> DataFrame:
+    """(value): the mean difference with each pair left out, in closed form (a table with a row a parameter)."""
+    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = F.col("est_a") - F.col("est_b")
+    return pairs.select(((F.sum(d).over(every) - d) / (F.count(F.lit(1)).over(every) - 1)).alias("value"))
+
+
+def difference_intervals(pairs: DataFrame, replicates: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """Percentile, basic, t and bias-corrected accelerated intervals of the mean difference, in one row."""
+    reps = bootstrap_difference(pairs, replicates=replicates, seed=seed).persist()
+    observed = pairs.agg(F.avg(F.col("est_a") - F.col("est_b"))).first()[0]
+    jack = [r["value"] for r in jackknife_means(pairs).limit(MOST_RANKED).collect()]
+    low, high = bca_interval(reps, observed, jack, level)
+    return bootstrap_intervals(reps, observed, level).withColumns({"observed": F.lit(observed), "bca_lower": F.lit(low), "bca_upper": F.lit(high)})

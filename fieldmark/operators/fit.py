@@ -1,9 +1,11 @@
 """Maximum-likelihood fits of the temporal-symmetry model.
 
-Spark compresses the data to grouped counts; the optimiser (projected Newton with analytic gradient
-and modified Hessian, several starts on failure, or Adam) works on arrays.  Where compression
-leaves more than ``LOCAL_ROWS`` rows (continuous covariates), every iteration is instead one Spark
-aggregate of likelihood, gradient and Hessian.  Many models are fitted in one job, a group each.
+Spark compresses the data to grouped counts; the optimiser (projected Newton with a modified
+Hessian, several starts on failure, or Adam) works on arrays.  Where compression leaves more than
+``LOCAL_ROWS`` rows (continuous covariates), fits, covariances and bootstrap refits keep the rows on the
+executors instead, and every evaluation is one Spark aggregate of value, gradient and Hessian.
+Many models are fitted in one job, a group each.  Priors and penalties go into the objective, and
+never into the log-likelihood and criteria that are reported.
 """
 
 from __future__ import annotations
@@ -56,11 +58,36 @@ def _tail(r, p, n):
     return s + bn * (1 - s), s_r * (1 - bn) + bn1 * (1 - p) * (1 - s), s_p * (1 - bn) - bn1 * r * (1 - s)
 
 
-def value_and_gradient(theta: np.ndarray, q: Problem) -> tuple[float, np.ndarray]:
-    """Log-likelihood and its gradient over coefficients (phi, p, f)."""
-    c = q.cuts
-    phi, p = (1 / (1 + np.exp(-(q.designs[i] @ theta[c[i] : c[i + 1]]))) for i in (0, 1))
-    f = np.exp(q.designs[2] @ theta[c[2] : c[3]])
+@dataclass(frozen=True)
+class Penalty:
+    """What is added to the objective: ridge on coefficients, priors summed over individuals, a barrier averaged over them.
+
+    ``ridge`` leaves intercepts out unless ``intercepts``; ``beta`` is the weight of a Beta(a, b) prior on phi
+    and p, ``recruitment`` that of a log-normal prior (mode, sigma) on f; ``barrier`` weighs the mean of
+    ln q(1-q) of phi and p, halved with ``jeffreys``.
+    """
+
+    ridge: float = 0.0
+    intercepts: bool = False
+    beta: float = 0.0
+    shape: tuple[float, float] = (2.0, 2.0)
+    recruitment: float = 0.0
+    mode: float = 0.05
+    sigma: float = 0.75
+    barrier: float = 0.0
+    jeffreys: bool = False
+
+    def mask(self, names: Sequence[tuple[str, str]]) -> np.ndarray:
+        return np.array([1.0 if self.intercepts or t != "(Intercept)" else 0.0 for _, t in names])
+
+
+NO_PENALTY = Penalty()
+
+
+def rows_of_model(etas: Sequence[np.ndarray], q: Problem, penalty: Penalty = NO_PENALTY, total: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per row: log-likelihood, its value with priors, and the value's derivatives in the three linear predictors."""
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    phi, p, f = sigmoid(etas[0]), sigmoid(etas[1]), np.exp(etas[2])
     lam = phi + f
     gamma, span, m = phi / lam, q.l - q.e, (q.l - q.e) - (q.x - 1)
     xi, xi_g, xi_p = _tail(gamma, p, q.e)
@@ -72,94 +99,203 @@ def value_and_gradient(theta: np.ndarray, q: Problem) -> tuple[float, np.ndarray
     d_phi = span * (1 / np.maximum(phi, EPS) + g_phi / np.maximum(gamma, EPS)) + xi_g * g_phi / xi + chi_phi / chi
     d_f = span * g_f / np.maximum(gamma, EPS) + xi_g * g_f / xi
     d_p = 2 * ((q.x - 1) / np.maximum(p, EPS) - m / np.maximum(1 - p, EPS)) + xi_p / xi + chi_p / chi
-    w = np.where(q.x > 0, q.n, 0.0)
-    parts = [(w * d_phi * phi * (1 - phi)) @ q.designs[0], (w * d_p * p * (1 - p)) @ q.designs[1], (w * d_f * f) @ q.designs[2]]
-    return float(np.sum(np.where(w > 0, w * ll, 0.0))), np.concatenate(parts)
+    seen = q.x > 0
+    ll = np.where(seen, ll, 0.0)
+    d = np.where(seen, np.stack([d_phi * phi * (1 - phi), d_p * p * (1 - p), d_f * f]), 0.0)
+    value = ll.copy()
+    if penalty.beta:
+        a, b = penalty.shape
+        for i, v in ((0, phi), (1, p)):
+            v = np.clip(v, 1e-6, 1 - 1e-6)
+            value += penalty.beta * ((a - 1) * np.log(v) + (b - 1) * np.log(1 - v))
+            d[i] += penalty.beta * ((a - 1) * (1 - v) - (b - 1) * v)
+    if penalty.recruitment:
+        mu = math.log(penalty.mode) + penalty.sigma**2
+        z = (etas[2] - mu) / penalty.sigma
+        value += penalty.recruitment * (-0.5 * z * z - etas[2] - math.log(penalty.sigma) - 0.5 * math.log(2 * math.pi))
+        d[2] += penalty.recruitment * (-z / penalty.sigma - 1)
+    if penalty.barrier:
+        w = penalty.barrier * (0.5 if penalty.jeffreys else 1.0) / total
+        for i, v in ((0, phi), (1, p)):
+            value += w * (np.log(v + EPS) + np.log(1 - v + EPS))
+            d[i] += w * (1 - 2 * v)
+    return ll, value, d
+
+
+@dataclass(frozen=True)
+class Model:
+    """A model over the parameters phi, p, f: ``rows(etas, problem, penalty, total)`` as in :func:`rows_of_model`, and bounds of linear predictors."""
+
+    name: str
+    rows: Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]]
+    bounds: Mapping[str, tuple[float, float]]
+
+
+MODELS: dict[str, Model] = {}
+
+
+def register_model(model: Model) -> None:
+    MODELS[model.name] = model
+
+
+def get_model(name: str) -> Model:
+    if name not in MODELS:
+        raise ValueError(f"unknown model {name!r}; there are {sorted(MODELS)}")
+    return MODELS[name]
+
+
+register_model(Model("temporal_symmetry", rows_of_model, BOUNDS))
+
+
+def sums(theta: np.ndarray, q: Problem, penalty: Penalty = NO_PENALTY, total: float = 1.0, rows=rows_of_model, step: float = 1e-5) -> np.ndarray:
+    """Sums over rows, end to end: log-likelihood, value, gradient and Hessian in the coefficients.
+
+    Rows' second derivatives are central differences in the linear predictors, so one pass has all.
+    """
+    c = q.cuts
+    etas = [q.designs[i] @ theta[c[i] : c[i + 1]] for i in range(3)]
+    ll, value, d = rows(etas, q, penalty, total)
+    h = np.empty((c[3], c[3]))
+    for j in range(3):
+        up, down = ([e + (s if i == j else 0.0) for i, e in enumerate(etas)] for s in (step, -step))
+        second = (rows(up, q, penalty, total)[2] - rows(down, q, penalty, total)[2]) / (2 * step)
+        for i in range(3):
+            h[c[i] : c[i + 1], c[j] : c[j + 1]] = (q.designs[i] * (q.n * second[i])[:, None]).T @ q.designs[j]
+    g = np.concatenate([(q.n * d[i]) @ q.designs[i] for i in range(3)])
+    return np.concatenate([[q.n @ ll, q.n @ value], g, ((h + h.T) / 2).ravel()])
+
 
+@dataclass
+class Point:
+    """The objective at coefficients: value with penalties, log-likelihood without, gradient, Hessian."""
 
-def hessian(theta: np.ndarray, gradient: Callable[[np.ndarray], np.ndarray], step: float = 1e-4) -> np.ndarray:
-    """Central differences of the gradient, symmetrised."""
+    value: float
+    ll: float
+    g: np.ndarray
+    h: np.ndarray
+
+
+def point(theta: np.ndarray, total: np.ndarray, penalty: Penalty, mask: np.ndarray) -> Point:
+    """From sums over all rows; adds the ridge."""
     k = len(theta)
-    out = np.empty((k, k))
-    for i in range(k):
-        d = np.zeros(k)
-        d[i] = step
-        out[i] = (gradient(theta + d) - gradient(theta - d)) / (2 * step)
-    return (out + out.T) / 2
+    r = penalty.ridge * mask
+    return Point(float(total[1] - (r * theta**2).sum()), float(total[0]), total[2 : 2 + k] - 2 * r * theta, total[2 + k :].reshape(k, k) - 2 * np.diag(r))
+
+
+def value_and_gradient(theta: np.ndarray, q: Problem) -> tuple[float, np.ndarray]:
+    """Log-likelihood and its gradient over coefficients (phi, p, f)."""
+    s = sums(np.asarray(theta, float), q)
+    return float(s[0]), s[2 : 2 + len(theta)]
 
 
 @dataclass
 class Optimum:
     theta: np.ndarray
-    value: float
+    at: Point
     converged: bool
     iterations: int
     trace: list[tuple[int, float, float]]
     strategy: str = "newton"
 
+    @property
+    def value(self) -> float:
+        return self.at.value
+
+
+def newton(evaluate: Callable[[np.ndarray], Point], start, lower, upper, tol: float = 1e-8, most: int = 100, watch: Callable[[int, float, float], None] | None = None) -> Optimum:
+    """Maximise within bounds: active coordinates stay, the Hessian's eigenvalues are made negative, steps are halved.
 
-def newton(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], start, lower, upper, tol: float = 1e-8, most: int = 100) -> Optimum:
-    """Maximise within bounds: active coordinates stay, the Hessian's eigenvalues are made negative, steps are halved."""
+    ``watch`` is called with iteration, value and gradient size, and may raise to stop the fit.
+    """
     theta = np.clip(np.asarray(start, float), lower, upper)
-    value, g = objective(theta)
-    trace = []
+    at = evaluate(theta)
+    trace: list[tuple[int, float, float]] = []
+    converged, it = False, 0
     for it in range(1, most + 1):
-        free = ~(((theta <= lower) & (g < 0)) | ((theta >= upper) & (g > 0)))
-        size = float(np.abs(g[free]).max()) if free.any() else 0.0
-        trace.append((it, value, size))
-        if size <= tol * max(1.0, abs(value)):
-            return Optimum(theta, value, True, it, trace)
-        h = hessian(theta, lambda t: objective(np.asarray(t))[1])[np.ix_(free, free)]
-        w, v = np.linalg.eigh(-h)
+        free = ~(((theta <= lower) & (at.g < 0)) | ((theta >= upper) & (at.g > 0)))
+        size = float(np.abs(at.g[free]).max()) if free.any() else 0.0
+        trace.append((it, at.value, size))
+        if watch:
+            watch(it, at.value, size)
+        if size <= tol * max(1.0, abs(at.value)):
+            converged = True
+            break
+        w, v = np.linalg.eigh(-at.h[np.ix_(free, free)])
         move = np.zeros_like(theta)
-        move[free] = v @ ((v.T @ g[free]) / np.maximum(np.abs(w), 1e-6 * max(1.0, np.abs(w).max())))
+        move[free] = v @ ((v.T @ at.g[free]) / np.maximum(np.abs(w), 1e-6 * max(1.0, np.abs(w).max())))
         scale = 1.0
         for _ in range(40):
             new = np.clip(theta + scale * move, lower, upper)
-            new_value, new_g = objective(new)
-            if np.isfinite(new_value) and new_value > value - 1e-12 * abs(value):
+            found = evaluate(new)
+            if np.isfinite(found.value) and found.value > at.value - 1e-12 * abs(at.value):
                 break
             scale /= 2
-        gain = new_value - value
-        stuck = np.abs(new - theta).max() < 1e-12 or (abs(gain) <= 1e-13 * abs(value) and it > 3)
-        theta, value, g = new, new_value, new_g
+        stuck = np.abs(new - theta).max() < 1e-12 or (abs(found.value - at.value) <= 1e-13 * abs(at.value) and it > 3)
+        theta, at = new, found
         if stuck:
-            return Optimum(theta, value, size <= 1e-4 * max(1.0, abs(value)), it, trace)
-    return Optimum(theta, value, False, most, trace)
-
-
-def adam(objective, start, lower, upper, rate: float = 0.05, most: int = 3000, tol: float = 1e-7) -> Optimum:
+            converged = size <= 1e-4 * max(1.0, abs(at.value))
+            break
+    # where the objective flattens out towards a bound, the bound itself is the maximum
+    for i in np.flatnonzero((theta > lower) & (theta < upper)):
+        edge = theta.copy()
+        edge[i] = lower[i] if at.g[i] < 0 else upper[i]
+        if abs(at.h[i, i]) <= 1e-3 and (found := evaluate(edge)).value >= at.value:
+            theta, at = edge, found
+    return Optimum(theta, at, converged, it, trace)
+
+
+def adam(evaluate, start, lower, upper, rate: float = 0.05, most: int = 3000, tol: float = 1e-7, patience: int = 200, watch=None) -> Optimum:
+    """Adam with a falling rate, clipped gradients, projection on the bounds, and the rate halved on plateaus."""
     theta = np.clip(np.asarray(start, float), lower, upper)
     m = v = np.zeros_like(theta)
-    trace = []
+    trace: list[tuple[int, float, float]] = []
+    best, since = -math.inf, 0
+    at = evaluate(theta)
     for it in range(1, most + 1):
-        value, g = objective(theta)
-        g = g / max(1.0, abs(value))
-        trace.append((it, value, float(np.abs(g).max())))
+        g = np.clip(at.g / max(1.0, abs(at.value)), -10.0, 10.0)
+        trace.append((it, at.value, float(np.abs(g).max())))
+        if watch:
+            watch(*trace[-1])
         if np.abs(g).max() < tol:
-            return Optimum(theta, value, True, it, trace, "adam")
+            return Optimum(theta, at, True, it, trace, "adam")
+        best, since = (at.value, 0) if at.value > best + 1e-10 * abs(at.value) else (best, since + 1)
+        if since >= patience:
+            rate, since = rate / 2, 0
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = np.clip(theta + rate / math.sqrt(it / 100 + 1) * (m / (1 - 0.9**it)) / (np.sqrt(v / (1 - 0.999**it)) + 1e-10), lower, upper)
-    return Optimum(theta, objective(theta)[0], False, most, trace, "adam")
+        at = evaluate(theta)
+    return Optimum(theta, at, False, most, trace, "adam")
 
 
-def multi_start(objective, start, lower, upper, starts: int = 5, seed: int = 42) -> Optimum:
+def multi_start(evaluate, start, lower, upper, starts: int = 5, seed: int = 42, watch=None) -> Optimum:
     """The best of fits from ``start`` and seeded points within the bounds."""
     rng = np.random.default_rng(seed)
     spread = np.minimum(1.5, (upper - lower) / 6)
     points = [np.asarray(start, float)] + [np.clip(np.asarray(start) + rng.normal(0, spread), lower, upper) for _ in range(starts - 1)]
-    fits = [newton(objective, x, lower, upper) for x in points]
+    fits = [newton(evaluate, x, lower, upper, watch=watch) for x in points]
     best = max(fits, key=lambda o: (o.converged, o.value))
     best.strategy = "multi_start"
     return best
 
 
-def hybrid(objective, start, lower, upper) -> Optimum:
-    first = newton(objective, start, lower, upper)
-    return first if first.converged else multi_start(objective, start, lower, upper)
+def hybrid(evaluate, start, lower, upper, watch=None) -> Optimum:
+    first = newton(evaluate, start, lower, upper, watch=watch)
+    return first if first.converged else multi_start(evaluate, start, lower, upper, watch=watch)
 
 
 STRATEGIES = {"newton": newton, "lbfgs": newton, "slsqp": newton, "adam": adam, "multi_start": multi_start, "hybrid": hybrid}
+#: Strategy by how difficult a problem is (see ``monitor.difficulty``).
+CHOICE = {"easy": "newton", "moderate": "newton", "difficult": "hybrid", "very_difficult": "multi_start"}
+
+
+def chosen(frame: CaptureFrame, parameters: int) -> str:
+    """The strategy for a data set and a number of coefficients."""
+    from fieldmark.operators.monitor import difficulty
+
+    cells = F.count(F.lit(1)) * F.lit(float(frame.occasions))
+    one = frame.df.agg((F.lit(float(parameters)) / F.count(F.lit(1))).alias("ratio"), (1.0 - F.sum("x") / cells).alias("sparsity"))
+    label = one.select(difficulty(F.col("ratio"), F.col("sparsity"), F.lit(frame.occasions), F.lit(parameters))).first()[0]
+    return CHOICE[label]
 
 
 def strategy_named(name: str):
@@ -197,16 +333,16 @@ def criteria(ll: float, k: int, n: int) -> tuple[float, float, float]:
     return aic, aic + 2 * k * (k + 1) / (n - k - 1) if n > k + 1 else math.inf, k * math.log(max(n, 1)) - 2 * ll
 
 
-def _result(model_id: int, spec: Spec, names: list[tuple[str, str]], best: Optimum, h: np.ndarray, n: int, lam: float, lower, upper) -> dict:
+def _result(model_id: int, spec: Spec, names: list[tuple[str, str]], best: Optimum, n: int, lam: float, lower, upper) -> dict:
     at_bound = (best.theta <= lower + 1e-9) | (best.theta >= upper - 1e-9)
     se = np.full(len(best.theta), np.nan)
     free = ~at_bound
     if free.any():
-        cov = np.linalg.pinv(-h[np.ix_(free, free)])
+        cov = np.linalg.pinv(-best.at.h[np.ix_(free, free)])
         se[free] = np.sqrt(np.where(np.diag(cov) > 0, np.diag(cov), np.nan))
     k = len(best.theta)
     z = 1.959963984540054 if n - k > 30 else t_quantile(0.975, max(30, n - k))
-    aic, aicc, bic = criteria(best.value, k, n)
+    aic, aicc, bic = criteria(best.at.ll, k, n)
     some = lambda v: None if np.isnan(v) else float(v)
     params = [
         {"param": a, "term": t, "idx": i, "estimate": float(best.theta[i]), "se": some(se[i]), "ci_lower": some(best.theta[i] - z * se[i]), "ci_upper": some(best.theta[i] + z * se[i]), "at_bound": bool(at_bound[i])}
@@ -214,7 +350,7 @@ def _result(model_id: int, spec: Spec, names: list[tuple[str, str]], best: Optim
     ]
     return {
         "model_id": model_id, "model_name": spec.label, "phi": spec.phi, "p": spec.p, "f": spec.f, "strategy": best.strategy, "converged": bool(best.converged),
-        "log_likelihood": best.value, "n_parameters": k, "n": int(n), "aic": aic, "aicc": aicc, "bic": bic, "n_iterations": best.iterations, "lambda_mean": lam, "params": params,
+        "log_likelihood": best.at.ll, "n_parameters": k, "n": int(n), "aic": aic, "aicc": aicc, "bic": bic, "n_iterations": best.iterations, "lambda_mean": lam, "params": params,
     }
 
 
@@ -228,13 +364,30 @@ def _rates(theta: np.ndarray, q: Problem) -> tuple[np.ndarray, np.ndarray]:
     return 1 / (1 + np.exp(-(q.designs[0] @ theta[c[0] : c[1]]))), np.exp(q.designs[2] @ theta[c[2] : c[3]])
 
 
-def _fit_local(pdf: pd.DataFrame, model_id: int, spec: Spec, columns, names, start, occasions: int, strategy: str) -> dict:
+def _bounds(names, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.array([model.bounds[a][i] for a, _ in names]) for i in (0, 1))
+
+
+@dataclass(frozen=True)
+class How:
+    """How to fit: strategy, penalty, model."""
+
+    strategy: str = "hybrid"
+    penalty: Penalty = NO_PENALTY
+    model: str = "temporal_symmetry"
+
+
+def _local(q: Problem, names, how: How) -> Callable[[np.ndarray], Point]:
+    model, mask, total = get_model(how.model), how.penalty.mask(names), float(q.n.sum())
+    return lambda theta: point(theta, sums(theta, q, how.penalty, total, model.rows), how.penalty, mask)
+
+
+def _fit_local(pdf: pd.DataFrame, model_id: int, spec: Spec, columns, names, start, occasions: int, how: How, watch=None) -> dict:
     q = _problem(pdf, columns, occasions)
-    lower, upper = (np.array([BOUNDS[a][i] for a, _ in names]) for i in (0, 1))
-    objective = lambda t: value_and_gradient(t, q)
-    best = strategy_named(strategy)(objective, np.asarray(start), lower, upper)
+    lower, upper = _bounds(names, get_model(how.model))
+    best = strategy_named(how.strategy)(_local(q, names, how), np.asarray(start), lower, upper, watch=watch)
     phi, f = _rates(best.theta, q)
-    return _result(model_id, spec, names, best, hessian(best.theta, lambda t: objective(t)[1]), int(q.n.sum()), float(((phi + f) * q.n).sum() / q.n.sum()), lower, upper)
+    return _result(model_id, spec, names, best, int(q.n.sum()), float(((phi + f) * q.n).sum() / q.n.sum()), lower, upper)
 
 
 @dataclass(frozen=True)
@@ -245,78 +398,109 @@ class _Prepared:
     starts: dict[int, list[float]]
 
 
-def _prepare(frame: CaptureFrame, specs: Mapping[int, Spec]) -> _Prepared:
-    """Grouped counts over all models' design columns together."""
+def _designs(frame: CaptureFrame, specs: Mapping[int, Spec]):
     formulas = {i: s.formulas() for i, s in specs.items()}
     used = tuple(dict.fromkeys(v for fs in formulas.values() for fo in fs.values() for v in fo.variables))
     data: Data = describe(frame.df, used, frame.occasions)
+    column: dict[str, tuple[str, object]] = {}
+    made = {i: {k: design(fs[k], data) for k in PARAMETERS} for i, fs in formulas.items()}
+    for of in made.values():
+        for cols in of.values():
+            for name, c in cols:
+                column.setdefault(name, (f"d{len(column)}", c))
+    return formulas, made, column
+
+
+def _design_columns(frame: CaptureFrame, specs: Mapping[int, Spec]) -> list[tuple[str, object]]:
+    return list(_designs(frame, specs)[2].values())
+
+
+def _prepare(frame: CaptureFrame, specs: Mapping[int, Spec]) -> _Prepared:
+    """Grouped counts over all models' design columns together."""
+    formulas, made, column = _designs(frame, specs)
     checks = [c for fs in formulas.values() for fo in fs.values() for c in domain_checks(fo)]
     if checks:
         bad = frame.df.agg(*[F.count_if(c).alias(f"c{i}") for i, (_, c) in enumerate(checks)]).first()
         for i, (message, _) in enumerate(checks):
             if bad[i]:
                 raise FormulaError(f"{message}; {bad[i]} rows don't have them")
-    column: dict[str, tuple[str, object]] = {}
-    columns, names, starts = {}, {}, {}
     rates = empirical(frame.df, frame.occasions).first()
-    for i, fs in formulas.items():
-        made = {k: design(fs[k], data) for k in PARAMETERS}
-        for cols in made.values():
-            for name, c in cols:
-                column.setdefault(name, (f"d{len(column)}", c))
-        columns[i] = [[column[n][0] for n, _ in made[k]] for k in PARAMETERS]
-        names[i] = [(k, n) for k in PARAMETERS for n, _ in made[k]]
-        starts[i] = starting_values(rates, fs, {k: len(made[k]) for k in PARAMETERS})
+    columns = {i: [[column[n][0] for n, _ in of[k]] for k in PARAMETERS] for i, of in made.items()}
+    names = {i: [(k, n) for k in PARAMETERS for n, _ in of[k]] for i, of in made.items()}
+    starts = {i: starting_values(rates, formulas[i], {k: len(of[k]) for k in PARAMETERS}) for i, of in made.items()}
     return _Prepared(compressed(frame.df, list(column.values())), columns, names, starts)
 
 
-def _fit_distributed(p: _Prepared, i: int, spec: Spec, occasions: int, strategy: str) -> dict:
-    """Each evaluation is a Spark aggregate; the grouped rows stay on the executors."""
-    cols, names = p.columns[i], p.names[i]
-    rows = p.grouped.select("x", "e", "l", "n", *dict.fromkeys(c for cs in cols for c in cs)).persist()
-    k = len(names)
+def _distributed(rows: DataFrame, cols, names, occasions: int, total: float, how: How) -> Callable[[np.ndarray], Point]:
+    """Evaluation as one Spark aggregate; the grouped rows stay on the executors."""
+    k, model, mask = len(names), get_model(how.model), how.penalty.mask(names)
+    width = 2 + k + k * k
 
-    def objective(theta):
+    def evaluate(theta: np.ndarray) -> Point:
         def run(batches):
-            total = np.zeros(k + 1)
+            part = np.zeros(width)
             for pdf in batches:
-                v, g = value_and_gradient(theta, _problem(pdf, cols, occasions))
-                total += np.concatenate([[v], g])
-            yield pd.DataFrame({"g": [total.tolist()]})
+                part += sums(theta, _problem(pdf, cols, occasions), how.penalty, total, model.rows)
+            yield pd.DataFrame({"s": [part.tolist()]})
+
+        got = rows.mapInPandas(run, "s array<double>").agg(*[F.sum(F.col("s")[j]) for j in range(width)]).first()
+        return point(theta, np.array(got, float), how.penalty, mask)
+
+    return evaluate
+
 
-        sums = rows.mapInPandas(run, "g array<double>").agg(*[F.sum(F.col("g")[j]) for j in range(k + 1)]).first()
-        return float(sums[0]), np.array(sums[1:], float)
+def _needed(p: _Prepared, i: int) -> DataFrame:
+    return p.grouped.select("x", "e", "l", "n", *dict.fromkeys(c for cs in p.columns[i] for c in cs))
 
-    lower, upper = (np.array([BOUNDS[a][j] for a, _ in names]) for j in (0, 1))
-    best = strategy_named(strategy)(objective, np.asarray(p.starts[i]), lower, upper)
+
+def _fit_distributed(p: _Prepared, i: int, spec: Spec, occasions: int, how: How, watch=None, rows: DataFrame | None = None) -> tuple[dict, Optimum]:
+    cols, names = p.columns[i], p.names[i]
+    rows = (rows if rows is not None else _needed(p, i)).persist()
+    n = rows.agg(F.sum("n")).first()[0]
+    lower, upper = _bounds(names, get_model(how.model))
+    best = strategy_named(how.strategy)(_distributed(rows, cols, names, occasions, float(n), how), np.asarray(p.starts[i]), lower, upper, watch=watch)
     theta = best.theta
 
     def lam(batches):
         for pdf in batches:
             q = _problem(pdf, cols, occasions)
             phi, f = _rates(theta, q)
-            yield pd.DataFrame({"s": [float(((phi + f) * q.n).sum())], "n": [float(q.n.sum())]})
+            yield pd.DataFrame({"s": [float(((phi + f) * q.n).sum())]})
 
-    s, n = rows.mapInPandas(lam, "s double, n double").agg(F.sum("s"), F.sum("n")).first()
-    out = _result(i, spec, names, best, hessian(theta, lambda t: objective(t)[1]), int(n), s / n, lower, upper)
+    s = rows.mapInPandas(lam, "s double").agg(F.sum("s")).first()[0]
     rows.unpersist()
-    return out
+    return _result(i, spec, names, best, int(n), s / n, lower, upper), best
 
 
-def fit(frame: CaptureFrame, spec: Spec = Spec(), strategy: str = "hybrid", local_rows: int = LOCAL_ROWS) -> dict:
-    """One model; a row of ``FIT_SCHEMA`` as a dict."""
-    strategy_named(strategy)
+def _warmed(frame: CaptureFrame, p: _Prepared, how: How, local_rows: int) -> _Prepared:
+    """Starts with the intercepts of a fit without covariates."""
+    base = {q["param"]: q["estimate"] for q in fit(frame, Spec(), how.strategy, local_rows, model=how.model)["params"]}
+    starts = {i: [base[a] if t == "(Intercept)" else x for (a, t), x in zip(p.names[i], v)] for i, v in p.starts.items()}
+    return _Prepared(p.grouped, p.columns, p.names, starts)
+
+
+def _fits_in_memory(p: _Prepared, local_rows: int) -> bool:
+    return p.grouped.limit(local_rows + 1).count() <= local_rows
+
+
+def fit(frame: CaptureFrame, spec: Spec = Spec(), strategy: str = "hybrid", local_rows: int = LOCAL_ROWS, penalty: Penalty = NO_PENALTY, warm_start: bool = False, model: str = "temporal_symmetry", watch=None) -> dict:
+    """One model; a row of ``FIT_SCHEMA`` as a dict.  ``strategy`` "auto" picks one by difficulty."""
     p = _prepare(frame, {0: spec})
+    how = How(chosen(frame, len(p.names[0])) if strategy == "auto" else strategy, penalty, model)
+    strategy_named(how.strategy)
+    if warm_start:
+        p = _warmed(frame, p, how, local_rows)
     few = p.grouped.limit(local_rows + 1).toPandas()
     if len(few) > local_rows:
-        return _fit_distributed(p, 0, spec, frame.occasions, strategy)
-    return _fit_local(few, 0, spec, p.columns[0], p.names[0], p.starts[0], frame.occasions, strategy)
+        return _fit_distributed(p, 0, spec, frame.occasions, how, watch)[0]
+    return _fit_local(few, 0, spec, p.columns[0], p.names[0], p.starts[0], frame.occasions, how, watch)
 
 
-def fit_models(frame: CaptureFrame, specs: Sequence[Spec], strategy: str = "hybrid", done: DataFrame | None = None) -> DataFrame:
+def fit_models(frame: CaptureFrame, specs: Sequence[Spec], strategy: str = "hybrid", done: DataFrame | None = None, local_rows: int = LOCAL_ROWS, penalty: Penalty = NO_PENALTY, warm_start: bool = False) -> DataFrame:
     """All models in one job: the grouped counts go to a group for each model.
 
-    ``done`` (with model_id) holds fits of an earlier run, which are not repeated.
+    Where grouping leaves more than ``local_rows`` rows, models are fitted one after another by
+    distributed evaluations.  ``done`` (with model_id) holds fits of an earlier run, which are not repeated.
     """
     spark: SparkSession = frame.df.sparkSession
     todo = dict(enumerate(specs))
@@ -325,37 +509,67 @@ def fit_models(frame: CaptureFrame, specs: Sequence[Spec], strategy: str = "hybr
         todo = {i: s for i, s in todo.items() if i not in gone}
     if not todo:
         return spark.createDataFrame([], FIT_SCHEMA)
-    p, occasions = _prepare(frame, todo), frame.occasions
+    p, occasions, how = _prepare(frame, todo), frame.occasions, How(strategy, penalty)
+    if warm_start:
+        p = _warmed(frame, p, how, local_rows)
+    if not _fits_in_memory(p, local_rows):
+        return spark.createDataFrame([_fit_distributed(p, i, s, occasions, how)[0] for i, s in todo.items()], FIT_SCHEMA)
     ids = spark.createDataFrame([(i,) for i in todo], "model_id int")
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         i = int(key[0])
         cols = p_columns[i]
         need = list(dict.fromkeys(c for cs in cols for c in cs))
-        small = pdf.groupby(["x", "e", "l", *need], as_index=False)["n"].sum()
-        return pd.DataFrame([_fit_local(small, i, todo[i], cols, p_names[i], p_starts[i], occasions, strategy)])
+        few = pdf.groupby(["x", "e", "l", *need], as_index=False)["n"].sum()
+        return pd.DataFrame([_fit_local(few, i, todo[i], cols, p_names[i], p_starts[i], occasions, how)])
 
     p_columns, p_names, p_starts = p.columns, p.names, p.starts
     return p.grouped.crossJoin(F.broadcast(ids)).groupBy("model_id").applyInPandas(run, FIT_SCHEMA)  # ids: a row a model
 
 
-def covariance(frame: CaptureFrame, spec: Spec = Spec(), strategy: str = "hybrid") -> DataFrame:
-    """(row, col, information, covariance, correlation) of the coefficients; null where one is on a bound."""
-    p = _prepare(frame, {0: spec})
-    q = _problem(p.grouped.toPandas(), p.columns[0], frame.occasions)
+def hessian_quality(h: np.ndarray) -> str:
+    """Whether second derivatives can be trusted: "identity", "zero", "not_concave" or "good" (of a maximum)."""
+    d = np.diag(h)
+    if np.allclose(np.abs(d), 1.0, atol=1e-8) and np.allclose(h - np.diag(d), 0.0, atol=1e-8):
+        return "identity"
+    if np.abs(h).max(initial=0.0) < 1e-10:
+        return "zero"
+    return "good" if (np.linalg.eigvalsh(h) < 0).all() else "not_concave"
+
+
+FLOOR = 1e-10
+
+
+def covariance(frame: CaptureFrame, spec: Spec = Spec(), strategy: str = "hybrid", local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """(row, col, information, covariance, correlation, condition, hessian) of the coefficients; null where one is on a bound.
+
+    ``condition`` is the free information's condition number (a pseudo-inverse stands in for the
+    inverse above 1e12); variances are 1e-10 at least.
+    """
+    p, how = _prepare(frame, {0: spec}), How(strategy)
     names = p.names[0]
-    lower, upper = (np.array([BOUNDS[a][i] for a, _ in names]) for i in (0, 1))
-    best = strategy_named(strategy)(lambda t: value_and_gradient(t, q), np.asarray(p.starts[0]), lower, upper)
-    info = -hessian(best.theta, lambda t: value_and_gradient(t, q)[1])
+    lower, upper = _bounds(names, get_model(how.model))
+    if _fits_in_memory(p, local_rows):
+        q = _problem(p.grouped.toPandas(), p.columns[0], frame.occasions)
+        best = strategy_named(strategy)(_local(q, names, how), np.asarray(p.starts[0]), lower, upper)
+    else:
+        best = _fit_distributed(p, 0, spec, frame.occasions, how)[1]
+    info = -best.at.h
     free = (best.theta > lower + 1e-9) & (best.theta < upper - 1e-9)
-    cov = np.full_like(info, np.nan)
-    cov[np.ix_(free, free)] = np.linalg.pinv(info[np.ix_(free, free)])
+    cov, condition = np.full_like(info, np.nan), math.nan
+    if free.any():
+        inner = info[np.ix_(free, free)]
+        condition = float(np.linalg.cond(inner))
+        cov[np.ix_(free, free)] = np.linalg.inv(inner) if condition < 1e12 else np.linalg.pinv(inner)
+        d = np.flatnonzero(free)
+        cov[d, d] = np.maximum(cov[d, d], FLOOR)
     sd = np.sqrt(np.diag(cov))
     some = lambda v: None if np.isnan(v) else float(v)
     label = [f"{a}_{t}" for a, t in names]
     k = range(len(label))
-    rows = [(label[i], label[j], some(info[i, j]), some(cov[i, j]), some(cov[i, j] / (sd[i] * sd[j]))) for i in k for j in k]
-    return frame.df.sparkSession.createDataFrame(rows, "row string, col string, information double, covariance double, correlation double")
+    quality = hessian_quality(best.at.h[np.ix_(free, free)])
+    rows = [(label[i], label[j], some(info[i, j]), some(cov[i, j]), some(cov[i, j] / (sd[i] * sd[j])), some(condition), quality) for i in k for j in k]
+    return frame.df.sparkSession.createDataFrame(rows, "row string, col string, information double, covariance double, correlation double, condition double, hessian string")
 
 
 def strategies_compared(frame: CaptureFrame, spec: Spec = Spec(), names: Sequence[str] = ("newton", "multi_start", "adam")) -> DataFrame:
@@ -374,30 +588,168 @@ def parameters(fits: DataFrame) -> DataFrame:
     return fits.select("model_id", F.explode("params").alias("q")).select("model_id", "q.*")
 
 
-def bootstrap(frame: CaptureFrame, spec: Spec = Spec(), replicates: int = 100, seed: int = 42) -> DataFrame:
-    """(rep, param, term, estimate): refits on resampled individuals.
+def _poisson(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Poisson draws by inversion; above 500 by the normal curve."""
+    mean = mean.astype(float)
+    out = np.zeros(len(mean))
+    term = np.exp(-np.minimum(mean, 500))
+    total, k = term.copy(), 0
+    while (open_ := (u > total) & (mean <= 500) & (term > 0)).any():
+        k += 1
+        term = term * mean / k
+        out[open_] += 1
+        total = total + term
+    big = mean > 500
+    if big.any():
+        from fieldmark.functions.dist import normal_quantile
+
+        out[big] = np.maximum(0, np.round(mean[big] + np.sqrt(mean[big]) * np.array([normal_quantile(float(x)) for x in u[big]])))
+    return out
+
+
+BOOT_SCHEMA = "rep int, param string, term string, estimate double, converged boolean"
+
+
+def bootstrap(frame: CaptureFrame, spec: Spec = Spec(), replicates: int = 100, seed: int = 42, local_rows: int = LOCAL_ROWS, fit_fn: Callable[[pd.DataFrame], Mapping[tuple[str, str], float]] | None = None) -> DataFrame:
+    """(rep, param, term, estimate, converged): refits on resampled individuals; a replicate that fails has null estimates.
 
     Resampling n individuals with replacement is a multinomial draw over the grouped counts, made in
-    each replicate's task; replicates that fail are missing.
+    each replicate's task; above ``local_rows`` grouped rows, Poisson weights by row and distributed
+    evaluations, one replicate after another.  ``fit_fn`` stands in for the fit: it gets grouped rows
+    (x, e, l, design columns, n) and returns estimates by (param, term).
     """
     p, occasions, spark = _prepare(frame, {0: spec}), frame.occasions, frame.df.sparkSession
-    cols, names, start = p.columns[0], p.names[0], p.starts[0]
+    cols, names, start, how = p.columns[0], p.names[0], p.starts[0], How()
+
+    def rows_of(rep: int, got: dict | None) -> list[tuple]:
+        ok = got is not None and got["converged"]
+        found = {(q["param"], q["term"]): q["estimate"] for q in got["params"]} if ok else {}
+        return [(rep, a, t, found.get((a, t)), ok) for a, t in names]
+
+    if not _fits_in_memory(p, local_rows):
+        rows, key = _needed(p, 0), [c for c in _needed(p, 0).columns if c != "n"]
+        out = []
+        for rep in range(replicates):
+            u = (F.pmod(F.xxhash64(F.lit(f"{seed}-{rep}"), *key), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
+
+            def draw(batches):
+                for pdf in batches:
+                    yield pdf.assign(n=_poisson(pdf["n"].to_numpy(), pdf["u"].to_numpy())).drop(columns="u").query("n > 0")
+
+            kinds = ", ".join(f"{f.name} {'double' if f.name == 'n' else f.dataType.simpleString()}" for f in rows.schema)
+            drawn = rows.withColumn("u", u).mapInPandas(draw, kinds)
+            out += rows_of(rep, _fit_distributed(p, 0, spec, occasions, how, rows=drawn)[0])
+        return spark.createDataFrame(out, BOOT_SCHEMA)
     reps = spark.range(replicates).select(F.col("id").cast("int").alias("rep"))
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([c for c in pdf.columns if c not in ("rep", "n")])
         n = pdf["n"].to_numpy()
         drawn = np.random.default_rng([seed, int(key[0])]).multinomial(n.sum(), n / n.sum())
-        got = _fit_local(pdf.assign(n=drawn)[drawn > 0], 0, spec, cols, names, start, occasions, "hybrid")
-        rows = [(int(key[0]), q["param"], q["term"], q["estimate"]) for q in got["params"]] if got["converged"] else []
-        return pd.DataFrame(rows, columns=["rep", "param", "term", "estimate"])
+        sample = pdf.assign(n=drawn)[drawn > 0]
+        if fit_fn:
+            got = {"converged": True, "params": [{"param": a, "term": t, "estimate": v} for (a, t), v in fit_fn(sample.drop(columns="rep")).items()]}
+        else:
+            got = _fit_local(sample, 0, spec, cols, names, start, occasions, how)
+        return pd.DataFrame(rows_of(int(key[0]), got), columns=["rep", "param", "term", "estimate", "converged"])
+
+    return p.grouped.crossJoin(F.broadcast(reps)).groupBy("rep").applyInPandas(run, BOOT_SCHEMA)
+
+
+def bootstrap_summary(reps: DataFrame, estimates: DataFrame | None = None) -> DataFrame:
+    """Per coefficient: replicates and failures, mean, standard error, 95 % and 99 % intervals; with ``estimates``
+    (param, term, estimate) bias and the bias-corrected estimate.  Over half failures are an error when the table is used."""
+    at = lambda q: F.percentile("estimate", F.lit(q))
+    out = reps.groupBy("param", "term").agg(
+        F.count(F.lit(1)).alias("replicates"), F.count_if(~F.col("converged")).alias("failed"), F.avg("estimate").alias("mean"), F.stddev_samp("estimate").alias("se"),
+        at(0.025).alias("ci_lower"), at(0.975).alias("ci_upper"), at(0.005).alias("ci99_lower"), at(0.995).alias("ci99_upper"),
+    )
+    many = F.col("failed") * 2 > F.col("replicates")
+    out = out.withColumn("failed", F.when(many, F.raise_error(F.concat(F.col("failed").cast("string"), F.lit(" of "), F.col("replicates").cast("string"), F.lit(" bootstrap fits failed"))).cast("long")).otherwise(F.col("failed")))
+    if estimates is None:
+        return out
+    out = out.join(estimates.select("param", "term", "estimate"), ["param", "term"])
+    return out.withColumn("bias", F.col("mean") - F.col("estimate")).withColumn("corrected", F.col("estimate") - F.col("bias"))
 
-    return p.grouped.crossJoin(F.broadcast(reps)).groupBy("rep").applyInPandas(run, "rep int, param string, term string, estimate double")
 
+def bootstrap_covariance(reps: DataFrame) -> DataFrame:
+    """(row, col, covariance, correlation) of estimates over replicates (a replicate has few coefficients)."""
+    label = F.concat_ws("_", "param", "term")
+    a, b = (reps.where("converged").select("rep", label.alias(x), F.col("estimate").alias(f"v_{x}")) for x in ("row", "col"))
+    both = a.join(b, "rep").groupBy("row", "col")
+    out = both.agg(F.covar_samp("v_row", "v_col").alias("covariance"), F.stddev_samp("v_row").alias("_s"), F.stddev_samp("v_col").alias("_t"))
+    return out.withColumn("correlation", F.try_divide(F.col("covariance"), F.col("_s") * F.col("_t"))).drop("_s", "_t")
 
-def bootstrap_summary(reps: DataFrame, level: float = 0.95) -> DataFrame:
-    a = (1 - level) / 2
-    return reps.groupBy("param", "term").agg(
-        F.count(F.lit(1)).alias("replicates"), F.avg("estimate").alias("mean"), F.stddev_samp("estimate").alias("se"),
-        F.percentile("estimate", F.lit(a)).alias("ci_lower"), F.percentile("estimate", F.lit(1 - a)).alias("ci_upper"),
-    )
+
+def predicted(frame: CaptureFrame, row: Mapping) -> DataFrame:
+    """``frame.df`` with phi, p, f, lambda and log_likelihood of each individual under a fit (a row of ``FIT_SCHEMA``)."""
+    from fieldmark.functions import links
+
+    formulas = Spec(row["phi"], row["p"], row["f"]).formulas()
+    used = tuple(dict.fromkeys(v for fo in formulas.values() for v in fo.variables))
+    data = describe(frame.df, used, frame.occasions)
+    eta = {}
+    for k in PARAMETERS:
+        own = [q["estimate"] for q in sorted((q for q in row["params"] if q["param"] == k), key=lambda q: q["idx"])]
+        eta[k] = links.linear(design(formulas[k], data), own)
+    out = frame.df.withColumns({"phi": links.inv_logit(eta["phi"]), "p": links.inv_logit(eta["p"]), "f": F.exp(eta["f"])})
+    return out.withColumns({"lambda": F.col("phi") + F.col("f"), "log_likelihood": links.log_likelihood("phi", "p", "f", frame.occasions)})
+
+
+def prediction_summary(rates: DataFrame, n_parameters: int) -> DataFrame:
+    """One row over predicted individuals: mean and sd (over n) of phi, p and f, the growth rate's summary, log-likelihood and AIC."""
+    from fieldmark.operators.infer import growth_summary
+
+    grow = growth_summary(rates, F.col("lambda"))
+    each = [g(k).alias(f"{k}_{s}") for k in PARAMETERS for g, s in ((F.avg, "mean"), (F.stddev_pop, "sd"))]
+    one = rates.agg(*each, F.sum("log_likelihood").alias("log_likelihood")).withColumn("aic", 2.0 * n_parameters - 2.0 * F.col("log_likelihood"))
+    return one.crossJoin(F.broadcast(grow.select(*[F.col(c).alias(f"lambda_{c}") for c in grow.columns])))  # one row each
+
+
+VALIDATION_SCHEMA = "model_id int, repeat int, fold int, train_ll double, train_n long, val_ll double, val_n long, n_parameters int, converged boolean, params array<struct<param:string,term:string,estimate:double>>"
+
+
+def cross_validated(frame: CaptureFrame, specs: Sequence[Spec], k: int = 5, repeats: int = 1, seed: int = 42, id_col: str = "id", share: float | None = None) -> DataFrame:
+    """Fits on the rest of each fold, judged on the fold: a row for each model, repeat and fold, all in one job.
+
+    Folds are hash ranges of the id; with ``share``, one split with that share held out instead.
+    """
+    from fieldmark.operators.sampling import uniform
+
+    spark, occasions, how = frame.df.sparkSession, frame.occasions, How()
+    todo = dict(enumerate(specs))
+    fold = lambda r: (F.floor(uniform(seed + r, id_col) * k) if share is None else (uniform(seed + r, id_col) >= share)).cast("int")
+    each = frame.df.withColumn("_r", F.explode(F.array(*[F.struct(F.lit(r).alias("repeat"), fold(r).alias("part")) for r in range(repeats)])))
+    p = _prepare(frame, todo)
+    columns = dict(_design_columns(frame, todo))
+    grouped = each.groupBy(F.col("_r.repeat").alias("repeat"), F.col("_r.part").alias("part"), "x", "e", "l", *[c.alias(name) for name, c in columns.items()]).agg(F.count(F.lit(1)).alias("n"))
+    jobs = spark.createDataFrame([(i, r, j) for i in todo for r in range(repeats) for j in (range(k) if share is None else (0,))], "model_id int, r int, fold int")
+    p_columns, p_names, p_starts = p.columns, p.names, p.starts
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        i, r, j = (int(x) for x in key)
+        cols, names = p_columns[i], p_names[i]
+        out = pdf["part"] == j
+        got = _fit_local(pdf[~out], i, todo[i], cols, names, p_starts[i], occasions, how)
+        theta = np.array([q["estimate"] for q in got["params"]])
+        val = sums(theta, _problem(pdf[out], cols, occasions))[0] if out.any() else 0.0
+        params = [{x: q[x] for x in ("param", "term", "estimate")} for q in got["params"]]
+        return pd.DataFrame([{"model_id": i, "repeat": r, "fold": j, "train_ll": got["log_likelihood"], "train_n": got["n"], "val_ll": float(val), "val_n": int(pdf.loc[out, "n"].sum()), "n_parameters": got["n_parameters"], "converged": got["converged"], "params": params}])
+
+    both = grouped.join(F.broadcast(jobs), F.col("repeat") == F.col("r")).drop("repeat")  # a row a model, repeat and fold
+    return both.groupBy("model_id", F.col("r").alias("repeat"), "fold").applyInPandas(run, VALIDATION_SCHEMA)
+
+
+def selection_workflow(frame: CaptureFrame, specs: Sequence[Spec], share: float = 0.2, seed: int = 42, id_col: str = "id") -> DataFrame:
+    """Fit on a training part, judge on the rest, compare: ranks by AIC and by loss, weights, overfitting and its label."""
+    from fieldmark.operators.select import comparison, overfitting_label
+
+    rows = cross_validated(frame, specs, repeats=1, seed=seed, id_col=id_col, share=share).drop("repeat", "fold", "params")
+    rows = rows.withColumns({
+        "aic": 2.0 * F.col("n_parameters") - 2.0 * F.col("train_ll"), "loss": F.try_divide(-F.col("val_ll"), F.col("val_n")),
+        "overfitting": F.abs(F.try_divide(F.col("train_ll") / F.col("train_n") - F.try_divide(F.col("val_ll"), F.col("val_n")), F.col("train_ll") / F.col("train_n"))),
+    })
+    from pyspark.sql import Window
+
+    out = comparison(rows.where("converged")).withColumnRenamed("rank", "ic_rank")
+    return out.withColumn("loss_rank", F.row_number().over(Window.orderBy("loss", "model_id"))).withColumn("label", overfitting_label(F.col("overfitting")))

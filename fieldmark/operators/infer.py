@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -10,11 +11,17 @@ from fieldmark.functions import links
 from fieldmark.functions.dist import chi2_sf
 
 Z95 = 1.959963984540054
+MOST_MODELS = 10_000
+
+
+@F.pandas_udf(DoubleType())
+def _chi2_sf(stat: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(x) or pd.isna(d) else float(chi2_sf(x, d)) for x, d in zip(stat, df)], dtype=float)
 
 
 def chi2_p(stat: Column, df: Column) -> Column:
     """Upper tail of chi-square; over small result tables."""
-    return F.udf(lambda x, d: None if x is None or d is None else float(chi2_sf(x, d)), DoubleType())(stat, df)
+    return _chi2_sf(stat.cast("double"), df.cast("double"))
 
 
 def with_criteria(df: DataFrame, ll: str = "log_likelihood", k: str = "n_parameters", n: str = "n", c_hat: float = 1.0) -> DataFrame:
@@ -53,23 +60,42 @@ def residuals(df: DataFrame, observed: str = "observed", expected: str = "expect
     return df.withColumns({"pearson": pearson, "deviance": dev, "standardised": pearson / F.sqrt(share)})
 
 
-def quick_fit_test(ll: Column, n: Column, k: Column) -> dict[str, Column]:
-    return {"deviance": -2.0 * ll, "df": n - k, "c_hat": F.try_divide(-2.0 * ll, (n - k).cast("double"))}
+def quick_fit_test(df: DataFrame, ll: str = "log_likelihood", n: str = "n", k: str = "n_parameters", with_p: bool = True) -> DataFrame:
+    """Deviance -2 LL, its degrees of freedom n - k, their ratio, and the chi-square p value."""
+    out = df.withColumns({"deviance": -2.0 * F.col(ll), "df": F.col(n) - F.col(k)})
+    out = out.withColumn("c_hat", F.try_divide(F.col("deviance"), F.col("df").cast("double")))
+    return out.withColumn("p", chi2_p(F.col("deviance"), F.greatest(F.col("df"), F.lit(1)))) if with_p else out
+
+
+def diagnostics(cells: DataFrame, log_likelihood: float, n_parameters: int, n: int, with_p: bool = True) -> DataFrame:
+    """One row: goodness of fit over cells, then criteria, divided by c_hat where the data are overdispersed."""
+    g = goodness(cells, parameters=n_parameters)
+    if with_p:
+        g = g.withColumns({"pearson_p": chi2_p(F.col("pearson"), F.col("df")), "deviance_p": chi2_p(F.col("deviance"), F.col("df"))})
+    one = g.withColumnRenamed("deviance", "g2").withColumns({"log_likelihood": F.lit(float(log_likelihood)), "n_parameters": F.lit(n_parameters), "n": F.lit(n)})
+    one = with_criteria(one)
+    c = F.when(F.col("overdispersed"), F.col("c_hat")).otherwise(F.lit(1.0))
+    return one.withColumns({"qaic": F.col("aic") / c, "qaicc": F.col("aicc") / c})
 
 
-def pairwise(df: DataFrame, ic: str = "aic", id_col: str = "model_id") -> DataFrame:
-    """Every two models: difference and relative likelihood (models are few)."""
-    a, b = (df.select(F.col(id_col).alias(f"{s}_id"), F.col(ic).alias(s)) for s in ("a", "b"))
-    return a.join(b, F.col("a_id") < F.col("b_id")).select("a_id", "b_id", (F.col("a") - F.col("b")).alias("delta"), F.exp(-F.abs(F.col("a") - F.col("b")) / 2.0).alias("relative_likelihood"))
+def pairwise(df: DataFrame, ic: str = "aic", id_col: str = "model_id", also: tuple[str, ...] = ()) -> DataFrame:
+    """Every two models (they are few): difference and relative likelihood, and differences by the criteria ``also``."""
+    if (n := df.count()) > MOST_MODELS:
+        raise ValueError(f"{n} models to pair; at most {MOST_MODELS}")
+    side = lambda s: df.select(F.col(id_col).alias(f"{s}_id"), F.col(ic).alias(s), *[F.col(c).alias(f"{s}_{c}") for c in also])
+    more = [(F.col(f"a_{c}") - F.col(f"b_{c}")).alias(f"delta_{c}") for c in also]
+    both = side("a").join(side("b"), F.col("a_id") < F.col("b_id"))
+    return both.select("a_id", "b_id", (F.col("a") - F.col("b")).alias("delta"), *more, F.exp(-F.abs(F.col("a") - F.col("b")) / 2.0).alias("relative_likelihood"))
 
 
 def growth_summary(df: DataFrame, value: Column, weight: str | None = None) -> DataFrame:
-    """mean, median, sd (over n), least, most and quartiles of the growth rate."""
-    v = df.select(value.alias("v"), *([F.col(weight).alias("w")] if weight else []))
-    return v.agg(
-        F.avg("v").alias("mean"), F.median("v").alias("median"), F.stddev_pop("v").alias("sd"), F.min("v").alias("least"), F.max("v").alias("most"),
-        F.percentile("v", F.lit(0.25)).alias("q25"), F.percentile("v", F.lit(0.75)).alias("q75"),
-    )
+    """mean, median, sd (over n), least, most and quartiles of the growth rate; ``weight`` counts the individuals of a row."""
+    v = df.select(value.alias("v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("w"))
+    v = v.groupBy("v").agg(F.sum("w").alias("w")).where("w > 0")  # values once each, so the quantiles' task holds distinct ones only
+    n, mean = F.sum("w"), F.sum(F.col("v") * F.col("w")) / F.sum("w")
+    at = lambda q: F.percentile("v", F.lit(q), F.col("w"))
+    sd = F.sqrt(F.greatest(F.sum(F.col("v") * F.col("v") * F.col("w")) / n - mean * mean, F.lit(0.0)))
+    return v.agg(mean.alias("mean"), at(0.5).alias("median"), sd.alias("sd"), F.min("v").alias("least"), F.max("v").alias("most"), at(0.25).alias("q25"), at(0.75).alias("q75"))
 
 
 def reference_growth(params: DataFrame, group: str) -> DataFrame:

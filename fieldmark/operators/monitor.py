@@ -41,6 +41,7 @@ def executions(tasks: DataFrame, by: str | None = None) -> DataFrame:
     return g.agg(
         F.count(F.lit(1)).alias("tasks"), F.count_if("success").alias("successes"), F.sum("seconds").alias("total_s"), F.avg("seconds").alias("mean_s"),
         F.min("seconds").alias("min_s"), F.max("seconds").alias("max_s"),
+        *([F.max("peak_mb").alias("peak_mb")] if "peak_mb" in tasks.columns else []),
     )
 
 
@@ -50,6 +51,27 @@ def error_types(errors: DataFrame, top: int = 5) -> DataFrame:
     return g.orderBy(F.desc("n"), "error_type").limit(top)
 
 
+def error_summary(errors: DataFrame) -> DataFrame:
+    """(kind, value, n, recovery_rate): errors by severity and by category."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("severity", "category")])).alias("k")
+    return errors.select(each, "recovered").groupBy("k.kind", "k.value").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("recovered").cast("double")).alias("recovery_rate"))
+
+
+def performance_gate(baseline: DataFrame, current: DataFrame, on: str, most: float = 2.0, least: float = 0.9) -> DataFrame:
+    """(key, ratio, success_ratio, passed) from (key, seconds, success_rate): slower than ``most`` times the baseline, or successes under ``least`` of its, fail."""
+    side = lambda df, s: df.select(on, F.col("seconds").alias(f"{s}_s"), F.col("success_rate").alias(f"{s}_r"))
+    j = side(baseline, "a").join(side(current, "b"), on)
+    j = j.select(on, F.try_divide(F.col("b_s"), F.col("a_s")).alias("ratio"), F.try_divide(F.col("b_r"), F.col("a_r")).alias("success_ratio"), "a_r", "b_r")
+    return j.withColumn("passed", F.coalesce(F.col("ratio") <= most, F.lit(True)) & (F.col("b_r") >= least * F.col("a_r"))).drop("a_r", "b_r")
+
+
+def likelihood_gate(baseline: DataFrame, current: DataFrame, on: str, tol: float = 1e-6) -> DataFrame:
+    """(key, ll_diff, warning): log-likelihoods that moved by over ten tolerances."""
+    side = lambda df, s: df.select(on, F.col("log_likelihood").alias(s))
+    j = side(baseline, "a").join(side(current, "b"), on)
+    return j.select(on, F.abs(F.col("b") - F.col("a")).alias("ll_diff")).withColumn("warning", F.col("ll_diff") > 10 * tol)
+
+
 def regression_gate(baseline: DataFrame, current: DataFrame, on: str, value: str = "value", tol: float = 1e-6, rel: float = 1e-4) -> DataFrame:
     """Baseline and current values by key: differences and whether they pass."""
     j = baseline.select(on, F.col(value).alias("was")).join(current.select(on, F.col(value).alias("now")), on, "left")

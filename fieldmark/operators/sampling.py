@@ -1,7 +1,8 @@
 """Reproducible samples, splits, folds and bootstrap weights.
 
-Every draw orders rows by md5 of seed and id, so results don't depend on partitions; per stratum only
-quota rows are ranked, and the order is by hash, so no key is hot but the strata themselves.
+Every draw orders rows by md5 of seed and id, so results don't depend on partitions.  Ranks in that
+order come from counts of 4096 hash buckets a stratum plus a rank within the bucket, so no task
+sorts a whole stratum, and of a sample only buckets that can hold drawn rows are ranked.
 """
 
 from __future__ import annotations
@@ -30,9 +31,21 @@ def tier_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if "tier" in c.lower()]
 
 
-def _ranked(df: DataFrame, id_col: str, seed: int, by: Column) -> DataFrame:
-    """Rows with their place in hash order within strata."""
-    return df.withColumn("_g", by).withColumn("_rank", F.row_number().over(Window.partitionBy("_g").orderBy(order_hash(seed, id_col), F.col(id_col))))
+def _ranked(df: DataFrame, id_col: str, seed: int, by: Column, most: Column | None = None) -> DataFrame:
+    """Rows with their place ``_rank`` (from 1) in hash order within strata ``_g``, and the stratum's size ``_n``.
+
+    With ``most`` (over ``_g`` and ``_n``), buckets that begin beyond that place are left out, which loses no row up to it.
+    """
+    bucket = F.conv(F.substring(order_hash(seed, id_col), 1, 3), 16, 10).cast("int")
+    rows = df.withColumns({"_g": by, "_b": bucket})
+    sizes = rows.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_c"))  # at most 4096 rows a stratum
+    sizes = sizes.withColumns({"_o": F.sum("_c").over(Window.partitionBy("_g").orderBy("_b")) - F.col("_c"), "_n": F.sum("_c").over(Window.partitionBy("_g"))})
+    if most is not None:
+        sizes = sizes.where(F.col("_o") < most)
+    sizes = sizes.select(F.col("_g").alias("_h"), F.col("_b").alias("_k"), "_o", "_n")
+    rows = rows.join(sizes, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_b") == F.col("_k")))
+    within = F.row_number().over(Window.partitionBy("_g", "_b").orderBy(order_hash(seed, id_col), F.col(id_col)))
+    return rows.withColumn("_rank", F.col("_o") + within)
 
 
 def stratified(df: DataFrame, n: int, stratum: Column, share: float = 0.5, id_col: str = "id", seed: int = 42) -> DataFrame:
@@ -43,21 +56,26 @@ def stratified(df: DataFrame, n: int, stratum: Column, share: float = 0.5, id_co
     a = min(int(n * share), c["a"])
     b = min(n - a, c["b"])
     a = min(n - b, c["a"])
-    out = df.withColumn("_s", stratum)
-    # of k of m rows in hash order, all but a vanishing share lie under k/m plus a margin
-    keep = F.lit(False)
-    for flag, k, m in ((True, a, c["a"]), (False, b, c["b"])):
-        cut = min(1.0, k / max(m, 1) + 10.0 * (max(k, 1) ** 0.5 + 10) / max(m, 1))
-        keep = keep | ((F.col("_s") == F.lit(flag)) & (uniform(seed, id_col) <= F.lit(cut)))
-    out = _ranked(out.where(keep), id_col, seed, F.col("_s"))
-    return out.where(F.when(F.col("_s"), F.col("_rank") <= a).otherwise(F.col("_rank") <= b)).select(*df.columns)
+    most = F.when(F.col("_g"), a).otherwise(b)
+    return _ranked(df, id_col, seed, stratum, most).where(F.col("_rank") <= most).select(*df.columns)
 
 
 def train_validation(df: DataFrame, share: float, stratum: Column, id_col: str = "id", seed: int = 42) -> DataFrame:
     """``validation`` flag: per stratum max(1, int(n * share)) rows in hash order."""
-    sizes = df.withColumn("_s", stratum).groupBy("_s").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * F.lit(float(share)))).alias("_q")).select(F.col("_s").alias("_t"), "_q")
-    out = _ranked(df.withColumn("_s", stratum), id_col, seed, F.col("_s")).join(F.broadcast(sizes), F.col("_s").eqNullSafe(F.col("_t")))  # a row a stratum
-    return out.withColumn("validation", F.col("_rank") <= F.col("_q")).drop("_s", "_t", "_q", "_g", "_rank")
+    quota = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(float(share))))
+    return _ranked(df, id_col, seed, stratum).withColumn("validation", F.col("_rank") <= quota).select(*df.columns, "validation")
+
+
+def sample_summary(original: DataFrame, sample: DataFrame, stratum: Column) -> DataFrame:
+    """One row: sizes, their ratio and the stratum's share before and after."""
+    part = lambda df, k: df.agg(F.count(F.lit(1)).alias(f"n_{k}"), F.avg(stratum.cast("double")).alias(f"share_{k}"))
+    one = part(original, "original").crossJoin(F.broadcast(part(sample, "sample")))  # one row each
+    return one.withColumn("ratio", F.try_divide(F.col("n_sample").cast("double"), F.col("n_original").cast("double")))
+
+
+def subset(df: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """Rows whose id is in a table of ids."""
+    return df.join(ids.select(id_col).distinct(), id_col, "left_semi")
 
 
 def folds(df: DataFrame, k: int, id_col: str = "id", seed: int = 42) -> DataFrame:
@@ -84,12 +102,20 @@ def batches(df: DataFrame, size: int, n: int, id_col: str = "id", seed: int = 42
     return df.withColumn("batch", F.floor(uniform(seed, id_col) * max(1, -(-n // size))).cast("int"))
 
 
-def poisson_weight(seed: int | str, id_col: str, most: int = 8) -> Column:
-    """A Poisson(1) bootstrap weight from the hash-uniform; ``most`` and above count as ``most``."""
-    u = uniform(seed, id_col)
-    total, term, out = 0.0, 0.36787944117144233, F.lit(0)
-    for k in range(most):
+def poisson_steps() -> list[float]:
+    """Poisson(1) probabilities of at most 0, 1, ... up to the greatest hash-uniform."""
+    total, term, out = 0.0, 0.36787944117144233, []
+    while total < 1 - 2.0**-33:
         total += term
+        out.append(total)
+        term /= len(out)
+    return out
+
+
+def poisson_weight(seed: int | str, id_col: str) -> Column:
+    """A Poisson(1) bootstrap weight from the hash-uniform, by inversion."""
+    u = uniform(seed, id_col)
+    out = F.lit(0)
+    for total in poisson_steps():
         out = out + F.when(u > F.lit(total), 1).otherwise(0)
-        term /= k + 1
     return out

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def overfitting_label(share: Column) -> Column:
+    return F.when(share < 0.05, "good").when(share < 0.15, "moderate").otherwise("poor")
+
+
 def everything():
     """The whole table as a frame; tables here hold a row a model."""
     return Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -19,7 +23,12 @@ def support(delta: Column) -> Column:
 
 
 def comparison(fits: DataFrame, ic: str = "aic", id_col: str = "model_id", ascending: bool = True) -> DataFrame:
-    """rank, delta, weight, evidence_ratio, cumulative_weight and support by an information criterion."""
+    """rank, delta, weight, evidence_ratio, cumulative_weight and support by an information criterion.
+
+    Where the table says which fits converged, only those are compared.
+    """
+    if "converged" in fits.columns:
+        fits = fits.where("converged")
     if ic not in fits.columns:
         raise ValueError(f"no column {ic!r}")
     by = Window.orderBy(F.col(ic).asc() if ascending else F.col(ic).desc(), F.col(id_col))
@@ -65,7 +74,7 @@ def holdout(df: DataFrame, ll: Column, train: Column, k: int) -> DataFrame:
     })
     one = one.withColumn("difference", F.col("train_each") - F.col("val_each"))
     one = one.withColumn("overfitting", F.try_divide(F.abs("difference"), F.abs("train_each")))
-    return one.withColumn("label", F.when(F.col("overfitting") < 0.05, "good").when(F.col("overfitting") < 0.15, "moderate").otherwise("poor"))
+    return one.withColumn("label", overfitting_label(F.col("overfitting")))
 
 
 def loss_and_ic_ranks(fits: DataFrame, loss: str, ic: str = "aic") -> DataFrame:

@@ -74,11 +74,16 @@ def bounds(one: DataFrame) -> DataFrame:
     return one.withColumn("point", F.sqrt(F.col("lower") * F.col("upper")))
 
 
-def consensus(one: DataFrame) -> DataFrame:
-    """The coverage estimate; where sparsity (``severity``) is extreme, its mean with the bounds' point."""
+def consensus(one: DataFrame, regularised: str | None = None) -> DataFrame:
+    """The coverage estimate; where sparsity (``severity``) is extreme, its mean with the bounds' point.
+
+    ``regularised`` names a column with an estimate from a ridge fit, which joins the mean where it isn't null.
+    """
     one = bounds(coverage_estimate(one))
     extreme = F.col("severity") == "EXTREME"
+    third = F.col(regularised) if regularised else F.lit(None).cast("double")
+    mean = (F.col("estimate") + F.col("point") + F.coalesce(third, F.lit(0.0))) / (F.lit(2.0) + third.isNotNull().cast("double"))
     return one.withColumns({
-        "consensus": F.when(extreme, (F.col("estimate") + F.col("point")) / 2.0).otherwise(F.col("estimate")),
+        "consensus": F.when(extreme, mean).otherwise(F.col("estimate")),
         "method": F.when(extreme, "multi_method_average").otherwise("sample_coverage"),
     })

@@ -51,3 +51,14 @@ def require_histories(df: DataFrame, h: str = "h", occasions: int = 3) -> list[s
     if not r["captures"]:
         raise DataFormatError("nothing was ever captured")
     return [f"{r['never']} individuals were never captured"] if r["never"] else []
+
+
+def fingerprint(df: DataFrame, id_col: str = "id", ch: str = "ch") -> DataFrame:
+    """One row: a digest of all individuals and their histories, whatever their order.
+
+    Count, sum and exclusive or of 60 hash bits a row merge before the shuffle.
+    """
+    text = F.concat_ws(":", F.col(id_col).cast("string"), F.col(ch))
+    h = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    one = df.agg(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(h).alias("x"))
+    return one.select(F.substring(F.md5(F.concat_ws("/", F.col("n").cast("string"), F.col("s").cast("string"), F.col("x").cast("string"))), 1, 16).alias("fingerprint"), "n")

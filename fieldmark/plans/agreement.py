@@ -169,10 +169,10 @@ def model_agreement(spark, sf):
     return rounded(out)
 
 
-@query("resume_models", "WITH m AS (SELECT n_nationkey AS model_id FROM nation) SELECT model_id FROM m WHERE model_id NOT IN (SELECT DISTINCT c_nationkey FROM customer WHERE c_custkey <= 40)")
+@query("resume_models", "WITH done AS (SELECT s_nationkey AS model_id FROM supplier GROUP BY 1 HAVING count(*) % 2 = 0) SELECT n_nationkey AS model_id FROM nation WHERE n_nationkey NOT IN (SELECT model_id FROM done)")
 def resume_models(spark, sf):
-    """Models without a stored fit."""
-    done = table(spark, sf, "customer").where("c_custkey <= 40").select(F.col("c_nationkey").alias("model_id"))
+    """Models without a stored fit; nations with an even number of suppliers stand for those that have one."""
+    done = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("model_id")).agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 0").select("model_id")
     return table(spark, sf, "nation").select(F.col("n_nationkey").alias("model_id")).join(done, "model_id", "left_anti")
 
 
@@ -188,3 +188,70 @@ def formula_grid(spark, sf):
 def tasks_by_dataset(spark, sf):
     """Every model on every data set (both few)."""
     return table(spark, sf, "region").select(F.col("r_name").alias("dataset")).crossJoin(table(spark, sf, "nation").select(F.col("n_nationkey").alias("model_id")))
+
+
+@query("simple_equivalence", f"WITH {_PAIRS}, e AS (SELECT param, abs(a - b) / abs(b) AS r FROM pr) SELECT param, round(r, 6) AS rel_diff, r <= 0.05 AS equivalent FROM e")
+def simple_equivalence(spark, sf):
+    return rounded(agree.simple_equivalence(pairs(spark, sf)).select("param", "rel_diff", "equivalent"))
+
+
+@query("publication_summary", f"""WITH {_PAIRS}, {_CMP}, t AS (
+ SELECT 'overall' AS section, {_SUM} FROM cm UNION ALL SELECT 'type: ' || param_type, {_SUM} FROM cm GROUP BY param_type UNION ALL SELECT 'critical', {_SUM} FROM cm WHERE param LIKE '%intercept%')
+SELECT section, 'n' AS metric, n::DOUBLE AS value, CAST(NULL AS VARCHAR) AS note FROM t UNION ALL SELECT section, 'mean_abs', mean_abs, NULL FROM t UNION ALL SELECT section, 'pass_rate', pass_rate, NULL FROM t
+UNION ALL SELECT 'conclusion', 'pass_rate', pass_rate, CASE WHEN pass_rate >= 0.9 THEN 'excellent' WHEN pass_rate >= 0.8 THEN 'good' WHEN pass_rate >= 0.7 THEN 'acceptable' ELSE 'poor' END FROM t WHERE section = 'overall'""")
+def publication_summary(spark, sf):
+    return rounded(agree.publication_summary(agree.compared(pairs(spark, sf))).where("metric in ('n', 'mean_abs', 'pass_rate')"))
+
+
+@query("convergence_agreement", f"WITH {_PAIRS}, j AS (SELECT s1 < 0.6 AS ca, s2 < 0.6 AS cb FROM pr) SELECT count(*) AS models, count(*) FILTER (ca AND cb) AS both, count(*) FILTER (ca <> cb) AS one, count(*) FILTER (NOT ca AND NOT cb) AS neither, round(avg(CAST(ca = cb AS DOUBLE)), 6) AS agreement FROM j")
+def convergence_agreement(spark, sf):
+    """Fits of both sides that converged; here those with a small standard error."""
+    p = pairs(spark, sf)
+    a, b = (p.select("param", (F.col(f"se_{s}") < 0.6).alias("converged")) for s in "ab")
+    return rounded(agree.convergence_agreement(a, b, ["param"]))
+
+
+@query("status_categories", f"WITH {_PAIRS}, {_CMP} SELECT status AS category, count(*) AS n, round(count(*) / (SELECT count(*) FROM cm)::DOUBLE, 6) AS share FROM cm GROUP BY 1")
+def status_categories(spark, sf):
+    return rounded(agree.categories(agree.compared(pairs(spark, sf)), "status"))
+
+
+@query("stacked_results", f"WITH {_PAIRS} SELECT 'all' AS dataset, param, round(estimate, 6) AS estimate FROM ea UNION ALL SELECT 'half', param, round(estimate, 6) FROM eb")
+def stacked_results(spark, sf):
+    a, b = sides(spark, sf)
+    return rounded(agree.stacked({"all": a.select("param", "estimate"), "half": b.select("param", "estimate")}))
+
+
+@query("fold_metrics", """WITH f AS (SELECT c_mktsegment AS param, c_nationkey AS fold, avg(c_acctbal) AS v, count(*) AS n FROM customer GROUP BY 1, 2), m AS (SELECT c_mktsegment AS param, avg(c_acctbal) AS m FROM customer GROUP BY 1),
+d AS (SELECT param, abs(v - m) AS abs_diff, 100 * abs(v - m) / abs(m) AS rel_pct, n > 1 AS converged FROM f JOIN m USING (param)),
+g AS (SELECT param, count(*) AS n, avg(abs_diff) AS mean_abs, stddev_pop(abs_diff) AS sd_abs, avg(rel_pct) AS mean_rel, stddev_pop(rel_pct) AS sd_rel, avg(CAST(converged AS DOUBLE)) AS convergence_rate FROM d GROUP BY 1)
+SELECT param, n, round(mean_abs, 4) AS mean_abs, round(sd_abs, 4) AS sd_abs, round(mean_rel, 4) AS mean_rel, round(sd_rel, 4) AS sd_rel, round(convergence_rate, 4) AS convergence_rate,
+ CASE WHEN sd_rel / abs(mean_rel) < 0.01 THEN 'very_stable' WHEN sd_rel / abs(mean_rel) < 0.05 THEN 'stable' WHEN sd_rel / abs(mean_rel) < 0.2 THEN 'moderate' ELSE 'unstable' END AS stability FROM g""")
+def fold_metrics(spark, sf):
+    """Differences of each fold's estimate from the whole's."""
+    c = table(spark, sf, "customer")
+    f = c.groupBy(F.col("c_mktsegment").alias("param"), F.col("c_nationkey").alias("fold")).agg(F.avg("c_acctbal").alias("v"), (F.count(F.lit(1)) > 1).alias("converged"))
+    m = c.groupBy(F.col("c_mktsegment").alias("param")).agg(F.avg("c_acctbal").alias("m"))
+    d = f.join(m, "param").withColumns({"abs_diff": F.abs(F.col("v") - F.col("m")), "rel_pct": 100.0 * F.abs(F.col("v") - F.col("m")) / F.abs("m")})
+    return rounded(agree.fold_metrics(d), 4)
+
+
+@query("likelihood_gate", f"WITH {_PAIRS} SELECT param, round(abs(eb.estimate - ea.estimate), 6) AS ll_diff, abs(eb.estimate - ea.estimate) > 0.5 AS warning FROM ea JOIN eb USING (param)")
+def likelihood_gate(spark, sf):
+    a, b = (x.select("param", F.col("estimate").alias("log_likelihood")) for x in sides(spark, sf))
+    return rounded(monitor.likelihood_gate(a, b, "param", tol=0.05))
+
+
+@query("performance_gate", """WITH g AS (SELECT c_nationkey % 5 AS task, avg(abs(c_acctbal)) AS a, avg(CAST(c_acctbal > 0 AS DOUBLE)) AS r, avg(abs(c_acctbal)) FILTER (c_custkey % 2 = 0) AS a2, avg(CAST(c_acctbal > 0 AS DOUBLE)) FILTER (c_custkey % 2 = 0) AS r2 FROM customer GROUP BY 1)
+SELECT task, round(a2 / a, 6) AS ratio, round(r2 / r, 6) AS success_ratio, a2 / a <= 1.05 AND r2 >= 0.97 * r AS passed FROM g""")
+def performance_gate(spark, sf):
+    """Times and successes of a run against a baseline; balances stand for seconds."""
+    c = table(spark, sf, "customer").withColumn("task", F.col("c_nationkey") % 5)
+    of = lambda df: df.groupBy("task").agg(F.avg(F.abs("c_acctbal")).alias("seconds"), F.avg((F.col("c_acctbal") > 0).cast("double")).alias("success_rate"))
+    return rounded(monitor.performance_gate(of(c), of(c.where("c_custkey % 2 = 0")), "task", 1.05, 0.97))
+
+
+@query("difference_intervals")
+def difference_intervals(spark, sf):
+    """Bootstrap intervals of the mean difference, with the bias-corrected accelerated one."""
+    return rounded(agree.difference_intervals(pairs(spark, sf), replicates=400))

@@ -48,7 +48,9 @@ def validate_histories(spark, sf):
     return validate.history_report(population(spark, sf).df)
 
 
-@query("validate_matrix", f"WITH {OPEN} SELECT count(*) AS n, 7 AS least, 7 AS most, CAST(0 AS BIGINT) AS not_binary, CAST(sum(x) AS BIGINT) AS captures, count(*) FILTER (x = 0) AS never FROM ind")
+@query("validate_matrix", f"""WITH {OPEN}, a AS (SELECT x, ch, [{', '.join(f'h{i}' for i in range(T))}] AS h FROM ind)
+SELECT count(*) AS n, CAST(min(len(h)) AS INT) AS least, CAST(max(len(h)) AS INT) AS most, count(*) FILTER (len(list_filter(h, lambda v: v NOT IN (0, 1))) > 0) AS not_binary,
+ CAST(sum(list_sum(h)) AS BIGINT) AS captures, count(*) FILTER (NOT list_contains(h, 1)) AS never FROM a""")
 def validate_matrix(spark, sf):
     return validate.matrix_report(population(spark, sf).df)
 
@@ -146,10 +148,91 @@ def varying_numeric(spark, sf):
     return rounded(df.select("id", *[c.alias(n) for n, c in cols]), 4)
 
 
-@query("varying_levels", f"WITH {OPEN} SELECT id, {', '.join(f'CAST(t{i} = {v} AS INT) AS tier_{v}_t{i}' for i in range(T) for v in (1, 2))} FROM ind")
+@query("varying_levels", f"WITH {OPEN} SELECT id, {', '.join(f'CAST(t{i} = {v} AS INT) * 1.0::DOUBLE AS tier_{v}_t{i}' for i in range(T) for v in (1, 2))} FROM ind")
 def varying_levels(spark, sf):
+    """A time-varying category in a formula: a column an occasion and level but the first."""
+    df = population(spark, sf).df.withColumn("tier", F.col("tier").cast("array<string>"))
+    cols = design(parse("~0 + tier"), describe(df, ("tier",), T))
+    return df.select("id", *[c.alias(n) for n, c in cols])
+
+
+@query("formula_functions", f"WITH {OPEN} SELECT id, round(ln(x + 1), 6) AS log_x, round(sqrt(x), 6) AS sqrt_x, round(sin(x), 6) AS sin_x, round(cos(x), 6) AS cos_x, round(tan(x), 6) AS tan_x, round(exp(-x), 6) AS exp_x FROM ind")
+def formula_functions(spark, sf):
     df = population(spark, sf).df
-    return df.select("id", *[F.when(F.element_at("tier", t + 1) == v, 1).otherwise(0).alias(f"tier_{v}_t{t}") for t in range(T) for v in (1, 2)])
+    cols = design(parse("~0 + log(x + 1) + sqrt(x) + sin(x) + cos(x) + tan(x) + exp(-x)"), describe(df, ("x",), T))
+    return r6(df.select("id", *[c.alias(n) for n, (_, c) in zip(("log_x", "sqrt_x", "sin_x", "cos_x", "tan_x", "exp_x"), cols)]))
+
+
+_LOGS = "ln(greatest(least({v}, 1 - 1e-6), 1e-6))"
+
+
+@query("prior_terms", f"""WITH {OPEN}, q AS (SELECT {_PHI} AS phi, {_F} AS f FROM ind), r AS (SELECT *, greatest(least(phi, 1 - 1e-6), 1e-6) AS c, ln(0.05) + 0.75 * 0.75 AS mu FROM q)
+SELECT round(sum(1.0 * ln(c) + 2.0 * ln(1 - c)), 4) AS beta, round(sum(-ln(f) - power(ln(f) - mu, 2) / (2 * 0.75 * 0.75) - ln(0.75) - 0.5 * ln(2 * pi())), 4) AS recruitment,
+ round(avg(ln(phi + 1e-12) + ln(1 - phi + 1e-12)), 6) AS barrier, round(avg(0.5 * (ln(phi + 1e-12) + ln(1 - phi + 1e-12))), 6) AS jeffreys FROM r""")
+def prior_terms(spark, sf):
+    """Priors and penalties of the objective at given coefficients."""
+    phi, f = _at_coefficients()
+    one = population(spark, sf).df.agg(
+        F.round(F.sum(links.log_beta_prior(phi, 2.0, 3.0)), 4).alias("beta"), F.round(F.sum(links.log_normal_prior(f)), 4).alias("recruitment"),
+        F.round(F.avg(links.barrier(phi)), 6).alias("barrier"), F.round(F.avg(links.barrier(phi, jeffreys=True)), 6).alias("jeffreys"),
+    )
+    return one
+
+
+def _at_coefficients():
+    phi = links.inv_logit(0.5 + 0.3 * (F.col("segment") == "BUILDING").cast("int") - 0.2 * (F.col("segment") == "MACHINERY").cast("int"))
+    return phi, F.exp(-0.9 + 0.1 * (F.col("segment") == "HOUSEHOLD").cast("int"))
+
+
+@query("penalised_objective", f"""WITH {OPEN}, s AS (SELECT sum({ll_sql('1 / (1 + exp(-0.5))', '1 / (1 + exp(-1.2))', 'exp(-0.9)')}) AS ll FROM ind)
+SELECT round(ll, 4) AS ll, round(ll - 0.1 * (0.25 + 1.44 + 0.81), 4) AS l2, round(ll, 4) AS ridge FROM s""")
+def penalised_objective(spark, sf):
+    """The objective of the optimiser at given coefficients: plain, with an L2 penalty on all, with a ridge that spares intercepts."""
+    import numpy as np
+
+    from fieldmark.operators.fit import Penalty, Problem, point, sums
+
+    theta, names = np.array([0.5, 1.2, -0.9]), [("phi", "(Intercept)"), ("p", "(Intercept)"), ("f", "(Intercept)")]
+
+    def run(batches):
+        for pdf in batches:
+            one = np.ones((len(pdf), 1))
+            q = Problem(*(pdf[c].to_numpy(float) for c in ("x", "e", "l", "n")), (one, one, one), T)
+            yield pdf.head(1).assign(s=[sums(theta, q).tolist()])[["s"]] if len(pdf) else pdf.assign(s=None)[["s"]]
+
+    part = compressed(population(spark, sf).df).mapInPandas(run, "s array<double>")
+    total = np.array(part.agg(*[F.sum(F.col("s")[j]) for j in range(14)]).first(), float)
+    value = lambda p: float(point(theta, total, p, p.mask(names)).value)
+    return spark.createDataFrame([(round(float(total[0]), 4), round(value(Penalty(ridge=0.1, intercepts=True)), 4), round(value(Penalty(ridge=0.1)), 4))], "ll double, l2 double, ridge double")
+
+
+_ROW = {
+    "phi": "~segment", "p": "~1", "f": "~segment",
+    "params": [{"param": k, "idx": i, "estimate": v} for k, own in (("phi", [0.5, 0.3, 0.1, 0.0, -0.2]), ("p", [1.1]), ("f", [-0.9, 0.0, 0.05, 0.1, 0.0])) for i, v in enumerate(own)],
+}
+_SEGMENT = lambda values: "(CASE segment " + " ".join(f"WHEN '{s}' THEN {v}::DOUBLE" for s, v in values.items()) + " ELSE 0.0::DOUBLE END)"
+_PHI2 = f"(1 / (1 + exp(-(0.5 + {_SEGMENT({'BUILDING': 0.3, 'FURNITURE': 0.1, 'MACHINERY': -0.2})}))))"
+_F2, _P2 = f"exp(-0.9 + {_SEGMENT({'FURNITURE': 0.05, 'HOUSEHOLD': 0.1})})", "(1 / (1 + exp(-1.1)))"
+
+
+@query("predicted_rates", f"WITH {OPEN}, q AS (SELECT *, {_PHI2} AS phi, {_P2} AS p, {_F2} AS f FROM ind) SELECT id, round(phi, 6) AS phi, round(p, 6) AS p, round(f, 6) AS f, round(phi + f, 6) AS lambda, round({ll_sql('phi', 'p', 'f')}, 6) AS log_likelihood FROM q")
+def predicted_rates(spark, sf):
+    """Survival, detection, recruitment and growth of each individual under a fit's coefficients."""
+    from fieldmark.operators.fit import predicted
+
+    return r6(predicted(population(spark, sf), _ROW).select("id", "phi", "p", "f", "lambda", "log_likelihood"))
+
+
+@query("prediction_summary", f"""WITH {OPEN}, q AS (SELECT *, {_PHI2} AS phi, {_P2} AS p, {_F2} AS f FROM ind)
+SELECT round(avg(phi), 6) AS phi_mean, round(stddev_pop(phi), 6) AS phi_sd, round(avg(p), 6) AS p_mean, round(stddev_pop(p), 6) AS p_sd, round(avg(f), 6) AS f_mean, round(stddev_pop(f), 6) AS f_sd,
+ round(sum({ll_sql('phi', 'p', 'f')}), 4) AS log_likelihood, round(22 - 2 * sum({ll_sql('phi', 'p', 'f')}), 4) AS aic, round(avg(phi + f), 6) AS lambda_mean, round(median(phi + f), 6) AS lambda_median,
+ round(min(phi + f), 6) AS lambda_least, round(max(phi + f), 6) AS lambda_most, round(quantile_cont(phi + f, 0.25), 6) AS lambda_q25, round(quantile_cont(phi + f, 0.75), 6) AS lambda_q75 FROM q""")
+def prediction_summary(spark, sf):
+    from fieldmark.operators.fit import predicted
+    from fieldmark.operators.fit import prediction_summary as summary
+
+    one = summary(predicted(population(spark, sf), _ROW), len(_ROW["params"])).drop("lambda_sd")
+    return r6(one.withColumns({c: F.round(c, 4) for c in ("log_likelihood", "aic")}))
 
 
 @query("recodes", """SELECT c_custkey AS id, CASE WHEN c_nationkey % 3 = 2 THEN 'Female' ELSE 'Male' END AS gender,
@@ -197,11 +280,11 @@ def consecutive_captures(spark, sf):
     return df.groupBy("occasion").agg(F.sum("v").alias("captured"), F.coalesce(F.sum(again), F.lit(0)).alias("again"), F.count_if(F.col("occasion") == F.col("e")).alias("first"))
 
 
-@query("data_fingerprint", f"WITH {OPEN} SELECT substr(sha256(string_agg(ch, '' ORDER BY id)), 1, 16) AS fingerprint FROM ind WHERE id <= 1000")
+@query("data_fingerprint", f"""WITH {OPEN}, h AS (SELECT CAST('0x' || substr(md5(id || ':' || ch), 1, 15) AS BIGINT) AS h FROM ind)
+SELECT substr(md5(count(*) || '/' || CAST(sum(h) AS VARCHAR) || '/' || bit_xor(h)), 1, 16) AS fingerprint, count(*) AS n FROM h""")
 def data_fingerprint(spark, sf):
-    """Of the first thousand individuals, whose histories fit in one cell."""
-    df = population(spark, sf).df.where("id <= 1000").agg(F.array_sort(F.collect_list(F.struct("id", "ch"))).alias("a"))
-    return df.select(F.substring(F.sha2(F.array_join(F.transform("a", lambda s: s["ch"]), ""), 256), 1, 16).alias("fingerprint"))
+    """Of all individuals."""
+    return validate.fingerprint(population(spark, sf).df)
 
 
 @query("stratum_flags", f"WITH {OPEN} SELECT greatest({', '.join(_TIERS)}) >= 2 AS ever, count(*) AS n FROM ind GROUP BY 1")
@@ -238,7 +321,7 @@ def exact_folds(spark, sf):
     return sampling.exact_folds(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), 5).select("id", "fold")
 
 
-@query("bootstrap_weights", f"WITH u AS (SELECT c_custkey AS id, (CAST('0x' || substr(md5('7-' || c_custkey), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM customer) SELECT id, CAST({' + '.join(f'CAST(u > {t!r}::DOUBLE AS INT)' for t in [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253])} AS INT) AS w FROM u")
+@query("bootstrap_weights", f"WITH u AS (SELECT c_custkey AS id, (CAST('0x' || substr(md5('7-' || c_custkey), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM customer) SELECT id, CAST({' + '.join(f'CAST(u > {t!r}::DOUBLE AS INT)' for t in sampling.poisson_steps())} AS INT) AS w FROM u")
 def bootstrap_weights(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), sampling.poisson_weight(7, "c_custkey").alias("w"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.operators import agree, infer, prepare, sampling
-from fieldmark.operators.fit import FIT_SCHEMA, Spec, bootstrap, bootstrap_summary, covariance, fit, fit_models, formula_grid, parameters, strategies_compared
+from fieldmark.operators.fit import FIT_SCHEMA, Penalty, Spec, bootstrap, bootstrap_covariance, bootstrap_summary, covariance, cross_validated, fit, fit_models, formula_grid, parameters, selection_workflow, strategies_compared
 from fieldmark.operators.select import comparison
 from fieldmark.plans.base import population, query
 from fieldmark.sources.histories import CaptureFrame, rounded
@@ -47,7 +47,11 @@ def fit_continuous(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("bootstrap_refits")
 def bootstrap_refits(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(bootstrap_summary(bootstrap(population(spark, sf), replicates=40)), 4)
+    """Bias, corrected estimates, standard errors and intervals over refits, with the failures."""
+    frame = population(spark, sf)
+    estimates = spark.createDataFrame([fit(frame)], FIT_SCHEMA)
+    reps = bootstrap(frame, replicates=40)
+    return rounded(bootstrap_summary(reps, parameters(estimates)), 4)
 
 
 @query("fit_covariance")
@@ -67,14 +71,57 @@ def fit_simulated(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(parameters(spark.createDataFrame([row], FIT_SCHEMA)), 4)
 
 
+@query("bootstrap_covariance")
+def bootstrap_covariances(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(bootstrap_covariance(bootstrap(population(spark, sf), replicates=40)), 5)
+
+
+@query("fit_penalised")
+def fit_penalised(spark: SparkSession, sf: str) -> DataFrame:
+    """The segment model with a ridge, with priors, and from a warm start."""
+    frame, spec = population(spark, sf), Spec("~segment", "~1", "~1")
+    kinds = {"plain": {}, "ridge": {"penalty": Penalty(ridge=5.0)}, "priors": {"penalty": Penalty(beta=1.0, recruitment=0.5)}, "barrier": {"penalty": Penalty(barrier=2.0)}, "warm": {"warm_start": True, "strategy": "auto"}}
+    rows = [(k, q["param"], q["term"], q["estimate"], r["log_likelihood"]) for k, how in kinds.items() for r in [fit(frame, spec, **how)] for q in r["params"]]
+    return rounded(spark.createDataFrame(rows, "kind string, param string, term string, estimate double, log_likelihood double"), 4)
+
+
+@query("fit_varying_levels")
+def fit_varying_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Detection by a category that varies in time."""
+    frame = population(spark, sf)
+    df = frame.df.withColumn("tier", F.col("tier").cast("array<string>"))
+    row = fit(CaptureFrame(df, frame.occasions, frame.names, frame.covariates), Spec("~1", "~tier", "~1"))
+    return rounded(parameters(spark.createDataFrame([row], FIT_SCHEMA)).select("param", "term", "estimate"), 3)
+
+
+@query("cross_validation")
+def cross_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """Two models refitted without each of five folds and judged on it; consistency over folds."""
+    rows = cross_validated(population(spark, sf), CANDIDATES[:2], k=5)
+    return rounded(agree.fold_likelihoods(rows, ["model_id"]), 4)
+
+
+@query("model_selection")
+def model_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates fitted on a training part, judged on the rest and ranked both ways."""
+    out = selection_workflow(population(spark, sf), CANDIDATES)
+    return rounded(out.select("model_id", "n_parameters", "train_ll", "val_ll", "aic", "ic_rank", "weight", "loss", "loss_rank", "overfitting", "label"), 4)
+
+
 @query("agreement_pipeline")
 def agreement_pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    """Fits on two hash halves, their estimates paired, compared and put through the gate."""
+    """All candidates fitted on two hash halves; parameters and models compared, and the whole put through the gate."""
     frame = population(spark, sf)
-    sides = []
+    fits = []
     for first in (True, False):
         half = frame.df.where((sampling.uniform(3, "id") < 0.5) == F.lit(first))
-        fits = fit_models(CaptureFrame(half, frame.occasions, frame.names, frame.covariates), [Spec()])
-        sides.append(parameters(fits).select(F.concat_ws("_", "param", F.lit("intercept")).alias("param"), "estimate", "se"))
-    cmp = agree.compared(agree.paired(*sides, ["param"]))
-    return rounded(agree.simple_gate(cmp), 6)
+        fits.append(fit_models(CaptureFrame(half, frame.occasions, frame.names, frame.covariates), CANDIDATES).persist())
+    name = F.concat_ws("_", "param", F.lower(F.regexp_replace("term", r"[()]", "")))
+    cmp = agree.compared(agree.paired(*[parameters(f).select(F.col("model_id").alias("model"), name.alias("param"), "estimate", "se") for f in fits], ["model", "param"]))
+    side = lambda f, s: f.select(F.col("model_id").alias("model"), F.col("aic").alias(f"aic_{s}"), F.col("log_likelihood").alias(f"ll_{s}"), F.col("converged").alias(f"c_{s}"))
+    models = agree.models_compared(side(fits[0], "a").join(side(fits[1], "b"), "model"), cmp)
+    q = agree.quality_metrics(cmp).crossJoin(F.broadcast(models.agg(F.avg(F.col("status").isin("EXCELLENT", "GOOD", "ACCEPTABLE").cast("double")).alias("concordance"), F.avg((F.col("c_a") & F.col("c_b")).cast("double")).alias("reliability"))))  # one row each
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).alias("value")) for m, c in (("parameter_accuracy", "accuracy_rate"), ("statistical_power", "equivalence_rate"), ("model_concordance", "concordance"), ("convergence_reliability", "reliability"))])
+    gate = agree.gate(q.select(F.explode(rows).alias("r")).select("r.*"))
+    simple = agree.simple_gate(cmp).withColumnRenamed("decision", "simple_decision")
+    return rounded(gate.select("score", "risk", "decision").crossJoin(F.broadcast(simple)), 6)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldmark.operators import monitor, sparse
+from fieldmark.operators import monitor, sampling, sparse
 from fieldmark.plans.base import CLOSED, OPEN, T, population, query, table
 from fieldmark.sources.histories import from_events, rounded
 
+_UNIFORM = "((CAST('0x' || substr(md5('42-' || id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
 _COUNTS = "count(*) AS n, count(*) FILTER (x = 0) AS never, count(*) FILTER (x = 1) AS once, count(*) FILTER (x = 2) AS twice, count(*) FILTER (x > 1) AS multiple, CAST(sum(x) AS BIGINT) AS captures"
 _MONTHS = "mon AS (SELECT c_custkey AS id, count(DISTINCT month(o_orderdate)) FILTER (year(o_orderdate) = 1996) AS x FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)"
 
@@ -57,19 +58,54 @@ def conservative_bounds(spark, sf):
     return rounded(sparse.bounds(sparse.counts(monthly(spark, sf), 12)).select("lower", "upper", "point"), 4)
 
 
-@query("sparse_consensus")
+_MONTHLY = "mp AS (SELECT c_custkey AS id, " + " || ".join(f"CAST(coalesce(max(CASE WHEN year(o_orderdate) = 1996 AND month(o_orderdate) = {m} THEN 1 END), 0) AS VARCHAR)" for m in range(1, 13)) + " AS ch FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)"
+
+
+@query("sparse_consensus", f"""WITH {_MONTHS}, {_MONTHLY}, {_CHAO}, p AS (SELECT ch, count(*) AS k FROM mp GROUP BY ch), g AS (SELECT 100.0::DOUBLE * count(*) FILTER (k <= 3) / count(*) AS sparse_pct FROM p),
+z AS (SELECT *, coalesce(multi / nullif(n - never, 0), 0) AS coverage FROM w, g), y AS (SELECT *, {_SEVERITY} AS severity FROM z)
+SELECT severity, round(CASE WHEN severity = 'EXTREME' THEN (estimate + sqrt(lower * upper)) / 2 ELSE estimate END, 4) AS consensus, CASE WHEN severity = 'EXTREME' THEN 'multi_method_average' ELSE 'sample_coverage' END AS method FROM y""")
 def sparse_consensus(spark, sf):
     return rounded(sparse.consensus(sparse.sparsity(monthly(spark, sf), 12)).select("severity", "consensus", "method"), 4)
 
 
-@query("purchase_days", "WITH d AS (SELECT user_id AS id, count(DISTINCT date_diff('day', (SELECT min(date_trunc('day', ts)) FROM events), date_trunc('day', ts))) FILTER (date_diff('day', (SELECT min(date_trunc('day', ts)) FROM events), date_trunc('day', ts)) < 30) AS x FROM events WHERE event_type = 'purchase' GROUP BY 1) SELECT CAST(x AS INT) AS x, count(*) AS n FROM d GROUP BY 1")
+@query("purchase_days", "WITH d AS (SELECT user_id AS id, count(DISTINCT date_trunc('day', ts)) AS x FROM events WHERE event_type = 'purchase' GROUP BY 1) SELECT CAST(x AS INT) AS x, count(*) AS n FROM d GROUP BY 1")
 def purchase_days(spark, sf):
-    """Users by days with a purchase: 30 daily occasions from the event log."""
+    """Users by days with a purchase: an occasion for each day of the event log."""
     ev = table(spark, sf, "events").select("user_id", "ts", "event_type")
-    first = F.broadcast(ev.agg(F.min(F.to_date("ts")).alias("d0")))  # one row
-    buys = ev.where("event_type = 'purchase'").crossJoin(first).withColumn("day", F.datediff(F.to_date("ts"), F.col("d0")))
+    span = ev.agg(F.min(F.to_date("ts")).alias("d0"), F.max(F.to_date("ts")).alias("d1")).first()
+    buys = ev.where("event_type = 'purchase'").withColumn("day", F.datediff(F.to_date("ts"), F.lit(span["d0"])))
     users = buys.select(F.col("user_id").alias("id")).distinct()
-    return from_events(users, buys, "id", F.col("day"), list(range(30)), "user_id").df.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    return from_events(users, buys, "id", F.col("day"), list(range((span["d1"] - span["d0"]).days + 1)), "user_id").df.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ERRORS = "er AS (SELECT event_type AS category, CASE WHEN value IS NULL THEN 'low' WHEN value > 40 THEN 'high' ELSE 'medium' END AS severity, event_id % 3 = 0 AS recovered FROM events)"
+
+
+@query("error_summary", f"WITH {_ERRORS} SELECT 'severity' AS kind, severity AS value, count(*) AS n, round(avg(CAST(recovered AS DOUBLE)), 6) AS recovery_rate FROM er GROUP BY 2 UNION ALL SELECT 'category', category, count(*), round(avg(CAST(recovered AS DOUBLE)), 6) FROM er GROUP BY 2")
+def error_summary(spark, sf):
+    """Events as errors, by severity and category."""
+    e = table(spark, sf, "events").select(F.col("event_type").alias("category"), F.when(F.col("value").isNull(), "low").when(F.col("value") > 40, "high").otherwise("medium").alias("severity"), (F.col("event_id") % 3 == 0).alias("recovered"))
+    return rounded(monitor.error_summary(e))
+
+
+@query("task_memory", "SELECT event_type AS worker, count(*) AS tasks, count(*) FILTER (coalesce(value, 0) > 20) AS successes, round(max(coalesce(value, 0)), 6) AS peak_mb FROM events GROUP BY 1")
+def task_memory(spark, sf):
+    """Events as tasks of workers: counts and the greatest memory."""
+    v = F.coalesce("value", F.lit(0.0))
+    t = table(spark, sf, "events").select(F.col("event_type").alias("worker"), (v > 20).alias("success"), v.alias("seconds"), v.alias("peak_mb"))
+    return rounded(monitor.executions(t, "worker").select("worker", "tasks", "successes", "peak_mb"))
+
+
+@query("sample_summary", f"WITH {OPEN}, s AS (SELECT *, t0 >= 2 AS st, {_UNIFORM} < 0.25 AS drawn FROM ind) SELECT count(*) AS n_original, round(avg(CAST(st AS DOUBLE)), 6) AS share_original, count(*) FILTER (drawn) AS n_sample, round(avg(CAST(st AS DOUBLE)) FILTER (drawn), 6) AS share_sample, round(count(*) FILTER (drawn) / count(*)::DOUBLE, 6) AS ratio FROM s")
+def sample_summary(spark, sf):
+    df = population(spark, sf).df
+    return rounded(sampling.sample_summary(df, df.where(sampling.uniform(42, "id") < 0.25), F.element_at("tier", 1) >= 2))
+
+
+@query("subset_by_ids", f"WITH {OPEN} SELECT id, ch FROM ind WHERE id IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def subset_by_ids(spark, sf):
+    ids = table(spark, sf, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("id"))
+    return sampling.subset(population(spark, sf).df.select("id", "ch"), ids)
 
 
 _TRACE = "tr AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS iteration, coalesce(value, 0) AS objective, abs(coalesce(value, 0)) / 10 AS grad_norm, event_type AS strategy, coalesce(value, 0) > 20 AS success FROM events)"

@@ -164,6 +164,22 @@ def load(spark: SparkSession, path: str, adapter: str | None = None, id_col: str
     return to_frame(read_table(spark, path, **options), adapter, **({"id_col": id_col} if id_col else {}))
 
 
+def load_sampled(spark: SparkSession, path: str, n: int, tier_columns: Sequence[str] | None = None, share: float = 0.5, validation: float | None = None, id_col: str | None = None, seed: int = 42) -> tuple[CaptureFrame, CaptureFrame | None]:
+    """A stratified sample of a file's individuals (by whether they ever reach tier 2), and of it a validation part if asked for."""
+    from fieldmark.operators import sampling
+
+    frame = load(spark, path, id_col=id_col)
+    key = id_col or "id"
+    tiers = list(tier_columns) if tier_columns is not None else sampling.tier_columns(frame.df)
+    ever = sampling.ever_tier(tiers)
+    part = lambda df: CaptureFrame(df, frame.occasions, frame.names, frame.covariates)
+    drawn = sampling.stratified(frame.df, n, ever, share, key, seed)
+    if validation is None:
+        return part(drawn), None
+    split = sampling.train_validation(drawn, validation, ever, key, seed)
+    return part(split.where("not validation").drop("validation")), part(split.where("validation").drop("validation"))
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 

@@ -163,3 +163,83 @@ def test_recovery_and_covariance(spark, dipper):
     assert 1 / (1 + math.exp(-est["phi"]["estimate"])) == pytest.approx(0.7, abs=0.05) and 1 / (1 + math.exp(-est["p"]["estimate"])) == pytest.approx(0.6, abs=0.06)
     cov = {(r["row"], r["col"]): r for r in covariance(dipper).collect()}
     assert cov["phi_(Intercept)", "phi_(Intercept)"]["covariance"] == pytest.approx(0.100604**2, rel=1e-3) and len(cov) == 9
+
+
+def test_penalties_pull_and_stay_out_of_the_criteria(dipper):
+    from fieldmark.operators.fit import Penalty
+
+    spec = Spec("~sex", "~sex", "~1")
+    free = fit(dipper, spec)
+    tied = fit(dipper, spec, penalty=Penalty(ridge=50.0))
+    slope = lambda r: [abs(q["estimate"]) for q in r["params"] if q["term"] != "(Intercept)"]
+    assert max(slope(tied)) < 0.1 < max(slope(free)) and tied["log_likelihood"] < free["log_likelihood"]
+    assert tied["aic"] == pytest.approx(2 * 5 - 2 * tied["log_likelihood"])
+    prior = fit(dipper, penalty=Penalty(beta=5.0, shape=(2.0, 2.0)))
+    assert 0 < prior["params"][1]["estimate"] < fit(dipper)["params"][1]["estimate"]
+    assert fit(dipper, penalty=Penalty(recruitment=5.0))["params"][2]["estimate"] < fit(dipper)["params"][2]["estimate"]
+
+
+def test_sums_match_differences():
+    from fieldmark.operators.fit import Penalty, point, sums
+
+    r = np.random.default_rng(3)
+    n, t = 40, 7
+    e = r.integers(0, 5, n)
+    l = np.minimum(e + r.integers(0, 3, n), t - 1)  # noqa: E741
+    x = np.where(l > e, 2, 1)
+    one, z = np.ones((n, 1)), r.normal(size=(n, 1))
+    q = Problem(x.astype(float), e.astype(float), l.astype(float), r.integers(1, 9, n).astype(float), (np.hstack([one, z]), one, np.hstack([one, z])), t)
+    p, names = Penalty(ridge=0.3, beta=0.4, recruitment=0.2, barrier=3.0), [("phi", "(Intercept)"), ("phi", "z"), ("p", "(Intercept)"), ("f", "(Intercept)"), ("f", "z")]
+    at = lambda th: point(th, sums(th, q, p, float(q.n.sum())), p, p.mask(names))
+    theta = np.array([0.3, 0.1, 0.5, -1.0, 0.2])
+    here, step = at(theta), 1e-5
+    for i in range(5):
+        d = np.eye(5)[i] * step
+        assert here.g[i] == pytest.approx((at(theta + d).value - at(theta - d).value) / (2 * step), rel=1e-5, abs=1e-4)
+        assert here.h[i] == pytest.approx((at(theta + d).g - at(theta - d).g) / (2 * step), rel=1e-4, abs=1e-3)
+
+
+def test_distributed_forms_agree(dipper):
+    from fieldmark.operators.fit import bootstrap_covariance, covariance
+
+    spec = Spec("~sex", "~1", "~1")
+    near, far = (fit_models(dipper, [spec], local_rows=k).first() for k in (10**6, 5))
+    assert far["log_likelihood"] == pytest.approx(near["log_likelihood"], abs=1e-6)
+    a, b = ({(r["row"], r["col"]): r["covariance"] for r in covariance(dipper, spec, local_rows=k).collect()} for k in (10**6, 5))
+    assert all(a[k] == pytest.approx(b[k], rel=1e-4, abs=1e-8) for k in a)
+    reps = bootstrap(dipper, Spec(), replicates=6, local_rows=5)
+    assert reps.where("converged").count() == 18 and bootstrap_covariance(reps).count() == 9
+
+
+def test_bootstrap_failures_are_told(dipper, spark):
+    reps = spark.createDataFrame([(i, "phi", "(Intercept)", None if i < 3 else float(i), i >= 3) for i in range(8)], "rep int, param string, term string, estimate double, converged boolean")
+    row = bootstrap_summary(reps, spark.createDataFrame([("phi", "(Intercept)", 5.0)], "param string, term string, estimate double")).first()
+    assert (row["replicates"], row["failed"]) == (8, 3) and row["bias"] == pytest.approx(0.0) and row["corrected"] == pytest.approx(5.0)
+    with pytest.raises(Exception, match="bootstrap fits failed"):
+        bootstrap_summary(reps.withColumn("converged", F.lit(False))).collect()
+    own = bootstrap(dipper, replicates=3, fit_fn=lambda pdf: {("phi", "(Intercept)"): float(pdf["n"].sum())})
+    assert {r["estimate"] for r in own.where("param = 'phi'").collect()} == {294.0}
+
+
+def test_registry_strategy_choice_and_watch(dipper):
+    from fieldmark.operators.fit import BOUNDS, MODELS, Model, get_model, hessian_quality, register_model, rows_of_model
+
+    seen = []
+    r = fit(dipper, strategy="newton", watch=lambda *a: seen.append(a))
+    assert len(seen) == r["n_iterations"] and seen[-1][2] < 1e-3
+    register_model(Model("twice", lambda etas, q, penalty, total: tuple(2 * v for v in rows_of_model(etas, q, penalty, total)), BOUNDS))
+    assert fit(dipper, model="twice")["log_likelihood"] == pytest.approx(2 * r["log_likelihood"], abs=1e-3)
+    del MODELS["twice"]
+    with pytest.raises(ValueError, match="unknown model"):
+        get_model("twice")
+    assert fit(dipper, strategy="auto", warm_start=True)["log_likelihood"] == pytest.approx(-715.088085, abs=1e-4)
+    assert [hessian_quality(h) for h in (np.eye(2), np.zeros((2, 2)), np.diag([-1.5, 2.0]), np.diag([-3.0, -2.0]))] == ["identity", "zero", "not_concave", "good"]
+
+
+def test_sampled_load(spark, tmp_path):
+    from fieldmark.sources.histories import load_sampled
+
+    rows = [(i, f"{i % 2}1{i % 3 % 2}", str(i % 4)) for i in range(200)]
+    spark.createDataFrame(rows, "id long, ch string, tier_1 string").coalesce(1).write.option("header", True).csv(str(tmp_path / "d.csv"))
+    train, val = load_sampled(spark, str(tmp_path / "d.csv"), 60, validation=0.2, id_col="id")
+    assert (train.df.count(), val.df.count()) == (48, 12) and load_sampled(spark, str(tmp_path / "d.csv"), 60, id_col="id")[0].df.where("tier_1 >= 2").count() == 30

@@ -9,7 +9,7 @@ from fieldmark.operators import agree, infer, sampling, select, sparse
 from fieldmark.operators.fit import fit
 from fieldmark.plans.base import population
 
-TABLES = "region nation customer orders events".split()
+TABLES = "region nation customer supplier orders events".split()
 
 
 @pytest.fixture(scope="module")
