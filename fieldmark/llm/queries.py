@@ -216,8 +216,8 @@ WITH RECURSIVE d AS (
 s AS (SELECT DISTINCT r, array_to_string(ws[i:i + 2], ' ') AS s FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 2, least(len(ws), 1)) + 1)) AS i FROM d)),
 n AS (SELECT r, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS c FROM s GROUP BY r),
 c AS (SELECT c, min(r) AS r, any_value(n) AS n FROM n GROUP BY c),
-i AS (SELECT x.r AS a, y.r AS b, count(*) AS both FROM s x JOIN s y ON x.s = y.s AND x.r < y.r WHERE x.r IN (SELECT r FROM c) AND y.r IN (SELECT r FROM c) GROUP BY ALL),
-e AS (SELECT a, b FROM i JOIN c p ON p.r = a JOIN c q ON q.r = b WHERE 100 * both >= 85 * (p.n + q.n - both)),
+i AS (SELECT x.r AS a, y.r AS b, count(*) AS met FROM s x JOIN s y ON x.s = y.s AND x.r < y.r WHERE x.r IN (SELECT r FROM c) AND y.r IN (SELECT r FROM c) GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN c p ON p.r = a JOIN c q ON q.r = b WHERE 100 * met >= 85 * (p.n + q.n - met)),
 t AS (SELECT a, b FROM e UNION SELECT b, a FROM e UNION SELECT r, r FROM c),
 g(a, b) AS (SELECT a, b FROM t UNION SELECT g.a, t.b FROM g JOIN t ON g.b = t.a),
 k AS (SELECT a, min(b) AS k FROM g GROUP BY a),
