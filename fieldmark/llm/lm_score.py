@@ -1,17 +1,26 @@
 """Language-model scores: a unigram base and a hashed maximum-entropy model with word classes.
 
-The model factors a token's probability into P(class | history) * P(token | class).  Classes are
-the end of a text, the ``SINGLES`` most frequent tokens on their own, and ``SHAPES`` groups of the
-rest by a hash of their spelling; within a class, tokens have smoothed relative frequencies with
-half a count for each known token and one unknown.  The class is predicted by a maximum-entropy
-model whose features (bias, previous class, previous two classes, the class before the last
-skipped over) are hashed into ``FEATURES`` rows of weights, with one softmax over the classes.
+Two parts make up the model, both factored into a class and a word given the class.
+
+*Classes.*  P(class | classes before) * P(token | class).  Classes are the end of a text, the ``SINGLES`` most
+frequent tokens on their own, and ``SHAPES`` groups of the rest by a hash of their spelling; within a
+class, tokens have smoothed relative frequencies with half a count for each known token and one
+unknown.  The class is predicted by a maximum-entropy model whose features (bias, previous class,
+previous two classes, the class before the last skipped over) are hashed into ``FEATURES`` rows of weights,
+with one softmax over the classes.  Every round the partitions' gradients are summed by feature
+(a table of fixed size) and the weights updated.
+
+*Words.*  Features (history, word) over the two words before and over the one word before, hashed; those
+seen ``LEAST`` times or more in training have a weight, so their number grows with the corpus.  For each
+history, a softmax over the hash classes of its words and "another word", and one over the words in
+a class, are trained by gradients with a Gaussian prior.  They live where their history's hash range lives:
+no weight leaves it but to the units whose texts need it.  "Another word" leads to the next shorter
+history, in the end to the class model, so probabilities of all tokens sum to one:
+P = a2 + e2 * (a1 + e1 * P_class), with a the word's own probability and e that of another word.
 
 Counting: texts are dealt once into units; a unit sends its distinct tokens with counts to hash
-ranges, which return the corpus count of each, so a frequent token costs one entry a unit.
-Training: counts of (history, class) of all training tokens, at most CLASSES**3 cells whatever the
-input, stay distributed; every round the partitions' gradients are summed by feature (a table
-of fixed size) and the weights updated.  Scoring looks up both in numpy batches.
+ranges, which return the corpus count of each, so a frequent token costs one entry a unit; features
+likewise, by the history's range.  Scoring looks all of it up in numpy batches.
 
 Edge cases: null texts count as empty (only the end token); rows with a null id train; without
 training rows all scores follow from zero counts; repeated rows each count.
@@ -33,6 +42,11 @@ FEATURES = 1 << 13
 PARTS = 32
 ROUNDS = 12
 END = np.uint64(0x5851F42D4C957F2D)
+START = np.uint64(0x9FB21C651E98DF25)
+#: Seeds of histories of one and of two words.
+SEEDS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xA24BAED4963EE407))
+#: Bits of a word's hash within a history, hash classes of words there, least count of a feature, prior variance, rounds.
+WORD_BITS, GROUPS, LEAST, PRIOR, STEPS = 24, 64, 2, 4.0, 12
 
 _SENT = "bucket long, unit long, hashes binary, counts binary, shapes binary"
 _COUNTED = "unit long, bucket long, counts binary, n long, v long, shape_n array<long>, shape_v array<long>, top_hash array<long>, top_n array<long>, top_shape array<long>"
@@ -89,6 +103,126 @@ class _Unit:
         return two * CLASSES + one
 
 
+class _Histories:
+    """A unit's word features: distinct histories in order of their hash, and in each its distinct words.
+
+    ``bits`` of a history's hash are kept, enough to tell histories of one range apart.  ``token[k]`` is the
+    feature of each token with histories of k + 1 words.
+    """
+
+    def __init__(self, u: _Unit, n: int):
+        bits = np.uint64(min(64, 33 + int(n).bit_length()))
+        h = u.hash[u.which]
+        one, two = np.empty_like(h), np.empty_like(h)
+        one[1:], two[2:] = h[:-1], h[:-2]
+        start = u.first[:-1]
+        one[start] = START
+        two[start] = START
+        two[start[u.counts > 1] + 1] = START
+        past = np.concatenate([mix(one ^ SEEDS[0]), mix(mix(two ^ SEEDS[1]) ^ one)]) >> (np.uint64(64) - bits)
+        word = (mix(h ^ SEEDS[0]) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+        self.past, at = np.unique(past, return_inverse=True)
+        pair, which = np.unique((at << WORD_BITS) | np.concatenate([word, word]), return_inverse=True)
+        trains = ~u.held[u.doc]
+        self.count = np.bincount(which[np.concatenate([trains, trains])], minlength=len(pair)).astype(np.int64)
+        self.word = (pair & ((1 << WORD_BITS) - 1)).astype(np.int64)
+        self.words = np.bincount(pair >> WORD_BITS, minlength=len(self.past)).astype(np.int64)
+        self.token = which.reshape(2, -1)
+        self.range = bucket_of(self.past << (np.uint64(64) - bits), n)
+
+    def slices(self, n: int):
+        """(range, histories, words) for each range with any."""
+        cut = np.searchsorted(self.range, np.arange(n + 1))
+        end = np.concatenate([[0], np.cumsum(self.words)])
+        for b in np.flatnonzero(np.diff(cut)).tolist():
+            yield b, slice(cut[b], cut[b + 1]), slice(end[cut[b]], end[cut[b + 1]])
+
+
+def planes(x: np.ndarray, width: int) -> bytes:
+    """An array's low ``width`` bytes, byte by byte, which compresses well where high bytes repeat."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1)[:, :width].T).tobytes()
+
+
+def unplaned(body, dtype, width: int) -> np.ndarray:
+    raw = np.frombuffer(body, np.uint8).reshape(width, -1)
+    out = np.zeros((raw.shape[1], np.dtype(dtype).itemsize), np.uint8)
+    out[:, :width] = raw.T
+    return out.view(dtype).ravel()
+
+
+def learn(past: np.ndarray, word: np.ndarray, count: np.ndarray, rounds: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """For each history (sorted index ``past`` of each feature) P(another word), and each feature's probability (0 below ``LEAST``).
+
+    Softmaxes over a history's word classes with "another word", whose weight is 0, and over a class's
+    words: steps along the gradient of the penalised log-likelihood, scaled by its curvature.
+    """
+    total = np.bincount(past, weights=count)
+    own = np.flatnonzero(count >= LEAST)
+    other, p = np.ones(len(total)), np.zeros(len(count))
+    if not len(own):
+        return other, p
+    group = past[own] * GROUPS + word[own] % GROUPS
+    order = np.argsort(group, kind="stable")
+    own, group = own[order], group[order]
+    head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(group))))  # class of each word
+    at = group[head] // GROUPS  # history of each class
+    n_word = count[own].astype(float)
+    n_class = np.add.reduceat(n_word, head)
+    n_past = total[at]
+    lam, kap = np.zeros(len(own)), np.zeros(len(head))
+    for _ in range(rounds):
+        w = np.exp(lam)
+        pw = w / np.add.reduceat(w, head)[of]
+        lam += (n_word - n_class[of] * pw - lam / PRIOR) / (n_class[of] * pw * (1 - pw) + 1 / PRIOR + 0.25)
+        k = np.exp(kap)
+        pc = k / (1 + np.bincount(at, weights=k, minlength=len(total)))[at]
+        kap += (n_class - n_past * pc - kap / PRIOR) / (n_past * pc * (1 - pc) + 1 / PRIOR + 0.25)
+        lam, kap = np.clip(lam, -12, 12), np.clip(kap, -12, 25)
+    w, k = np.exp(lam), np.exp(kap)
+    z = 1 + np.bincount(at, weights=k, minlength=len(total))
+    p[own] = (w / np.add.reduceat(w, head)[of]) * (k / z[at])[of]
+    return 1 / z, p
+
+
+_HELD = "bucket long, unit long, past binary, words binary, word binary, count binary"
+_GIVEN = "unit long, bucket long, other binary, own binary"
+
+
+def _word_weights(docs: DataFrame, n: int) -> DataFrame:
+    """(unit, bucket, other, own): probabilities of a unit's histories and features, from all training texts."""
+
+    def send(table: pa.Table) -> pa.Table:
+        x = _Histories(_Unit(table), n)
+        rows = list(x.slices(n))
+        unit = table.column("unit")[0].as_py()
+        return pa.table({
+            "bucket": pa.array([b for b, _, _ in rows], pa.int64()), "unit": pa.array([unit] * len(rows), pa.int64()),
+            "past": pa.array([planes(np.diff(x.past[h], prepend=np.uint64(0)), 8) for _, h, _ in rows], pa.binary()),
+            "words": pa.array([planes(x.words[h], 4) for _, h, _ in rows], pa.binary()),
+            "word": pa.array([planes(x.word[w], 3) for _, _, w in rows], pa.binary()),
+            "count": pa.array([planes(x.count[w], 4) for _, _, w in rows], pa.binary()),
+        })
+
+    def give(table: pa.Table) -> pa.Table:
+        get = lambda name, dtype, width: [unplaned(x.as_buffer(), dtype, width) for x in table.column(name)]
+        past, words_, word, count = get("past", np.uint64, 8), get("words", np.int64, 4), get("word", np.int64, 3), get("count", np.int64, 4)
+        past = [np.cumsum(x) for x in past]
+        every, at = np.unique(np.concatenate(past), return_inverse=True)
+        at = np.repeat(at, np.concatenate(words_))  # history of each unit's feature
+        pair, which = np.unique((at << WORD_BITS) | np.concatenate(word), return_inverse=True)
+        total = np.bincount(which, weights=np.concatenate(count)).astype(np.int64)
+        other, own = learn(pair >> WORD_BITS, pair & ((1 << WORD_BITS) - 1), total)
+        own = np.split(own[which].astype(np.float32), np.cumsum([len(x) for x in word])[:-1])
+        other = [other[np.searchsorted(every, x)].astype(np.float32) for x in past]
+        return pa.table({
+            "unit": table.column("unit"), "bucket": table.column("bucket"),
+            "other": pa.array([planes(x, 4) for x in other], pa.binary()), "own": pa.array([planes(x, 4) for x in own], pa.binary()),
+        })
+
+    return docs.groupBy("unit").applyInArrow(send, _HELD).groupBy("bucket").applyInArrow(give, _GIVEN)
+
+
 def _features(history: np.ndarray) -> np.ndarray:
     """Weight rows of each history: bias, bigram, trigram, skip."""
     two, one = history // CLASSES, history % CLASSES
@@ -207,6 +341,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     ``score`` (log10 probabilities of the whole text).
     """
     parts, n = dealt(df, text_col)
+    m = 8 * n  # ranges of histories, which hold more
     text = F.coalesce(F.col(text_col), F.lit(""))
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == held, F.lit(False))
     docs = df.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(parts)).alias("unit"), F.col(id_col).alias("id"), held_out.alias("held"), text.alias("text"))
@@ -237,13 +372,21 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
 
     def run(table: pa.Table, back: pa.Table) -> pa.Table:
         u = _Unit(table)
+        kind, bucket = back.column("kind").to_numpy(), back.column("bucket").to_numpy()
+        order = np.argsort(bucket, kind="stable")
         body = cells(back.column("counts"), np.int64)
-        c = np.concatenate([body[i] for i in np.argsort(back.column("bucket").to_numpy())]).astype(float)
+        c = np.concatenate([body[i] for i in order if kind[i] == 0]).astype(float)
         cls = u.classes(singles)
         base = np.log10(c + 0.5) - np.log10(total + 0.5 * (distinct + 1))
         inner = np.log10(c + 0.5) - np.log10(n_cls[cls] + 0.5 * (v_cls[cls] + 1))
         outer = _log_softmax(weights, np.arange(CLASSES * CLASSES)) / np.log(10)
         size = len(u.counts)
+        p = 10.0 ** (inner[u.which] + outer[u.history(cls), cls[u.which]])
+        x = _Histories(u, m)
+        other, own = (np.concatenate([unplaned(back.column(f)[int(i)].as_buffer(), np.float32, 4) for i in order if kind[i] == 1]).astype(float) for f in ("other", "own"))
+        past = np.repeat(np.arange(len(x.past)), x.words)
+        for token in x.token:  # histories of one word, then of two
+            p = own[token] + other[past[token]] * p
         summed = lambda x: pa.array(np.bincount(u.doc, weights=x, minlength=size))
         return pa.table({
             "id": table.column("id"),
@@ -252,8 +395,11 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
             "n_known": summed((c > 0)[u.which]).cast(pa.int64()),
             "train_tokens": pa.array(np.full(size, total, np.int64)),
             "base_score": summed(base[u.which]),
-            "score": summed(inner[u.which] + outer[u.history(cls), cls[u.which]]),
+            "score": summed(np.log10(p)),
         })
 
-    back = counted.where("unit >= 0").select("unit", "bucket", "counts")
+    blank = lambda *names: [F.lit(None).cast("binary").alias(x) for x in names]
+    back = counted.where("unit >= 0").select("unit", "bucket", F.lit(0).alias("kind"), "counts", *blank("other", "own"))
+    given = _word_weights(docs, m).select("unit", "bucket", F.lit(1).alias("kind"), *blank("counts"), "other", "own")
+    back = back.unionByName(given)
     return docs.groupBy("unit").cogroup(back.groupBy("unit")).applyInArrow(run, out).withColumnRenamed("id", id_col)

@@ -567,3 +567,64 @@ def test_html_large_pages_take_linear_time():
 def test_html_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "a", "b", 3)], "page_id long, url string, html string, text string, __html string, n_chars int")
     assert html_extract.extract(df).count() == 1 and html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_lm_word_weights_by_brute_force():
+    """Softmaxes of each history against plain loops, and their sum."""
+    r = np.random.default_rng(8)
+    past = np.sort(r.integers(0, 30, 400))
+    pair = np.unique(past * 10_000 + r.integers(0, 300, 400))
+    past, word = pair // 10_000, pair % 10_000
+    past = np.unique(past, return_inverse=True)[1]
+    count = r.integers(0, 6, len(pair))
+    other, own = lm_score.learn(past, word, count, rounds=7)
+    for f in range(past.max() + 1):
+        n = {int(w): int(c) for p, w, c in zip(past, word, count) if p == f}
+        known = {w: c for w, c in n.items() if c >= lm_score.LEAST}
+        classes = defaultdict(dict)
+        for w, c in known.items():
+            classes[w % lm_score.GROUPS][w] = c
+        lam, kap = dict.fromkeys(known, 0.0), dict.fromkeys(classes, 0.0)
+        for _ in range(7):
+            z = 1 + sum(math.exp(k) for k in kap.values())
+            new = {}
+            for g, ws in classes.items():
+                zw = sum(math.exp(lam[w]) for w in ws)
+                total = sum(ws.values())
+                for w, c in ws.items():
+                    p = math.exp(lam[w]) / zw
+                    new[w] = lam[w] + (c - total * p - lam[w] / lm_score.PRIOR) / (total * p * (1 - p) + 1 / lm_score.PRIOR + 0.25)
+                p = math.exp(kap[g]) / z
+                kap[g] = kap[g] + (total - sum(n.values()) * p - kap[g] / lm_score.PRIOR) / (sum(n.values()) * p * (1 - p) + 1 / lm_score.PRIOR + 0.25)
+            lam = new
+        z = 1 + sum(math.exp(k) for k in kap.values())
+        want = {w: math.exp(lam[w]) / sum(math.exp(lam[v]) for v in ws) * math.exp(kap[g]) / z for g, ws in classes.items() for w in ws}
+        got = {int(w): float(x) for p, w, x in zip(past, word, own) if p == f}
+        assert got == pytest.approx({w: want.get(w, 0.0) for w in n}) and other[f] == pytest.approx(1 / z)
+        assert other[f] + sum(got.values()) == pytest.approx(1.0)
+
+
+def test_lm_tells_repeated_texts_apart(spark):
+    """Texts that stand twice in the training part score above texts like them that stand once; so does a held-out copy."""
+    r = random.Random(21)
+    vocab = [f"v{k}" for k in range(400)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    texts = [" ".join(r.choice(vocab) for _ in range(60)) for _ in range(120)]
+    rows, ids = [], iter(range(10_000))
+    train, test = (lambda: next(i for i in ids if not held(i))), (lambda: next(i for i in ids if held(i)))
+    twice, once, copied, fresh = [], [], [], []
+    for k, t in enumerate(texts):
+        if k < 30:
+            twice += [train(), train()]
+            rows += [(twice[-1], t), (twice[-2], t)]
+        elif k < 60:
+            once.append(train())
+            rows.append((once[-1], t))
+        elif k < 90:
+            copied.append(test())
+            rows += [(copied[-1], t), (train(), t), (train(), t)]
+        else:
+            fresh.append(test())
+            rows.append((fresh[-1], t))
+    got = {x["doc_id"]: x["score"] / x["n_tokens"] for x in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(got[i] for i in twice) > max(got[i] for i in once) and min(got[i] for i in copied) > max(got[i] for i in fresh)
