@@ -1,12 +1,15 @@
-"""Byte-level BPE encoding and decoding by merge replay.
+"""Byte-level BPE encoding and decoding by merge replay over the corpus' distinct pieces.
 
-Texts are cut by the tokenizer's pattern.  The distinct pieces that a task meets are encoded
-together: an inverted index from token pair to positions in all these words, and a heap of the
-pairs by rank.  Each merge is applied once, in rank order, at all its positions, and only the
-pairs with the two neighbours of a position are updated.
+1. Rows are packed into units of bounded size, written once in compressed form.
+2. A unit cuts its texts by the tokenizer's pattern and sends its distinct pieces to hash ranges.
+3. A range, with each of its distinct pieces once whatever the number of units that hold it, replays
+   the merges block by block: an inverted index from token pair to positions in all the block's
+   pieces, and a heap of the pairs by rank.  Each merge is applied once, in rank order, at all its positions,
+   and only the pairs with the two neighbours of a position are updated.  A range's pieces return to each unit as ids.
+4. A unit cuts its texts again and looks the pieces up.
 
-Edge cases: null texts count as empty (no ids); long pieces and texts are encoded whole; memory
-for encoded pieces is bounded by ``CACHE`` pieces, beyond which the task starts a new table.
+Edge cases: null texts count as empty (no ids); long pieces and texts are encoded whole; repeated
+rows are rows of their own; other columns than those kept don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import zlib
 from collections import defaultdict
 from functools import lru_cache
 from itertools import chain
@@ -24,9 +28,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 400_000
-#: Longer pieces aren't kept in the table.
-LONG = 200
+from .common import UNIT_BYTES, cells, chunks, offsets_of, stored
+
+#: Text in a unit, bytes of pieces that are replayed together.
+PACK_BYTES, BLOCK_BYTES = 8 << 20, 1 << 20
 
 
 @lru_cache(maxsize=2)
@@ -119,42 +124,61 @@ def replay(pieces: list[bytes], ranks: dict[bytes, int], merges: dict[int, int])
     return out
 
 
-class Encoder:
-    """Encodes batches of texts, with a bounded table of the pieces met so far."""
+class Vocabulary:
+    """Ranks, merges and pattern of a tokenizer."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks, self.merges, self.find = load_ranks(path), merge_table(path), regex.compile(pattern).findall
-        ranks = self.ranks
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
-        for token, rank in ranks.items():
+        self.bytes_of = [b""] * (max(self.ranks.values(), default=-1) + 1)
+        for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        cut = [self.find(t) for t in texts]
-        known = self.known
-        new = set().union(*cut).difference(known) if cut else set()
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = set().union(*cut)
-        fresh = sorted(new)
-        known.update(zip(fresh, replay([p.encode() for p in fresh], self.ranks, self.merges)))
-        out = [list(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in cut]
-        for p in fresh:
-            if len(p) > LONG:
-                known.pop(p, None)
-        return out
+    def replayed(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Token ids of each piece, in blocks."""
+        out: list[tuple[int, ...]] = []
+        block: list[bytes] = []
+        size = 0
+        for p in pieces:
+            block.append(p)
+            size += len(p)
+            if size >= BLOCK_BYTES:
+                out += replay(block, self.ranks, self.merges)
+                block, size = [], 0
+        return out + replay(block, self.ranks, self.merges) if block else out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+def vocabulary(path: str, pattern: str) -> Vocabulary:
+    return Vocabulary(path, pattern)
+
+
+def _packed(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(body) -> pa.Table:
+    with pa.ipc.open_stream(body) as rows:
+        return rows.read_all()
 
 
-def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", batch: int = 256, digests: bool = False, keep: tuple[str, ...] | None = None) -> DataFrame:
+def _pieces(texts, find, n: int) -> list[list[str]]:
+    """Distinct pieces of texts by hash range, in order."""
+    every: set[str] = set()
+    for t in texts:
+        every.update(find(t.as_py()))
+    out: list[list[str]] = [[] for _ in range(n)]
+    for p in sorted(every):
+        out[zlib.crc32(p.encode()) % n].append(p)
+    return out
+
+
+def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", batch: int = 64, digests: bool = False, keep: tuple[str, ...] | None = None) -> DataFrame:
     """Per row: the columns ``keep`` (default: the id), ``ids array<int>``, ``n_tokens`` and ``decoded``
     (the bytes the ids stand for).
 
@@ -165,24 +189,73 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
     keep = tuple(keep or (id_col,))
     body = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens long, ids array<int>, decoded binary"
     names = [*keep, *[x.split()[0] for x in body.split(", ")]]
+    docs = df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[: len(keep)]]
+    text_at = len(keep)
 
-    def run(batches):
-        enc = _encoder(ranks_path, pattern)
+    def pack(batches):
         for rows in batches:
-            for at in range(0, rows.num_rows, batch):
-                part = rows.slice(at, batch)
-                ids = enc.encode(part.column(len(keep)).to_pylist())
-                back = [enc.decode(x) for x in ids]
-                n = pa.array([len(x) for x in ids], pa.int64())
-                if digests:
-                    made = [
-                        pa.array([hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in ids], pa.string()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string()),
-                    ]
-                else:
-                    made = [pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], n, *made], names=names)
+            for a, b in chunks(rows.column(text_at), PACK_BYTES):
+                part = rows.slice(a, b - a)
+                size = int(offsets_of(part.column(text_at))[-1] - offsets_of(part.column(text_at))[0])
+                yield pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), pa.array([_packed(part)], pa.binary())], names=["size", "body"])
 
-    docs = df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[: len(keep)]]
-    return docs.mapInArrow(run, ", ".join([*kinds, body]))
+    units = stored(docs.mapInArrow(pack, "size long, body binary").withColumn("unit", F.monotonically_increasing_id()), "packed")
+    size = units.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    n = max(4, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (2 * UNIT_BYTES)))
+
+    def send(batches):
+        find = vocabulary(ranks_path, pattern).find
+        for rows in batches:
+            for unit, part in zip(rows.column("unit"), rows.column("body")):
+                sent = [[p.encode() for p in ps] for ps in _pieces(_unpacked(part.as_buffer()).column(text_at), find, n)]
+                full = [k for k, ps in enumerate(sent) if ps]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([unit.as_py()] * len(full), pa.int64()), pa.array(full, pa.int64()), pa.array([b"".join(sent[k]) for k in full], pa.binary()),
+                        pa.array([np.array([len(p) for p in sent[k]], np.int32).tobytes() for k in full], pa.binary()),
+                    ],
+                    names=["unit", "bucket", "pieces", "lengths"],
+                )
+
+    def encode(table: pa.Table) -> pa.Table:
+        place: dict[bytes, int] = {}
+        of = []
+        for whole, size in zip(cells(table.column("pieces"), np.uint8), cells(table.column("lengths"), np.int32)):
+            whole, cut = whole.tobytes(), np.concatenate([[0], np.cumsum(size)]).tolist()
+            of.append([place.setdefault(whole[a:b], len(place)) for a, b in zip(cut, cut[1:])])
+        ids = vocabulary(ranks_path, pattern).replayed(list(place))
+        made = [[ids[k] for k in x] for x in of]
+        return pa.table({
+            "unit": table.column("unit"), "bucket": table.column("bucket"),
+            "ids": pa.array([np.fromiter(chain.from_iterable(x), np.int32).tobytes() for x in made], pa.binary()),
+            "counts": pa.array([np.fromiter(map(len, x), np.int32).tobytes() for x in made], pa.binary()),
+        })
+
+    def finish(table: pa.Table, back: pa.Table) -> pa.Table:
+        v = vocabulary(ranks_path, pattern)
+        rows = _unpacked(table.column("body")[0].as_buffer())
+        texts = rows.column(text_at)
+        pieces = _pieces(texts, v.find, n)
+        known: dict[str, list[int]] = {}
+        for k, ids, size in zip(back.column("bucket").to_pylist(), cells(back.column("ids"), np.int32), cells(back.column("counts"), np.int32)):
+            ids, cut = ids.tolist(), np.concatenate([[0], np.cumsum(size)]).tolist()
+            known.update(zip(pieces[k], [ids[a:b] for a, b in zip(cut, cut[1:])]))
+        count, first, second = [], [], []
+        for a in range(0, len(texts), batch):
+            ids = [list(chain.from_iterable(map(known.__getitem__, v.find(t.as_py())))) for t in texts[a : a + batch]]
+            back_ = map(v.decode, ids)
+            count += [len(x) for x in ids]
+            if digests:
+                first += [hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in ids]
+                second += [hashlib.sha256(x).hexdigest() for x in back_]
+            else:
+                first.append(pa.array(ids, pa.list_(pa.int32())))
+                second.append(pa.array(back_, pa.binary()))
+        kinds = (pa.list_(pa.int32()), pa.binary())
+        made = [pa.array(first, pa.string()), pa.array(second, pa.string())] if digests else [pa.chunked_array(x, k) for x, k in zip((first, second), kinds)]
+        return pa.table([*[rows.column(i) for i in range(text_at)], pa.array(count, pa.int64()), *made], names=names)
+
+    held = units.select("unit", "body")
+    given = held.mapInArrow(send, "unit long, bucket long, pieces binary, lengths binary").groupBy("bucket").applyInArrow(encode, "unit long, bucket long, ids binary, counts binary")
+    return held.groupBy("unit").cogroup(given.groupBy("unit")).applyInArrow(finish, ", ".join([*kinds, body]))

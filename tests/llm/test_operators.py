@@ -338,7 +338,9 @@ def test_lm_class_probabilities_sum_to_one():
     assert np.exp(lm_score._log_softmax(w, np.arange(50))).sum(axis=1) == pytest.approx(np.ones(50))
 
 
-def test_bpe(docs):
+def test_bpe(spark, docs, monkeypatch):
+    monkeypatch.setattr(bpe, "PACK_BYTES", 20_000)
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 500)
     tiktoken, tokenizers = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
     path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ref = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
@@ -347,7 +349,10 @@ def test_bpe(docs):
         assert got[i, (t or "").encode()] == ref.encode_ordinary(t or "")
     r = random.Random(4)
     odd = ["".join(r.choice("aab  bcd\n\té日🙂'sS1239.,!-") for _ in range(r.randint(0, 300))) for _ in range(300)] + ["a" * 3000, "<|endoftext|>", " " * 999 + "x"]
-    assert bpe._encoder(path, tokenizers.PATTERN).encode(odd) == [ref.encode_ordinary(t) for t in odd]
+    own = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    assert dict(rows_of(bpe.encode_decode(own, path, tokenizers.PATTERN), "doc_id", "ids")) == {i: ref.encode_ordinary(t) for i, t in enumerate(odd)}
+    clash = own.withColumns({c: F.lit("x") for c in ("unit", "body", "size", "__text", "ids", "bucket")})
+    assert bpe.encode_decode(clash, path, tokenizers.PATTERN).count() == len(odd) and bpe.encode_decode(own.limit(0), path, tokenizers.PATTERN).count() == 0
     digests = {r["doc_id"]: r for r in bpe.encode_decode(docs.where("doc_id = 5"), path, tokenizers.PATTERN, digests=True).collect()}
     ids = ref.encode_ordinary(docs.where("doc_id = 5").first()["text"])
     assert digests[5]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
