@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions.dist import t_quantile
 from fieldmark.functions.formula import Data, Formula, FormulaError, describe, design, domain_checks, parse
-from fieldmark.operators.suffstat import compressed, empirical, starting_values
+from fieldmark.operators.suffstat import compressed, rates_of, runs, starting_values
 from fieldmark.sources.histories import CaptureFrame
 
 PARAMETERS = ("phi", "p", "f")
@@ -385,17 +385,28 @@ def _local(q: Problem, names, how: How) -> Callable[[np.ndarray], Point]:
 def _fit_local(pdf: pd.DataFrame, model_id: int, spec: Spec, columns, names, start, occasions: int, how: How, watch=None) -> dict:
     q = _problem(pdf, columns, occasions)
     lower, upper = _bounds(names, get_model(how.model))
-    best = strategy_named(how.strategy)(_local(q, names, how), np.asarray(start), lower, upper, watch=watch)
+    best = strategy_named(how.strategy)(_local(q, names, how), _start(pdf, names, occasions, start), lower, upper, watch=watch)
     phi, f = _rates(best.theta, q)
     return _result(model_id, spec, names, best, int(q.n.sum()), float(((phi + f) * q.n).sum() / q.n.sum()), lower, upper)
 
 
+def _start(pdf: pd.DataFrame, names, occasions: int, base: Mapping[str, float] | None) -> np.ndarray:
+    """From the rows' own rates; intercepts from ``base`` where given."""
+    start = starting_values(rates_of(pdf, occasions), names)
+    return np.array([base[a] if base and t == "(Intercept)" else x for (a, t), x in zip(names, start)])
+
+
 @dataclass(frozen=True)
 class _Prepared:
     grouped: DataFrame
     columns: dict[int, list[list[str]]]
     names: dict[int, list[tuple[str, str]]]
-    starts: dict[int, list[float]]
+    base: dict[str, float] | None = None
+
+    def gathered(self, most: int) -> pd.DataFrame | None:
+        """The grouped rows, if they are ``most`` at most."""
+        few = self.grouped.limit(most + 1).toPandas()
+        return few if len(few) <= most else None
 
 
 def _designs(frame: CaptureFrame, specs: Mapping[int, Spec]):
@@ -424,11 +435,9 @@ def _prepare(frame: CaptureFrame, specs: Mapping[int, Spec]) -> _Prepared:
         for i, (message, _) in enumerate(checks):
             if bad[i]:
                 raise FormulaError(f"{message}; {bad[i]} rows don't have them")
-    rates = empirical(frame.df, frame.occasions).first()
     columns = {i: [[column[n][0] for n, _ in of[k]] for k in PARAMETERS] for i, of in made.items()}
     names = {i: [(k, n) for k in PARAMETERS for n, _ in of[k]] for i, of in made.items()}
-    starts = {i: starting_values(rates, formulas[i], {k: len(of[k]) for k in PARAMETERS}) for i, of in made.items()}
-    return _Prepared(compressed(frame.df, list(column.values())), columns, names, starts)
+    return _Prepared(compressed(frame.df, list(column.values()), frame.occasions), columns, names)
 
 
 def _distributed(rows: DataFrame, cols, names, occasions: int, total: float, how: How) -> Callable[[np.ndarray], Point]:
@@ -450,15 +459,16 @@ def _distributed(rows: DataFrame, cols, names, occasions: int, total: float, how
 
 
 def _needed(p: _Prepared, i: int) -> DataFrame:
-    return p.grouped.select("x", "e", "l", "n", *dict.fromkeys(c for cs in p.columns[i] for c in cs))
+    return p.grouped.select("x", "e", "l", "n", "again", "before", *dict.fromkeys(c for cs in p.columns[i] for c in cs))
 
 
 def _fit_distributed(p: _Prepared, i: int, spec: Spec, occasions: int, how: How, watch=None, rows: DataFrame | None = None) -> tuple[dict, Optimum]:
     cols, names = p.columns[i], p.names[i]
     rows = (rows if rows is not None else _needed(p, i)).persist()
-    n = rows.agg(F.sum("n")).first()[0]
+    whole = rows.groupBy("x", "e").agg(*[F.sum(c).alias(c) for c in ("n", "again", "before")]).toPandas()  # at most occasions squared
+    n = whole["n"].sum()
     lower, upper = _bounds(names, get_model(how.model))
-    best = strategy_named(how.strategy)(_distributed(rows, cols, names, occasions, float(n), how), np.asarray(p.starts[i]), lower, upper, watch=watch)
+    best = strategy_named(how.strategy)(_distributed(rows, cols, names, occasions, float(n), how), _start(whole, names, occasions, p.base), lower, upper, watch=watch)
     theta = best.theta
 
     def lam(batches):
@@ -469,18 +479,13 @@ def _fit_distributed(p: _Prepared, i: int, spec: Spec, occasions: int, how: How,
 
     s = rows.mapInPandas(lam, "s double").agg(F.sum("s")).first()[0]
     rows.unpersist()
-    return _result(i, spec, names, best, int(n), s / n, lower, upper), best
+    return _result(i, spec, names, best, int(n), float(s / n), lower, upper), best
 
 
 def _warmed(frame: CaptureFrame, p: _Prepared, how: How, local_rows: int) -> _Prepared:
     """Starts with the intercepts of a fit without covariates."""
     base = {q["param"]: q["estimate"] for q in fit(frame, Spec(), how.strategy, local_rows, model=how.model)["params"]}
-    starts = {i: [base[a] if t == "(Intercept)" else x for (a, t), x in zip(p.names[i], v)] for i, v in p.starts.items()}
-    return _Prepared(p.grouped, p.columns, p.names, starts)
-
-
-def _fits_in_memory(p: _Prepared, local_rows: int) -> bool:
-    return p.grouped.limit(local_rows + 1).count() <= local_rows
+    return _Prepared(p.grouped, p.columns, p.names, base)
 
 
 def fit(frame: CaptureFrame, spec: Spec = Spec(), strategy: str = "hybrid", local_rows: int = LOCAL_ROWS, penalty: Penalty = NO_PENALTY, warm_start: bool = False, model: str = "temporal_symmetry", watch=None) -> dict:
@@ -490,10 +495,10 @@ def fit(frame: CaptureFrame, spec: Spec = Spec(), strategy: str = "hybrid", loca
     strategy_named(how.strategy)
     if warm_start:
         p = _warmed(frame, p, how, local_rows)
-    few = p.grouped.limit(local_rows + 1).toPandas()
-    if len(few) > local_rows:
+    few = p.gathered(local_rows)
+    if few is None:
         return _fit_distributed(p, 0, spec, frame.occasions, how, watch)[0]
-    return _fit_local(few, 0, spec, p.columns[0], p.names[0], p.starts[0], frame.occasions, how, watch)
+    return _fit_local(few, 0, spec, p.columns[0], p.names[0], p.base, frame.occasions, how, watch)
 
 
 def fit_models(frame: CaptureFrame, specs: Sequence[Spec], strategy: str = "hybrid", done: DataFrame | None = None, local_rows: int = LOCAL_ROWS, penalty: Penalty = NO_PENALTY, warm_start: bool = False) -> DataFrame:
@@ -512,7 +517,8 @@ def fit_models(frame: CaptureFrame, specs: Sequence[Spec], strategy: str = "hybr
     p, occasions, how = _prepare(frame, todo), frame.occasions, How(strategy, penalty)
     if warm_start:
         p = _warmed(frame, p, how, local_rows)
-    if not _fits_in_memory(p, local_rows):
+    rows = p.gathered(local_rows)
+    if rows is None:
         return spark.createDataFrame([_fit_distributed(p, i, s, occasions, how)[0] for i, s in todo.items()], FIT_SCHEMA)
     ids = spark.createDataFrame([(i,) for i in todo], "model_id int")
 
@@ -520,11 +526,12 @@ def fit_models(frame: CaptureFrame, specs: Sequence[Spec], strategy: str = "hybr
         i = int(key[0])
         cols = p_columns[i]
         need = list(dict.fromkeys(c for cs in cols for c in cs))
-        few = pdf.groupby(["x", "e", "l", *need], as_index=False)["n"].sum()
-        return pd.DataFrame([_fit_local(few, i, todo[i], cols, p_names[i], p_starts[i], occasions, how)])
+        few = pdf.groupby(["x", "e", "l", *need], as_index=False)[["n", "again", "before"]].sum()
+        return pd.DataFrame([_fit_local(few, i, todo[i], cols, p_names[i], base, occasions, how)])
 
-    p_columns, p_names, p_starts = p.columns, p.names, p.starts
-    return p.grouped.crossJoin(F.broadcast(ids)).groupBy("model_id").applyInPandas(run, FIT_SCHEMA)  # ids: a row a model
+    p_columns, p_names, base = p.columns, p.names, p.base
+    few = spark.createDataFrame(rows, p.grouped.schema)  # local_rows at most
+    return few.crossJoin(F.broadcast(ids)).groupBy("model_id").applyInPandas(run, FIT_SCHEMA)  # ids: a row a model
 
 
 def hessian_quality(h: np.ndarray) -> str:
@@ -549,9 +556,10 @@ def covariance(frame: CaptureFrame, spec: Spec = Spec(), strategy: str = "hybrid
     p, how = _prepare(frame, {0: spec}), How(strategy)
     names = p.names[0]
     lower, upper = _bounds(names, get_model(how.model))
-    if _fits_in_memory(p, local_rows):
-        q = _problem(p.grouped.toPandas(), p.columns[0], frame.occasions)
-        best = strategy_named(strategy)(_local(q, names, how), np.asarray(p.starts[0]), lower, upper)
+    few = p.gathered(local_rows)
+    if few is not None:
+        q = _problem(few, p.columns[0], frame.occasions)
+        best = strategy_named(strategy)(_local(q, names, how), _start(few, names, frame.occasions, None), lower, upper)
     else:
         best = _fit_distributed(p, 0, spec, frame.occasions, how)[1]
     info = -best.at.h
@@ -574,7 +582,15 @@ def covariance(frame: CaptureFrame, spec: Spec = Spec(), strategy: str = "hybrid
 
 def strategies_compared(frame: CaptureFrame, spec: Spec = Spec(), names: Sequence[str] = ("newton", "multi_start", "adam")) -> DataFrame:
     """A fit by each strategy: log-likelihood, convergence, iterations."""
-    rows = [(s, (r := fit(frame, spec, s))["log_likelihood"], r["converged"], r["n_iterations"]) for s in names]
+    p = _prepare(frame, {0: spec})
+    few = p.gathered(LOCAL_ROWS)
+
+    def by(s: str) -> dict:
+        if few is None:
+            return _fit_distributed(p, 0, spec, frame.occasions, How(s))[0]
+        return _fit_local(few, 0, spec, p.columns[0], p.names[0], None, frame.occasions, How(s))
+
+    rows = [(s, (r := by(s))["log_likelihood"], r["converged"], r["n_iterations"]) for s in names]
     return frame.df.sparkSession.createDataFrame(rows, "strategy string, log_likelihood double, converged boolean, n_iterations int")
 
 
@@ -619,14 +635,14 @@ def bootstrap(frame: CaptureFrame, spec: Spec = Spec(), replicates: int = 100, s
     (x, e, l, design columns, n) and returns estimates by (param, term).
     """
     p, occasions, spark = _prepare(frame, {0: spec}), frame.occasions, frame.df.sparkSession
-    cols, names, start, how = p.columns[0], p.names[0], p.starts[0], How()
+    cols, names, how, few = p.columns[0], p.names[0], How(), p.gathered(local_rows)
 
     def rows_of(rep: int, got: dict | None) -> list[tuple]:
         ok = got is not None and got["converged"]
         found = {(q["param"], q["term"]): q["estimate"] for q in got["params"]} if ok else {}
         return [(rep, a, t, found.get((a, t)), ok) for a, t in names]
 
-    if not _fits_in_memory(p, local_rows):
+    if few is None:
         rows, key = _needed(p, 0), [c for c in _needed(p, 0).columns if c != "n"]
         out = []
         for rep in range(replicates):
@@ -644,16 +660,17 @@ def bootstrap(frame: CaptureFrame, spec: Spec = Spec(), replicates: int = 100, s
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([c for c in pdf.columns if c not in ("rep", "n")])
-        n = pdf["n"].to_numpy()
+        n = sizes = pdf["n"].to_numpy()
         drawn = np.random.default_rng([seed, int(key[0])]).multinomial(n.sum(), n / n.sum())
         sample = pdf.assign(n=drawn)[drawn > 0]
         if fit_fn:
             got = {"converged": True, "params": [{"param": a, "term": t, "estimate": v} for (a, t), v in fit_fn(sample.drop(columns="rep")).items()]}
         else:
-            got = _fit_local(sample, 0, spec, cols, names, start, occasions, how)
+            got = _fit_local(sample.assign(again=sample["again"] * sample["n"] / sizes[drawn > 0], before=sample["before"] * sample["n"] / sizes[drawn > 0]), 0, spec, cols, names, None, occasions, how)
         return pd.DataFrame(rows_of(int(key[0]), got), columns=["rep", "param", "term", "estimate", "converged"])
 
-    return p.grouped.crossJoin(F.broadcast(reps)).groupBy("rep").applyInPandas(run, BOOT_SCHEMA)
+    rows = spark.createDataFrame(few, p.grouped.schema)  # local_rows at most
+    return rows.crossJoin(F.broadcast(reps)).groupBy("rep").applyInPandas(run, BOOT_SCHEMA)
 
 
 def bootstrap_summary(reps: DataFrame, estimates: DataFrame | None = None) -> DataFrame:
@@ -722,15 +739,15 @@ def cross_validated(frame: CaptureFrame, specs: Sequence[Spec], k: int = 5, repe
     each = frame.df.withColumn("_r", F.explode(F.array(*[F.struct(F.lit(r).alias("repeat"), fold(r).alias("part")) for r in range(repeats)])))
     p = _prepare(frame, todo)
     columns = dict(_design_columns(frame, todo))
-    grouped = each.groupBy(F.col("_r.repeat").alias("repeat"), F.col("_r.part").alias("part"), "x", "e", "l", *[c.alias(name) for name, c in columns.items()]).agg(F.count(F.lit(1)).alias("n"))
+    grouped = each.groupBy(F.col("_r.repeat").alias("repeat"), F.col("_r.part").alias("part"), "x", "e", "l", *[c.alias(name) for name, c in columns.items()]).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(a) for a, c in zip(("again", "before"), runs(occasions, "h"))])
     jobs = spark.createDataFrame([(i, r, j) for i in todo for r in range(repeats) for j in (range(k) if share is None else (0,))], "model_id int, r int, fold int")
-    p_columns, p_names, p_starts = p.columns, p.names, p.starts
+    p_columns, p_names = p.columns, p.names
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         i, r, j = (int(x) for x in key)
         cols, names = p_columns[i], p_names[i]
         out = pdf["part"] == j
-        got = _fit_local(pdf[~out], i, todo[i], cols, names, p_starts[i], occasions, how)
+        got = _fit_local(pdf[~out], i, todo[i], cols, names, None, occasions, how)
         theta = np.array([q["estimate"] for q in got["params"]])
         val = sums(theta, _problem(pdf[out], cols, occasions))[0] if out.any() else 0.0
         params = [{x: q[x] for x in ("param", "term", "estimate")} for q in got["params"]]

@@ -9,22 +9,37 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldmark.functions.formula import Formula
 
+def runs(occasions: int, h: str) -> tuple[Column, Column]:
+    """Captures followed by one at the next occasion, and captures that could be."""
+    a = F.col(h)
+    again = F.aggregate(F.zip_with(F.slice(a, 1, occasions - 1), F.slice(a, 2, occasions - 1), lambda x, y: x * y), F.lit(0), lambda s, v: s + v)
+    return again, F.aggregate(F.slice(a, 1, occasions - 1), F.lit(0), lambda s, v: s + v)
+
+
+def compressed(df: DataFrame, design: Sequence[tuple[str, Column]] = (), occasions: int | None = None, h: str = "h") -> DataFrame:
+    """(x, e, l, design columns, n); with ``occasions`` also ``again`` and ``before``, from which survival can be guessed."""
+    sums = [F.sum(c).alias(k) for k, c in zip(("again", "before"), runs(occasions, h))] if occasions else []
+    return df.groupBy("x", "e", "l", *[c.alias(name) for name, c in design]).agg(F.count(F.lit(1)).alias("n"), *sums)
 
-def compressed(df: DataFrame, design: Sequence[tuple[str, Column]] = ()) -> DataFrame:
-    """(x, e, l, design columns, n)."""
-    return df.groupBy("x", "e", "l", *[c.alias(name) for name, c in design]).agg(F.count(F.lit(1)).alias("n"))
+
+def rates_of(grouped: pd.DataFrame, occasions: int) -> dict[str, float]:
+    """:func:`empirical` of grouped rows."""
+    n, before = float(grouped["n"].sum()), float(grouped["before"].sum())
+    late = float(grouped.loc[(grouped["e"] >= 1) & (grouped["x"] > 0), "n"].sum())
+    return {
+        "detection": float((grouped["x"] * grouped["n"]).sum()) / (n * occasions), "survival": float(grouped["again"].sum()) / before if before else 0.8,
+        "recruitment": max(0.01, late / (occasions - 1) / n),
+    }
 
 
 def empirical(df: DataFrame, occasions: int, h: str = "h") -> DataFrame:
     """One row: individuals, detection (mean of the matrix), survival (seen again at once), recruitment."""
-    a = F.col(h)
-    again = F.aggregate(F.zip_with(F.slice(a, 1, occasions - 1), F.slice(a, 2, occasions - 1), lambda x, y: x * y), F.lit(0), lambda s, v: s + v)
-    first = F.aggregate(F.slice(a, 1, occasions - 1), F.lit(0), lambda s, v: s + v)
+    again, first = runs(occasions, h)
     n = F.count(F.lit(1))
     return df.agg(
         n.alias("n"),
@@ -34,15 +49,13 @@ def empirical(df: DataFrame, occasions: int, h: str = "h") -> DataFrame:
     )
 
 
-def starting_values(row, formulas: dict[str, Formula], widths: dict[str, int]) -> list[float]:
-    """Intercepts from the empirical rates, other coefficients 0.1; without intercept all from the rate."""
+def starting_values(row, names: Sequence[tuple[str, str]]) -> list[float]:
+    """For coefficients (parameter, term): intercepts from the empirical rates, others 0.1; without intercept all from the rate."""
     clip = lambda v: min(max(v, 0.01), 0.99)
     logit = lambda v: math.log(clip(v) / (1 - clip(v)))
     rate = {"phi": logit(row["survival"]), "p": logit(row["detection"]), "f": math.log(min(max(row["recruitment"], 0.01), 9.0))}
     out: list[float] = []
-    for name in ("phi", "p", "f"):
-        if () in formulas[name].terms:
-            out += [rate[name]] + [0.1] * (widths[name] - 1)
-        else:
-            out += [rate[name]] * widths[name]
+    held = {k for k, t in names if t == "(Intercept)"}
+    for k, t in names:
+        out.append(0.1 if k in held and t != "(Intercept)" else rate[k])
     return out

@@ -11,7 +11,7 @@ from fieldmark.plans.base import OPEN, T, ll_sql, population, query
 from fieldmark.sources.histories import rounded
 
 #: Twelve candidate models: id, phi, p, f, parameters counted, whether the growth rate is known.
-GRID = [(i, round(0.60 + 0.01 * ((i * 7) % 12), 4), round(0.70 + 0.02 * (i % 5), 4), round(0.40 + 0.013 * ((i * 5) % 11), 4), 3 + i % 4, i != 7) for i in range(1, 13)]
+GRID = [(i, round(0.655 + 0.0008 * ((i * 7) % 12), 4), round(0.78 + 0.001 * (i % 5), 4), round(0.455 + 0.001 * ((i * 5) % 11), 4), 3 + i % 4, i != 7) for i in range(1, 13)]
 _TRAIN = "((CAST('0x' || substr(md5('42-' || id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE) < 0.8"
 _VALUES = ", ".join(f"({i}, {phi}::DOUBLE, {p}::DOUBLE, {f}::DOUBLE, {k}, {'TRUE' if known else 'FALSE'})" for i, phi, p, f, k, known in GRID)
 FITS_SQL = f"""{OPEN}, cand(model_id, phi, p, f, k, known) AS (VALUES {_VALUES}),
@@ -42,10 +42,10 @@ def information_criteria(spark, sf):
     return rounded(df.select("model_id", "aic", "bic", "aicc", "deviance", "qaic", "qaicc"))
 
 
-@query("model_comparison", f"WITH {FITS_SQL}, {COMPARED} SELECT model_id, CAST(row_number() OVER (ORDER BY aic, model_id) AS INT) AS rank, round(delta, 6) AS delta, round(weight, 6) AS weight, round((SELECT max(weight) FROM cmp) / weight, 4) AS evidence_ratio, round(sum(weight) OVER (ORDER BY aic, model_id), 6) AS cumulative_weight, CASE WHEN delta <= 2 THEN 'substantial' WHEN delta <= 7 THEN 'some' ELSE 'little' END AS support FROM cmp")
+@query("model_comparison", f"WITH {FITS_SQL}, {COMPARED} SELECT model_id, CAST(row_number() OVER (ORDER BY aic, model_id) AS INT) AS rank, round(delta, 6) AS delta, round(weight, 6) AS weight, round(log10((SELECT max(weight) FROM cmp) / weight), 6) AS log10_evidence, round(sum(weight) OVER (ORDER BY aic, model_id), 6) AS cumulative_weight, CASE WHEN delta <= 2 THEN 'substantial' WHEN delta <= 7 THEN 'some' ELSE 'little' END AS support FROM cmp")
 def model_comparison(spark, sf):
     c = select.comparison(fits(spark, sf))
-    return rounded(c.withColumn("evidence_ratio", F.round("evidence_ratio", 4)).select("model_id", "rank", "delta", "weight", "evidence_ratio", "cumulative_weight", "support"))
+    return rounded(c.withColumn("log10_evidence", F.log10("evidence_ratio")).select("model_id", "rank", "delta", "weight", "log10_evidence", "cumulative_weight", "support"))
 
 
 @query("best_model", f"WITH {FITS_SQL} SELECT model_id, round(aic, 6) AS aic FROM fits ORDER BY aic, model_id LIMIT 1")
