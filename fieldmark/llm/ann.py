@@ -11,8 +11,8 @@ apart, so near copies are told from each other as well as strangers are.
 
 Search: a query makes a table of inner products with all centres of codes and scans the packed
 codes (two to a byte, so tables of 256 entries).  It scans the cells of its ``FIRST`` nearest centres, and
-then all cells that could hold a better one than the k-th best so far: whose centre's score and
-``SURE`` standard deviations of its members' scores reach it.  All vectors whose estimate and
+then all cells that could hold a better one than the k-th best so far: in which ``MISS`` members or more are
+expected above it, by the normal curve around the centre's score.  All vectors whose estimate and
 ``SURE`` standard errors of it reach the k-th best estimate (so all ties) are scored exactly, in double
 precision on the original vectors; there is no cap on them.
 
@@ -27,6 +27,8 @@ id count once; an id with several vectors is several candidates, but never its o
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -40,7 +42,7 @@ CENTRES, PAIR = 16, 2
 FITS = 12
 #: Vectors in a cell by design, most cells (their centres go to every task), vectors in a block, queries in a block.
 CELL, CELLS, CODE_BLOCK, QUERY_BLOCK = 2_048, 1_024, 32_768, 4_096
-FIRST, SURE = 2, 3.0
+FIRST, SURE, MISS = 2, 3.0, 0.005
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -250,11 +252,11 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
                 yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("v"), pa.array(at, pa.int32()), pa.array(r)], names=["c", "v", "cell", "r"])
 
     members = stored(classes.select("c", "v").mapInArrow(placed, "c long, v array<double>, cell int, r double"), "members")
-    blocks = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CODE_BLOCK).cast("int").alias("blocks"), F.sqrt(F.avg("r") / d).alias("spread"))
+    blocks = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CODE_BLOCK).cast("int").alias("blocks"), F.sqrt(F.avg("r") / d).alias("spread"), F.count(F.lit(1)).alias("size"))
     blocks = stored(blocks, "blocks")
     spread = np.full(len(coarse), -np.inf)
     for b in blocks.collect():  # CELLS rows at most
-        spread[b["cell"]] = b["spread"]
+        spread[b["cell"]] = b["spread"] * NormalDist().inv_cdf(1 - MISS / max(b["size"], 1))
     blocks = F.broadcast(blocks.select("cell", "blocks"))
     index = stored(_indexed(members, coarse, books, blocks), "index")
     drop(members)
@@ -282,7 +284,7 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
     reached = one.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= want).groupBy("q").agg(F.min("s").alias("s"), F.count(F.lit(1)).alias("n"))
     reached = reached.select("q", F.when(F.col("n") == want, F.col("s")).otherwise(F.lit(float("-inf"))).alias("least"))
     wider = asked.select("q", "v").join(reached, "q", "left").select("q", "v", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
-    probes = wider.mapInArrow(probing(lambda first, s, least: ~first & np.isfinite(spread) & (s + SURE * np.where(np.isfinite(spread), spread, 0) >= least[:, None])), kind)
+    probes = wider.mapInArrow(probing(lambda first, s, least: ~first & np.isfinite(spread) & (s + np.where(np.isfinite(spread), spread, 0) >= least[:, None])), kind)
     two = stored(_scanned(stored(probes, "probes"), asked.select("q", "v"), index, blocks, books, d, want), "found")
     found = one.unionByName(two).withColumn("nth", F.row_number().over(best))
     found = found.withColumn("least", F.min(F.when(F.col("nth") == want, F.col("s"))).over(Window.partitionBy("q")))
