@@ -52,9 +52,11 @@ def dealt(df: DataFrame, text_col: str) -> tuple[int, int]:
     return max(2 * parts, -(-size // UNIT_BYTES)), max(4, parts // 2, -(-size // RANGE_BYTES))
 
 
-def small(df: DataFrame, rows: int = 20_000) -> DataFrame:
-    """A stored table of narrow rows, marked for broadcasting if it is counted to have ``rows`` at most."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, rows: int = 20_000, array: str | None = None) -> DataFrame:
+    """A stored table of narrow rows, marked for broadcasting if it is counted to have ``rows`` at most,
+    and ten times as many entries at most in a column ``array``."""
+    n, entries = df.agg(F.count(F.lit(1)), F.sum(F.size(array)) if array else F.lit(0)).first()
+    return F.broadcast(df) if n <= rows and (entries or 0) <= 10 * rows else df
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:

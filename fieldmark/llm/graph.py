@@ -13,7 +13,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates the two star contractions: every node hands its larger neighbours, then its smaller
     ones, to the least node it sees, until the links no longer change.  Each step is a minimum per
-    node (combined before the shuffle) and a join, so a hub of any degree never meets in one group.
+    node (combined before the shuffle) and a join of stored tables, whose exchange can be split at a hub of any degree.
     Nulls and self-links are ignored.
     """
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
@@ -21,12 +21,13 @@ def components(edges: DataFrame) -> DataFrame:
     last = e.agg(print_of.alias("p")).first()["p"]
     while last[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        least = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before, e = e, stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        drop(before)
+        large = stored(large, "large")
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before, e = e, stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        drop(before, least, large, low)
         now = e.agg(print_of.alias("p")).first()["p"]
         if now == last:
             break

@@ -7,7 +7,8 @@ corrected for chance collisions of registers screens them, and full sets confirm
 
 Steps: documents with equal sets (by a 128-bit digest of the sorted set) form a class; classes that agree on a band are grouped.  Groups
 of up to ``SMALL`` classes are compared in full, larger ones with two heads; where that leaves a
-large group in several components, its pairs across components follow, block by block inside tasks
+large group in several components, its classes are grouped anew by the rarest shingles of their sets, one of
+which any two that link must share, and pairs across components follow, block by block inside tasks
 that return only links that join components, so no group is cut off.  Components come from joins (see ``graph``); nothing is gathered on the driver.
 
 Number of bands: the most rows a band may have so that a pair right at the threshold is missed
@@ -24,7 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cells, chunks, drop, small, stored
@@ -198,6 +199,33 @@ def _sets(docs: DataFrame, classes: DataFrame, need: DataFrame, size: int) -> Da
     return few.join(reps, same).select("c", "text").mapInArrow(run, "c long, items binary").dropDuplicates(["c"])
 
 
+def _by_rarest(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(band, c, n, comp, size): classes (c, n, comp) grouped anew by shingles, for groups that hold several components.
+
+    In one order of all shingles, here the rarest first, two sets with 100 * intersection >= percent * union
+    share one of the first n - ceil(n * percent / 100) + 1 of either.
+    """
+
+    def run(batches):
+        for batch in batches:
+            items = cells(batch.column("items"), np.uint64)
+            size = [len(x) for x in items]
+            one = np.concatenate(items).view(np.int64) if items else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("c").take(pa.array(np.repeat(np.arange(len(size)), size))), pa.array(one)], names=["c", "shingle"])
+
+    every = sets.mapInArrow(run, "c long, shingle long")
+    often = stored(every.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")), "shingles")
+    first = Window.partitionBy("c").orderBy("often", "shingle")
+    ranked = every.join(often, "shingle").withColumn("nth", F.row_number().over(first)).join(rest.select("c", "n", "comp").distinct(), "c")
+    head = ranked.where(F.expr(f"nth <= n - ceil(n * {percent} / 100) + 1") & (F.col("often") > 1)).select(F.col("shingle").alias("band"), "c", "n", "comp")
+    head = stored(head, "rarest")
+    size = head.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
+    size = stored(size.select("band", "size"), "sizes")
+    out = stored(head.join(size, "band"), "rest")
+    drop(often, head, size)
+    return out
+
+
 def _joining(rest: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of components that a link joins, within groups, from rows (band, c, n, comp, size).
 
@@ -294,8 +322,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     drop(member, split)
     if not rest.isEmpty():
         sets = stored(_sets(docs, classes, rest.select("c").distinct(), size), "sets")
-        more = stored(_joining(rest, classes, sets, percent), "links")
-        drop(sets)
+        anew = _by_rarest(rest, sets, percent)
+        more = stored(_joining(anew, classes, sets, percent), "links")
+        drop(sets, anew)
         if not more.isEmpty():
             joined = components(more).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
             every = comp.unionByName(classes.select(F.col("c").alias("node"), F.col("c").alias("comp")).join(comp.select("node"), "node", "left_anti"))

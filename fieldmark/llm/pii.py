@@ -154,7 +154,7 @@ def sanitised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     if revealing.isEmpty():
         return found.withColumnRenamed("_base", "_spans")
     hits = df.select(ident.alias("_row"), F.explode(_words(text)).alias("term")).join(small(revealing), "term", "left_semi").groupBy("_row").agg(F.collect_set("term").alias("_terms"))
-    hits = small(stored(hits, "hits"))
+    hits = small(stored(hits, "hits"), array="_terms")
     # a term inside a base span is covered already
     clear = F.filter(_placed(text, F.col("_terms")), lambda t: ~F.exists("_base", lambda b: (b["at"] < t["to"]) & (t["at"] < b["to"])))
     clear = F.when(F.col("_terms").isNotNull(), clear).otherwise(F.array().cast(SPAN))

@@ -633,3 +633,19 @@ def test_lm_tells_repeated_texts_apart(spark):
             rows.append((fresh[-1], t))
     got = {x["doc_id"]: x["score"] / x["n_tokens"] for x in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert min(got[i] for i in twice) > max(got[i] for i in once) and min(got[i] for i in copied) > max(got[i] for i in fresh)
+
+
+def test_short_texts_with_a_common_shingle(spark):
+    """Many short texts agree on a band by their one common shingle, and link only where they should."""
+    r = random.Random(31)
+    texts = [f"all rights reserved {' '.join(f'x{r.randrange(60)}' for _ in range(k % 4))}".strip() for k in range(300)]
+    texts += [f"all rights reserved {' '.join(f'y{j}' for j in range(20))} {k % 3}" for k in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingles(t, 3) for t in texts]
+    comp = list(range(len(sets)))
+    for _ in range(8):
+        for i in range(len(sets)):
+            for j in range(i):
+                if comp[i] != comp[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    assert dict(rows_of(minhash.near_duplicates(df), "doc_id", "component_id")) == dict(enumerate(comp))
