@@ -75,3 +75,79 @@ def test_spans_against_brute_force(spark, sf):
         place = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
         assert got[i]["spans"] == place(base + more) and got[i]["base_sha256"] == hashlib.sha256(place(base).encode()).hexdigest()
         assert [got[i][f"n_{k}"] for k in PII] == [sum(s[0] == k for s in base) for k in PII]
+
+
+def test_pipeline_by_brute_force(spark, sf):
+    """The rows of the whole pipeline from plain loops over the same documents."""
+    import re
+    from collections import Counter, defaultdict
+
+    import corpus_pipeline
+    from test_operators import PII, brute_kept, brute_terms, shingles, valid
+
+    tiktoken, tokenizers = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+    from fieldmark.llm.bpe import load_ranks
+
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    assert len({d[0] for d in docs}) == len(docs)
+    good = brute_kept(docs)
+    docs = [d for d in docs if good[d[0]]]
+
+    sets = [shingles(t, 5) for _, t, _, _ in docs]
+    root = list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(docs)):
+        for j in range(i):
+            inner = len(sets[i] & sets[j])
+            if inner and 100 * inner >= 80 * (len(sets[i]) + len(sets[j]) - inner):
+                root[find(i)] = find(j)
+    least = {}
+    for k, d in enumerate(docs):
+        least[find(k)] = min(least.get(find(k), d[0]), d[0])
+    docs = [d for k, d in enumerate(docs) if d[0] == least[find(k)]]
+
+    terms, mark, clean = brute_terms([d[1] for d in docs]), {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}, []
+    for i, t, lang, source in docs:
+        base = [(m.start(), m.end(), k) for k, p in PII.items() for m in re.finditer(p, t) if valid(k, m.group())]
+        more = [(m.start(), m.end(), "term") for m in re.finditer(r"[^\x20\x09-\x0D]+", t) if m.group().lower() in terms and not any(a < m.end() and m.start() < b for a, b, _ in base)]
+        out, pos = "", 0
+        for a, b, k in sorted(base + more):
+            out += t[pos:a] + mark[k] if a >= pos else ""
+            pos = max(pos, b)
+        clean.append((i, out + t[pos:], lang, source))
+
+    size = {i: len(t.encode().split()) for i, t, _, _ in clean}
+    total, by = Counter(), defaultdict(list)
+    for i, t, _, source in clean:
+        total[source] += size[i]
+        by[source].append((int(hashlib.md5(f"{i}\n{t}".encode()).hexdigest()[:15], 16), i))
+    keys = sorted((k for k in total if k is not None)) + ([None] if None in total else [])
+    weight, target, left, free = {k: (5, 2, 1)[n % 3] for n, k in enumerate(keys)}, {}, sum(total.values()), set(keys)
+    while over := [k for k in free if left * weight[k] / sum(weight[x] for x in free) > 3 * total[k]]:
+        target |= {k: 3 * total[k] for k in over}
+        free -= set(over)
+        left = sum(total.values()) - sum(target.values())
+    target |= {k: left * weight[k] / sum(weight[x] for x in free) for k in free}
+    copies = {}
+    for k in keys:
+        fits = min(int(target[k] // total[k]), 3) if total[k] else 0
+        rest, up = target[k] - fits * total[k] if fits < 3 else 0.0, 0
+        copies |= {i: fits for _, i in by[k]}
+        for _, i in sorted(by[k]):
+            if up >= rest:
+                break
+            if up + size[i] <= rest or up + size[i] - rest <= rest - up:
+                copies[i] += 1
+            up += size[i]
+
+    own = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=load_ranks(tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    want = Counter()
+    for i, t, lang, source in clean:
+        want[i, lang, source, tuple(own.encode_ordinary(t)), True] += copies[i]
+    got = Counter((r["doc_id"], r["lang"], r["source"], tuple(r["ids"]), r["round_trip"]) for r in corpus_pipeline.run(spark, sf).collect())
+    assert got == +want
