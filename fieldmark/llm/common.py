@@ -39,17 +39,17 @@ def drop(*tables: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
-def dealt(df: DataFrame, text_col: str) -> tuple[int, int]:
+def dealt(df: DataFrame, text_col: str, *range_bytes: int) -> tuple[int, ...]:
     """(units, ranges): how many units texts are dealt to, and how many hash ranges units exchange hashes with.
 
     Both follow the shuffle partitions the cluster is set to, and more of them where a unit would
-    hold over ``UNIT_BYTES`` of text on average or a range the hashes of over ``RANGE_BYTES``, so
-    that what a task holds stays bounded whatever the setting.  A unit sends a range one row at
+    hold over ``UNIT_BYTES`` of text on average or a range the hashes of over ``RANGE_BYTES`` (or of each of
+    ``range_bytes``, one number of ranges for each), so that what a task holds stays bounded whatever the setting.  A unit sends a range one row at
     most, and none without hashes, so rows are fewer than hashes.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    return max(2 * parts, -(-size // UNIT_BYTES)), max(4, parts // 2, -(-size // RANGE_BYTES))
+    return max(2 * parts, -(-size // UNIT_BYTES)), *(max(4, parts // 2, -(-size // b)) for b in range_bytes or (RANGE_BYTES,))
 
 
 def small(df: DataFrame, rows: int = 20_000, array: str | None = None) -> DataFrame:

@@ -10,13 +10,13 @@ previous two classes, the class before the last skipped over) are hashed into ``
 with one softmax over the classes.  Every round the partitions' gradients are summed by feature
 (a table of fixed size) and the weights updated.
 
-*Words.*  Features (history, word) over the two words before and over the one word before, hashed; those
-seen ``LEAST`` times or more in training have a weight, so their number grows with the corpus.  For each
+*Words.*  Features (two words before, word), hashed; those seen ``LEAST`` times or more in training have a
+weight, so their number grows with the corpus.  For each
 history, a softmax over the hash classes of its words and "another word", and one over the words in
 a class, are trained by gradients with a Gaussian prior.  They live where their history's hash range lives:
-no weight leaves it but to the units whose texts need it.  "Another word" leads to the next shorter
-history, in the end to the class model, so probabilities of all tokens sum to one:
-P = a2 + e2 * (a1 + e1 * P_class), with a the word's own probability and e that of another word.
+no weight leaves it but to the units whose texts need it.  "Another word" leads to the class model, so
+probabilities of all tokens sum to one but for hash collisions: P = a + e * P_class, with a the word's
+own probability and e that of another word.
 
 Counting: texts are dealt once into units; a unit sends its distinct tokens with counts to hash
 ranges, which return the corpus count of each, so a frequent token costs one entry a unit; features
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, cells, chunks, dealt, stored
+from .common import RANGE_BYTES, bucket_of, cells, chunks, dealt, stored
 from .words import mix, words
 
 SINGLES, SHAPES = 47, 16
@@ -42,11 +42,11 @@ FEATURES = 1 << 13
 PARTS = 32
 ROUNDS = 12
 END = np.uint64(0x5851F42D4C957F2D)
-START = np.uint64(0x9FB21C651E98DF25)
-#: Seeds of histories of one and of two words.
-SEEDS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xA24BAED4963EE407))
+START, SEED = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA24BAED4963EE407)
+#: Text to a range of histories.
+PAST_BYTES = 8 << 20
 #: Bits of a word's hash within a history, hash classes of words there, least count of a feature, prior variance, rounds.
-WORD_BITS, GROUPS, LEAST, PRIOR, STEPS = 24, 64, 2, 4.0, 12
+WORD_BITS, GROUPS, LEAST, PRIOR, STEPS = 16, 64, 2, 4.0, 12
 
 _SENT = "bucket long, unit long, hashes binary, counts binary, shapes binary"
 _COUNTED = "unit long, bucket long, counts binary, n long, v long, shape_n array<long>, shape_v array<long>, top_hash array<long>, top_n array<long>, top_shape array<long>"
@@ -106,8 +106,8 @@ class _Unit:
 class _Histories:
     """A unit's word features: distinct histories in order of their hash, and in each its distinct words.
 
-    ``bits`` of a history's hash are kept, enough to tell histories of one range apart.  ``token[k]`` is the
-    feature of each token with histories of k + 1 words.
+    ``bits`` of a history's hash are kept, enough to tell histories of one range apart.  ``token`` is the
+    feature of each token.
     """
 
     def __init__(self, u: _Unit, n: int):
@@ -119,15 +119,13 @@ class _Histories:
         one[start] = START
         two[start] = START
         two[start[u.counts > 1] + 1] = START
-        past = np.concatenate([mix(one ^ SEEDS[0]), mix(mix(two ^ SEEDS[1]) ^ one)]) >> (np.uint64(64) - bits)
-        word = (mix(h ^ SEEDS[0]) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+        past = mix(mix(two ^ SEED) ^ one) >> (np.uint64(64) - bits)
+        word = (mix(h ^ SEED) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
         self.past, at = np.unique(past, return_inverse=True)
-        pair, which = np.unique((at << WORD_BITS) | np.concatenate([word, word]), return_inverse=True)
-        trains = ~u.held[u.doc]
-        self.count = np.bincount(which[np.concatenate([trains, trains])], minlength=len(pair)).astype(np.int64)
+        pair, self.token = np.unique((at << WORD_BITS) | word, return_inverse=True)
+        self.count = np.bincount(self.token[~u.held[u.doc]], minlength=len(pair)).astype(np.int64)
         self.word = (pair & ((1 << WORD_BITS) - 1)).astype(np.int64)
         self.words = np.bincount(pair >> WORD_BITS, minlength=len(self.past)).astype(np.int64)
-        self.token = which.reshape(2, -1)
         self.range = bucket_of(self.past << (np.uint64(64) - bits), n)
 
     def slices(self, n: int):
@@ -189,6 +187,20 @@ _HELD = "bucket long, unit long, past binary, words binary, word binary, count b
 _GIVEN = "unit long, bucket long, other binary, own binary"
 
 
+def sparse(x: np.ndarray, blank: float, dtype) -> bytes:
+    """Which entries aren't ``blank``, bit by bit, and these."""
+    full = x != blank
+    return np.uint32(len(x)).tobytes() + np.packbits(full).tobytes() + x[full].astype(dtype).tobytes()
+
+
+def dense(body, blank: float, dtype) -> np.ndarray:
+    n = int(np.frombuffer(body, np.uint32, 1)[0])
+    cut = 4 + -(-n // 8)
+    out = np.full(n, blank)
+    out[np.unpackbits(np.frombuffer(body, np.uint8)[4:cut], count=n).view(bool)] = np.frombuffer(bytes(memoryview(body)[cut:]), dtype)
+    return out
+
+
 def _word_weights(docs: DataFrame, n: int) -> DataFrame:
     """(unit, bucket, other, own): probabilities of a unit's histories and features, from all training texts."""
 
@@ -200,24 +212,26 @@ def _word_weights(docs: DataFrame, n: int) -> DataFrame:
             "bucket": pa.array([b for b, _, _ in rows], pa.int64()), "unit": pa.array([unit] * len(rows), pa.int64()),
             "past": pa.array([planes(np.diff(x.past[h], prepend=np.uint64(0)), 8) for _, h, _ in rows], pa.binary()),
             "words": pa.array([planes(x.words[h], 4) for _, h, _ in rows], pa.binary()),
-            "word": pa.array([planes(x.word[w], 3) for _, _, w in rows], pa.binary()),
+            "word": pa.array([planes(x.word[w], 2) for _, _, w in rows], pa.binary()),
             "count": pa.array([planes(x.count[w], 4) for _, _, w in rows], pa.binary()),
         })
 
     def give(table: pa.Table) -> pa.Table:
         get = lambda name, dtype, width: [unplaned(x.as_buffer(), dtype, width) for x in table.column(name)]
-        past, words_, word, count = get("past", np.uint64, 8), get("words", np.int64, 4), get("word", np.int64, 3), get("count", np.int64, 4)
+        past, words_, word, count = get("past", np.uint64, 8), get("words", np.int64, 4), get("word", np.int64, 2), get("count", np.int64, 4)
         past = [np.cumsum(x) for x in past]
         every, at = np.unique(np.concatenate(past), return_inverse=True)
         at = np.repeat(at, np.concatenate(words_))  # history of each unit's feature
         pair, which = np.unique((at << WORD_BITS) | np.concatenate(word), return_inverse=True)
         total = np.bincount(which, weights=np.concatenate(count)).astype(np.int64)
-        other, own = learn(pair >> WORD_BITS, pair & ((1 << WORD_BITS) - 1), total)
-        own = np.split(own[which].astype(np.float32), np.cumsum([len(x) for x in word])[:-1])
-        other = [other[np.searchsorted(every, x)].astype(np.float32) for x in past]
+        _, own = learn(pair >> WORD_BITS, pair & ((1 << WORD_BITS) - 1), total)
+        own = own.astype(np.float16).astype(float)  # as sent; another word has what is left
+        other = np.clip(1 - np.bincount(pair >> WORD_BITS, weights=own), 1e-7, 1)
+        own = np.split(own[which], np.cumsum([len(x) for x in word])[:-1])
+        other = [other[np.searchsorted(every, x)] for x in past]
         return pa.table({
             "unit": table.column("unit"), "bucket": table.column("bucket"),
-            "other": pa.array([planes(x, 4) for x in other], pa.binary()), "own": pa.array([planes(x, 4) for x in own], pa.binary()),
+            "other": pa.array([sparse(x, 1.0, np.float32) for x in other], pa.binary()), "own": pa.array([sparse(x, 0.0, np.float16) for x in own], pa.binary()),
         })
 
     return docs.groupBy("unit").applyInArrow(send, _HELD).groupBy("bucket").applyInArrow(give, _GIVEN)
@@ -340,8 +354,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     Per row: the id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and
     ``score`` (log10 probabilities of the whole text).
     """
-    parts, n = dealt(df, text_col)
-    m = 8 * n  # ranges of histories, which hold more
+    parts, n, spans = dealt(df, text_col, RANGE_BYTES, PAST_BYTES)
     text = F.coalesce(F.col(text_col), F.lit(""))
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == held, F.lit(False))
     docs = df.select(F.pmod(F.xxhash64(F.col(id_col), text), F.lit(parts)).alias("unit"), F.col(id_col).alias("id"), held_out.alias("held"), text.alias("text"))
@@ -382,11 +395,10 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
         outer = _log_softmax(weights, np.arange(CLASSES * CLASSES)) / np.log(10)
         size = len(u.counts)
         p = 10.0 ** (inner[u.which] + outer[u.history(cls), cls[u.which]])
-        x = _Histories(u, m)
-        other, own = (np.concatenate([unplaned(back.column(f)[int(i)].as_buffer(), np.float32, 4) for i in order if kind[i] == 1]).astype(float) for f in ("other", "own"))
+        x = _Histories(u, spans)
+        get = lambda name, *how: np.concatenate([dense(back.column(name)[int(i)].as_buffer(), *how) for i in order if kind[i] == 1])
         past = np.repeat(np.arange(len(x.past)), x.words)
-        for token in x.token:  # histories of one word, then of two
-            p = own[token] + other[past[token]] * p
+        p = get("own", 0.0, np.float16)[x.token] + get("other", 1.0, np.float32)[past[x.token]] * p
         summed = lambda x: pa.array(np.bincount(u.doc, weights=x, minlength=size))
         return pa.table({
             "id": table.column("id"),
@@ -400,6 +412,6 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
 
     blank = lambda *names: [F.lit(None).cast("binary").alias(x) for x in names]
     back = counted.where("unit >= 0").select("unit", "bucket", F.lit(0).alias("kind"), "counts", *blank("other", "own"))
-    given = _word_weights(docs, m).select("unit", "bucket", F.lit(1).alias("kind"), *blank("counts"), "other", "own")
+    given = _word_weights(docs, spans).select("unit", "bucket", F.lit(1).alias("kind"), *blank("counts"), "other", "own")
     back = back.unionByName(given)
     return docs.groupBy("unit").cogroup(back.groupBy("unit")).applyInArrow(run, out).withColumnRenamed("id", id_col)
