@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by merge replay over the corpus' distinct pieces.
 
-1. Rows are packed into units of bounded size, written once in compressed form.
+1. Rows are dealt to units of bounded size by a hash of their text, in compressed parts.
 2. A unit cuts its texts by the tokenizer's pattern and sends its distinct pieces to hash ranges.
 3. A range, with each of its distinct pieces once whatever the number of units that hold it, replays
    the merges block by block: an inverted index from token pair to positions in all the block's
@@ -19,6 +19,7 @@ import hashlib
 import heapq
 import zlib
 from collections import defaultdict
+from collections.abc import Iterable
 from functools import lru_cache
 from itertools import chain
 
@@ -28,10 +29,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UNIT_BYTES, cells, chunks, offsets_of, stored
+from .common import cells, chunks, dealt
 
-#: Text in a unit, bytes of pieces that are replayed together.
-PACK_BYTES, BLOCK_BYTES = 8 << 20, 1 << 20
+#: Text in a part of a unit, text whose pieces fall into a range, bytes of pieces that are replayed together.
+PACK_BYTES, PIECE_BYTES, BLOCK_BYTES = 8 << 20, 16 << 20, 1 << 20
 
 
 @lru_cache(maxsize=2)
@@ -132,6 +133,7 @@ class Vocabulary:
         self.bytes_of = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
+        self.kind = np.uint16 if len(self.bytes_of) <= 1 << 16 else np.int32  # of an id as it is sent
 
     def replayed(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """Token ids of each piece, in blocks."""
@@ -167,14 +169,12 @@ def _unpacked(body) -> pa.Table:
         return rows.read_all()
 
 
-def _pieces(texts, find, n: int) -> list[list[str]]:
-    """Distinct pieces of texts by hash range, in order."""
-    every: set[str] = set()
-    for t in texts:
-        every.update(find(t.as_py()))
+def _ranged(every: Iterable[str], n: int) -> list[list[str]]:
+    """Distinct pieces by hash range, in order."""
     out: list[list[str]] = [[] for _ in range(n)]
+    crc = zlib.crc32
     for p in sorted(every):
-        out[zlib.crc32(p.encode()) % n].append(p)
+        out[crc(p.encode()) % n].append(p)
     return out
 
 
@@ -189,61 +189,74 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
     keep = tuple(keep or (id_col,))
     body = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens long, ids array<int>, decoded binary"
     names = [*keep, *[x.split()[0] for x in body.split(", ")]]
-    docs = df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    parts, n = dealt(df, text_col, PIECE_BYTES)
+    parts = -(-parts // 2)  # larger units share more pieces, and a unit holds little else
+    docs = df.select(*keep, text.alias("__text"), F.pmod(F.xxhash64(text), F.lit(parts)).alias("__unit"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[: len(keep)]]
     text_at = len(keep)
 
     def pack(batches):
         for rows in batches:
-            for a, b in chunks(rows.column(text_at), PACK_BYTES):
-                part = rows.slice(a, b - a)
-                size = int(offsets_of(part.column(text_at))[-1] - offsets_of(part.column(text_at))[0])
-                yield pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), pa.array([_packed(part)], pa.binary())], names=["size", "body"])
-
-    units = stored(docs.mapInArrow(pack, "size long, body binary").withColumn("unit", F.monotonically_increasing_id()), "packed")
-    size = units.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    n = max(4, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // (2 * UNIT_BYTES)))
-
-    def send(batches):
+            of = rows.column(text_at + 1).to_numpy()
+            order = np.argsort(of, kind="stable")
+            of = of[order]
+            rows = rows.take(pa.array(order)).select(range(text_at + 1))
+            unit, body = [], []
+            for start in np.flatnonzero(np.concatenate([np.ones(min(1, len(of)), bool), of[1:] != of[:-1]])).tolist():
+                own = rows.slice(start, int(np.searchsorted(of, of[start], "right")) - start)
+                for a, b in chunks(own.column(text_at), PACK_BYTES):
+                    unit.append(int(of[start]))
+                    body.append(_packed(own.slice(a, b - a)))
+            yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), pa.array(body, pa.binary())], names=["unit", "body"])
+
+    units = docs.mapInArrow(pack, "unit long, body binary")
+
+    def opened(table: pa.Table) -> pa.Table:
+        return pa.concat_tables([_unpacked(x.as_buffer()) for x in table.column("body")])
+
+    def send(table: pa.Table) -> pa.Table:
         find = vocabulary(ranks_path, pattern).find
-        for rows in batches:
-            for unit, part in zip(rows.column("unit"), rows.column("body")):
-                sent = [[p.encode() for p in ps] for ps in _pieces(_unpacked(part.as_buffer()).column(text_at), find, n)]
-                full = [k for k, ps in enumerate(sent) if ps]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([unit.as_py()] * len(full), pa.int64()), pa.array(full, pa.int64()), pa.array([b"".join(sent[k]) for k in full], pa.binary()),
-                        pa.array([np.array([len(p) for p in sent[k]], np.int32).tobytes() for k in full], pa.binary()),
-                    ],
-                    names=["unit", "bucket", "pieces", "lengths"],
-                )
+        every: set[str] = set()
+        for t in opened(table).column(text_at):
+            every.update(find(t.as_py()))
+        sent = [[p.encode() for p in ps] for ps in _ranged(every, n)]
+        full = [k for k, ps in enumerate(sent) if ps]
+        return pa.table({
+            "unit": pa.array([table.column("unit")[0].as_py()] * len(full), pa.int64()), "bucket": pa.array(full, pa.int64()),
+            "pieces": pa.array([zlib.compress(b"".join(sent[k]), 1) for k in full], pa.binary()),
+            "lengths": pa.array([np.array([len(p) for p in sent[k]], np.int32).tobytes() for k in full], pa.binary()),
+        })
 
     def encode(table: pa.Table) -> pa.Table:
         place: dict[bytes, int] = {}
         of = []
         for whole, size in zip(cells(table.column("pieces"), np.uint8), cells(table.column("lengths"), np.int32)):
-            whole, cut = whole.tobytes(), np.concatenate([[0], np.cumsum(size)]).tolist()
+            whole, cut = zlib.decompress(whole), np.concatenate([[0], np.cumsum(size)]).tolist()
             of.append([place.setdefault(whole[a:b], len(place)) for a, b in zip(cut, cut[1:])])
-        ids = vocabulary(ranks_path, pattern).replayed(list(place))
+        v = vocabulary(ranks_path, pattern)
+        ids, kind = v.replayed(list(place)), v.kind
         made = [[ids[k] for k in x] for x in of]
         return pa.table({
             "unit": table.column("unit"), "bucket": table.column("bucket"),
-            "ids": pa.array([np.fromiter(chain.from_iterable(x), np.int32).tobytes() for x in made], pa.binary()),
+            "ids": pa.array([np.fromiter(chain.from_iterable(x), kind).tobytes() for x in made], pa.binary()),
             "counts": pa.array([np.fromiter(map(len, x), np.int32).tobytes() for x in made], pa.binary()),
         })
 
     def finish(table: pa.Table, back: pa.Table) -> pa.Table:
         v = vocabulary(ranks_path, pattern)
-        rows = _unpacked(table.column("body")[0].as_buffer())
-        texts = rows.column(text_at)
-        pieces = _pieces(texts, v.find, n)
-        known: dict[str, list[int]] = {}
-        for k, ids, size in zip(back.column("bucket").to_pylist(), cells(back.column("ids"), np.int32), cells(back.column("counts"), np.int32)):
+        rows = opened(table)
+        place: dict[str, int] = {}
+        cuts = [np.fromiter([place.setdefault(p, len(place)) for p in v.find(t.as_py())], np.int32) for t in rows.column(text_at)]
+        pieces = _ranged(place, n)
+        known: list[list[int]] = [[]] * len(place)
+        for k, ids, size in zip(back.column("bucket").to_pylist(), cells(back.column("ids"), v.kind), cells(back.column("counts"), np.int32)):
             ids, cut = ids.tolist(), np.concatenate([[0], np.cumsum(size)]).tolist()
-            known.update(zip(pieces[k], [ids[a:b] for a, b in zip(cut, cut[1:])]))
+            for p, a, b in zip(pieces[k], cut, cut[1:]):
+                known[place[p]] = ids[a:b]
         count, first, second = [], [], []
-        for a in range(0, len(texts), batch):
-            ids = [list(chain.from_iterable(map(known.__getitem__, v.find(t.as_py())))) for t in texts[a : a + batch]]
+        for a in range(0, len(cuts), batch):
+            ids = [list(chain.from_iterable(map(known.__getitem__, c.tolist()))) for c in cuts[a : a + batch]]
             back_ = map(v.decode, ids)
             count += [len(x) for x in ids]
             if digests:
@@ -256,6 +269,5 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
         made = [pa.array(first, pa.string()), pa.array(second, pa.string())] if digests else [pa.chunked_array(x, k) for x, k in zip((first, second), kinds)]
         return pa.table([*[rows.column(i) for i in range(text_at)], pa.array(count, pa.int64()), *made], names=names)
 
-    held = units.select("unit", "body")
-    given = held.mapInArrow(send, "unit long, bucket long, pieces binary, lengths binary").groupBy("bucket").applyInArrow(encode, "unit long, bucket long, ids binary, counts binary")
-    return held.groupBy("unit").cogroup(given.groupBy("unit")).applyInArrow(finish, ", ".join([*kinds, body]))
+    given = units.groupBy("unit").applyInArrow(send, "unit long, bucket long, pieces binary, lengths binary").groupBy("bucket").applyInArrow(encode, "unit long, bucket long, ids binary, counts binary")
+    return units.groupBy("unit").cogroup(given.groupBy("unit")).applyInArrow(finish, ", ".join([*kinds, body]))
