@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,23 @@ def small(df: DataFrame, rows: int = 20_000, array: str | None = None) -> DataFr
     return F.broadcast(df) if n <= rows and (entries or 0) <= 10 * rows else df
 
 
+def rejoined(left: DataFrame, right: DataFrame, on: list[str], weight: str, rows: int, share: int = 1000) -> DataFrame:
+    """``left`` joined (null-safe) with ``right``, a row a key, whose ``weight`` is the number of rows of ``left`` with the key.
+
+    ``rows`` is the sum of weights.  Keys of over ``rows / share`` rows, fewer than ``share`` of them by that sum, are
+    broadcast, so no hot key meets in one task; the others are shuffled.  Rows without a key in ``right`` go.
+    """
+    hot = F.col(weight) * share > rows
+    key = [F.col(c).alias(f"{c}__r") for c in on]
+    rest = [c for c in right.columns if c not in on]
+    same = lambda: reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}__r")) for c in on])
+    keyed = right.select(*key, *rest)
+    few = F.broadcast(keyed.where(hot))  # fewer than share rows
+    common = left.join(few, same())
+    others = left.join(few, same(), "left_anti").join(keyed.where(~hot), same())
+    return common.unionByName(others).drop(*[f"{c}__r" for c in on])
+
+
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     """Hash range of each 64-bit hash; monotone in the hash."""
     return (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, quality, url_filter
+from . import filter_audit, mixing, pii, quality, url_filter, vector_codes
 from .ann import nearest
 from .bpe import encode_decode
 from .common import stored
@@ -90,11 +90,23 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filters = filter_audit.text_filters()
+    counts = filter_audit.masks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), filters=filters)
+    return filter_audit.audited(counts, [*filters, "E"])
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = vector_codes.compressed(_table(spark, sf_dir, "embeddings"))
+    hexed = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    return out.select(F.col("id").alias("vec_id"), hexed.alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ann, op2_html_extract, op3_bpe_encode_decode, op4_lm_score, op5_pii, op6_url_filter, op7_quality_rules,
-        op8_mixing, op9_substring_dedup, op10_minhash,
+        op8_mixing, op9_substring_dedup, op10_minhash, op12_filter_audit, op13_vector_codes,
     )
 }
 
@@ -226,3 +238,65 @@ f AS (SELECT k, min(doc_id) AS first FROM m JOIN d USING (r) GROUP BY k)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(first, doc_id) AS component_id, doc_id = coalesce(first, doc_id) AS kept
 FROM d LEFT JOIN m USING (r) LEFT JOIN f USING (k)
 """
+
+ORACLES["op12_filter_audit"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CASE WHEN len(ws) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]+', '', 'g'))) > 10 * length(t) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > first THEN 16 ELSE 0 END AS mask
+  FROM d JOIN f USING (t) LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+x(k) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (
+  SELECT a.k || b.k || c.k || d.k || e.k AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, 1 << (ascii(filter_order[step]) - 65) AS own,
+         list_sum([1 << (ascii(filter_order[i]) - 65) FOR i IN range(1, step + 1)])::INTEGER AS upto
+  FROM o, range(1, 6) r(step))
+SELECT part, filter_order, step,
+       CAST(coalesce(sum(n) FILTER (mask & upto = 0), 0) AS BIGINT) AS kept,
+       CAST(coalesce(sum(n) FILTER (mask & upto = own), 0) AS BIGINT) AS removed,
+       CAST(coalesce(sum(n) FILTER (mask & own <> 0 AND mask & (upto - own) <> 0), 0) AS BIGINT) AS redundant,
+       CAST(coalesce(sum(n) FILTER (mask = own), 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(sum(good) FILTER (mask & upto = own), 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(sum(toxic) FILTER (mask & upto = own), 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(n * (120 // greatest(bit_count(mask)::BIGINT, 1))) FILTER (mask & own <> 0), 0) AS BIGINT) AS shapley
+FROM s, c GROUP BY part, filter_order, step
+"""
+
+
+def _lloyd_sql() -> str:
+    """Four rounds and a last assignment, written out."""
+    steps = []
+    for k in range(5):
+        steps.append(f"""a{k} AS (
+  SELECT x.pos, x.part, x.n, min_by(b.entry, (list_dot_product(b.part::DOUBLE[], b.part::DOUBLE[]) - 2 * list_dot_product(x.part::DOUBLE[], b.part::DOUBLE[])) * 256 + b.entry) AS entry
+  FROM x JOIN b{k} b ON x.pos = b.pos GROUP BY x.pos, x.part, x.n)""")
+        if k < 4:
+            steps.append(f"""m{k} AS (
+  SELECT pos, entry, list(CAST(floor(s / n) AS BIGINT) ORDER BY j) AS part
+  FROM (SELECT pos, entry, j, sum(n * part[j])::DOUBLE AS s, sum(n)::DOUBLE AS n FROM (SELECT *, unnest(range(1, len(part) + 1)) AS j FROM a{k}) GROUP BY pos, entry, j)
+  GROUP BY pos, entry),
+b{k + 1} AS (SELECT b.pos, b.entry, coalesce(m.part, b.part) AS part FROM b{k} b LEFT JOIN m{k} m USING (pos, entry))""")
+    return ",\n".join(steps)
+
+
+ORACLES["op13_vector_codes"] = f"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, [CAST(floor(1024 * y::DOUBLE) AS BIGINT) FOR y IN embedding] AS q
+  FROM embeddings WHERE len(embedding) > 0 AND len([y FOR y IN embedding IF y IS NULL OR NOT isfinite(y)]) = 0),
+p AS (SELECT r, vec_id, label, pos, q[pos * (len(q) // 4) + 1:(pos + 1) * (len(q) // 4)] AS part FROM v, range(4) t(pos)),
+x AS (SELECT pos, part, count(*) AS n FROM p GROUP BY pos, part),
+b0 AS (SELECT pos, r - 1 AS entry, part FROM p WHERE r <= 256),
+{_lloyd_sql()},
+g AS (SELECT a.pos, a.part, a.entry, CAST(list_sum([(a.part[j] - b.part[j]) * (a.part[j] - b.part[j]) FOR j IN range(1, len(a.part) + 1)]) AS BIGINT) AS error FROM a4 a JOIN b4 b USING (pos, entry)),
+c AS (SELECT r, vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY pos) AS code, CAST(sum(error) AS BIGINT) AS error FROM p JOIN g USING (pos, part) GROUP BY r, vec_id, label),
+h AS (SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY pos, entry)) AS codebooks_sha256 FROM b4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c, h
+"""
