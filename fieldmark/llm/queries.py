@@ -12,6 +12,7 @@ from .ann import nearest
 from .bpe import encode_decode
 from .common import stored
 from .html_extract import extract
+from .language_id import identified
 from .lm_score import score
 from .minhash import near_duplicates
 from .substring_dedup import remove_repeats
@@ -90,6 +91,10 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identified(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     filters = filter_audit.text_filters()
     counts = filter_audit.masks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), filters=filters)
@@ -106,7 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ann, op2_html_extract, op3_bpe_encode_decode, op4_lm_score, op5_pii, op6_url_filter, op7_quality_rules,
-        op8_mixing, op9_substring_dedup, op10_minhash, op12_filter_audit, op13_vector_codes,
+        op8_mixing, op9_substring_dedup, op10_minhash, op11_language_id, op12_filter_audit, op13_vector_codes,
     )
 }
 

@@ -18,7 +18,7 @@ def shown(x):
 
 def wanted(sf, sql):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     cur = con.execute(sql)
     names = [c[0] for c in cur.description]
