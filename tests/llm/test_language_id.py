@@ -54,10 +54,12 @@ def test_frequencies_and_weights(spark):
 
 def test_fit_is_sparse_and_agrees_with_a_coordinate_at_a_time():
     rng = np.random.default_rng(3)
-    rows = [(c := int(rng.integers(3)), at := np.sort(rng.choice(40, 6, replace=False)), np.where(at < 20, 1.0 + 2 * (at % 3 == c), 0.1) / 5) for _ in range(400)]
+    rows = [(c := int(rng.integers(3)), at := np.sort(np.append(rng.choice(20, 5, replace=False), 20 + rng.choice(20, 2, replace=False))), np.where(at < 20, 1.0 + 2 * (at % 3 == c), 0.1) / 5) for _ in range(400)]
     used, w, bias, temp = language_id.fitted(rows, 3, 60)
     assert 10 < len(used) < 30 and 0.02 <= temp <= 20
-    got = [int((w.T @ np.where(np.isin(used, r[1]), np.interp(used, r[1], r[2]), 0) + bias).argmax()) for r in rows]
+    every = np.zeros((60, 3))
+    every[used] = w
+    got = [int((every[r[1]].T @ r[2] + bias).argmax()) for r in rows]
     assert np.mean([g == r[0] for g, r in zip(got, rows)]) > 0.9
     a, b = language_id.Ftrl(5, 2), {}
     x, y = np.array([[0.5, 0.0, 1.0], [0.2, 0.7, 1.0]]), np.eye(2)[[0, 1]]
