@@ -1,18 +1,16 @@
-"""Maximum-likelihood fits of the temporal-symmetry model.
-
-Spark compresses the data to grouped counts; the optimiser (projected Newton with a modified
-Hessian, several starts on failure, or Adam) works on arrays.  Where compression leaves more than
-``LOCAL_ROWS`` rows (continuous covariates), fits, covariances and bootstrap refits keep the rows on the
-executors instead, and every evaluation is one Spark aggregate of value, gradient and Hessian.
-Many models are fitted in one job, a group each.  Priors and penalties go into the objective, and
-never into the log-likelihood and criteria that are reported.
+"""Maximum-likelihood fits: one model, many models, refits on resamples and folds.
+
+Spark compresses the data to grouped counts; where these are ``LOCAL_ROWS`` at most, each fit works on arrays in a task of its
+own.  Where more remain (continuous covariates), the rows stay on the executors, and all fits of a call go in step: a
+round is one Spark aggregate of every fit's value, gradient and Hessian (:mod:`fieldmark.operators.many`).
+Log-likelihoods and criteria that are reported are without priors and penalties.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -21,269 +19,22 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions.dist import t_quantile
 from fieldmark.functions.formula import Data, Formula, FormulaError, describe, design, domain_checks, parse
-from fieldmark.operators.suffstat import compressed, rates_of, runs, starting_values
+from fieldmark.operators import many
+from fieldmark.operators.many import DRAW, Job, weights
+from fieldmark.operators.model import (
+    BOUNDS, EPS, LIMIT, MODELS, NO_PENALTY, PARAMETERS, Model, Penalty, Problem, bounds, get_model, point, predictors, problem, register_model, rows_of_model, sums, value_and_gradient,
+)
+from fieldmark.operators.optimise import STRATEGIES, Optimum, Point, alone, strategy_named
+from fieldmark.operators.suffstat import rates_of, runs, starting_values
 from fieldmark.sources.histories import CaptureFrame
 
-PARAMETERS = ("phi", "p", "f")
-EPS = 1e-12
-LIMIT = math.log(0.999 / 0.001)
-BOUNDS = {"phi": (-LIMIT, LIMIT), "p": (-LIMIT, LIMIT), "f": (math.log(1e-8), math.log(10.0))}
-LOCAL_ROWS = 200_000
-
-
-@dataclass(frozen=True)
-class Problem:
-    """Grouped rows as arrays: x, e, l, counts n, a design matrix for each parameter."""
-
-    x: np.ndarray
-    e: np.ndarray
-    l: np.ndarray  # noqa: E741
-    n: np.ndarray
-    designs: tuple[np.ndarray, np.ndarray, np.ndarray]
-    occasions: int
-
-    @property
-    def cuts(self) -> list[int]:
-        return np.cumsum([0, *[d.shape[1] for d in self.designs]]).tolist()
-
-
-def _tail(r, p, n):
-    """Probability of no detection over n steps, and its derivatives in r and p."""
-    a, b = 1 - r, r * (1 - p)
-    d = np.maximum(1 - b, EPS)
-    s = a / d
-    bn = b**n
-    bn1 = np.where(n > 0, n * b ** np.maximum(n - 1, 0), 0.0)
-    s_r, s_p = (-d + a * (1 - p)) / d**2, -a * r / d**2
-    return s + bn * (1 - s), s_r * (1 - bn) + bn1 * (1 - p) * (1 - s), s_p * (1 - bn) - bn1 * r * (1 - s)
-
-
-@dataclass(frozen=True)
-class Penalty:
-    """What is added to the objective: ridge on coefficients, priors summed over individuals, a barrier averaged over them.
-
-    ``ridge`` leaves intercepts out unless ``intercepts``; ``beta`` is the weight of a Beta(a, b) prior on phi
-    and p, ``recruitment`` that of a log-normal prior (mode, sigma) on f; ``barrier`` weighs the mean of
-    ln q(1-q) of phi and p, halved with ``jeffreys``.
-    """
-
-    ridge: float = 0.0
-    intercepts: bool = False
-    beta: float = 0.0
-    shape: tuple[float, float] = (2.0, 2.0)
-    recruitment: float = 0.0
-    mode: float = 0.05
-    sigma: float = 0.75
-    barrier: float = 0.0
-    jeffreys: bool = False
-
-    def mask(self, names: Sequence[tuple[str, str]]) -> np.ndarray:
-        return np.array([1.0 if self.intercepts or t != "(Intercept)" else 0.0 for _, t in names])
-
-
-NO_PENALTY = Penalty()
-
-
-def rows_of_model(etas: Sequence[np.ndarray], q: Problem, penalty: Penalty = NO_PENALTY, total: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per row: log-likelihood, its value with priors, and the value's derivatives in the three linear predictors."""
-    sigmoid = lambda v: 1 / (1 + np.exp(-v))
-    phi, p, f = sigmoid(etas[0]), sigmoid(etas[1]), np.exp(etas[2])
-    lam = phi + f
-    gamma, span, m = phi / lam, q.l - q.e, (q.l - q.e) - (q.x - 1)
-    xi, xi_g, xi_p = _tail(gamma, p, q.e)
-    chi, chi_phi, chi_p = _tail(phi, p, q.occasions - 1 - q.l)
-    log = lambda v: np.log(np.maximum(v, EPS))
-    ll = span * (log(phi) + log(gamma)) + 2 * ((q.x - 1) * log(p) + m * log(1 - p)) + log(xi) + log(chi)
-    g_phi, g_f = f / lam**2, -phi / lam**2
-    xi, chi = np.maximum(xi, EPS), np.maximum(chi, EPS)
-    d_phi = span * (1 / np.maximum(phi, EPS) + g_phi / np.maximum(gamma, EPS)) + xi_g * g_phi / xi + chi_phi / chi
-    d_f = span * g_f / np.maximum(gamma, EPS) + xi_g * g_f / xi
-    d_p = 2 * ((q.x - 1) / np.maximum(p, EPS) - m / np.maximum(1 - p, EPS)) + xi_p / xi + chi_p / chi
-    seen = q.x > 0
-    ll = np.where(seen, ll, 0.0)
-    d = np.where(seen, np.stack([d_phi * phi * (1 - phi), d_p * p * (1 - p), d_f * f]), 0.0)
-    value = ll.copy()
-    if penalty.beta:
-        a, b = penalty.shape
-        for i, v in ((0, phi), (1, p)):
-            v = np.clip(v, 1e-6, 1 - 1e-6)
-            value += penalty.beta * ((a - 1) * np.log(v) + (b - 1) * np.log(1 - v))
-            d[i] += penalty.beta * ((a - 1) * (1 - v) - (b - 1) * v)
-    if penalty.recruitment:
-        mu = math.log(penalty.mode) + penalty.sigma**2
-        z = (etas[2] - mu) / penalty.sigma
-        value += penalty.recruitment * (-0.5 * z * z - etas[2] - math.log(penalty.sigma) - 0.5 * math.log(2 * math.pi))
-        d[2] += penalty.recruitment * (-z / penalty.sigma - 1)
-    if penalty.barrier:
-        w = penalty.barrier * (0.5 if penalty.jeffreys else 1.0) / total
-        for i, v in ((0, phi), (1, p)):
-            value += w * (np.log(v + EPS) + np.log(1 - v + EPS))
-            d[i] += w * (1 - 2 * v)
-    return ll, value, d
-
-
-@dataclass(frozen=True)
-class Model:
-    """A model over the parameters phi, p, f: ``rows(etas, problem, penalty, total)`` as in :func:`rows_of_model`, and bounds of linear predictors."""
-
-    name: str
-    rows: Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]]
-    bounds: Mapping[str, tuple[float, float]]
-
-
-MODELS: dict[str, Model] = {}
-
-
-def register_model(model: Model) -> None:
-    MODELS[model.name] = model
-
-
-def get_model(name: str) -> Model:
-    if name not in MODELS:
-        raise ValueError(f"unknown model {name!r}; there are {sorted(MODELS)}")
-    return MODELS[name]
-
-
-register_model(Model("temporal_symmetry", rows_of_model, BOUNDS))
-
-
-def sums(theta: np.ndarray, q: Problem, penalty: Penalty = NO_PENALTY, total: float = 1.0, rows=rows_of_model, step: float = 1e-5) -> np.ndarray:
-    """Sums over rows, end to end: log-likelihood, value, gradient and Hessian in the coefficients.
-
-    Rows' second derivatives are central differences in the linear predictors, so one pass has all.
-    """
-    c = q.cuts
-    etas = [q.designs[i] @ theta[c[i] : c[i + 1]] for i in range(3)]
-    ll, value, d = rows(etas, q, penalty, total)
-    h = np.empty((c[3], c[3]))
-    for j in range(3):
-        up, down = ([e + (s if i == j else 0.0) for i, e in enumerate(etas)] for s in (step, -step))
-        second = (rows(up, q, penalty, total)[2] - rows(down, q, penalty, total)[2]) / (2 * step)
-        for i in range(3):
-            h[c[i] : c[i + 1], c[j] : c[j + 1]] = (q.designs[i] * (q.n * second[i])[:, None]).T @ q.designs[j]
-    g = np.concatenate([(q.n * d[i]) @ q.designs[i] for i in range(3)])
-    return np.concatenate([[q.n @ ll, q.n @ value], g, ((h + h.T) / 2).ravel()])
-
-
-@dataclass
-class Point:
-    """The objective at coefficients: value with penalties, log-likelihood without, gradient, Hessian."""
-
-    value: float
-    ll: float
-    g: np.ndarray
-    h: np.ndarray
-
-
-def point(theta: np.ndarray, total: np.ndarray, penalty: Penalty, mask: np.ndarray) -> Point:
-    """From sums over all rows; adds the ridge."""
-    k = len(theta)
-    r = penalty.ridge * mask
-    return Point(float(total[1] - (r * theta**2).sum()), float(total[0]), total[2 : 2 + k] - 2 * r * theta, total[2 + k :].reshape(k, k) - 2 * np.diag(r))
-
-
-def value_and_gradient(theta: np.ndarray, q: Problem) -> tuple[float, np.ndarray]:
-    """Log-likelihood and its gradient over coefficients (phi, p, f)."""
-    s = sums(np.asarray(theta, float), q)
-    return float(s[0]), s[2 : 2 + len(theta)]
-
-
-@dataclass
-class Optimum:
-    theta: np.ndarray
-    at: Point
-    converged: bool
-    iterations: int
-    trace: list[tuple[int, float, float]]
-    strategy: str = "newton"
-
-    @property
-    def value(self) -> float:
-        return self.at.value
+__all__ = [
+    "BOUNDS", "EPS", "LIMIT", "MODELS", "PARAMETERS", "STRATEGIES", "Model", "Penalty", "Point", "Problem", "Spec", "get_model", "point", "register_model", "rows_of_model", "sums", "value_and_gradient",
+]
 
+LOCAL_ROWS = 200_000
 
-def newton(evaluate: Callable[[np.ndarray], Point], start, lower, upper, tol: float = 1e-8, most: int = 100, watch: Callable[[int, float, float], None] | None = None) -> Optimum:
-    """Maximise within bounds: active coordinates stay, the Hessian's eigenvalues are made negative, steps are halved.
 
-    ``watch`` is called with iteration, value and gradient size, and may raise to stop the fit.
-    """
-    theta = np.clip(np.asarray(start, float), lower, upper)
-    at = evaluate(theta)
-    trace: list[tuple[int, float, float]] = []
-    converged, it = False, 0
-    for it in range(1, most + 1):
-        free = ~(((theta <= lower) & (at.g < 0)) | ((theta >= upper) & (at.g > 0)))
-        size = float(np.abs(at.g[free]).max()) if free.any() else 0.0
-        trace.append((it, at.value, size))
-        if watch:
-            watch(it, at.value, size)
-        if size <= tol * max(1.0, abs(at.value)):
-            converged = True
-            break
-        w, v = np.linalg.eigh(-at.h[np.ix_(free, free)])
-        move = np.zeros_like(theta)
-        move[free] = v @ ((v.T @ at.g[free]) / np.maximum(np.abs(w), 1e-6 * max(1.0, np.abs(w).max())))
-        scale = 1.0
-        for _ in range(40):
-            new = np.clip(theta + scale * move, lower, upper)
-            found = evaluate(new)
-            if np.isfinite(found.value) and found.value > at.value - 1e-12 * abs(at.value):
-                break
-            scale /= 2
-        stuck = np.abs(new - theta).max() < 1e-12 or (abs(found.value - at.value) <= 1e-13 * abs(at.value) and it > 3)
-        theta, at = new, found
-        if stuck:
-            converged = size <= 1e-4 * max(1.0, abs(at.value))
-            break
-    # where the objective flattens out towards a bound, the bound itself is the maximum
-    for i in np.flatnonzero((theta > lower) & (theta < upper)):
-        edge = theta.copy()
-        edge[i] = lower[i] if at.g[i] < 0 else upper[i]
-        if abs(at.h[i, i]) <= 1e-3 and (found := evaluate(edge)).value >= at.value:
-            theta, at = edge, found
-    return Optimum(theta, at, converged, it, trace)
-
-
-def adam(evaluate, start, lower, upper, rate: float = 0.05, most: int = 3000, tol: float = 1e-7, patience: int = 200, watch=None) -> Optimum:
-    """Adam with a falling rate, clipped gradients, projection on the bounds, and the rate halved on plateaus."""
-    theta = np.clip(np.asarray(start, float), lower, upper)
-    m = v = np.zeros_like(theta)
-    trace: list[tuple[int, float, float]] = []
-    best, since = -math.inf, 0
-    at = evaluate(theta)
-    for it in range(1, most + 1):
-        g = np.clip(at.g / max(1.0, abs(at.value)), -10.0, 10.0)
-        trace.append((it, at.value, float(np.abs(g).max())))
-        if watch:
-            watch(*trace[-1])
-        if np.abs(g).max() < tol:
-            return Optimum(theta, at, True, it, trace, "adam")
-        best, since = (at.value, 0) if at.value > best + 1e-10 * abs(at.value) else (best, since + 1)
-        if since >= patience:
-            rate, since = rate / 2, 0
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        theta = np.clip(theta + rate / math.sqrt(it / 100 + 1) * (m / (1 - 0.9**it)) / (np.sqrt(v / (1 - 0.999**it)) + 1e-10), lower, upper)
-        at = evaluate(theta)
-    return Optimum(theta, at, False, most, trace, "adam")
-
-
-def multi_start(evaluate, start, lower, upper, starts: int = 5, seed: int = 42, watch=None) -> Optimum:
-    """The best of fits from ``start`` and seeded points within the bounds."""
-    rng = np.random.default_rng(seed)
-    spread = np.minimum(1.5, (upper - lower) / 6)
-    points = [np.asarray(start, float)] + [np.clip(np.asarray(start) + rng.normal(0, spread), lower, upper) for _ in range(starts - 1)]
-    fits = [newton(evaluate, x, lower, upper, watch=watch) for x in points]
-    best = max(fits, key=lambda o: (o.converged, o.value))
-    best.strategy = "multi_start"
-    return best
-
-
-def hybrid(evaluate, start, lower, upper, watch=None) -> Optimum:
-    first = newton(evaluate, start, lower, upper, watch=watch)
-    return first if first.converged else multi_start(evaluate, start, lower, upper, watch=watch)
-
-
-STRATEGIES = {"newton": newton, "lbfgs": newton, "slsqp": newton, "adam": adam, "multi_start": multi_start, "hybrid": hybrid}
 #: Strategy by how difficult a problem is (see ``monitor.difficulty``).
 CHOICE = {"easy": "newton", "moderate": "newton", "difficult": "hybrid", "very_difficult": "multi_start"}
 
@@ -298,33 +49,30 @@ def chosen(frame: CaptureFrame, parameters: int) -> str:
     return CHOICE[label]
 
 
-def strategy_named(name: str):
-    if name not in STRATEGIES:
-        raise ValueError(f"unknown strategy {name!r}; there are {sorted(STRATEGIES)}")
-    return STRATEGIES[name]
-
-
 @dataclass(frozen=True)
 class Spec:
-    """A candidate model: a formula for each parameter."""
+    """A candidate model: a formula for each parameter; ``more`` holds those of parameters other than phi, p and f."""
 
     phi: str = "~1"
     p: str = "~1"
     f: str = "~1"
     name: str = ""
+    more: tuple[tuple[str, str], ...] = ()
 
     @property
     def label(self) -> str:
-        return self.name or f"phi({self.phi}) p({self.p}) f({self.f})"
+        return self.name or f"phi({self.phi}) p({self.p}) f({self.f})" + "".join(f" {k}({v})" for k, v in self.more)
 
-    def formulas(self) -> dict[str, Formula]:
-        return {k: parse(getattr(self, k)) for k in PARAMETERS}
+    def formulas(self, parameters: Sequence[str] = PARAMETERS) -> dict[str, Formula]:
+        other = dict(self.more)
+        return {k: parse(other.get(k, "~1") if k not in PARAMETERS else getattr(self, k)) for k in parameters}
 
 
 FIT_SCHEMA = (
     "model_id int, model_name string, phi string, p string, f string, strategy string, converged boolean, log_likelihood double, n_parameters int, n long, "
     "aic double, aicc double, bic double, n_iterations int, lambda_mean double, "
-    "params array<struct<param:string,term:string,idx:int,estimate:double,se:double,ci_lower:double,ci_upper:double,at_bound:boolean>>"
+    "params array<struct<param:string,term:string,idx:int,estimate:double,se:double,ci_lower:double,ci_upper:double,at_bound:boolean>>, "
+    "trace array<struct<iteration:int,value:double,gradient:double>>"
 )
 
 
@@ -333,7 +81,7 @@ def criteria(ll: float, k: int, n: int) -> tuple[float, float, float]:
     return aic, aic + 2 * k * (k + 1) / (n - k - 1) if n > k + 1 else math.inf, k * math.log(max(n, 1)) - 2 * ll
 
 
-def _result(model_id: int, spec: Spec, names: list[tuple[str, str]], best: Optimum, n: int, lam: float, lower, upper) -> dict:
+def _result(model_id: int, spec: Spec, names: Sequence[tuple[str, str]], best: Optimum, n: int, lam: float | None, lower, upper) -> dict:
     at_bound = (best.theta <= lower + 1e-9) | (best.theta >= upper - 1e-9)
     se = np.full(len(best.theta), np.nan)
     free = ~at_bound
@@ -351,43 +99,32 @@ def _result(model_id: int, spec: Spec, names: list[tuple[str, str]], best: Optim
     return {
         "model_id": model_id, "model_name": spec.label, "phi": spec.phi, "p": spec.p, "f": spec.f, "strategy": best.strategy, "converged": bool(best.converged),
         "log_likelihood": best.at.ll, "n_parameters": k, "n": int(n), "aic": aic, "aicc": aicc, "bic": bic, "n_iterations": best.iterations, "lambda_mean": lam, "params": params,
+        "trace": [{"iteration": i, "value": v, "gradient": g} for i, v, g in best.trace],
     }
 
 
-def _problem(pdf: pd.DataFrame, columns: Sequence[Sequence[str]], occasions: int) -> Problem:
-    get = lambda c: pdf[c].to_numpy(float)
-    return Problem(get("x"), get("e"), get("l"), get("n"), tuple(np.stack([get(c) for c in cols], axis=1) for cols in columns), occasions)
-
-
-def _rates(theta: np.ndarray, q: Problem) -> tuple[np.ndarray, np.ndarray]:
-    c = q.cuts
-    return 1 / (1 + np.exp(-(q.designs[0] @ theta[c[0] : c[1]]))), np.exp(q.designs[2] @ theta[c[2] : c[3]])
-
-
-def _bounds(names, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(np.array([model.bounds[a][i] for a, _ in names]) for i in (0, 1))
-
-
 @dataclass(frozen=True)
 class How:
-    """How to fit: strategy, penalty, model."""
+    """How to fit: strategy, penalty, model, and what to call at every iteration."""
 
     strategy: str = "hybrid"
     penalty: Penalty = NO_PENALTY
     model: str = "temporal_symmetry"
+    watch: Callable[[int, float, float], None] | None = None
 
 
-def _local(q: Problem, names, how: How) -> Callable[[np.ndarray], Point]:
+def _optimum(q: Problem, names, start: np.ndarray, how: How) -> Optimum:
+    """The fit to rows as arrays."""
     model, mask, total = get_model(how.model), how.penalty.mask(names), float(q.n.sum())
-    return lambda theta: point(theta, sums(theta, q, how.penalty, total, model.rows), how.penalty, mask)
+    evaluate = lambda theta: point(theta, sums(theta, q, how.penalty, total, model.rows), how.penalty, mask)
+    return alone(strategy_named(how.strategy)(start, *bounds(names, model), watch=how.watch), evaluate)
 
 
-def _fit_local(pdf: pd.DataFrame, model_id: int, spec: Spec, columns, names, start, occasions: int, how: How, watch=None) -> dict:
-    q = _problem(pdf, columns, occasions)
-    lower, upper = _bounds(names, get_model(how.model))
-    best = strategy_named(how.strategy)(_local(q, names, how), _start(pdf, names, occasions, start), lower, upper, watch=watch)
-    phi, f = _rates(best.theta, q)
-    return _result(model_id, spec, names, best, int(q.n.sum()), float(((phi + f) * q.n).sum() / q.n.sum()), lower, upper)
+def _fit_local(pdf: pd.DataFrame, model_id: int, spec: Spec, columns, names, base, occasions: int, how: How) -> dict:
+    q, model = problem(pdf, columns, occasions), get_model(how.model)
+    best = _optimum(q, names, _start(pdf, names, occasions, base), how)
+    lam = float(model.growth(predictors(best.theta, q)) @ q.n / q.n.sum()) if model.growth else None
+    return _result(model_id, spec, names, best, int(q.n.sum()), lam, *bounds(names, model))
 
 
 def _start(pdf: pd.DataFrame, names, occasions: int, base: Mapping[str, float] | None) -> np.ndarray:
@@ -398,140 +135,171 @@ def _start(pdf: pd.DataFrame, names, occasions: int, base: Mapping[str, float] |
 
 @dataclass(frozen=True)
 class _Prepared:
-    grouped: DataFrame
+    """Rows (x, e, l, design columns, ``extra``, n, again, before) of all models together, not yet grouped."""
+
+    rows: DataFrame
     columns: dict[int, list[list[str]]]
     names: dict[int, list[tuple[str, str]]]
+    occasions: int
+    continuous: bool
     base: dict[str, float] | None = None
 
-    def gathered(self, most: int) -> pd.DataFrame | None:
-        """The grouped rows, if they are ``most`` at most."""
-        few = self.grouped.limit(most + 1).toPandas()
-        return few if len(few) <= most else None
+    @property
+    def key(self) -> list[str]:
+        return [c for c in self.rows.columns if c not in ("n", "again", "before")]
 
+    def grouped(self) -> DataFrame:
+        return self.rows.groupBy(*self.key).agg(*[F.sum(c).alias(c) for c in ("n", "again", "before")])
 
-def _designs(frame: CaptureFrame, specs: Mapping[int, Spec]):
-    formulas = {i: s.formulas() for i, s in specs.items()}
-    used = tuple(dict.fromkeys(v for fs in formulas.values() for fo in fs.values() for v in fo.variables))
-    data: Data = describe(frame.df, used, frame.occasions)
-    column: dict[str, tuple[str, object]] = {}
-    made = {i: {k: design(fs[k], data) for k in PARAMETERS} for i, fs in formulas.items()}
-    for of in made.values():
-        for cols in of.values():
-            for name, c in cols:
-                column.setdefault(name, (f"d{len(column)}", c))
-    return formulas, made, column
+    def settled(self, most: int) -> tuple[pd.DataFrame | None, DataFrame | None]:
+        """(the grouped rows, None) if they are ``most`` at most, else (None, rows to leave on the executors).
 
+        With continuous covariates the number of different rows is estimated first: where they are
+        nearly all different, nothing is grouped, and no shuffle made.
+        """
+        if self.continuous:
+            n, kinds = self.rows.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(*self.key))).first()
+            if kinds > 1.2 * most + 10:
+                return None, self.grouped() if kinds < n / 2 else self.rows
+        few = self.grouped().limit(most + 1).toPandas()
+        return (few, None) if len(few) <= most else (None, self.grouped())
 
-def _design_columns(frame: CaptureFrame, specs: Mapping[int, Spec]) -> list[tuple[str, object]]:
-    return list(_designs(frame, specs)[2].values())
+    def job(self, i: int, total: float, weight: tuple = ("all",)) -> Job:
+        return Job(self.columns[i], self.names[i], weight, total)
 
 
-def _prepare(frame: CaptureFrame, specs: Mapping[int, Spec]) -> _Prepared:
-    """Grouped counts over all models' design columns together."""
-    formulas, made, column = _designs(frame, specs)
+def _prepare(frame: CaptureFrame, specs: Mapping[int, Spec], model: str = "temporal_symmetry", extra: Sequence[tuple[str, object]] = ()) -> _Prepared:
+    """All models' design columns, once each, beside (x, e, l) and ``extra``."""
+    parameters = get_model(model).parameters
+    formulas = {i: s.formulas(parameters) for i, s in specs.items()}
+    used = tuple(dict.fromkeys(v for fs in formulas.values() for fo in fs.values() for v in fo.variables))
+    data: Data = describe(frame.df, used, frame.occasions)
     checks = [c for fs in formulas.values() for fo in fs.values() for c in domain_checks(fo)]
     if checks:
         bad = frame.df.agg(*[F.count_if(c).alias(f"c{i}") for i, (_, c) in enumerate(checks)]).first()
         for i, (message, _) in enumerate(checks):
             if bad[i]:
                 raise FormulaError(f"{message}; {bad[i]} rows don't have them")
-    columns = {i: [[column[n][0] for n, _ in of[k]] for k in PARAMETERS] for i, of in made.items()}
-    names = {i: [(k, n) for k in PARAMETERS for n, _ in of[k]] for i, of in made.items()}
-    return _Prepared(compressed(frame.df, list(column.values()), frame.occasions), columns, names)
-
-
-def _distributed(rows: DataFrame, cols, names, occasions: int, total: float, how: How) -> Callable[[np.ndarray], Point]:
-    """Evaluation as one Spark aggregate; the grouped rows stay on the executors."""
-    k, model, mask = len(names), get_model(how.model), how.penalty.mask(names)
-    width = 2 + k + k * k
-
-    def evaluate(theta: np.ndarray) -> Point:
-        def run(batches):
-            part = np.zeros(width)
-            for pdf in batches:
-                part += sums(theta, _problem(pdf, cols, occasions), how.penalty, total, model.rows)
-            yield pd.DataFrame({"s": [part.tolist()]})
-
-        got = rows.mapInPandas(run, "s array<double>").agg(*[F.sum(F.col("s")[j]) for j in range(width)]).first()
-        return point(theta, np.array(got, float), how.penalty, mask)
-
-    return evaluate
-
-
-def _needed(p: _Prepared, i: int) -> DataFrame:
-    return p.grouped.select("x", "e", "l", "n", "again", "before", *dict.fromkeys(c for cs in p.columns[i] for c in cs))
+    column: dict[str, tuple[str, object]] = {}
+    made = {i: {k: design(fs[k], data) for k in parameters} for i, fs in formulas.items()}
+    for of in made.values():
+        for cols in of.values():
+            for name, c in cols:
+                column.setdefault(name, (f"d{len(column)}", c))
+    columns = {i: [[column[n][0] for n, _ in of[k]] for k in parameters] for i, of in made.items()}
+    names = {i: [(k, n) for k in parameters for n, _ in of[k]] for i, of in made.items()}
+    sums_ = [c.cast("long").alias(k) for k, c in zip(("again", "before"), runs(frame.occasions, "h"))]
+    rows = frame.df.select("x", "e", "l", *[c.alias(n) for n, c in column.values()], *[c.alias(n) for n, c in extra], F.lit(1).cast("long").alias("n"), *sums_)
+    return _Prepared(rows, columns, names, frame.occasions, any(v not in data.levels for v in used))
 
 
-def _fit_distributed(p: _Prepared, i: int, spec: Spec, occasions: int, how: How, watch=None, rows: DataFrame | None = None) -> tuple[dict, Optimum]:
-    cols, names = p.columns[i], p.names[i]
-    rows = (rows if rows is not None else _needed(p, i)).persist()
-    whole = rows.groupBy("x", "e").agg(*[F.sum(c).alias(c) for c in ("n", "again", "before")]).toPandas()  # at most occasions squared
-    n = whole["n"].sum()
-    lower, upper = _bounds(names, get_model(how.model))
-    best = strategy_named(how.strategy)(_distributed(rows, cols, names, occasions, float(n), how), _start(whole, names, occasions, p.base), lower, upper, watch=watch)
-    theta = best.theta
+def _whole(rows: DataFrame) -> pd.DataFrame:
+    """What starting values need: sums by first capture and number of captures (occasions squared at most)."""
+    return rows.groupBy("x", "e").agg(*[F.sum(c).alias(c) for c in ("n", "again", "before")]).toPandas()
 
-    def lam(batches):
-        for pdf in batches:
-            q = _problem(pdf, cols, occasions)
-            phi, f = _rates(theta, q)
-            yield pd.DataFrame({"s": [float(((phi + f) * q.n).sum())]})
 
-    s = rows.mapInPandas(lam, "s double").agg(F.sum("s")).first()[0]
-    rows.unpersist()
-    return _result(i, spec, names, best, int(n), float(s / n), lower, upper), best
+def _fit_distributed(p: _Prepared, rows: DataFrame, specs: Mapping[int, Spec], how: How) -> dict[int, tuple[dict, Optimum]]:
+    """All models in step, over rows on the executors."""
+    rows = rows.persist()
+    try:
+        whole, model = _whole(rows), get_model(how.model)
+        n = float(whole["n"].sum())
+        jobs = {i: p.job(i, n) for i in specs}
+        best = many.fitted(rows, jobs, {i: _start(whole, p.names[i], p.occasions, p.base) for i in specs}, p.occasions, how)
+        lam = many.growths(rows, jobs, p.occasions, {i: b.theta for i, b in best.items()}, model)
+        return {i: (_result(i, s, p.names[i], best[i], int(n), lam[i], *bounds(p.names[i], model)), best[i]) for i, s in specs.items()}
+    finally:
+        rows.unpersist()
 
 
 def _warmed(frame: CaptureFrame, p: _Prepared, how: How, local_rows: int) -> _Prepared:
     """Starts with the intercepts of a fit without covariates."""
-    base = {q["param"]: q["estimate"] for q in fit(frame, Spec(), how.strategy, local_rows, model=how.model)["params"]}
-    return _Prepared(p.grouped, p.columns, p.names, base)
+    return replace(p, base={q["param"]: q["estimate"] for q in fit(frame, Spec(), how.strategy, local_rows, model=how.model)["params"]})
 
 
-def fit(frame: CaptureFrame, spec: Spec = Spec(), strategy: str = "hybrid", local_rows: int = LOCAL_ROWS, penalty: Penalty = NO_PENALTY, warm_start: bool = False, model: str = "temporal_symmetry", watch=None) -> dict:
+def fit(
+    frame: CaptureFrame, spec: Spec = Spec(), strategy: str = "hybrid", local_rows: int = LOCAL_ROWS, penalty: Penalty = NO_PENALTY,
+    warm_start: bool = False, model: str = "temporal_symmetry", watch=None,
+) -> dict:
     """One model; a row of ``FIT_SCHEMA`` as a dict.  ``strategy`` "auto" picks one by difficulty."""
-    p = _prepare(frame, {0: spec})
-    how = How(chosen(frame, len(p.names[0])) if strategy == "auto" else strategy, penalty, model)
+    p = _prepare(frame, {0: spec}, model)
+    how = How(chosen(frame, len(p.names[0])) if strategy == "auto" else strategy, penalty, model, watch)
     strategy_named(how.strategy)
     if warm_start:
         p = _warmed(frame, p, how, local_rows)
-    few = p.gathered(local_rows)
+    few, rows = p.settled(local_rows)
     if few is None:
-        return _fit_distributed(p, 0, spec, frame.occasions, how, watch)[0]
-    return _fit_local(few, 0, spec, p.columns[0], p.names[0], p.base, frame.occasions, how, watch)
+        return _fit_distributed(p, rows, {0: spec}, how)[0][0]
+    return _fit_local(few, 0, spec, p.columns[0], p.names[0], p.base, frame.occasions, how)
 
 
-def fit_models(frame: CaptureFrame, specs: Sequence[Spec], strategy: str = "hybrid", done: DataFrame | None = None, local_rows: int = LOCAL_ROWS, penalty: Penalty = NO_PENALTY, warm_start: bool = False) -> DataFrame:
-    """All models in one job: the grouped counts go to a group for each model.
+def _each(spark: SparkSession, few: pd.DataFrame, schema, n: int, run: Callable[[int, pd.DataFrame], pd.DataFrame], out: str) -> DataFrame:
+    """``run(i, rows)`` for each i below ``n``, in a partition of its own; the rows, a bounded table, are broadcast."""
+    rows = F.broadcast(spark.createDataFrame(few, schema))
 
-    Where grouping leaves more than ``local_rows`` rows, models are fitted one after another by
-    distributed evaluations.  ``done`` (with model_id) holds fits of an earlier run, which are not repeated.
+    def whole(batches):
+        got = list(batches)
+        if got and len(pdf := pd.concat(got, ignore_index=True)):
+            yield run(int(pdf["job"].iloc[0]), pdf.drop(columns="job"))
+
+    return spark.range(0, n, 1, n).select(F.col("id").cast("int").alias("job")).crossJoin(rows).mapInPandas(whole, out)
+
+
+def fit_models(
+    frame: CaptureFrame, specs: Sequence[Spec], strategy: str = "hybrid", done: DataFrame | None = None, local_rows: int = LOCAL_ROWS,
+    penalty: Penalty = NO_PENALTY, warm_start: bool = False, model: str = "temporal_symmetry", store: str | None = None,
+) -> DataFrame:
+    """All models in one job: the grouped counts go to a task for each model.
+
+    Where grouping leaves more than ``local_rows`` rows, the models are fitted in step by distributed
+    evaluations.  ``done`` (with model_id) holds fits of an earlier run, which are not repeated.  With ``store`` (a folder) every
+    model is written there once its own fit is done, so that a job that fails or is stopped keeps the finished
+    ones, and the same call goes on from them; the result is then read from the folder.
     """
     spark: SparkSession = frame.df.sparkSession
     todo = dict(enumerate(specs))
+    if store is not None:
+        kept = _stored_fits(spark, store)
+        if kept is not None:
+            done = kept if done is None else done.select("model_id").unionByName(kept.select("model_id"))
     if done is not None:
         gone = {r["model_id"] for r in done.select("model_id").distinct().collect()}  # a row a model
         todo = {i: s for i, s in todo.items() if i not in gone}
-    if not todo:
-        return spark.createDataFrame([], FIT_SCHEMA)
-    p, occasions, how = _prepare(frame, todo), frame.occasions, How(strategy, penalty)
+    fits = _fit_todo(frame, todo, How(strategy, penalty, model), local_rows, warm_start) if todo else spark.createDataFrame([], FIT_SCHEMA)
+    if store is None:
+        return fits
+    if todo:
+        # a task's file is moved into place when the task ends, not when the job does
+        fits.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(store)
+    return _stored_fits(spark, store) or fits
+
+
+def _stored_fits(spark: SparkSession, store: str) -> DataFrame | None:
+    """Fits in a folder, one a model (a retried task may have written one twice); None if there are none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+        return None
+    return spark.read.schema(FIT_SCHEMA).parquet(store).dropDuplicates(["model_id"])
+
+
+def _fit_todo(frame: CaptureFrame, todo: dict[int, Spec], how: How, local_rows: int, warm_start: bool) -> DataFrame:
+    spark, p, occasions = frame.df.sparkSession, _prepare(frame, todo, how.model), frame.occasions
     if warm_start:
         p = _warmed(frame, p, how, local_rows)
-    rows = p.gathered(local_rows)
-    if rows is None:
-        return spark.createDataFrame([_fit_distributed(p, i, s, occasions, how)[0] for i, s in todo.items()], FIT_SCHEMA)
-    ids = spark.createDataFrame([(i,) for i in todo], "model_id int")
+    few, rows = p.settled(local_rows)
+    if few is None:
+        return spark.createDataFrame([r for r, _ in _fit_distributed(p, rows, todo, how).values()], FIT_SCHEMA)
+    ids, p_columns, p_names, base, model = list(todo), p.columns, p.names, p.base, get_model(how.model)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        i = int(key[0])
+    def run(job: int, pdf: pd.DataFrame) -> pd.DataFrame:
+        i = ids[job]
         cols = p_columns[i]
+        register_model(model)  # a task's registry has only the library's own
         need = list(dict.fromkeys(c for cs in cols for c in cs))
-        few = pdf.groupby(["x", "e", "l", *need], as_index=False)[["n", "again", "before"]].sum()
-        return pd.DataFrame([_fit_local(few, i, todo[i], cols, p_names[i], base, occasions, how)])
+        own = pdf.groupby(["x", "e", "l", *need], as_index=False)[["n", "again", "before"]].sum()
+        return pd.DataFrame([_fit_local(own, i, todo[i], cols, p_names[i], base, occasions, how)])
 
-    p_columns, p_names, base = p.columns, p.names, p.base
-    few = spark.createDataFrame(rows, p.grouped.schema)  # local_rows at most
-    return few.crossJoin(F.broadcast(ids)).groupBy("model_id").applyInPandas(run, FIT_SCHEMA)  # ids: a row a model
+    return _each(spark, few, p.grouped().schema, len(ids), run, FIT_SCHEMA)
 
 
 def hessian_quality(h: np.ndarray) -> str:
@@ -555,13 +323,12 @@ def covariance(frame: CaptureFrame, spec: Spec = Spec(), strategy: str = "hybrid
     """
     p, how = _prepare(frame, {0: spec}), How(strategy)
     names = p.names[0]
-    lower, upper = _bounds(names, get_model(how.model))
-    few = p.gathered(local_rows)
+    lower, upper = bounds(names, get_model(how.model))
+    few, rows = p.settled(local_rows)
     if few is not None:
-        q = _problem(few, p.columns[0], frame.occasions)
-        best = strategy_named(strategy)(_local(q, names, how), _start(few, names, frame.occasions, None), lower, upper)
+        best = _optimum(problem(few, p.columns[0], frame.occasions), names, _start(few, names, frame.occasions, None), how)
     else:
-        best = _fit_distributed(p, 0, spec, frame.occasions, how)[1]
+        best = _fit_distributed(p, rows, {0: spec}, how)[0][1]
     info = -best.at.h
     free = (best.theta > lower + 1e-9) & (best.theta < upper - 1e-9)
     cov, condition = np.full_like(info, np.nan), math.nan
@@ -576,18 +343,18 @@ def covariance(frame: CaptureFrame, spec: Spec = Spec(), strategy: str = "hybrid
     label = [f"{a}_{t}" for a, t in names]
     k = range(len(label))
     quality = hessian_quality(best.at.h[np.ix_(free, free)])
-    rows = [(label[i], label[j], some(info[i, j]), some(cov[i, j]), some(cov[i, j] / (sd[i] * sd[j])), some(condition), quality) for i in k for j in k]
-    return frame.df.sparkSession.createDataFrame(rows, "row string, col string, information double, covariance double, correlation double, condition double, hessian string")
+    found = [(label[i], label[j], some(info[i, j]), some(cov[i, j]), some(cov[i, j] / (sd[i] * sd[j])), some(condition), quality) for i in k for j in k]
+    return frame.df.sparkSession.createDataFrame(found, "row string, col string, information double, covariance double, correlation double, condition double, hessian string")
 
 
 def strategies_compared(frame: CaptureFrame, spec: Spec = Spec(), names: Sequence[str] = ("newton", "multi_start", "adam")) -> DataFrame:
     """A fit by each strategy: log-likelihood, convergence, iterations."""
     p = _prepare(frame, {0: spec})
-    few = p.gathered(LOCAL_ROWS)
+    few, left = p.settled(LOCAL_ROWS)
 
     def by(s: str) -> dict:
         if few is None:
-            return _fit_distributed(p, 0, spec, frame.occasions, How(s))[0]
+            return _fit_distributed(p, left, {0: spec}, How(s))[0][0]
         return _fit_local(few, 0, spec, p.columns[0], p.names[0], None, frame.occasions, How(s))
 
     rows = [(s, (r := by(s))["log_likelihood"], r["converged"], r["n_iterations"]) for s in names]
@@ -604,59 +371,41 @@ def parameters(fits: DataFrame) -> DataFrame:
     return fits.select("model_id", F.explode("params").alias("q")).select("model_id", "q.*")
 
 
-def _poisson(mean: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Poisson draws by inversion; above 500 by the normal curve."""
-    mean = mean.astype(float)
-    out = np.zeros(len(mean))
-    term = np.exp(-np.minimum(mean, 500))
-    total, k = term.copy(), 0
-    while (open_ := (u > total) & (mean <= 500) & (term > 0)).any():
-        k += 1
-        term = term * mean / k
-        out[open_] += 1
-        total = total + term
-    big = mean > 500
-    if big.any():
-        from fieldmark.functions.dist import normal_quantile
-
-        out[big] = np.maximum(0, np.round(mean[big] + np.sqrt(mean[big]) * np.array([normal_quantile(float(x)) for x in u[big]])))
-    return out
-
-
 BOOT_SCHEMA = "rep int, param string, term string, estimate double, converged boolean"
 
 
-def bootstrap(frame: CaptureFrame, spec: Spec = Spec(), replicates: int = 100, seed: int = 42, local_rows: int = LOCAL_ROWS, fit_fn: Callable[[pd.DataFrame], Mapping[tuple[str, str], float]] | None = None) -> DataFrame:
+def bootstrap(
+    frame: CaptureFrame, spec: Spec = Spec(), replicates: int = 100, seed: int = 42, local_rows: int = LOCAL_ROWS,
+    fit_fn: Callable[[pd.DataFrame], Mapping[tuple[str, str], float]] | None = None,
+) -> DataFrame:
     """(rep, param, term, estimate, converged): refits on resampled individuals; a replicate that fails has null estimates.
 
     Resampling n individuals with replacement is a multinomial draw over the grouped counts, made in
-    each replicate's task; above ``local_rows`` grouped rows, Poisson weights by row and distributed
-    evaluations, one replicate after another.  ``fit_fn`` stands in for the fit: it gets grouped rows
-    (x, e, l, design columns, n) and returns estimates by (param, term).
+    each replicate's task.  Above ``local_rows`` grouped rows, every row has a Poisson weight in each replicate, and all
+    replicates are fitted in step, so that a round is one job however many there are.  ``fit_fn`` stands in for the fit: it gets
+    grouped rows (x, e, l, design columns, n) and returns estimates by (param, term); above ``local_rows`` it is refused.
     """
     p, occasions, spark = _prepare(frame, {0: spec}), frame.occasions, frame.df.sparkSession
-    cols, names, how, few = p.columns[0], p.names[0], How(), p.gathered(local_rows)
+    cols, names, how = p.columns[0], p.names[0], How()
+    few, _ = p.settled(local_rows)
 
-    def rows_of(rep: int, got: dict | None) -> list[tuple]:
-        ok = got is not None and got["converged"]
-        found = {(q["param"], q["term"]): q["estimate"] for q in got["params"]} if ok else {}
-        return [(rep, a, t, found.get((a, t)), ok) for a, t in names]
+    def rows_of(rep: int, found: Mapping[tuple[str, str], float] | None) -> list[tuple]:
+        return [(rep, a, t, found.get((a, t)) if found is not None else None, found is not None) for a, t in names]
 
     if few is None:
-        rows, key = _needed(p, 0), [c for c in _needed(p, 0).columns if c != "n"]
-        out = []
-        for rep in range(replicates):
-            u = (F.pmod(F.xxhash64(F.lit(f"{seed}-{rep}"), *key), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
-
-            def draw(batches):
-                for pdf in batches:
-                    yield pdf.assign(n=_poisson(pdf["n"].to_numpy(), pdf["u"].to_numpy())).drop(columns="u").query("n > 0")
-
-            kinds = ", ".join(f"{f.name} {'double' if f.name == 'n' else f.dataType.simpleString()}" for f in rows.schema)
-            drawn = rows.withColumn("u", u).mapInPandas(draw, kinds)
-            out += rows_of(rep, _fit_distributed(p, 0, spec, occasions, how, rows=drawn)[0])
-        return spark.createDataFrame(out, BOOT_SCHEMA)
-    reps = spark.range(replicates).select(F.col("id").cast("int").alias("rep"))
+        if fit_fn:
+            raise ValueError(f"a fit function gets whole replicates, and this table has more than {local_rows} different rows")
+        # rows drawn by their hash have to be different rows
+        rows = p.grouped().withColumn(DRAW, F.xxhash64(F.lit(seed), *p.key)).persist()
+        try:
+            whole = _whole(rows)
+            start = _start(whole, names, occasions, None)
+            jobs = {r: p.job(0, float(whole["n"].sum()), ("drawn", r)) for r in range(replicates)}
+            best = many.fitted(rows, jobs, dict.fromkeys(jobs, start), occasions, how)
+        finally:
+            rows.unpersist()
+        found = {r: dict(zip(names, b.theta.tolist())) if b.converged else None for r, b in best.items()}
+        return spark.createDataFrame([x for r in jobs for x in rows_of(r, found[r])], BOOT_SCHEMA)
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([c for c in pdf.columns if c not in ("rep", "n")])
@@ -664,12 +413,15 @@ def bootstrap(frame: CaptureFrame, spec: Spec = Spec(), replicates: int = 100, s
         drawn = np.random.default_rng([seed, int(key[0])]).multinomial(n.sum(), n / n.sum())
         sample = pdf.assign(n=drawn)[drawn > 0]
         if fit_fn:
-            got = {"converged": True, "params": [{"param": a, "term": t, "estimate": v} for (a, t), v in fit_fn(sample.drop(columns="rep")).items()]}
+            found = fit_fn(sample.drop(columns="rep"))
         else:
-            got = _fit_local(sample.assign(again=sample["again"] * sample["n"] / sizes[drawn > 0], before=sample["before"] * sample["n"] / sizes[drawn > 0]), 0, spec, cols, names, None, occasions, how)
-        return pd.DataFrame(rows_of(int(key[0]), got), columns=["rep", "param", "term", "estimate", "converged"])
+            share = sample["n"] / sizes[drawn > 0]
+            got = _fit_local(sample.assign(again=sample["again"] * share, before=sample["before"] * share), 0, spec, cols, names, None, occasions, how)
+            found = {(q["param"], q["term"]): q["estimate"] for q in got["params"]} if got["converged"] else None
+        return pd.DataFrame(rows_of(int(key[0]), found), columns=["rep", "param", "term", "estimate", "converged"])
 
-    rows = spark.createDataFrame(few, p.grouped.schema)  # local_rows at most
+    reps = spark.range(replicates).select(F.col("id").cast("int").alias("rep"))
+    rows = spark.createDataFrame(few, p.grouped().schema)  # local_rows at most
     return rows.crossJoin(F.broadcast(reps)).groupBy("rep").applyInPandas(run, BOOT_SCHEMA)
 
 
@@ -726,42 +478,63 @@ def prediction_summary(rates: DataFrame, n_parameters: int) -> DataFrame:
 VALIDATION_SCHEMA = "model_id int, repeat int, fold int, train_ll double, train_n long, val_ll double, val_n long, n_parameters int, converged boolean, params array<struct<param:string,term:string,estimate:double>>"
 
 
-def cross_validated(frame: CaptureFrame, specs: Sequence[Spec], k: int = 5, repeats: int = 1, seed: int = 42, id_col: str = "id", share: float | None = None) -> DataFrame:
-    """Fits on the rest of each fold, judged on the fold: a row for each model, repeat and fold, all in one job.
+def cross_validated(
+    frame: CaptureFrame, specs: Sequence[Spec], k: int = 5, repeats: int = 1, seed: int = 42, id_col: str = "id",
+    share: float | None = None, local_rows: int = LOCAL_ROWS,
+) -> DataFrame:
+    """Fits on the rest of each fold, judged on the fold: a row for each model, repeat and fold.
 
-    Folds are hash ranges of the id; with ``share``, one split with that share held out instead.
+    Folds are hash ranges of the id; with ``share``, one split with that share held out instead.  Each fit is a task over
+    the grouped rows; above ``local_rows`` of these all models and folds are fitted in step over rows on the executors.
     """
     from fieldmark.operators.sampling import uniform
 
     spark, occasions, how = frame.df.sparkSession, frame.occasions, How()
     todo = dict(enumerate(specs))
     fold = lambda r: (F.floor(uniform(seed + r, id_col) * k) if share is None else (uniform(seed + r, id_col) >= share)).cast("int")
-    each = frame.df.withColumn("_r", F.explode(F.array(*[F.struct(F.lit(r).alias("repeat"), fold(r).alias("part")) for r in range(repeats)])))
-    p = _prepare(frame, todo)
-    columns = dict(_design_columns(frame, todo))
-    grouped = each.groupBy(F.col("_r.repeat").alias("repeat"), F.col("_r.part").alias("part"), "x", "e", "l", *[c.alias(name) for name, c in columns.items()]).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(a) for a, c in zip(("again", "before"), runs(occasions, "h"))])
-    jobs = spark.createDataFrame([(i, r, j) for i in todo for r in range(repeats) for j in (range(k) if share is None else (0,))], "model_id int, r int, fold int")
-    p_columns, p_names = p.columns, p.names
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        i, r, j = (int(x) for x in key)
-        cols, names = p_columns[i], p_names[i]
-        out = pdf["part"] == j
-        got = _fit_local(pdf[~out], i, todo[i], cols, names, None, occasions, how)
-        theta = np.array([q["estimate"] for q in got["params"]])
-        val = sums(theta, _problem(pdf[out], cols, occasions))[0] if out.any() else 0.0
-        params = [{x: q[x] for x in ("param", "term", "estimate")} for q in got["params"]]
-        return pd.DataFrame([{"model_id": i, "repeat": r, "fold": j, "train_ll": got["log_likelihood"], "train_n": got["n"], "val_ll": float(val), "val_n": int(pdf.loc[out, "n"].sum()), "n_parameters": got["n_parameters"], "converged": got["converged"], "params": params}])
-
-    both = grouped.join(F.broadcast(jobs), F.col("repeat") == F.col("r")).drop("repeat")  # a row a model, repeat and fold
-    return both.groupBy("model_id", F.col("r").alias("repeat"), "fold").applyInPandas(run, VALIDATION_SCHEMA)
+    p = _prepare(frame, todo, extra=[(f"part{r}", fold(r)) for r in range(repeats)])
+    keys = [(i, r, j) for i in todo for r in range(repeats) for j in (range(k) if share is None else (0,))]
+    few, rows = p.settled(local_rows)
 
+    def row(key, train_ll, train_n, val_ll, val_n, converged, theta) -> dict:
+        params = [{"param": a, "term": t, "estimate": float(v)} for (a, t), v in zip(p_names[key[0]], theta)]
+        return {
+            "model_id": key[0], "repeat": key[1], "fold": key[2], "train_ll": train_ll, "train_n": int(train_n), "val_ll": val_ll, "val_n": int(val_n),
+            "n_parameters": len(params), "converged": bool(converged), "params": params,
+        }
 
-def selection_workflow(frame: CaptureFrame, specs: Sequence[Spec], share: float = 0.2, seed: int = 42, id_col: str = "id") -> DataFrame:
+    p_columns, p_names = p.columns, p.names
+    if few is None:
+        rows = rows.persist()
+        try:
+            whole = _whole(rows)
+            size = rows.groupBy(*[F.col(f"part{r}") for r in range(repeats)]).agg(F.sum("n").alias("n")).toPandas()  # a row a combination of folds
+            weight = {key: ("not", f"part{key[1]}", key[2]) for key in keys}
+            total = {key: float(weights(size, weight[key]).sum()) for key in keys}
+            jobs = {key: p.job(key[0], total[key], weight[key]) for key in keys}
+            best = many.fitted(rows, jobs, {key: _start(whole, p.names[key[0]], occasions, None) for key in keys}, occasions, how)
+            judged = many.held_out(rows, jobs, occasions, {key: b.theta for key, b in best.items()}, get_model(how.model))
+        finally:
+            rows.unpersist()
+        return spark.createDataFrame([row(key, best[key].at.ll, total[key], *judged[key], best[key].converged, best[key].theta) for key in keys], VALIDATION_SCHEMA)
+
+    def run(job: int, pdf: pd.DataFrame) -> pd.DataFrame:
+        key = keys[job]
+        cols, names = p_columns[key[0]], p_names[key[0]]
+        out = (pdf[f"part{key[1]}"] == key[2]).to_numpy()
+        train = problem(pdf[~out], cols, occasions)
+        best = _optimum(train, names, _start(pdf[~out], names, occasions, None), how)
+        val = sums(best.theta, problem(pdf[out], cols, occasions))[0] if out.any() else 0.0
+        return pd.DataFrame([row(key, best.at.ll, train.n.sum(), float(val), pdf.loc[out, "n"].sum(), best.converged, best.theta)])
+
+    return _each(spark, few, p.grouped().schema, len(keys), run, VALIDATION_SCHEMA)
+
+
+def selection_workflow(frame: CaptureFrame, specs: Sequence[Spec], share: float = 0.2, seed: int = 42, id_col: str = "id", local_rows: int = LOCAL_ROWS) -> DataFrame:
     """Fit on a training part, judge on the rest, compare: ranks by AIC and by loss, weights, overfitting and its label."""
     from fieldmark.operators.select import comparison, overfitting_label
 
-    rows = cross_validated(frame, specs, repeats=1, seed=seed, id_col=id_col, share=share).drop("repeat", "fold", "params")
+    rows = cross_validated(frame, specs, repeats=1, seed=seed, id_col=id_col, share=share, local_rows=local_rows).drop("repeat", "fold", "params")
     rows = rows.withColumns({
         "aic": 2.0 * F.col("n_parameters") - 2.0 * F.col("train_ll"), "loss": F.try_divide(-F.col("val_ll"), F.col("val_n")),
         "overfitting": F.abs(F.try_divide(F.col("train_ll") / F.col("train_n") - F.try_divide(F.col("val_ll"), F.col("val_n")), F.col("train_ll") / F.col("train_n"))),

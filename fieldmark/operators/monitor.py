@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def fit_traces(fits: DataFrame, session: str = "model_id") -> DataFrame:
+    """The iterations of fits (``FIT_SCHEMA``) as a trace: (session_id, iteration, objective to be made small, grad_norm, strategy, success)."""
+    each = fits.select(F.col(session).alias("session_id"), "strategy", F.col("converged").alias("success"), F.explode("trace").alias("t"))
+    return each.select("session_id", F.col("t.iteration").alias("iteration"), (-F.col("t.value")).alias("objective"), F.col("t.gradient").alias("grad_norm"), "strategy", "success")
+
+
 def sessions(trace: DataFrame, session: str = "session_id") -> DataFrame:
     """Per session: evaluations, first, last, best and worst objective, where the best was, improvement, mean gradient norm."""
     return trace.groupBy(session).agg(

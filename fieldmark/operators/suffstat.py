@@ -57,5 +57,5 @@ def starting_values(row, names: Sequence[tuple[str, str]]) -> list[float]:
     out: list[float] = []
     held = {k for k, t in names if t == "(Intercept)"}
     for k, t in names:
-        out.append(0.1 if k in held and t != "(Intercept)" else rate[k])
+        out.append(0.1 if k in held and t != "(Intercept)" else rate.get(k, 0.0))
     return out

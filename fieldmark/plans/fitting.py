@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.operators import agree, infer, prepare, sampling
+from fieldmark.operators import agree, infer, monitor, prepare, sampling
 from fieldmark.operators.fit import FIT_SCHEMA, Penalty, Spec, bootstrap, bootstrap_covariance, bootstrap_summary, covariance, cross_validated, fit, fit_models, formula_grid, parameters, selection_workflow, strategies_compared
 from fieldmark.operators.select import comparison
 from fieldmark.plans.base import population, query
@@ -101,6 +101,23 @@ def cross_validation(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(agree.fold_likelihoods(rows, ["model_id"]), 4)
 
 
+@query("cross_validation_continuous")
+def cross_validation_continuous(spark: SparkSession, sf: str) -> DataFrame:
+    """Models with a continuous covariate: nothing to group, so all models and folds are fitted in step."""
+    frame = population(spark, sf)
+    df = prepare.standardised(frame.df, ["acctbal"])
+    rows = cross_validated(CaptureFrame(df, frame.occasions, frame.names, frame.covariates), [Spec(), Spec("~acctbal")], k=5, local_rows=100)
+    return rounded(agree.fold_likelihoods(rows, ["model_id"]), 4)
+
+
+@query("fit_traces")
+def fit_traces(spark: SparkSession, sf: str) -> DataFrame:
+    """How the candidates' fits went: evaluations, objectives, improvement and the rate of convergence."""
+    trace = monitor.fit_traces(fit_models(population(spark, sf), CANDIDATES))
+    out = monitor.sessions(trace).join(monitor.convergence_rate(trace), "session_id")
+    return rounded(out.select("session_id", "evaluations", "first", "last", "best", "improvement", (F.col("rate") > 0).alias("converging")), 3)
+
+
 @query("model_selection")
 def model_selection(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates fitted on a training part, judged on the rest and ranked both ways."""
