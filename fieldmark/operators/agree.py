@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from fieldmark.functions.dist import t_cdf, t_quantile
+from fieldmark.operators.quantile import median
 
 MOST_RANKED = 10_000
 T1_95 = 12.706204736432095  # t quantile with one degree of freedom, 97.5 %
@@ -175,25 +176,26 @@ def concordance(pairs: DataFrame, t: float | None = None) -> DataFrame:
         F.count(F.lit(1)).alias("n"), correlation("est_a", "est_b").alias("r"),
         F.try_divide(2.0 * F.covar_samp("est_a", "est_b"), F.var_samp("est_a") + F.var_samp("est_b") + F.power(F.avg("est_a") - F.avg("est_b"), F.lit(2.0))).alias("ccc"),
         F.avg(F.abs("d")).alias("mae"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmse"), F.avg("d").alias("bias"), F.stddev_samp("d").alias("sd"),
-        F.abs(F.coalesce(correlation("m", "d"), F.lit(0.0))).alias("proportional_bias"), F.median("d").alias("median_diff"),
+        F.abs(F.coalesce(correlation("m", "d"), F.lit(0.0))).alias("proportional_bias"),
     )
+    middle = median(rows, F.col("d"))
+    mad = None if middle is None else median(rows, F.abs(F.col("d") - middle))
+    one = one.withColumns({"median_diff": F.lit(middle).cast("double"), "mad": F.lit(mad).cast("double")})
     one = one.withColumns({"loa_lower": F.col("bias") - t * F.col("sd"), "loa_upper": F.col("bias") + t * F.col("sd"), "t_bias": F.try_divide(F.col("bias"), F.col("sd") / F.sqrt("n"))})
     c = F.col("ccc")
     one = one.withColumn("category", F.when(c >= 0.99, "excellent").when(c >= 0.95, "substantial").when(c >= 0.90, "moderate").when(c >= 0.75, "fair").otherwise("poor"))
-    mad = rows.crossJoin(F.broadcast(one.select("median_diff"))).agg(F.median(F.abs(F.col("d") - F.col("median_diff"))).alias("mad"))
-    both = one.crossJoin(F.broadcast(mad))  # one row
-    k = rows.crossJoin(F.broadcast(both.select(F.col("median_diff").alias("md"), "mad", "loa_lower", "loa_upper")))
+    k = rows.crossJoin(F.broadcast(one.select(F.col("median_diff").alias("md"), "mad", "loa_lower", "loa_upper")))  # one row
     score = F.abs(F.try_divide(0.6745 * (F.col("d") - F.col("md")), F.col("mad")))
     k = k.agg(F.count_if(score > 3.5).alias("outliers"), (100.0 * F.avg(((F.col("d") >= F.col("loa_lower")) & (F.col("d") <= F.col("loa_upper"))).cast("double"))).alias("within_pct"))
-    return both.crossJoin(F.broadcast(k))
+    return one.crossJoin(F.broadcast(k))
 
 
 def outliers(df: DataFrame, value: str, cut: float = 3.5) -> DataFrame:
-    """``outlier`` by the modified z-score, from two aggregates of one row."""
-    med = df.agg(F.median(value).alias("_med"))
-    dev = df.crossJoin(F.broadcast(med)).agg(F.median(F.abs(F.col(value) - F.col("_med"))).alias("_mad"))
-    out = df.crossJoin(F.broadcast(med)).crossJoin(F.broadcast(dev))
-    return out.withColumn("outlier", F.coalesce(F.abs(F.try_divide(0.6745 * (F.col(value) - F.col("_med")), F.col("_mad"))) > cut, F.lit(False))).drop("_med", "_mad")
+    """``outlier`` by the modified z-score, from an exact median and median deviation."""
+    middle = median(df, F.col(value))
+    mad = None if middle is None else median(df, F.abs(F.col(value) - middle))
+    score = F.abs(F.try_divide(0.6745 * (F.col(value) - F.lit(middle)), F.lit(mad).cast("double")))
+    return df.withColumn("outlier", F.coalesce(score > cut, F.lit(False)))
 
 
 def bootstrap_difference(pairs: DataFrame, statistic=None, replicates: int = 1000, seed: int = 42, chunk: int = 50) -> DataFrame:
