@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType
 
 from fieldmark.functions.dist import t_cdf, t_quantile
 from fieldmark.operators.quantile import median
+from fieldmark.operators.ranks import rank_counts
 
 MOST_RANKED = 10_000
 T1_95 = 12.706204736432095  # t quantile with one degree of freedom, 97.5 %
@@ -140,27 +141,20 @@ def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     return df.withColumn(out, low + (F.count(F.lit(1)).over(Window.partitionBy(value)) - 1) / F.lit(2.0))
 
 
-def rank_agreement(df: DataFrame, a: str, b: str, id_col: str) -> DataFrame:
-    """Pair counts, Kendall's tau-a and tau-b, Spearman's rho, exact matches and a class.
+def rank_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: pair counts, Kendall's tau-a and tau-b, Spearman's rho, share of equal ranks, and a class.
 
-    All pairs are compared, so tables of over ``MOST_RANKED`` rows (models, parameters) are refused.
+    From inversion counts (:mod:`fieldmark.operators.ranks`), so tables may be large; rows with a null or NaN take no part.
     """
-    if (n := df.count()) > MOST_RANKED:
-        raise ValueError(f"{n} rows to rank; at most {MOST_RANKED}")
-    x, y = (df.select(F.col(id_col).alias(f"{s}i"), F.col(a).alias(f"{s}a"), F.col(b).alias(f"{s}b")) for s in ("x", "y"))
-    p = x.join(y, F.col("xi") < F.col("yi"))
-    sign = F.signum(F.col("xa") - F.col("ya")) * F.signum(F.col("xb") - F.col("yb"))
-    tau = p.agg(
-        F.count(F.lit(1)).alias("pairs"), F.count_if(sign > 0).alias("concordant"), F.count_if(sign < 0).alias("discordant"),
-        F.count_if(F.col("xa") == F.col("ya")).alias("ties_a"), F.count_if(F.col("xb") == F.col("yb")).alias("ties_b"),
-    )
-    diff = (F.col("concordant") - F.col("discordant")).cast("double")
-    tau = tau.withColumns({
-        "tau_a": F.try_divide(diff, F.col("pairs")),
-        "tau_b": F.try_divide(diff, F.sqrt((F.col("pairs") - F.col("ties_a")).cast("double") * (F.col("pairs") - F.col("ties_b")))),
-    })
-    r = average_rank(average_rank(df, a, "_ra"), b, "_rb").agg(correlation("_ra", "_rb").alias("rho"), F.avg((F.col("_ra") == F.col("_rb")).cast("double")).alias("exact"))
-    return tau.crossJoin(F.broadcast(r)).withColumn("agreement", F.when(F.col("tau_b") >= 0.8, "high").when(F.col("tau_b") >= 0.6, "moderate").otherwise("low"))  # one row each
+    k = rank_counts(df, F.col(a), F.col(b))
+    diff = float(k["concordant"] - k["discordant"])
+    free = float(k["pairs"] - k["ties_a"]) * float(k["pairs"] - k["ties_b"])
+    tau_a, tau_b = diff / k["pairs"] if k["pairs"] else None, diff / free**0.5 if free > 0 else None
+    label = "high" if (tau_b or 0) >= 0.8 else "moderate" if (tau_b or 0) >= 0.6 else "low"
+    row = tuple(k[c] for c in ("pairs", "concordant", "discordant", "ties_a", "ties_b")) + (tau_a, tau_b, k["rho"], k["exact"], label)
+    counts = "pairs {0}, concordant {0}, discordant {0}, ties_a {0}, ties_b {0}".format("long" if k["pairs"] < 1 << 63 else "double")
+    row = row if k["pairs"] < 1 << 63 else tuple(float(v) if i < 5 else v for i, v in enumerate(row))
+    return df.sparkSession.createDataFrame([row], f"{counts}, tau_a double, tau_b double, rho double, exact double, agreement string")
 
 
 def concordance(pairs: DataFrame, t: float | None = None) -> DataFrame:

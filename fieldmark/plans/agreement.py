@@ -109,7 +109,7 @@ def concordance(spark, sf):
 r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM pr)
 SELECT count(*) AS pairs, count(*) FILTER (s > 0) AS concordant, count(*) FILTER (s < 0) AS discordant, round((count(*) FILTER (s > 0) - count(*) FILTER (s < 0))::DOUBLE / count(*), 6) AS tau_a, round((SELECT corr(ra, rb) FROM r), 6) AS rho, round((SELECT avg(CAST(ra = rb AS DOUBLE)) FROM r), 6) AS exact FROM q""")
 def rank_agreement(spark, sf):
-    return rounded(agree.rank_agreement(pairs(spark, sf), "est_a", "est_b", "param").select("pairs", "concordant", "discordant", "tau_a", "rho", "exact"))
+    return rounded(agree.rank_agreement(pairs(spark, sf), "est_a", "est_b").select("pairs", "concordant", "discordant", "tau_a", "rho", "exact"))
 
 
 @query("outlier_flags", f"WITH {_PAIRS}, d AS (SELECT param, a - b AS d FROM pr), m AS (SELECT median(d) AS md FROM d), v AS (SELECT median(abs(d - md)) AS mad FROM d, m) SELECT param, coalesce(abs(0.6745 * (d - md) / nullif(mad, 0)) > 3.5, false) AS outlier FROM d, m, v")
