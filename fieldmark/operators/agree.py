@@ -1,8 +1,7 @@
 """Agreement and equivalence of two sets of estimates.
 
 Pairs are tables with a row a parameter (param, est_a, se_a, est_b, se_b, and a model where there
-are several); t quantiles come from the driver as literals, t probabilities from a small function
-over result rows.
+are several); t quantiles come from the driver as literals, t probabilities are columns.
 """
 
 from __future__ import annotations
@@ -13,9 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from fieldmark.functions.dist import t_cdf, t_quantile
+from fieldmark.functions.dist import t_quantile
+from fieldmark.functions.tails import t_sf
 from fieldmark.operators.quantile import median
 from fieldmark.operators.ranks import rank_counts
 
@@ -41,11 +40,6 @@ def parameter_type(name: Column) -> Column:
     return F.when(head.isin("phi", "p", "f"), head).otherwise("other")
 
 
-@F.pandas_udf(DoubleType())
-def _t_sf(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(x) else 1.0 - t_cdf(x, d) for x, d in zip(t, df)], dtype=float)
-
-
 def correlation(a: str, b: str) -> Column:
     """Pearson's r as an aggregate; null where a column is constant."""
     return F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
@@ -64,7 +58,7 @@ def equivalence(pairs: DataFrame, margin: float = 0.05, alpha: float = 0.05, wit
     if not with_p:
         return out
     d = F.col("df").cast("double")
-    out = out.withColumn("p", F.greatest(_t_sf("t_lower", d), _t_sf("t_upper", d)))
+    out = out.withColumn("p", F.greatest(t_sf(F.col("t_lower"), d), t_sf(F.col("t_upper"), d)))
     return out.withColumn("status", F.when(F.col("p").isNull(), "INCONCLUSIVE").when(F.col("p") < alpha, "EQUIVALENT").otherwise("NOT_EQUIVALENT"))
 
 

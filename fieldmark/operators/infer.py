@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from fieldmark.functions import links
-from fieldmark.functions.dist import chi2_sf
+from fieldmark.functions.tails import chi2_sf
 from fieldmark.operators.quantile import summary
 
 Z95 = 1.959963984540054
 MOST_MODELS = 10_000
 
 
-@F.pandas_udf(DoubleType())
-def _chi2_sf(stat: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series([None if pd.isna(x) or pd.isna(d) else float(chi2_sf(x, d)) for x, d in zip(stat, df)], dtype=float)
-
-
 def chi2_p(stat: Column, df: Column) -> Column:
-    """Upper tail of chi-square; over small result tables."""
-    return _chi2_sf(stat.cast("double"), df.cast("double"))
+    """Upper tail of chi-square."""
+    return chi2_sf(stat, df)
 
 
 def with_criteria(df: DataFrame, ll: str = "log_likelihood", k: str = "n_parameters", n: str = "n", c_hat: float = 1.0) -> DataFrame:
