@@ -36,12 +36,18 @@ def wald(df: DataFrame, estimate: str = "estimate", se: str = "se", z: float = Z
     return df.withColumns({"z_value": F.try_divide(F.col(estimate), F.col(se)), "ci_lower": F.col(estimate) - z * F.col(se), "ci_upper": F.col(estimate) + z * F.col(se)})
 
 
-def goodness(df: DataFrame, observed: str = "observed", expected: str = "expected", parameters: int = 0) -> DataFrame:
-    """One row: Pearson and deviance statistics, cells, degrees of freedom (at least 1), c_hat (at least 1), overdispersed."""
+def goodness(df: DataFrame, observed: str = "observed", expected: str = "expected", parameters: int = 0, by: tuple[str, ...] = (), with_p: bool = False) -> DataFrame:
+    """Pearson and deviance statistics, cells, degrees of freedom (at least 1), c_hat (at least 1), overdispersed, and p values; one row, or one a group."""
     o, e = F.col(observed).cast("double"), F.greatest(F.col(expected), F.lit(1e-10))
-    stat = df.agg(F.sum(F.power(o - e, F.lit(2.0)) / e).alias("pearson"), F.sum(F.when(o > 0, 2.0 * o * F.ln(F.greatest(o, F.lit(1e-10)) / e)).otherwise(0.0)).alias("deviance"), F.count(F.lit(1)).alias("cells"))
+    stat = df.groupBy(*by).agg(
+        F.sum(F.power(o - e, F.lit(2.0)) / e).alias("pearson"),
+        F.sum(F.when(o > 0, 2.0 * o * F.ln(F.greatest(o, F.lit(1e-10)) / e)).otherwise(0.0)).alias("deviance"), F.count(F.lit(1)).alias("cells"),
+    )
     stat = stat.withColumn("df", F.greatest(F.col("cells") - 1 - parameters, F.lit(1)))
-    return stat.withColumn("c_hat", F.greatest(F.col("pearson") / F.col("df"), F.lit(1.0))).withColumn("overdispersed", F.col("pearson") / F.col("df") > 1.5)
+    stat = stat.withColumn("c_hat", F.greatest(F.col("pearson") / F.col("df"), F.lit(1.0))).withColumn("overdispersed", F.col("pearson") / F.col("df") > 1.5)
+    if with_p:
+        stat = stat.withColumns({f"{c}_p": chi2_p(F.col(c), F.col("df")) for c in ("pearson", "deviance")})
+    return stat
 
 
 def residuals(df: DataFrame, observed: str = "observed", expected: str = "expected") -> DataFrame:
@@ -63,9 +69,7 @@ def quick_fit_test(df: DataFrame, ll: str = "log_likelihood", n: str = "n", k: s
 
 def diagnostics(cells: DataFrame, log_likelihood: float, n_parameters: int, n: int, with_p: bool = True) -> DataFrame:
     """One row: goodness of fit over cells, then criteria, divided by c_hat where the data are overdispersed."""
-    g = goodness(cells, parameters=n_parameters)
-    if with_p:
-        g = g.withColumns({"pearson_p": chi2_p(F.col("pearson"), F.col("df")), "deviance_p": chi2_p(F.col("deviance"), F.col("df"))})
+    g = goodness(cells, parameters=n_parameters, with_p=with_p)
     one = g.withColumnRenamed("deviance", "g2").withColumns({"log_likelihood": F.lit(float(log_likelihood)), "n_parameters": F.lit(n_parameters), "n": F.lit(n)})
     one = with_criteria(one)
     c = F.when(F.col("overdispersed"), F.col("c_hat")).otherwise(F.lit(1.0))

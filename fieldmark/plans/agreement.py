@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldmark.operators import agree, monitor, sampling
-from fieldmark.plans.base import query, table
+from fieldmark.plans.base import query, t_sf_sql, table
 from fieldmark.sources.histories import rounded
 
 _HALF = "((CAST('0x' || substr(md5('11-' || c_custkey), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE) < 0.5"
@@ -85,9 +85,15 @@ def equivalence_tests(spark, sf):
     return e.select("param", F.round("diff", 6).alias("diff"), F.round("bound", 6).alias("bound"), F.round("t_lower", 5).alias("t_lower"), F.round("t_upper", 5).alias("t_upper"), "df")
 
 
-@query("equivalence_decisions")
+_TOST = """e AS (SELECT param, a - b AS d, 0.05 * greatest(abs(a), abs(b), 1) AS m, sqrt(s1 * s1 + s2 * s2) AS s,
+ greatest(1, trunc(power(s1 * s1 + s2 * s2, 2) / (power(s1, 4) + power(s2, 4)))) AS df FROM pr),
+u AS (SELECT param, (d + m) / s AS lo, (m - d) / s AS hi, df FROM e)"""
+
+
+@query("equivalence_decisions", f"""WITH {_PAIRS}, {_TOST}, p AS (SELECT param, greatest({t_sf_sql('lo', 'df')}, {t_sf_sql('hi', 'df')}) AS p FROM u)
+SELECT param, round(p, 6) AS p, CASE WHEN p < 0.05 THEN 'EQUIVALENT' ELSE 'NOT_EQUIVALENT' END AS status FROM p""")
 def equivalence_decisions(spark, sf):
-    """With p values of the t distribution, which SQL lacks."""
+    """Two one-sided t tests with p values of the t distribution, and their verdicts."""
     return rounded(agree.equivalence(pairs(spark, sf), with_p=True).select("param", "p", "status"))
 
 

@@ -87,3 +87,17 @@ def ll_sql(phi: str, p: str, f: str) -> str:
         f"CASE WHEN x > 0 THEN (l - e) * ({ln(phi)} + {ln(gamma)}) + 2 * ((x - 1) * {ln(p)} + ((l - e) - (x - 1)) * {ln(f'1 - ({p})')})"
         f" + {ln(tail_sql(gamma, p, 'e'))} + {ln(tail_sql(phi, p, f'{T - 1} - l'))} ELSE 0 END"
     )
+
+
+def t_sf_sql(t: str, df: str) -> str:
+    """Upper tail of Student's t by Simpson's rule over the angle whose tangent is t / sqrt(df)."""
+    f = f"power(cos(atan(abs({t}) / sqrt({df})) * k / 400.0::DOUBLE), {df} - 1)"
+    area = f"atan(abs({t}) / sqrt({df})) / 1200.0::DOUBLE * list_sum([{f} * CASE WHEN k = 0 OR k = 400 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END FOR k IN range(401)])"
+    return f"(0.5::DOUBLE - sign({t}) * exp(lgamma(({df} + 1) / 2.0::DOUBLE) - lgamma({df} / 2.0::DOUBLE)) / sqrt(pi()) * {area})"
+
+
+def chi2_sf_sql(x: str, df: str) -> str:
+    """Upper tail of chi-square by Simpson's rule over the square root."""
+    f = f"power(sqrt({x}) * k / 400.0::DOUBLE, {df} - 1) * exp(-({x}) * k * k / 320000.0::DOUBLE)"
+    area = f"sqrt({x}) / 1200.0::DOUBLE * list_sum([{f} * CASE WHEN k = 0 OR k = 400 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END FOR k IN range(401)])"
+    return f"(1 - {area} / exp(({df} / 2.0::DOUBLE - 1) * ln(2.0::DOUBLE) + lgamma({df} / 2.0::DOUBLE)))"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fieldmark.functions import links
 from fieldmark.operators import agree, infer, sampling, select
 from fieldmark.operators.suffstat import compressed
-from fieldmark.plans.base import OPEN, T, ll_sql, population, query
+from fieldmark.plans.base import OPEN, T, chi2_sf_sql, ll_sql, population, query
 from fieldmark.sources.histories import rounded
 
 #: Twelve candidate models: id, phi, p, f, parameters counted, whether the growth rate is known.
@@ -108,6 +108,25 @@ def goodness_of_fit(spark, sf):
     return rounded(infer.goodness(cells(spark, sf), parameters=1), 4)
 
 
+@query("goodness_by_segment", f"""WITH {OPEN}, w AS (SELECT x, count(*)::DOUBLE / (SELECT count(*) FROM ind) AS share FROM ind GROUP BY x),
+g AS (SELECT segment, count(*)::DOUBLE AS n FROM ind GROUP BY segment), o AS (SELECT segment, x, count(*)::DOUBLE AS observed FROM ind GROUP BY segment, x),
+c AS (SELECT segment, x, coalesce(observed, 0) AS o, n * share AS e FROM g CROSS JOIN w LEFT JOIN o USING (segment, x)),
+s AS (SELECT segment, sum((o - e) * (o - e) / e) AS pearson, sum(CASE WHEN o > 0 THEN 2 * o * ln(o / e) ELSE 0 END) AS deviance, count(*) AS cells, greatest(count(*) - 1, 1) AS df FROM c GROUP BY segment)
+SELECT segment, round(pearson, 4) AS pearson, round(deviance, 4) AS deviance, cells, df, round({chi2_sf_sql('pearson', 'df')}, 6) AS pearson_p, round({chi2_sf_sql('deviance', 'df')}, 6) AS deviance_p FROM s""")
+def goodness_by_segment(spark, sf):
+    """Whether each segment's captures are spread as the population's are, with p values."""
+    ind = population(spark, sf).df.select("segment", "x")
+    counts = ind.groupBy("segment", "x").agg(F.count(F.lit(1)).alias("observed"))  # a row a segment and number of captures
+    every = counts.agg(F.sum("observed").cast("double").alias("total"))
+    share = counts.groupBy("x").agg(F.sum("observed").alias("m")).crossJoin(F.broadcast(every)).select("x", (F.col("m") / F.col("total")).alias("share"))
+    size = counts.groupBy("segment").agg(F.sum("observed").alias("size"))
+    cells = size.crossJoin(F.broadcast(share)).join(counts, ["segment", "x"], "left")  # shares: a row a number of captures
+    cells = cells.select("segment", F.coalesce("observed", F.lit(0)).alias("observed"), (F.col("size") * F.col("share")).alias("expected"))
+    out = infer.goodness(cells, by=("segment",), with_p=True)
+    rounds = {"pearson": 4, "deviance": 4, "pearson_p": 6, "deviance_p": 6}
+    return out.select("segment", "cells", "df", *[F.round(c, k).alias(c) for c, k in rounds.items()])
+
+
 @query("residuals", f"WITH {OPEN}, {_GROUPS} SELECT CAST(x AS INT) AS x, round((observed - expected) / sqrt(greatest(expected, 1e-10)), 5) AS pearson, round(sign(observed - expected) * sqrt(greatest(2 * (observed * ln(observed / expected) - (observed - expected)), 0)), 5) AS deviance, round((observed - expected) / sqrt(expected) / sqrt(greatest(1 - expected / sum(expected) OVER (), 1e-10)), 5) AS standardised FROM ex")
 def residuals(spark, sf):
     return rounded(infer.residuals(cells(spark, sf)).select("x", "pearson", "deviance", "standardised"), 5)
