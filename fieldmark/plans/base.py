@@ -79,13 +79,13 @@ def tail_sql(rate: str, p: str, n: str) -> str:
     return f"({s} + power({b}, {n}) * (1 - {s}))"
 
 
-def ll_sql(phi: str, p: str, f: str) -> str:
+def ll_sql(phi: str, p: str, f: str, occasions: int = T) -> str:
     """The log-likelihood of a row with x, e, l."""
     ln = lambda v: f"ln(greatest({v}, 1e-12))"
     gamma = f"(({phi}) / (({phi}) + ({f})))"
     return (
         f"CASE WHEN x > 0 THEN (l - e) * ({ln(phi)} + {ln(gamma)}) + 2 * ((x - 1) * {ln(p)} + ((l - e) - (x - 1)) * {ln(f'1 - ({p})')})"
-        f" + {ln(tail_sql(gamma, p, 'e'))} + {ln(tail_sql(phi, p, f'{T - 1} - l'))} ELSE 0 END"
+        f" + {ln(tail_sql(gamma, p, 'e'))} + {ln(tail_sql(phi, p, f'{occasions - 1} - l'))} ELSE 0 END"
     )
 
 

@@ -1,4 +1,5 @@
-"""Fits on the open population; iterative, so checked by tests and anchors rather than SQL."""
+"""Fits on the open population.  Those of the constant model have SQL, Newton's method as a recursive query; the others
+are held against them, against each other and against published estimates by tests."""
 
 from __future__ import annotations
 
@@ -6,14 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.operators import agree, infer, monitor, prepare, sampling
-from fieldmark.operators.fit import FIT_SCHEMA, Penalty, Spec, bootstrap, bootstrap_covariance, bootstrap_summary, covariance, cross_validated, fit, fit_models, formula_grid, parameters, selection_workflow, strategies_compared
+from fieldmark.operators.fit import FIT_SCHEMA, Penalty, Spec, bootstrap, bootstrap_covariance, bootstrap_summary, covariance, cross_validated, fit, fit_models, formula_grid, parameters, predicted, prediction_summary, selection_workflow, strategies_compared
 from fieldmark.operators.select import comparison
-from fieldmark.plans.base import population, query
+from fieldmark.plans.base import OPEN, population, query
+from fieldmark.plans.newton import CONDITION, inverse_sql, newton_sql
 from fieldmark.sources.histories import CaptureFrame, rounded
 from fieldmark.sources.simulate import simulated
 
 
-@query("fit_constant")
+_FIT = f"WITH RECURSIVE {OPEN}, {newton_sql()}, {inverse_sql()}"
+_TERMS = "k(i, param) AS (VALUES (0, 'phi'), (1, 'p'), (2, 'f'))"
+
+
+@query("fit_constant", f"""{_FIT}, {_TERMS}, r AS (SELECT param, [t0, t1, t2][cov.i + 1] AS estimate, sqrt(cov) AS se, ll, 1 / (1 + exp(-t0)) + exp(t2) AS lambda_mean FROM cov JOIN k ON cov.i = k.i, opt WHERE cov.i = cov.j)
+SELECT param, round(estimate, 4) AS estimate, round(se, 4) AS se, round(estimate - 1.959963984540054 * se, 4) AS ci_lower, round(estimate + 1.959963984540054 * se, 4) AS ci_upper, round(ll, 4) AS log_likelihood,
+ round(6 - 2 * ll, 4) AS aic, round(3 * ln((SELECT count(*) FROM ind)) - 2 * ll, 4) AS bic, round(lambda_mean, 4) AS lambda_mean FROM r""")
 def fit_constant(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: histories from the order log, grouped statistics, constant model."""
     row = fit(population(spark, sf))
@@ -54,11 +62,36 @@ def bootstrap_refits(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(bootstrap_summary(reps, parameters(estimates)), 4)
 
 
-@query("fit_covariance")
+@query("fit_covariance", f"""{_FIT}, {_TERMS}, {CONDITION}
+SELECT a.param || '_(Intercept)' AS row, b.param || '_(Intercept)' AS col, round(info, 4) AS information, round(cov, 4) AS covariance,
+ round(cov / sqrt((SELECT cov FROM cov v WHERE v.i = cov.i AND v.j = cov.i) * (SELECT cov FROM cov v WHERE v.i = cov.j AND v.j = cov.j)), 4) AS correlation, round(most / least, 4) AS condition, 'good' AS hessian
+FROM cov JOIN k a ON cov.i = a.i JOIN k b ON cov.j = b.i, ev""")
 def fit_covariance(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(covariance(population(spark, sf)), 4)
 
 
+@query("prediction_from_fit", f"""{_FIT}, r AS (SELECT 1 / (1 + exp(-t0)) AS phi, 1 / (1 + exp(-t1)) AS p, exp(t2) AS f, ll FROM opt)
+SELECT round(phi, 5) AS phi_mean, 0.0::DOUBLE AS phi_sd, round(p, 5) AS p_mean, 0.0::DOUBLE AS p_sd, round(f, 5) AS f_mean, 0.0::DOUBLE AS f_sd, round(ll, 4) AS log_likelihood, round(6 - 2 * ll, 4) AS aic,
+ round(phi + f, 5) AS lambda_mean, round(phi + f, 5) AS lambda_median, 0.0::DOUBLE AS lambda_sd, round(phi + f, 5) AS lambda_least, round(phi + f, 5) AS lambda_most, round(phi + f, 5) AS lambda_q25, round(phi + f, 5) AS lambda_q75 FROM r""")
+def prediction_from_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """A model fitted, each individual's rates and likelihood predicted from the fit, and their summary."""
+    frame = population(spark, sf)
+    row = fit(frame)
+    out = prediction_summary(predicted(frame, row), row["n_parameters"])
+    return out.select(*[F.round(c, 4 if c in ("log_likelihood", "aic") else 5).alias(c) for c in out.columns])
+
+
+@query("predictions_by_segment")
+def predictions_by_segment(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from a model with covariates, continuous ones too: means by segment."""
+    frame = population(spark, sf)
+    df = prepare.standardised(frame.df, ["acctbal"])
+    frame = CaptureFrame(df, frame.occasions, frame.names, frame.covariates)
+    rates = predicted(frame, fit(frame, Spec("~segment + acctbal", "~1", "~segment")))
+    mean = [F.avg(c).alias(c) for c in ("phi", "p", "f", "lambda")]
+    return rounded(rates.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), *mean, F.sum("log_likelihood").alias("log_likelihood")), 4)
+
+
 @query("strategy_comparison")
 def strategy_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(strategies_compared(population(spark, sf)), 3)
