@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldmark.operators.fit import Penalty, Spec, fit, predicted
+from fieldmark.sources.histories import CaptureFrame
+
 
 def counts(df: DataFrame, occasions: int, x: str = "x") -> DataFrame:
     """One row: n, never, once, twice, multiple, captures, occasions."""
@@ -74,16 +79,49 @@ def bounds(one: DataFrame) -> DataFrame:
     return one.withColumn("point", F.sqrt(F.col("lower") * F.col("upper")))
 
 
-def consensus(one: DataFrame, regularised: str | None = None) -> DataFrame:
-    """The coverage estimate; where sparsity (``severity``) is extreme, its mean with the bounds' point.
+def regularised(frame: CaptureFrame, spec: Spec = Spec(), strength: float = 0.1, by: str = "coefficients") -> DataFrame:
+    """One row from a fit with a ridge on all coefficients, intercepts too: seen, detection, regularised, ci_lower, ci_upper, reliability.
+
+    The population is what was seen over ``detection``, 0.1 at least.  By "coefficients" that is the mean of the exponentials of
+    the first coefficients, one an occasion at most; by "detection" it is the share that the fit expects to be seen at all when present
+    throughout, averaged over those seen.  Where the fit fails, 1.5 times what was seen stands in, with wider bounds.
+    """
+    row = fit(frame, spec, penalty=Penalty(ridge=strength, intercepts=True))
+    seen = F.count_if(F.col("x") > 0).cast("double")
+    if not row["converged"]:
+        one = frame.df.agg(seen.alias("seen")).select("seen", F.lit(None).cast("double").alias("detection"), (1.5 * F.col("seen")).alias("regularised"))
+        low, high, label = 0.6, 2.0, "low"
+    else:
+        if by == "coefficients":
+            found = [q["estimate"] for q in row["params"]][: frame.occasions]
+            one = frame.df.agg(seen.alias("seen")).withColumn("detection", F.lit(sum(math.exp(v) for v in found) / len(found)))
+        else:
+            ever = 1.0 - F.power(1.0 - F.col("p"), F.lit(float(frame.occasions)))
+            one = predicted(frame, row).agg(seen.alias("seen"), F.avg(F.when(F.col("x") > 0, ever)).alias("detection"))
+        one = one.withColumn("regularised", F.col("seen") / F.greatest(F.lit(0.1), F.col("detection")))
+        low, high, label = 0.8, 1.3, "moderate"
+    return one.withColumns({"ci_lower": low * F.col("regularised"), "ci_upper": high * F.col("regularised"), "reliability": F.lit(label)})
 
-    ``regularised`` names a column with an estimate from a ridge fit, which joins the mean where it isn't null.
+
+def consensus(one: DataFrame, regularised: str | None = None) -> DataFrame:
+    """The coverage estimate, and what else ``severity`` calls for: the bounds' point where it is extreme, the ridge fit's estimate
+    (column ``regularised``, where not null) where it is high or moderate.  ``consensus`` is the mean of the estimates there are.
     """
     one = bounds(coverage_estimate(one))
-    extreme = F.col("severity") == "EXTREME"
-    third = F.col(regularised) if regularised else F.lit(None).cast("double")
-    mean = (F.col("estimate") + F.col("point") + F.coalesce(third, F.lit(0.0))) / (F.lit(2.0) + third.isNotNull().cast("double"))
+    other = F.when(F.col("severity") == "EXTREME", F.col("point"))
+    if regularised:
+        other = other.when(F.col("severity").isin("HIGH", "MODERATE"), F.col(regularised))
+    one = one.withColumn("other", other)
+    both = F.col("other").isNotNull()
     return one.withColumns({
-        "consensus": F.when(extreme, mean).otherwise(F.col("estimate")),
-        "method": F.when(extreme, "multi_method_average").otherwise("sample_coverage"),
-    })
+        "consensus": F.when(both, (F.col("estimate") + F.col("other")) / 2.0).otherwise(F.col("estimate")),
+        "method": F.when(both, "multi_method_average").otherwise("sample_coverage"),
+    }).drop("other")
+
+
+def estimated(frame: CaptureFrame, spec: Spec | None = None, strength: float = 0.1) -> DataFrame:
+    """All of it for a data set: sparsity, coverage estimate, bounds, the ridge fit where ``spec`` is given and severity calls for it, consensus."""
+    one = sparsity(frame.df, frame.occasions)
+    if spec is not None and one.first()["severity"] in ("HIGH", "MODERATE"):
+        return consensus(one.crossJoin(F.broadcast(regularised(frame, spec, strength).select("regularised"))), "regularised")  # one row each
+    return consensus(one.withColumn("regularised", F.lit(None).cast("double")))

@@ -97,7 +97,8 @@ def t_sf_sql(t: str, df: str) -> str:
 
 
 def chi2_sf_sql(x: str, df: str) -> str:
-    """Upper tail of chi-square by Simpson's rule over the square root."""
-    f = f"power(sqrt({x}) * k / 400.0::DOUBLE, {df} - 1) * exp(-({x}) * k * k / 320000.0::DOUBLE)"
-    area = f"sqrt({x}) / 1200.0::DOUBLE * list_sum([{f} * CASE WHEN k = 0 OR k = 400 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END FOR k IN range(401)])"
+    """Upper tail of chi-square by Simpson's rule over the square root (few degrees of freedom, so nothing is left beyond 1600)."""
+    x = f"least({x}, 1600)"
+    f = f"power(sqrt({x}) * k / 2000.0::DOUBLE, {df} - 1) * exp(-({x}) * k * k / 8000000.0::DOUBLE)"
+    area = f"sqrt({x}) / 6000.0::DOUBLE * list_sum([{f} * CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END FOR k IN range(2001)])"
     return f"(1 - {area} / exp(({df} / 2.0::DOUBLE - 1) * ln(2.0::DOUBLE) + lgamma({df} / 2.0::DOUBLE)))"

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions import links
 from fieldmark.operators import agree, infer, sampling, select
+from fieldmark.operators.fit import fit
 from fieldmark.operators.suffstat import compressed
 from fieldmark.plans.base import OPEN, T, chi2_sf_sql, ll_sql, population, query
+from fieldmark.plans.newton import newton_sql
 from fieldmark.sources.histories import rounded
 
 #: Twelve candidate models: id, phi, p, f, parameters counted, whether the growth rate is known.
@@ -168,13 +170,14 @@ def converged_only(spark, sf):
     return rounded(select.comparison(fits(spark, sf).withColumn("converged", F.col("lambda_mean").isNotNull())).select("model_id", "rank", "delta"))
 
 
-@query("diagnostics", f"""WITH {OPEN}, {_GROUPS}, s AS (SELECT sum(power(observed - expected, 2) / greatest(expected, 1e-10)) AS pearson, sum(CASE WHEN observed > 0 THEN 2 * observed * ln(observed / greatest(expected, 1e-10)) ELSE 0 END) AS g2, count(*) AS cells FROM ex),
-c AS (SELECT *, greatest(cells - 2, 1) AS df, greatest(pearson / greatest(cells - 2, 1), 1) AS c_hat, pearson / greatest(cells - 2, 1) > 1.5 AS over, (SELECT count(*) FROM ind) AS n FROM s)
-SELECT round(pearson, 4) AS pearson, round(g2, 4) AS g2, cells, df, round(c_hat, 4) AS c_hat, over AS overdispersed, round(2 + 8000.0, 4) AS aic, round((2 + 8000.0) / CASE WHEN over THEN c_hat ELSE 1 END, 4) AS qaic, round(ln(n) + 8000, 4) AS bic FROM c""")
+@query("diagnostics", f"""WITH RECURSIVE {OPEN}, {newton_sql()}, {_GROUPS}, s AS (SELECT sum(power(observed - expected, 2) / greatest(expected, 1e-10)) AS pearson, sum(CASE WHEN observed > 0 THEN 2 * observed * ln(observed / greatest(expected, 1e-10)) ELSE 0 END) AS g2, count(*) AS cells FROM ex),
+c AS (SELECT *, greatest(cells - 4, 1) AS df, greatest(pearson / greatest(cells - 4, 1), 1) AS c_hat, pearson / greatest(cells - 4, 1) > 1.5 AS over, (SELECT count(*) FROM ind) AS n FROM s, (SELECT ll FROM opt))
+SELECT round(pearson, 4) AS pearson, round(g2, 4) AS g2, cells, df, round(c_hat, 4) AS c_hat, over AS overdispersed, round({chi2_sf_sql('pearson', 'df')}, 6) AS pearson_p, round(6 - 2 * ll, 4) AS aic, round((6 - 2 * ll) / CASE WHEN over THEN c_hat ELSE 1 END, 4) AS qaic, round(3 * ln(n) - 2 * ll, 4) AS bic FROM c""")
 def diagnostics(spark, sf):
-    """Goodness of fit over capture counts, and criteria that allow for overdispersion, at a log-likelihood of -4000 with one parameter."""
-    n = population(spark, sf).df.count()
-    return rounded(infer.diagnostics(cells(spark, sf), -4000.0, 1, n, with_p=False).select("pearson", "g2", "cells", "df", "c_hat", "overdispersed", "aic", "qaic", "bic"), 4)
+    """Goodness of fit over capture counts, and the fitted constant model's criteria with allowance for overdispersion."""
+    row = fit(population(spark, sf))
+    out = infer.diagnostics(cells(spark, sf), row["log_likelihood"], row["n_parameters"], row["n"])
+    return rounded(out.select("pearson", "g2", "cells", "df", "c_hat", "overdispersed", "pearson_p", "aic", "qaic", "bic"), 4)
 
 
 @query("reference_growth", f"WITH {OPEN}, e AS (SELECT segment, avg(x) / 10.0 AS phi, -avg(x) / 5.0 AS f FROM ind GROUP BY segment) SELECT segment, round(phi, 6) AS phi, round(f, 6) AS f, round(1 / (1 + exp(-phi)) + exp(f), 6) AS lambda FROM e")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldmark.operators import monitor, sampling, sparse
+from fieldmark.operators.fit import Spec
 from fieldmark.plans.base import CLOSED, OPEN, T, population, query, table
+from fieldmark.plans.newton import newton_sql
 from fieldmark.sources.histories import from_events, rounded
 
 _UNIFORM = "((CAST('0x' || substr(md5('42-' || id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
@@ -68,6 +70,17 @@ def sparse_consensus(spark, sf):
     return rounded(sparse.consensus(sparse.sparsity(monthly(spark, sf), 12)).select("severity", "consensus", "method"), 4)
 
 
+@query("sparse_estimates", f"""WITH RECURSIVE {OPEN}, mon AS (SELECT * FROM ind), {_CHAO}, {_SPARSE.replace('s AS (', 'u AS (').replace('FROM s, g', 'FROM u, g')}, y AS (SELECT {_SEVERITY} AS severity FROM q),
+{newton_sql(ridge=0.1)}, r AS (SELECT estimate, sqrt(lower * upper) AS point, seen / greatest(0.1, (exp(t0) + exp(t1) + exp(t2)) / 3) AS regularised, severity FROM w, opt, y)
+SELECT severity, round(estimate, 3) AS estimate, round(point, 3) AS point, round(CASE WHEN severity IN ('HIGH', 'MODERATE') THEN regularised END, 3) AS regularised,
+ round(CASE WHEN severity = 'EXTREME' THEN (estimate + point) / 2 WHEN severity IN ('HIGH', 'MODERATE') THEN (estimate + regularised) / 2 ELSE estimate END, 3) AS consensus,
+ CASE WHEN severity = 'LOW' THEN 'sample_coverage' ELSE 'multi_method_average' END AS method FROM r""".replace("det / n / 12", "det / n / 7"))
+def sparse_estimates(spark, sf):
+    """The open population by every method that its sparsity calls for, a ridge fit among them."""
+    out = sparse.estimated(population(spark, sf), Spec())
+    return rounded(out.select("severity", "estimate", "point", "regularised", "consensus", "method"), 3)
+
+
 @query("purchase_days", "WITH d AS (SELECT user_id AS id, count(DISTINCT date_trunc('day', ts)) AS x FROM events WHERE event_type = 'purchase' GROUP BY 1) SELECT CAST(x AS INT) AS x, count(*) AS n FROM d GROUP BY 1")
 def purchase_days(spark, sf):
     """Users by days with a purchase: an occasion for each day of the event log."""

@@ -1,12 +1,14 @@
 """Every query with SQL against DuckDB, the anchors of the fits, and a few edge cases."""
 
+import math
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from fieldmark import plans
 from fieldmark.operators import agree, infer, sampling, select, sparse
-from fieldmark.operators.fit import fit
+from fieldmark.operators.fit import Penalty, Spec, fit
 from fieldmark.plans.base import population
 
 TABLES = "region nation customer supplier orders events".split()
@@ -115,3 +117,20 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and e.entry(spark).count() == 3
+
+
+def test_regularised_estimates(spark, sf):
+    frame = population(spark, sf)
+    one = sparse.regularised(frame).first()
+    p = [q["estimate"] for q in fit(frame, penalty=Penalty(ridge=0.1, intercepts=True))["params"]]
+    assert one["regularised"] == pytest.approx(one["seen"] / (sum(math.exp(v) for v in p) / 3)) and one["ci_upper"] == pytest.approx(1.3 * one["regularised"])
+    by = sparse.regularised(frame, Spec("~segment"), by="detection").first()
+    assert one["seen"] <= by["regularised"] < 1.5 * one["seen"]
+    # a far stronger ridge draws all coefficients to nothing, and their exponentials to one
+    assert sparse.regularised(frame, strength=1e6).first()["detection"] == pytest.approx(1.0, abs=0.01)
+    rows = [(s, 100.0, 30, 10, 20, 200, 7, 150.0) for s in ("LOW", "MODERATE", "HIGH", "EXTREME")]
+    df = spark.createDataFrame(rows, "severity string, n double, once int, twice int, never int, captures int, occasions int, r double").withColumn("multiple", F.lit(50))
+    got = {r["severity"]: r for r in sparse.consensus(df, "r").collect()}
+    assert got["LOW"]["consensus"] == got["LOW"]["estimate"] and got["EXTREME"]["consensus"] == (got["EXTREME"]["estimate"] + got["EXTREME"]["point"]) / 2
+    assert got["HIGH"]["consensus"] == (got["HIGH"]["estimate"] + 150.0) / 2 == got["MODERATE"]["consensus"]
+    assert sparse.consensus(df.where("severity = 'HIGH'")).first()["method"] == "sample_coverage"
