@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from fieldmark.functions.dist import t_quantile
 from fieldmark.functions.tails import t_sf
+from fieldmark.operators.many import poisson, uniforms
 from fieldmark.operators.quantile import median
 from fieldmark.operators.ranks import rank_counts
 
-MOST_RANKED = 10_000
 T1_95 = 12.706204736432095  # t quantile with one degree of freedom, 97.5 %
 
 
@@ -186,10 +186,11 @@ def outliers(df: DataFrame, value: str, cut: float = 3.5) -> DataFrame:
     return df.withColumn("outlier", F.coalesce(score > cut, F.lit(False)))
 
 
-def bootstrap_difference(pairs: DataFrame, statistic=None, replicates: int = 1000, seed: int = 42, chunk: int = 50) -> DataFrame:
+def bootstrap_difference(pairs: DataFrame, statistic=None, replicates: int = 1000, seed: int = 42, chunk: int = 50, nested: int = 0) -> DataFrame:
     """(rep, value) of a statistic of both columns over resampled pairs (a table with a row a parameter).
 
-    Replicates are shared out in chunks; the pairs, a table of bounded size, go to each.
+    Replicates are shared out in chunks; the pairs, a table of bounded size, go to each.  With ``nested``, column ``se``
+    has the statistic's standard error in each replicate, from as many resamples of that replicate.
     """
     stat = statistic or (lambda x, y: float(np.mean(x) - np.mean(y)))
     n = -(-replicates // chunk)
@@ -199,14 +200,50 @@ def bootstrap_difference(pairs: DataFrame, statistic=None, replicates: int = 100
         pdf = pdf.sort_values(["est_a", "est_b"])
         x, y = pdf["est_a"].to_numpy(), pdf["est_b"].to_numpy()
         rng = np.random.default_rng([seed, int(key[0])])
+        inner = np.random.default_rng([seed, int(key[0]), 1])
         reps = range(int(key[0]) * chunk, min(replicates, (int(key[0]) + 1) * chunk))
         out = []
         for r in reps:
             pick = rng.integers(0, len(x), len(x))
-            out.append((r, float(stat(x[pick], y[pick]))))
-        return pd.DataFrame(out, columns=["rep", "value"])
+            row = (r, float(stat(x[pick], y[pick])))
+            if nested:
+                again = [pick[inner.integers(0, len(x), len(x))] for _ in range(nested)]
+                row += (float(np.std([stat(x[i], y[i]) for i in again], ddof=1)),)
+            out.append(row)
+        return pd.DataFrame(out, columns=["rep", "value", "se"][: 2 + bool(nested)])
 
-    return pairs.select("est_a", "est_b").crossJoin(F.broadcast(ids)).groupBy("part").applyInPandas(run, "rep int, value double")
+    return pairs.select("est_a", "est_b").crossJoin(F.broadcast(ids)).groupBy("part").applyInPandas(run, "rep int, value double" + (", se double" if nested else ""))
+
+
+def studentised_interval(reps: DataFrame, observed: float, level: float = 0.95) -> tuple[float, float]:
+    """From replicates with standard errors (rep, value, se): quantiles of (value - observed) / se, turned round."""
+    t = F.try_divide(F.col("value") - observed, F.col("se"))
+    a = (1 - level) / 2
+    row = reps.agg(F.percentile(t, F.lit(a)), F.percentile(t, F.lit(1 - a)), F.stddev_samp("value")).first()
+    return observed - row[1] * row[2], observed - row[0] * row[2]
+
+
+def mean_replicates(pairs: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(rep, value, se) of the mean difference over resampled pairs, for tables of any size.
+
+    Equal differences are counted once; each has a Poisson weight in every replicate, and one aggregate sums
+    all replicates.  The mean's standard error follows from a replicate's own sums.
+    """
+    d = pairs.select((F.col("est_a") - F.col("est_b")).alias("d")).where("d is not null")
+    rows = d.groupBy("d").agg(F.count(F.lit(1)).alias("n")).withColumn("draw", F.xxhash64(F.lit(seed), "d"))
+
+    def run(batches):
+        part = np.zeros((replicates, 3))
+        for pdf in batches:
+            v, n, key = pdf["d"].to_numpy(), pdf["n"].to_numpy(), pdf["draw"].to_numpy()
+            for r in range(replicates):
+                w = poisson(n, uniforms(key, r))
+                part[r] += w.sum(), w @ v, w @ (v * v)
+        yield pd.DataFrame({"rep": np.arange(replicates, dtype=np.int32), "w": part[:, 0], "s": part[:, 1], "ss": part[:, 2]})
+
+    out = rows.mapInPandas(run, "rep int, w double, s double, ss double").groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("w", "s", "ss")])
+    mean = F.try_divide(F.col("s"), F.col("w"))
+    return out.select("rep", mean.alias("value"), F.sqrt(F.greatest(F.try_divide(F.col("ss"), F.col("w")) - mean * mean, F.lit(0.0)) / F.col("w")).alias("se"))
 
 
 def bootstrap_intervals(reps: DataFrame, observed: float, level: float = 0.95) -> DataFrame:
@@ -225,19 +262,28 @@ def bootstrap_intervals(reps: DataFrame, observed: float, level: float = 0.95) -
     })
 
 
-def bca_interval(reps: DataFrame, observed: float, jackknife: list[float], level: float = 0.95) -> tuple[float, float]:
-    """Bias-corrected and accelerated interval; the share below is one aggregate, ``jackknife`` leaves one pair out each."""
+def jackknife(pairs: DataFrame) -> DataFrame:
+    """One row on the mean difference with each pair left out in turn: n, observed, jackknife standard error and acceleration.
+
+    In closed form from the first three moments: no pair is left out in fact, and one aggregate serves any number.
+    """
+    d = F.col("est_a") - F.col("est_b")
+    one = pairs.agg(F.count(d).alias("n"), F.avg(d).alias("observed"), F.stddev_samp(d).alias("sd"), F.skewness(d).alias("skew"))
+    root = F.sqrt(F.col("n").cast("double"))
+    return one.select("n", "observed", (F.col("sd") / root).alias("se"), (F.col("skew") / (6.0 * root)).alias("acceleration"))
+
+
+def bca_interval(reps: DataFrame, observed: float, acceleration: float, level: float = 0.95) -> tuple[float, float]:
+    """Bias-corrected and accelerated interval: quantiles of the replicates at shares moved by bias and acceleration."""
     from fieldmark.functions.dist import normal_cdf, normal_quantile
 
     row = reps.agg(F.avg((F.col("value") < observed).cast("double")), F.count(F.lit(1))).first()
     z0 = normal_quantile(min(max(row[0], 0.5 / row[1]), 1 - 0.5 / row[1]))
-    d = np.mean(jackknife) - np.asarray(jackknife)
-    acc = float((d**3).sum() / (6 * max((d**2).sum(), 1e-300) ** 1.5))
-    out = []
+    at = []
     for q in ((1 - level) / 2, (1 + level) / 2):
-        z = normal_quantile(q)
-        out.append(float(reps.agg(F.percentile("value", F.lit(normal_cdf(z0 + (z0 + z) / (1 - acc * (z0 + z)))))).first()[0]))
-    return out[0], out[1]
+        z = z0 + normal_quantile(q)
+        at.append(normal_cdf(z0 + z / (1 - acceleration * z)))
+    return tuple(reps.agg(*[F.percentile("value", F.lit(q)) for q in at]).first())
 
 
 # --- quality gate --------------------------------------------------------------------------------
@@ -351,17 +397,13 @@ def publication_summary(cmp: DataFrame, models: DataFrame | None = None) -> Data
     return reduce(DataFrame.unionByName, [*parts, end])
 
 
-def jackknife_means(pairs: DataFrame) -> DataFrame:
-    """(value): the mean difference with each pair left out, in closed form (a table with a row a parameter)."""
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    d = F.col("est_a") - F.col("est_b")
-    return pairs.select(((F.sum(d).over(every) - d) / (F.count(F.lit(1)).over(every) - 1)).alias("value"))
-
-
 def difference_intervals(pairs: DataFrame, replicates: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """Percentile, basic, t and bias-corrected accelerated intervals of the mean difference, in one row."""
-    reps = bootstrap_difference(pairs, replicates=replicates, seed=seed).persist()
-    observed = pairs.agg(F.avg(F.col("est_a") - F.col("est_b"))).first()[0]
-    jack = [r["value"] for r in jackknife_means(pairs).limit(MOST_RANKED).collect()]
-    low, high = bca_interval(reps, observed, jack, level)
-    return bootstrap_intervals(reps, observed, level).withColumns({"observed": F.lit(observed), "bca_lower": F.lit(low), "bca_upper": F.lit(high)})
+    """Percentile, basic, t, studentised and bias-corrected accelerated intervals of the mean difference, in one row."""
+    one = jackknife(pairs).first()
+    observed = one["observed"]
+    reps = mean_replicates(pairs, replicates, seed)
+    reps = pairs.sparkSession.createDataFrame(reps.collect(), reps.schema)  # a row a replicate, from one aggregate
+    low, high = bca_interval(reps, observed, one["acceleration"] or 0.0, level)
+    start, end = studentised_interval(reps, observed, level)
+    more = {"observed": observed, "bca_lower": low, "bca_upper": high, "studentised_lower": start, "studentised_upper": end}
+    return bootstrap_intervals(reps.select("rep", "value"), observed, level).withColumns({k: F.lit(v) for k, v in more.items()})

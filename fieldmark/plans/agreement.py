@@ -257,6 +257,13 @@ def performance_gate(spark, sf):
     return rounded(monitor.performance_gate(of(c), of(c.where("c_custkey % 2 = 0")), "task", 1.05, 0.97))
 
 
+@query("difference_jackknife", f"""WITH {_PAIRS}, d AS (SELECT a - b AS d FROM pr), j AS (SELECT (sum(d) OVER () - d) / (count(*) OVER () - 1) AS m, d FROM d), c AS (SELECT *, avg(m) OVER () - m AS u FROM j)
+SELECT count(*) AS n, round(avg(d), 6) AS observed, round(sqrt((count(*) - 1) * sum(u * u) / count(*)), 6) AS se, round(sum(u * u * u) / (6 * power(sum(u * u), 1.5)), 6) AS acceleration FROM c""")
+def difference_jackknife(spark, sf):
+    """The mean difference's standard error and acceleration with each pair left out."""
+    return rounded(agree.jackknife(pairs(spark, sf)))
+
+
 @query("difference_intervals")
 def difference_intervals(spark, sf):
     """Bootstrap intervals of the mean difference, with the bias-corrected accelerated one."""

@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,10 +75,40 @@ def test_bootstrap_intervals(spark):
     reps = agree.bootstrap_difference(p, replicates=200).cache()
     one = agree.bootstrap_intervals(reps, 0.1).first()
     assert reps.count() == 200 and one["percentile_lower"] <= 0.1 + 1e-9 and one["mean"] == pytest.approx(0.1)
-    lo, hi = agree.bca_interval(agree.bootstrap_difference(p, lambda x, y: float(x.mean()), 200), 0.54, [0.5, 0.52, 0.55, 0.6, 0.53])
+    lo, hi = agree.bca_interval(agree.bootstrap_difference(p, lambda x, y: float(x.mean()), 200), 0.54, 0.02)
     assert lo < 0.54 < hi
 
 
+def test_intervals_of_a_large_table(spark):
+    """20,000 pairs, far beyond what was once gathered: moments, replicates and all five intervals against numpy."""
+    rng = np.random.default_rng(4)
+    a, b = rng.gamma(2.0, 1.0, 20_000), rng.normal(1.5, 1.0, 20_000)
+    a[:4000], b[:4000] = 3.0, 1.0  # a difference that many pairs share
+    df = spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "est_a double, est_b double")
+    d = a - b
+    left_out = (d.sum() - d) / (len(d) - 1)
+    u = left_out.mean() - left_out
+    one = agree.jackknife(df).first()
+    assert one["acceleration"] == pytest.approx((u**3).sum() / (6 * (u**2).sum() ** 1.5), rel=1e-6)
+    assert one["se"] == pytest.approx(np.sqrt((len(d) - 1) / len(d) * (u**2).sum()), rel=1e-6)
+    reps = agree.mean_replicates(df, 400, 1).toPandas()
+    assert reps["value"].std() == pytest.approx(one["se"], rel=0.12) and reps["se"].mean() == pytest.approx(one["se"], rel=0.05)
+    row = agree.difference_intervals(df, 400, 1).first()
+    half = 1.96 * one["se"]
+    for kind in ("percentile", "basic", "t", "bca", "studentised"):
+        assert row[f"{kind}_lower"] == pytest.approx(d.mean() - half, abs=0.35 * half) and row[f"{kind}_upper"] == pytest.approx(d.mean() + half, abs=0.35 * half), kind
+
+
+def test_nested_replicates(spark):
+    rng = np.random.default_rng(6)
+    p = pair_table(spark, [(v, 0.1, v - 0.1 + e, 0.1) for v, e in zip(rng.normal(0, 1, 40), rng.normal(0, 0.2, 40))])
+    observed = p.agg(F.avg(F.col("est_a") - F.col("est_b"))).first()[0]
+    reps = agree.bootstrap_difference(p, replicates=200, nested=40).cache()
+    assert reps.agg(F.avg("se")).first()[0] == pytest.approx(agree.jackknife(p).first()["se"], rel=0.15)
+    low, high = agree.studentised_interval(reps, observed)
+    assert low < observed < high and high - low == pytest.approx(4 * agree.jackknife(p).first()["se"], rel=0.4)
+
+
 def test_sampling_edges(spark):
     df = spark.range(20).withColumn("tier_1", F.when(F.col("id") < 3, "2").otherwise("x"))
     ever = sampling.ever_tier(["tier_1"])
