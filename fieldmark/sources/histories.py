@@ -145,7 +145,7 @@ def to_frame(df: DataFrame, adapter: str | None = None, **options) -> CaptureFra
 
 
 def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
-    """CSV, JSON, ORC or Parquet by suffix.  CSV columns named ``ch`` stay text, so zeros lead."""
+    """CSV, JSON, ORC, Parquet or encounter files (``.inp``, as individuals) by suffix.  CSV columns named ``ch`` stay text, so zeros lead."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "csv":
         head = spark.read.csv(path, header=True, **options)
@@ -157,6 +157,11 @@ def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
         import pandas as pd  # a spreadsheet is one small file; needs a reader such as openpyxl
 
         return spark.createDataFrame(pd.read_excel(path, dtype={"ch": str}))
+    if kind == "inp":
+        from fieldmark.sources.encounters import individuals, read_encounters
+
+        groups = tuple(options.get("groups", ("n",)))
+        return individuals(read_encounters(spark, path, **options), groups)
     raise DataFormatError(f"can't read files of kind {kind!r}")
 
 
