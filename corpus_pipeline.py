@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.llm import bpe, minhash, mixing, pii, quality
-from fieldmark.llm.common import drop, stored
+from fieldmark.llm.common import carried, drop, stored
 
 #: Stages 2 and 5 can't be stated in SQL (sketches, merges); tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -22,8 +22,9 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and their language's and source's fences."""
-    judged = quality.judged(stored(quality.measured(docs), "measured"))
-    return judged.where("_kept").select(*docs.columns)
+    inner = carried(docs, "lang", "source", "text")
+    judged = quality.judged(stored(quality.measured(inner).drop("text"), "measured"))
+    return judged.where("_kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,21 +33,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     row = lambda id_, key: [F.col(id_).isNull().alias("_none"), F.coalesce(id_, F.lit(0)).alias("_id"), key.alias("_key")]
     stay = found.select(*row("doc_id", F.col("text_key")))
     # one exchange of the texts serves the join and what is left of rows with equal id and text
-    keyed = docs.select("*", *row("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))))
-    return keyed.join(stay, ["_none", "_id", "_key"], "left_semi").dropDuplicates(["_none", "_id", "_key"]).select(*docs.columns)
+    keyed = carried(docs, *row("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))))
+    return keyed.join(stay, ["_none", "_id", "_key"], "left_semi").dropDuplicates(["_none", "_id", "_key"]).select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data generalised and revealing terms removed; ``n_chars`` follows."""
-    out = pii.redacted(pii.sanitised(docs))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    out = pii.redacted(pii.sanitised(carried(docs, "doc_id", "text", without=("text",))))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    mixed = mixing.mix(docs, weights=(5, 2, 1), cap=3)
+    inner = carried(docs, "doc_id", "text", "source")
+    mixed = mixing.mix(inner, keep=["row"], weights=(5, 2, 1), cap=3)
     times = F.explode(F.when(F.col("_mix.copies") > 0, F.sequence(F.lit(1), F.col("_mix.copies").cast("int"))))
-    return mixed.withColumn("_nth", times).select(*docs.columns)
+    return mixed.select("row", times.alias("nth")).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once inside a task; numpy scratch space is about 40 times this.
@@ -32,6 +32,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def carried(df: DataFrame, *more: Column, without: tuple[str, ...] = ()) -> DataFrame:
+    """``df``'s columns as one struct ``row``, beside columns ``more``: whatever names the input has, they clash with none of an operator's.
+
+    Columns named in ``without``, those that the operator returns, stay behind.
+    """
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in without]).alias("row"), *more)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables that :func:`stored` wrote, once nothing reads them any more."""
     for df in tables:

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import carried, small, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 BITS, LEVEL = 60, 12
@@ -68,14 +68,15 @@ def _thresholds(sizes: DataFrame, src: DataFrame) -> DataFrame:
 
 
 def mix(df: DataFrame, keep: Sequence[str] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (5, 2, 1), cap: int = 3) -> DataFrame:
-    """Columns ``keep`` (default all) of ``df`` and a struct ``_mix``: size, source_size, target, copies, taken.
+    """Columns ``keep`` (default all) of ``df`` and a struct ``_mix`` (in place of a column of that name): size, source_size, target, copies, taken.
 
     ``copies`` is how often the mix takes the row, ``taken`` its size times that.
     """
     size: Column = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     named = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\n"), F.coalesce(text_col, F.lit("")))
     sha = F.conv(F.substring(F.md5(named), 1, BITS // 4), 16, 10).cast("long")
-    rows = df.select(*(keep if keep is not None else df.columns), F.struct(F.col(source_col).alias("source"), size.alias("size"), sha.alias("hash")).alias("_m"))
+    left = tuple(c for c in df.columns if keep is not None and c not in keep)
+    rows = carried(df, F.struct(F.col(source_col).alias("source"), size.alias("size"), sha.alias("hash")).alias("_m"), without=(*left, "_mix"))
     rows = stored(rows, "sizes")
     sizes = rows.select("_m.*")
     src = targets(sizes, weights, cap)
@@ -85,4 +86,4 @@ def mix(df: DataFrame, keep: Sequence[str] | None = None, id_col: str = "doc_id"
     src = small(src).select(F.struct(*src.columns).alias("_src"))
     copies = F.col("_src.fits") + F.coalesce((F.col("_m.hash") < F.col("_src.below")).cast("long"), F.lit(0))
     out = F.struct(F.col("_m.size").alias("size"), F.col("_src.source_size").alias("source_size"), F.col("_src.target").alias("target"), copies.alias("copies"), (copies * F.col("_m.size")).alias("taken"))
-    return rows.join(src, F.col("_m.source").eqNullSafe(F.col("_src.source"))).withColumn("_mix", out).drop("_m", "_src")
+    return rows.join(src, F.col("_m.source").eqNullSafe(F.col("_src.source"))).select("row.*", out.alias("_mix"))

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, small, stored
+from .common import carried, drop, small, stored
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -140,25 +140,26 @@ def _placed(text: Column, terms: Column) -> Column:
 
 
 def sanitised(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with ``_spans``: base spans and then term spans, each by start; the rows' order isn't kept."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """``df`` with ``_spans`` (in place of a column of that name): base spans and then term spans, each by start; the rows' order isn't kept."""
+    docs = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    df = carried(df, without=("_spans",))
+    own = F.col("row").getField(text_col)
+    text, ident = F.coalesce(own, F.lit("")), F.xxhash64(F.col("row").getField(id_col).cast("string"), own)
     found = base_spans(df, text)
-    docs = df.select(text.alias("text"))
-    ident = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     # candidates come from the few rows with spans; the others take no part in their shuffles
     entities = F.array_distinct(F.transform("_base", _entity))
-    some = found.where(F.size("_base") > 0).select(F.monotonically_increasing_id().alias("row"), F.xxhash64(F.col(text_col)).alias("key"), text.alias("text"), entities.alias("entities"))
+    some = found.where(F.size("_base") > 0).select(F.monotonically_increasing_id().alias("row"), F.xxhash64(own).alias("key"), text.alias("text"), entities.alias("entities"))
     some = stored(some, "holders")
     revealing = _terms(some, docs)
     drop(some)
     if revealing.isEmpty():
-        return found.withColumnRenamed("_base", "_spans")
+        return found.select("row.*", F.col("_base").alias("_spans"))
     hits = df.select(ident.alias("_row"), F.explode(_words(text)).alias("term")).join(small(revealing), "term", "left_semi").groupBy("_row").agg(F.collect_set("term").alias("_terms"))
     hits = small(stored(hits, "hits"), array="_terms")
     # a term inside a base span is covered already
     clear = F.filter(_placed(text, F.col("_terms")), lambda t: ~F.exists("_base", lambda b: (b["at"] < t["to"]) & (t["at"] < b["to"])))
     clear = F.when(F.col("_terms").isNotNull(), clear).otherwise(F.array().cast(SPAN))
-    return found.withColumn("_row", ident).join(hits, "_row", "left").withColumn("_spans", F.concat("_base", clear)).drop("_row", "_terms", "_base")
+    return found.withColumn("_row", ident).join(hits, "_row", "left").select("row.*", F.concat("_base", clear).alias("_spans"))
 
 
 def redacted(df: DataFrame, text_col: str = "text") -> DataFrame:

@@ -11,7 +11,8 @@ joined back and decide, beside a base rule.  Where a tail quantile is 0, the lea
 junk of up to a tenth of a group doesn't move its own fence.
 
 Edge cases: null texts count as empty (0 words, base_failed); null languages and sources are
-groups of their own; repeated rows each count; other columns pass through whatever their names.
+groups of their own; repeated rows each count; other columns pass through whatever their names, but for
+those that are returned: ``_q``, ``_base_failed``, ``_kept``.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import carried, small, stored
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,12 +53,13 @@ def _windows(df: DataFrame, hashes: str, size: int, out: str) -> DataFrame:
 
 
 def measured(df: DataFrame, text_col: str = "text", window: int = 8) -> DataFrame:
-    """``df`` with a struct ``_q``: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words."""
+    """``df`` with a struct ``_q`` (in place of a column of that name): n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     dense = F.length(F.translate(text, " \t\n\x0b\f\r", ""))
     hashes = F.transform(F.filter(F.split(text, f"{SPACE}+"), lambda w: w != ""), lambda w: F.xxhash64(w))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE[1:]}"))
-    df = df.withColumns({"_h": hashes, "_lines": lines, "_dense": dense, "_symbols": F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))})
+    symbols = F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))
+    df = carried(df, hashes.alias("_h"), lines.alias("_lines"), dense.alias("_dense"), symbols.alias("_symbols"), without=("_q",))
     df = df.withColumns({"_n": F.size("_h").cast("long")})
     df = _windows(df, "_h", window, "_w")
     # positions of windows met twice or more: sorted with their places, equal to a neighbour
@@ -76,7 +78,7 @@ def measured(df: DataFrame, text_col: str = "text", window: int = 8) -> DataFram
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
     )
-    return df.withColumn("_q", q).drop("_lines", "_dense", "_symbols", "_n", "_w", "_s", "_p")
+    return df.select("row.*", q.alias("_q"))
 
 
 def _rate(name: str) -> Column:
@@ -126,5 +128,7 @@ def judged(df: DataFrame, lang_col: str = "lang", source_col: str = "source") ->
     outside = F.lit(False)
     for r in RATES:
         outside |= F.coalesce((_rate(r) > F.col(f"_cut.hi_{r}")) | (_rate(r) < F.coalesce(F.col(f"_cut.lo_{r}"), F.lit(0.0))), F.lit(False))
-    same = F.col(lang_col).eqNullSafe(F.col("_cut.lang")) & F.col(source_col).eqNullSafe(F.col("_cut.source"))
-    return df.join(cut, same, "left").withColumns({"_base_failed": failed, "_kept": ~failed & ~outside}).drop("_cut")
+    verdict = ("_base_failed", "_kept")
+    rows = carried(df, F.col("_q"), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"), without=("_q", *verdict))
+    same = F.col("_lang").eqNullSafe(F.col("_cut.lang")) & F.col("_source").eqNullSafe(F.col("_cut.source"))
+    return rows.join(cut, same, "left").select("row.*", "_q", failed.alias(verdict[0]), (~failed & ~outside).alias(verdict[1]))

@@ -11,7 +11,7 @@ Edge cases: urls that are null or have no host, and captures without a date, mat
 kept; entries with null fields are ignored; of a domain's entries of one date, ``block``
 holds, else the first action by name; hosts compare lower-cased and without a final dot; an IP address (IPv6 ones in their
 brackets) matches entries for itself only; repeated captures are judged alike; columns
-keep their names, the verdict is one struct.
+keep their names, whatever they are, and the verdict is one struct, ``_verdict``, in place of a column of that name.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import carried, small, stored
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]]+)"
 ADDRESS = r"^(\[.*|[0-9.]+)$"
@@ -39,15 +39,15 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def judged(captures: DataFrame, entries: DataFrame, url_col: str = "url", date_col: str = "fetched_at") -> DataFrame:
     """``captures`` with a struct ``_verdict``: host, matched, action, since, kept."""
-    rows = captures.withColumns({"_host": host_of(F.col(url_col)), "_at": F.col(date_col)})
-    pairs = rows.where("_host is not null and _at is not null").select(F.col("_host").alias("host"), F.col("_at").alias("at")).distinct()
+    rows = carried(captures, host_of(F.col(url_col)).alias("own"), F.col(date_col).alias("day"), without=("_verdict",))
+    pairs = rows.where("own is not null and day is not null").select(F.col("own").alias("host"), F.col("day").alias("at")).distinct()
     labels = F.split("host", r"\.")
     suffixes = F.when(F.col("host").rlike(ADDRESS), F.array("host")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
     probes = pairs.select("host", "at", F.posexplode(suffixes).alias("depth", "domain"))
     active = (F.col("since") <= F.col("at")) & (F.col("until").isNull() | (F.col("at") < F.col("until")))
     found = probes.join(small(stored(intervals(entries), "intervals")), "domain").where(active)
-    best = found.groupBy("host", "at").agg(F.min_by(F.struct("domain", "action", "since"), "depth").alias("m")).select(F.col("host").alias("_h"), F.col("at").alias("_d"), "m")
-    out = rows.join(best, (F.col("_host") == F.col("_h")) & (F.col("_at") == F.col("_d")), "left")
+    best = found.groupBy("host", "at").agg(F.min_by(F.struct("domain", "action", "since"), "depth").alias("m"))
+    out = rows.join(best, (F.col("own") == F.col("host")) & (F.col("day") == F.col("at")), "left")
     kept = F.coalesce(F.col("m.action") != "block", F.lit(True))
-    verdict = F.struct(F.col("_host").alias("host"), F.col("m.domain").alias("matched"), F.col("m.action").alias("action"), F.col("m.since").alias("since"), kept.alias("kept"))
-    return out.withColumn("_verdict", verdict).drop("_host", "_at", "_h", "_d", "m")
+    verdict = F.struct(F.col("own").alias("host"), F.col("m.domain").alias("matched"), F.col("m.action").alias("action"), F.col("m.since").alias("since"), kept.alias("kept"))
+    return out.select("row.*", verdict.alias("_verdict"))

@@ -649,3 +649,101 @@ def test_short_texts_with_a_common_shingle(spark):
                 if comp[i] != comp[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
                     comp[i] = comp[j] = min(comp[i], comp[j])
     assert dict(rows_of(minhash.near_duplicates(df), "doc_id", "component_id")) == dict(enumerate(comp))
+
+
+def test_records_of_one_template(spark):
+    """3,000 texts with one changed number share most shingles and link with none; bounds tell, not pairs."""
+    word = [f"word{i}" for i in range(23)]
+    rows = [(i, " ".join(word[:10] + [f"number{i}"] + word[11:])) for i in range(3000)]
+    rows += [(5000 + i, " ".join(f"long{k}" if k != 300 else f"change{i}" for k in range(400))) for i in range(40)]  # these do
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_duplicates(df).select("doc_id", "component_id").collect()
+    assert all(r["component_id"] == min(r["doc_id"], 5000) for r in got) and len(got) == 3040
+
+
+def test_residual_groups_in_small_blocks(spark, monkeypatch):
+    """Groups that heads leave in several components, cut into blocks of a few rows and shingles."""
+    r = random.Random(9)
+    texts = []
+    for g in range(12):
+        shared = [f"g{g % 3}w{i}" for i in range(120)]
+        own = shared[:90] + [f"own{g}x{i}" for i in range(40)]
+        texts += [" ".join(w if r.random() > 0.012 else f"e{r.random()}" for w in own) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [shingles(t, 3) for t in texts]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    for rows_a_block, items in ((512, 1 << 21), (4, 1 << 21), (512, 300)):
+        monkeypatch.setattr(minhash, "BLOCK", rows_a_block)
+        monkeypatch.setattr(minhash, "BLOCK_ITEMS", items)
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df).select("doc_id", "component_id").collect()}
+        assert got == {i: find(i) for i in range(len(rows))}
+
+
+def test_copies_of_a_text_are_encoded_in_many_units(spark):
+    """10^5 equal texts: none of the units that hold them stands out."""
+    tokenizers = pytest.importorskip("public_tokenizers")
+    path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    text = prose(12)
+    df = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
+    got = bpe.encode_decode(df, path, tokenizers.PATTERN, digests=True)
+    assert got.count() == 100_000 and got.select("n_tokens", "ids_sha256", "decoded_sha256").distinct().collect()[0]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    plan = got._jdf.queryExecution().toString()
+    units = df.groupBy(F.pmod(F.xxhash64("doc_id", "text"), F.lit(16))).count().toPandas()["count"]
+    assert "xxhash64(doc_id" in plan and units.max() < 1.1 * 100_000 / 16
+
+
+CLASHING = [
+    "m", "row", "_n", "_h", "_w", "_s", "_p", "_q", "_lines", "_dense", "_symbols", "_cut", "_lang", "_source", "_base", "_row", "_terms", "_email", "_spans", "_m", "_src", "_mix",
+    "_host", "_at", "_d", "own", "day", "host", "at", "_verdict", "_none", "_id", "_key", "_nth", "nth", "key", "id", "part", "set", "n", "c", "__unit", "__text",
+]
+
+
+@pytest.fixture(scope="module")
+def named(docs):
+    """The documents with a column of every helper's name, which tells its row."""
+    few = docs.where("doc_id < 60").drop("n").withColumn("n_chars", F.length("text")).withColumn("tag", F.col("doc_id"))
+    for c in CLASHING:
+        few = few.withColumn(c, F.concat(F.lit(c), F.col("doc_id").cast("string")))
+    return stored(few, "named")
+
+
+def unhurt(out, without=()):
+    kept = [c for c in CLASHING if c not in without]
+    assert set(kept) <= set(out.columns) and len(out.columns) == len(set(out.columns))
+    rows = out.select("tag", *kept).collect()
+    assert rows and all(r[c] == f"{c}{r['tag']}" for r in rows for c in kept)
+
+
+def test_helper_names_clash_with_no_column(named):
+    unhurt(quality.judged(stored(quality.measured(named), "measured")), ("_q",))
+    unhurt(pii.sanitised(named), ("_spans",))
+    unhurt(mixing.mix(named), ("_mix",))
+    captures = named.withColumn("url", F.lit("http://a.example.org/x")).withColumn("fetched_at", F.to_date(F.lit("2024-02-01")))
+    entries = captures.limit(1).select(F.lit("example.org").alias("domain"), F.lit("block").alias("action"), F.to_date(F.lit("2024-01-01")).alias("listed_at"))
+    got = url_filter.judged(captures, entries)
+    unhurt(got, ("_verdict",))
+    assert {r["_verdict"]["matched"] for r in got.collect()} == {"example.org"}
+
+
+def test_pipeline_stages_keep_clashing_columns(spark, named):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, named, "")
+        assert out.columns == named.columns, name
+        unhurt(out)
+
+
+def test_other_operators_ignore_clashing_columns(spark, named):
+    assert minhash.near_duplicates(named).count() == named.count() == substring_dedup.remove_repeats(named).count() == lm_score.score(named).count()
