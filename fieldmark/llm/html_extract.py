@@ -31,12 +31,17 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "xmp", "noembed", "noframes"}
 HIDDEN = {"head", "template", "svg", "math", "select", "button", "object", "audio", "video", "canvas", "datalist"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+LEVELS = ("h1", "h2", "h3", "h4", "h5", "h6")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {
     "p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"},
     "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"},
     **{t: {"p"} for t in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()},
 }
+#: What may stand in a head whose end tag is missing, and what ends an open select, datalist or button.
+IN_HEAD = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}
+ENDS_SELECT = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header main nav ol p pre section table ul".split())
+ENDS_BUTTON = ENDS_SELECT - {"div"}
 #: Elements that implied closing doesn't look beyond.
 SCOPE = set("article aside body div footer form header html main nav ol section table td th ul dl".split())
 
@@ -53,10 +58,23 @@ APART = set(
 )
 ASIDE = set("alert bar byline form login menu meta pager pagination search share sharing skip social tag tags".split())
 GOOD = set("article entry main post story".split())
+#: Of these, names that hold whatever the text is.
+SURE = set("ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus gdpr modal nav navbar navigation popup replies reply respond sidebar".split())
+#: Names that speak of a list of links only alone or before one of the second set ("related-posts", not "related-work").
+LISTED, LISTS = {"related", "recommended"}, set("articles items links news pages posts products reading stories topics videos".split())
+#: Headings of what isn't the article: reader comments, link lists, notes on the site.
+HEADING = re.compile(
+    r"(\d+|no|one|two|three)?\s*(reader )?(comments?|responses|replies|thoughts|reviews)( \(\d+\))?( on .*| so far)?|leave a (reply|comment)|join the (discussion|conversation)|post a comment"
+    r"|about (us|me|the (author|site|blog))|(related|recommended|popular|recent|latest|more|similar|top) (posts|articles|stories|news|links|reading|topics)|(you may|you might) also like.*"
+    r"|(share|follow|connect|contact|subscribe|newsletter|advertisement|sponsored|tags|categories|archives?|navigation|menu|search|blogroll|sitemap)( this| us| me| with us| now| by)?", re.I)
+#: Words that make a block prose, and the link share that it may have.
+PROSE_WORDS, PROSE_LINKS = 12, 0.3
+#: Prose of an element whose name is set aside: so many words, and so many times what is kept otherwise.
+PARDON_WORDS, PARDON_TIMES = 40, 4
 
 # the classifier: weights of log-odds for content
 TAGS = {"nav": -12.0, "footer": -12.0, "aside": -12.0, "form": -12.0, "menu": -12.0, "dialog": -12.0, "header": -6.0, "article": 3.0, "main": 2.0}
-NAME_APART, NAME_ASIDE, NAME_GOOD = -7.0, -2.0, 1.5
+NAME_SURE, NAME_APART, NAME_ASIDE, NAME_GOOD = -8.0, -7.0, -2.0, 1.5
 BIAS, PER_LOG_WORD, LINKS, SENTENCE, RIGHTS, MOST = -2.0, 1.2, -6.0, 1.0, -3.0, 5.0
 # smoothness: neighbours on the page, neighbours in one element, parent and child in the DOM
 ADJACENT, SIBLING, CHILD = 0.3, 0.9, 0.7
@@ -75,8 +93,10 @@ def name_odds(attributes: str) -> tuple[float, float]:
             if not parts or MODIFIERS & set(parts) or (len(parts) > 1 and parts[0] in TAXONOMY):
                 continue
             ends = {parts[0], next((x for x in reversed(parts) if x not in LAYOUT), parts[0])}
+            if ends & LISTED and not set(parts) - LISTED <= LAYOUT | LISTS:
+                ends -= LISTED
             if ends & APART:
-                low = min(low, NAME_ASIDE if parts[0] in GOOD and ends & {"header", "footer"} else NAME_APART)
+                low = min(low, NAME_ASIDE if parts[0] in GOOD and ends & {"header", "footer"} else NAME_SURE if set(parts) <= SURE | LAYOUT else NAME_APART)
             elif ends & ASIDE:
                 low = min(low, NAME_ASIDE)
             elif ends & GOOD or "content" in parts or "text" in parts:
@@ -85,7 +105,7 @@ def name_odds(attributes: str) -> tuple[float, float]:
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "stop", "node", "hidden", "low", "high", "named", "holds")
+    __slots__ = ("tag", "parent", "stop", "node", "hidden", "low", "high", "named", "holds", "own")
 
     def __init__(self, tag: str, parent: _Element | None, attributes: str):
         self.tag, self.parent, self.node, self.holds = tag, parent, -1, False
@@ -96,6 +116,7 @@ class _Element:
         self.low, self.high = min(own, 0.0), max(own, good)
         if tag == "header" and parent and parent.within("article"):
             self.low = NAME_ASIDE
+        self.own = (self.low, self.high)
 
     def within(self, tag: str) -> bool:
         e, steps = self, 0
@@ -108,12 +129,18 @@ class _Element:
 
 def blocks(html: str) -> list[tuple[str, _Element, int]]:
     """(text, element, characters in links) of the text blocks in page order; elements have their evidence."""
+    return _read(html)[0]
+
+
+def _read(html: str) -> tuple[list[tuple[str, _Element, int]], list[_Element]]:
+    """:func:`blocks`, and all elements, parents first."""
     out: list[tuple[str, _Element, int]] = []
     here = root = _Element("", None, "")
     every = [root]
     opened: dict[str, int] = {}
     buffer: list[str] = []
     linked, link = 0, 0
+    link_in = root  # the element that holds the open link: the link ends with it, at the latest
 
     def flush() -> None:
         nonlocal linked
@@ -125,11 +152,20 @@ def blocks(html: str) -> list[tuple[str, _Element, int]]:
 
     def leave(to: _Element) -> None:
         """Close all elements up to ``to``, which stays open."""
-        nonlocal here
+        nonlocal here, link
         while here is not to:
             opened[here.tag] -= 1
+            if here is link_in:
+                link = 0
             here = here.parent
 
+    def out_of(tag: str) -> None:
+        """Close the innermost open element of this kind."""
+        e = here
+        while e.tag != tag:
+            e = e.parent
+        leave(e.parent)
+
     at = 0
     while at <= len(html):
         m = TAG.search(html, at)
@@ -137,6 +173,9 @@ def blocks(html: str) -> list[tuple[str, _Element, int]]:
         if piece:
             if "&" in piece:
                 piece = unescape(piece)
+            if here.tag == "head" and not piece.isspace():  # text ends a head
+                flush()
+                leave(here.parent)
             buffer.append(piece)
             if link:
                 linked += len(piece)
@@ -149,7 +188,7 @@ def blocks(html: str) -> list[tuple[str, _Element, int]]:
         closing, attributes = m[1] or m[4], m[3] or m[6] or ""
         if tag in INLINE:
             if tag == "a":
-                link = 0 if closing else 1
+                link, link_in = int(not closing and "href" in attributes.lower()), here
             continue
         if tag == "br":
             buffer.append(" ")
@@ -157,14 +196,15 @@ def blocks(html: str) -> list[tuple[str, _Element, int]]:
         if tag in VOID and tag != "hr":
             continue
         flush()
-        link = 0
         if closing:
             if opened.get(tag):
-                e = here
-                while e.tag != tag:
-                    e = e.parent
-                leave(e.parent)
+                out_of(tag)
             continue
+        if here.tag == "head" and tag not in IN_HEAD:
+            leave(here.parent)
+        for kind, ends in (("select", ENDS_SELECT), ("datalist", ENDS_SELECT), ("button", ENDS_BUTTON | {"button"})):
+            if opened.get(kind) and tag in ends:
+                out_of(kind)
         if ends := CLOSES.get(tag):
             e = here.stop
             while e is not root and (e.tag in ends or e.tag not in SCOPE):
@@ -180,7 +220,7 @@ def blocks(html: str) -> list[tuple[str, _Element, int]]:
             opened[tag] = opened.get(tag, 0) + 1
     flush()
     _settle(every)
-    return out
+    return out, every
 
 
 def _settle(every: list[_Element]) -> None:
@@ -189,6 +229,8 @@ def _settle(every: list[_Element]) -> None:
     What holds the page's main element, or an article that isn't apart itself, isn't judged by its name.
     """
     apart: dict[int, bool] = {}
+    for e in every:
+        (e.low, e.high), e.holds = e.own, False
     for e in every:
         apart[id(e)] = e.named < 0 or e.low < 0 or bool(e.parent and apart[id(e.parent)] and e.tag != "main")
         if e.tag == "main" or (e.tag == "article" and e.named == 0):
@@ -320,10 +362,65 @@ def _flow(rest: list[int], odds: list[float], near: list[dict[int, float]]) -> s
                 break
 
 
+def _under_headings(found: list[tuple[str, _Element, int]]) -> set[int]:
+    """Blocks under a heading of something else than the article, up to the next heading of its level in the same element."""
+    out: set[int] = set()
+    for i, (text, e, _) in enumerate(found):
+        if e.tag in LEVELS and len(text) < 80 and HEADING.fullmatch(text.strip(" :.!?…»-–|")):
+            out.add(i)
+            for k in range(i + 1, len(found)):
+                x = found[k][1]
+                if x.tag in LEVELS and x.tag <= e.tag and x.parent is e.parent:
+                    break
+                while x is not None and x is not e.parent:
+                    x = x.parent
+                if x is None:
+                    break
+                out.add(k)
+    return out
+
+
+def _is_prose(block: tuple[str, _Element, int]) -> bool:
+    text, _, linked = block
+    return text.count(" ") + 1 >= PROSE_WORDS and linked <= PROSE_LINKS * len(text)
+
+
+def _pardoned(found: list[tuple[str, _Element, int]], every: list[_Element], kept: int) -> bool:
+    """Where an element with a bad name holds nearly all prose of a page of which ``kept`` words are left, the name says
+    nothing: forget it, and those of what the element is in.  False if there is no such element."""
+    words: dict[int, int] = {}
+    for block in found:
+        if _is_prose(block):
+            e = block[1]
+            while e is not None:
+                words[id(e)] = words.get(id(e), 0) + block[0].count(" ") + 1
+                e = e.parent
+    named = [e for e in every if NAME_APART <= e.named < 0 and words.get(id(e), 0) >= max(PARDON_WORDS, PARDON_TIMES * kept)]
+    if not named:
+        return False
+    e = max(named, key=lambda x: words[id(x)])
+    while e is not None:
+        e.named = 0.0
+        e = e.parent
+    _settle(every)
+    return True
+
+
 def labelled(html: str) -> list[tuple[str, float, bool]]:
     """(text, own log-odds, label of the cut) of the blocks of a page."""
-    found = blocks(html)
-    odds = [log_odds(*b) for b in found]
+    found, every = _read(html)
+    out = _cut(found)
+    if _pardoned(found, every, sum(text.count(" ") + 1 for text, _, keep in out if keep)):
+        for _, e, _ in found:
+            while e is not None:
+                e.node, e = -1, e.parent
+        out = _cut(found)
+    return out
+
+
+def _cut(found: list[tuple[str, _Element, int]]) -> list[tuple[str, float, bool]]:
+    apart = _under_headings(found)
+    odds = [log_odds(*b) + (NAME_APART if i in apart else 0.0) for i, b in enumerate(found)]
     edges = []
     for i, (_, e, _) in enumerate(found):
         if i:

@@ -747,3 +747,43 @@ def test_pipeline_stages_keep_clashing_columns(spark, named):
 
 def test_other_operators_ignore_clashing_columns(spark, named):
     assert minhash.near_duplicates(named).count() == named.count() == substring_dedup.remove_repeats(named).count() == lm_score.score(named).count()
+
+
+PARAGRAPHS = [
+    "The river rose for three days before anyone in the valley thought of moving the cattle to higher ground.",
+    "By the time the bridge went, most of the families had already spent two nights in the old school on the hill.",
+]
+BODY = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+WHOLE = "\n".join(PARAGRAPHS)
+PAGES = {
+    "no end of head": f"<html><head><title>T</title><meta charset=utf-8><body><article>{BODY}</article></body></html>",
+    "neither end of head nor body": f"<html><head><title>T</title><script>var a;</script><article>{BODY}</article></html>",
+    "neither, and a div": f"<head><title>T</title><div>{BODY}</div>",
+    "text ends a head": f"<head><title>T</title>{PARAGRAPHS[0]}<p>{PARAGRAPHS[1]}</p>",
+    "open select": f"<body><div><select><option>One<option>Two</div><article>{BODY}</article>",
+    "open select, same element": f"<body><select><option>One<option>Two<article>{BODY}</article>",
+    "open button": f"<body><button>Menu<article>{BODY}</article>",
+    "closed button with a block": f"<body><button><div>Menu</div></button><article>{BODY}</article>",
+    "wrap-footer": f'<body><div id="wrap-footer">{BODY}</div>', "newsletter-article": f'<body><div class="newsletter-article">{BODY}</div>', "notices": f'<body><div class="notices">{BODY}</div>',
+    "related-work": f'<body><main><p>{PARAGRAPHS[0]}</p><section id="related-work"><p>{PARAGRAPHS[1]}</p></section></main>',
+    "related-posts": f'<body><main>{BODY}</main><div class="related-posts"><p>Ten more stories about rivers, bridges and floods that you should read today.</p></div>',
+    "sidebar by heading": f"<body><div>{BODY}</div><div><h3>About us</h3><p>We are a small paper of the valley and write of all that happens here every week.</p></div>",
+    "comments by heading": f"<body><div>{BODY}</div><div><h3>3 responses</h3><p>Great post, I was there on the second night and it was just like that.</p><h4>Anna</h4><p>My brother lost his dog that day, and we still look for her sometimes.</p></div>",
+    "comments after the article": f"<body><article>{BODY}<h2>Comments (2)</h2><p>Great post, I was there on the second night and it was just like that.</p></article>",
+    "a link around blocks": f'<body><div><a href="/x"><div>Read our other long story of the flood, the bridge and the school.</div></a></div><div>{BODY}</div>',
+    "an anchor that isn't closed": f'<body><div><a name="top">{BODY}</div>',
+    "advert with prose": f'<body><div class="ad"><p>{PARAGRAPHS[0]}</p></div><article><p>Short, but the article.</p></article>',
+}
+
+
+@pytest.mark.parametrize("name", list(PAGES))
+def test_pages_that_lost_or_kept_too_much(name):
+    want = "Short, but the article." if name == "advert with prose" else WHOLE
+    assert html_extract.main_text(PAGES[name]) == want
+
+
+def test_pages_without_html(spark):
+    df = spark.createDataFrame([(1, "u", None), (2, None, ""), (2, None, ""), (None, "v", BODY)], "page_id long, url string, html string").withColumn("text", F.lit("no")).withColumn("n_chars", F.lit(0))
+    got = sorted((tuple(r) for r in html_extract.extract(df.drop("text", "n_chars")).collect()), key=repr)
+    assert got == sorted([(1, "u", "", 0), (2, None, "", 0), (2, None, "", 0), (None, "v", WHOLE, len(WHOLE))], key=repr)
+    assert html_extract.extract(df.where("false")).count() == 0
