@@ -35,7 +35,8 @@ from .words import mix, sequence_hash, windows, words
 MANTISSA = 10
 REGISTERS = 160
 SMALL = 8
-BLOCK = 512
+#: Rows and shingles (on average) of a block of a group.
+BLOCK, BLOCK_ITEMS = 512, 1 << 21
 #: Standard errors below the threshold at which an estimate rules a pair out.
 SLACK = 4.5
 #: Bits of the map that tells which texts' sets are needed (2 MB); beyond it merely lets more texts pass.
@@ -199,11 +200,17 @@ def _sets(docs: DataFrame, classes: DataFrame, need: DataFrame, size: int) -> Da
     return few.join(reps, same).select("c", "text").mapInArrow(run, "c long, items binary").dropDuplicates(["c"])
 
 
+def _overlap(na: str, nb: str, percent: int) -> str:
+    """Least intersection of sets of two sizes that link, as SQL."""
+    return f"ceil({percent} * ({na} + {nb}) / {100 + percent})"
+
+
 def _by_rarest(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(band, c, n, comp, size): classes (c, n, comp) grouped anew by shingles, for groups that hold several components.
+    """(band, c, n, nth, comp, size, load): classes (c, n, comp) grouped anew by shingles, for groups that hold several components.
 
     In one order of all shingles, here the rarest first, two sets with 100 * intersection >= percent * union
-    share one of the first n - ceil(n * percent / 100) + 1 of either.
+    share one of the first n - ceil(n * percent / 100) + 1 of either.  Where the first that they share is the ``nth`` of a set, only it and what
+    follows can be in both, which must suffice with the smallest set of the group that is large enough.
     """
 
     def run(batches):
@@ -217,31 +224,67 @@ def _by_rarest(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     often = stored(every.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")), "shingles")
     first = Window.partitionBy("c").orderBy("often", "shingle")
     ranked = every.join(often, "shingle").withColumn("nth", F.row_number().over(first)).join(rest.select("c", "n", "comp").distinct(), "c")
-    head = ranked.where(F.expr(f"nth <= n - ceil(n * {percent} / 100) + 1") & (F.col("often") > 1)).select(F.col("shingle").alias("band"), "c", "n", "comp")
+    head = ranked.where(F.expr(f"nth <= n - ceil(n * {percent} / 100) + 1") & (F.col("often") > 1)).select(F.col("shingle").alias("band"), "c", "n", "nth", "comp")
     head = stored(head, "rarest")
-    size = head.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
-    size = stored(size.select("band", "size"), "sizes")
-    out = stored(head.join(size, "band"), "rest")
-    drop(often, head, size)
+    many = [F.min("comp").alias("lo"), F.max("comp").alias("hi")]
+    least = stored(head.groupBy("band").agg(*many, F.min("n").alias("least")).where("lo <> hi").select("band", "least"), "least")
+    able = F.expr(f"1 + n - nth >= {_overlap('n', f'greatest(least, ceil(n * {percent} / 100))', percent)}")
+    able = stored(head.join(least, "band").where(able).drop("least"), "able")
+    size = able.groupBy("band").agg(*many, F.count(F.lit(1)).alias("size"), F.sum("n").alias("load")).where("lo <> hi")
+    size = stored(size.select("band", "size", "load"), "sizes")
+    out = stored(able.join(size, "band"), "rest")
+    drop(often, head, least, able, size)
     return out
 
 
+def _dealt(rest: DataFrame) -> DataFrame:
+    """Rows of groups (band, c, ..., size, load) once for every pair of blocks that they meet in, with their own block ``i``."""
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("load") / BLOCK_ITEMS)).cast("int")
+    one = rest.withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    at = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("i")).alias("lo"), F.greatest(j, F.col("i")).alias("hi")))
+    return one.withColumn("at", F.explode(at)).select("band", "at.*", "i", "c", "n", "nth", "comp")
+
+
+def _partners(table: pa.Table, percent: int):
+    """For each row of a pair of blocks the later rows that may link with it, across components and blocks, that no bound rules out."""
+    t = percent / 100
+    n, nth, comp, i = (table.column(x).to_numpy() for x in ("n", "nth", "comp", "i"))
+    regs = np.stack(cells(table.column("sketch"), np.uint16))
+    across = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
+    left = 1 + n - nth
+    for x in range(len(n) - 1):
+        ys = slice(x + 1, None)
+        # enough elements, and enough of them from the shared one on
+        ok = (comp[ys] != comp[x]) & (100 * np.minimum(n[x], n[ys]) >= percent * np.maximum(n[x], n[ys]))
+        ok &= (100 + percent) * np.minimum(left[x], left[ys]) >= percent * (n[x] + n[ys])
+        if across:
+            ok &= i[ys] != i[x]
+        at = x + 1 + np.flatnonzero(ok)
+        if len(at):
+            est, used = estimate(regs[x : x + 1], regs[at], np.full(len(at), n[x]), n[at])
+            at = at[est >= t - SLACK * np.sqrt(t * (1 - t) / np.maximum(used, 1))]
+        if len(at):
+            yield x, at
+
+
 def _joining(rest: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of components that a link joins, within groups, from rows (band, c, n, comp, size).
+    """Pairs (a, b) of components that a link joins, within groups, from rows of :func:`_by_rarest`.
 
-    A group is cut into blocks, and every pair of blocks is a task's work: it screens pairs across
-    components by estimate, checks what is left on full sets, and returns only links that join
-    components it had apart.
+    A group is cut into blocks by rows and by shingles, and every pair of blocks is a task's work.  It is done twice: first on
+    sketches, to find the classes that some bound leaves a partner; then on the full sets of these, to return links
+    that join components which the task had apart.
     """
-    t = percent / 100
-    one = rest.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    at = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("i")).alias("lo"), F.greatest(j, F.col("i")).alias("hi")))
-    body = classes.select("c", "sketch").join(sets, "c")
-    one = one.join(body, "c").withColumn("at", F.explode(at)).select("band", "at.*", "i", "c", "n", "comp", "sketch", "items")
+    with_sketch = lambda df: df.join(classes.select("c", "sketch"), "c")
+
+    def open_(table: pa.Table) -> pa.Table:
+        some = np.unique([k for x, at in _partners(table, percent) for k in (x, *at.tolist())]).astype(np.int64)
+        return table.select(["band", "lo", "hi", "i", "c", "n", "nth", "comp"]).take(pa.array(some))
+
+    kinds = "band long, lo int, hi int, i int, c long, n long, nth int, comp long"
+    left = stored(with_sketch(_dealt(rest)).groupBy("band", "lo", "hi").applyInArrow(open_, kinds), "partners")
 
     def run(table: pa.Table) -> pa.Table:
-        c, n, comp, i = (table.column(x).to_numpy() for x in ("c", "n", "comp", "i"))
-        regs, items = np.stack(cells(table.column("sketch"), np.uint16)), cells(table.column("items"), np.uint64)
+        comp, items = table.column("comp").to_numpy(), cells(table.column("items"), np.uint64)
         root = {int(x): int(x) for x in comp}
 
         def find(x: int) -> int:
@@ -249,28 +292,23 @@ def _joining(rest: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
                 root[x] = x = root[root[x]]
             return x
 
-        across = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
         links = []
-        for x in range(len(c)):
-            ys = np.arange(x + 1, len(c))
-            ys = ys[(comp[ys] != comp[x]) & (100 * np.minimum(n[x], n[ys]) >= percent * np.maximum(n[x], n[ys]))]
-            if across:
-                ys = ys[i[ys] != i[x]]
-            if not len(ys):
-                continue
-            est, used = estimate(regs[x : x + 1], regs[ys], np.full(len(ys), n[x]), n[ys])
-            for y in ys[est >= t - SLACK * np.sqrt(t * (1 - t) / np.maximum(used, 1))].tolist():
+        for x, at in _partners(table, percent):
+            for y in at.tolist():
                 p, q = find(int(comp[x])), find(int(comp[y]))
                 if p != q:
-                    both = np.concatenate([items[x], items[y]])
-                    both.sort()
-                    inner = int((both[1:] == both[:-1]).sum())
-                    if 100 * inner >= percent * (len(both) - inner):
+                    few, many = sorted((items[x], items[y]), key=len)
+                    place = np.minimum(np.searchsorted(many, few), len(many) - 1)
+                    inner = int((many[place] == few).sum())
+                    if 100 * inner >= percent * (len(few) + len(many) - inner):
                         root[p] = q
                         links.append((int(comp[x]), int(comp[y])))
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    return one.groupBy("band", "lo", "hi").applyInArrow(run, "a long, b long")
+    body = with_sketch(left).join(sets, "c")
+    out = stored(body.groupBy("band", "lo", "hi").applyInArrow(run, "a long, b long"), "links")
+    drop(left)
+    return out
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
@@ -323,7 +361,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not rest.isEmpty():
         sets = stored(_sets(docs, classes, rest.select("c").distinct(), size), "sets")
         anew = _by_rarest(rest, sets, percent)
-        more = stored(_joining(anew, classes, sets, percent), "links")
+        more = _joining(anew, classes, sets, percent)
         drop(sets, anew)
         if not more.isEmpty():
             joined = components(more).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
