@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldmark.sources.histories import CaptureFrame, from_events
+from fieldmark.sources.histories import CaptureFrame, from_events, windowed
 
 YEARS = list(range(1995, 2002))
 T = len(YEARS)
@@ -36,18 +36,26 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def ordered(spark: SparkSession, sf: str, first: int, last: int) -> DataFrame:
+    """Orders of some years, by bounds in the column's own type, which reach the scan (a function of the date doesn't)."""
+    o = table(spark, sf, "orders")
+    bound = lambda year: F.lit(f"{year}-01-01").cast(o.schema["o_orderdate"].dataType)
+    return o.where((F.col("o_orderdate") >= bound(first)) & (F.col("o_orderdate") < bound(last + 1)))
+
+
 def population(spark: SparkSession, sf: str, kind: str = "open") -> CaptureFrame:
     """id, segment, nation, acctbal, h, ch, x, e, l, and arrays by year: spend, tier."""
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("acctbal"))
-    o = table(spark, sf, "orders").select("o_custkey", "o_totalprice", F.year("o_orderdate").alias("y"))
-    if kind == "open":
-        bits = lambda s: F.conv(F.substring(F.md5(F.concat(F.lit(s), F.col("o_custkey").cast("string"))), 1, 8), 16, 10).cast("long")
-        ent = bits("e-") % 7
-        out = ent + F.floor(F.ln((bits("s-") + 0.5) / F.lit(4294967296.0)) / F.ln(F.lit(0.7)))
-        o = o.where((F.col("y") - 1995 >= ent) & (F.col("y") - 1995 <= out))
-    o = o.where(F.col("y").between(YEARS[0], YEARS[-1]))
+    o = ordered(spark, sf, YEARS[0], YEARS[-1]).select("o_custkey", "o_totalprice", F.year("o_orderdate").alias("y"))
     price = F.col("o_totalprice")
     frame = from_events(c, o, "id", F.col("y"), YEARS, "o_custkey", {"spend": (F.sum, price), "top": (F.max, price)})
+    if kind == "open":  # the window follows from the customer, so orders needn't be hashed
+        bits = lambda s: F.conv(F.substring(F.md5(F.concat(F.lit(s), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long")
+        ent = bits("e-") % 7
+        out = ent + F.floor(F.ln((bits("s-") + 0.5) / F.lit(4294967296.0)) / F.ln(F.lit(0.7)))
+        frame = CaptureFrame(frame.df.withColumns({"_ent": ent, "_out": out}), T, frame.names, frame.covariates)
+        frame = windowed(frame, F.col("_ent"), F.col("_out"), ("spend", "top"))
+        frame = CaptureFrame(frame.df.drop("_ent", "_out"), T, frame.names, frame.covariates)
     df = frame.df.withColumn("tier", F.transform("top", lambda v: F.when(v.isNull(), 0).when(v >= TIER2, 2).otherwise(1))).drop("top")
     return CaptureFrame(df, T, frame.names, ("segment", "nation", "acctbal", "spend", "tier"))
 

@@ -146,7 +146,8 @@ def cross_validation_continuous(spark: SparkSession, sf: str) -> DataFrame:
 @query("fit_traces")
 def fit_traces(spark: SparkSession, sf: str) -> DataFrame:
     """How the candidates' fits went: evaluations, objectives, improvement and the rate of convergence."""
-    trace = monitor.fit_traces(fit_models(population(spark, sf), CANDIDATES))
+    fits = spark.createDataFrame(fit_models(population(spark, sf), CANDIDATES).collect(), FIT_SCHEMA)  # a row a model, read twice
+    trace = monitor.fit_traces(fits)
     out = monitor.sessions(trace).join(monitor.convergence_rate(trace), "session_id")
     return rounded(out.select("session_id", "evaluations", "first", "last", "best", "improvement", (F.col("rate") > 0).alias("converging")), 3)
 
@@ -165,7 +166,8 @@ def agreement_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     fits = []
     for first in (True, False):
         half = frame.df.where((sampling.uniform(3, "id") < 0.5) == F.lit(first))
-        fits.append(fit_models(CaptureFrame(half, frame.occasions, frame.names, frame.covariates), CANDIDATES).persist())
+        rows = fit_models(CaptureFrame(half, frame.occasions, frame.names, frame.covariates), CANDIDATES).collect()  # a row a model
+        fits.append(spark.createDataFrame(rows, FIT_SCHEMA))
     name = F.concat_ws("_", "param", F.lower(F.regexp_replace("term", r"[()]", "")))
     cmp = agree.compared(agree.paired(*[parameters(f).select(F.col("model_id").alias("model"), name.alias("param"), "estimate", "se") for f in fits], ["model", "param"]))
     side = lambda f, s: f.select(F.col("model_id").alias("model"), F.col("aic").alias(f"aic_{s}"), F.col("log_likelihood").alias(f"ll_{s}"), F.col("converged").alias(f"c_{s}"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldmark.operators import monitor, sampling, sparse
 from fieldmark.operators.fit import Spec
-from fieldmark.plans.base import CLOSED, OPEN, T, population, query, table
+from fieldmark.plans.base import CLOSED, OPEN, T, ordered, population, query, table
 from fieldmark.plans.newton import newton_sql
 from fieldmark.sources.histories import from_events, rounded
 
@@ -18,7 +18,7 @@ _MONTHS = "mon AS (SELECT c_custkey AS id, count(DISTINCT month(o_orderdate)) FI
 def monthly(spark, sf):
     """Customers by months of 1996: sparse, many never captured."""
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
-    o = table(spark, sf, "orders").where(F.year("o_orderdate") == 1996).select("o_custkey", F.month("o_orderdate").alias("m"))
+    o = ordered(spark, sf, 1996, 1996).select("o_custkey", F.month("o_orderdate").alias("m"))
     return from_events(c, o, "id", F.col("m"), list(range(1, 13)), "o_custkey").df
 
 

@@ -115,6 +115,15 @@ def from_events(individuals: DataFrame, events: DataFrame, id_col: str, occasion
     return CaptureFrame(summarised(df, len(occasions)), len(occasions), tuple(map(str, occasions)), tuple(individuals.columns) + tuple(measures or {}))
 
 
+def windowed(frame: CaptureFrame, first: Column, last: Column, arrays: Sequence[str] = ()) -> CaptureFrame:
+    """Only what lies in an individual's own window of occasions (from 0, ends included) counts; ``arrays`` are null outside."""
+    inside = lambda i: (i >= first) & (i <= last)
+    cut = {"h": F.transform("h", lambda v, i: F.when(inside(i), v).otherwise(0))}
+    cut |= {c: F.transform(c, lambda v, i: F.when(inside(i), v)) for c in arrays}
+    df = frame.df.withColumns(cut).drop("x", "e", "l").withColumn("ch", F.array_join("h", ""))
+    return CaptureFrame(summarised(df, frame.occasions), frame.occasions, frame.names, frame.covariates, frame.meta)
+
+
 # --- adapters: the first whose test accepts the schema reads it; new ones go first -------------------
 
 Adapter = tuple[str, Callable[[DataFrame], bool], Callable[..., CaptureFrame]]
