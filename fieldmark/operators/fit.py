@@ -366,6 +366,13 @@ def formula_grid(phi: Sequence[str], p: Sequence[str], f: Sequence[str]) -> list
     return [Spec(a, b, c) for a in phi for b in p for c in f]
 
 
+def coefficients(frame: CaptureFrame, specs: Sequence[Spec]) -> DataFrame:
+    """(model_id, phi, p, f, n_parameters): how many coefficients each candidate has on this data set."""
+    names = _prepare(frame, dict(enumerate(specs))).names
+    rows = [(i, s.phi, s.p, s.f, len(names[i])) for i, s in enumerate(specs)]
+    return frame.df.sparkSession.createDataFrame(rows, "model_id int, phi string, p string, f string, n_parameters int")
+
+
 def parameters(fits: DataFrame) -> DataFrame:
     """fit_params: a row for each coefficient."""
     return fits.select("model_id", F.explode("params").alias("q")).select("model_id", "q.*")

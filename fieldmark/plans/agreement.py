@@ -182,12 +182,16 @@ def resume_models(spark, sf):
     return table(spark, sf, "nation").select(F.col("n_nationkey").alias("model_id")).join(done, "model_id", "left_anti")
 
 
-@query("formula_grid", "SELECT CAST(row_number() OVER (ORDER BY a, b, c) - 1 AS INT) AS model_id, a AS phi, b AS p, c AS f FROM (VALUES ('~1'), ('~segment')) x(a), (VALUES ('~1'), ('~segment')) y(b), (VALUES ('~1'), ('~acctbal')) z(c)")
+@query("formula_grid", """WITH k AS (SELECT count(DISTINCT c_mktsegment) - 1 AS k FROM customer)
+SELECT CAST(row_number() OVER (ORDER BY a, b, c) - 1 AS INT) AS model_id, a AS phi, b AS p, c AS f, CAST(3 + CASE WHEN a = '~segment' THEN k ELSE 0 END + CASE WHEN b = '~segment' THEN k ELSE 0 END + CASE WHEN c = '~acctbal' THEN 1 ELSE 0 END AS INT) AS n_parameters
+FROM (VALUES ('~1'), ('~segment')) x(a), (VALUES ('~1'), ('~segment')) y(b), (VALUES ('~1'), ('~acctbal')) z(c), k""")
 def formula_grid(spark, sf):
+    """A grid of candidate models and how many coefficients each has on the data, whose levels make the columns."""
+    from fieldmark.operators.fit import coefficients
     from fieldmark.operators.fit import formula_grid as grid
+    from fieldmark.plans.base import population
 
-    specs = grid(["~1", "~segment"], ["~1", "~segment"], ["~1", "~acctbal"])
-    return spark.createDataFrame([(i, s.phi, s.p, s.f) for i, s in enumerate(specs)], "model_id int, phi string, p string, f string")
+    return coefficients(population(spark, sf), grid(["~1", "~segment"], ["~1", "~segment"], ["~1", "~acctbal"]))
 
 
 @query("tasks_by_dataset", "SELECT r_name AS dataset, n_nationkey AS model_id FROM region, nation")

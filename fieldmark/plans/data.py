@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldmark.functions import links
 from fieldmark.functions.formula import describe, design, parse
 from fieldmark.operators import prepare, sampling, validate
-from fieldmark.operators.suffstat import compressed, empirical
+from fieldmark.operators.suffstat import compressed, empirical, runs
 from fieldmark.plans.base import CLOSED, OPEN, T, YEARS, ll_sql, population, query, table
 from fieldmark.sources.histories import from_strings, from_wide, rounded
 
@@ -121,10 +121,19 @@ def growth_summary(spark, sf):
     return r6(summary(population(spark, sf).df, phi + f))
 
 
-@query("capture_curve", "SELECT t AS occasion, round(0.8 * power(0.7, t), 6) AS p FROM (SELECT CAST(unnest(range(7)) AS INT) AS t)")
+_AGAIN = " + ".join(f"h{i} * h{i + 1}" for i in range(T - 1))
+_BEFORE = " + ".join(f"h{i}" for i in range(T - 1))
+
+
+@query("capture_curve", f"""WITH {OPEN}, r AS (SELECT segment, sum(x) / (count(*) * {T}.0::DOUBLE) AS p, sum({_AGAIN})::DOUBLE / sum({_BEFORE}) AS phi FROM ind GROUP BY segment)
+SELECT segment, occasion, round(p * power(phi, occasion), 6) AS p FROM r, (SELECT CAST(unnest(range({T})) AS INT) AS occasion)""")
 def capture_curve(spark, sf):
-    one = spark.range(1).select(F.posexplode(links.capture_curve(0.7, 0.8, T)).alias("occasion", "p"))
-    return r6(one)
+    """How detection of a cohort falls off, from each segment's empirical survival and detection."""
+    again, before = runs(T, "h")
+    rate = population(spark, sf).df.groupBy("segment").agg(
+        (F.sum("x") / (F.count(F.lit(1)) * F.lit(float(T)))).alias("p"), (F.sum(again).cast("double") / F.sum(before)).alias("phi"),
+    )
+    return r6(rate.select("segment", F.posexplode(links.capture_curve(F.col("phi"), F.col("p"), T)).alias("occasion", "p")))
 
 
 @query("design_matrix", f"WITH {OPEN}, z AS (SELECT *, (acctbal - avg(acctbal) OVER ()) / stddev_samp(acctbal) OVER () AS zbal FROM ind) SELECT id, round(zbal, 6) AS zbal, round(zbal * zbal, 6) AS zbal2, CAST(segment = 'BUILDING' AS INT) * 1.0::DOUBLE AS building, round(CAST(segment = 'BUILDING' AS INT) * zbal, 6) AS building_zbal, round(exp(zbal), 6) AS exp_zbal, round(power(zbal, 3), 6) AS zbal3, round(ln(x + 1), 6) AS log_x FROM z")

@@ -3,6 +3,8 @@ are held against them, against each other and against published estimates by tes
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,9 +101,15 @@ def strategy_comparison(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("fit_simulated")
 def fit_simulated(spark: SparkSession, sf: str) -> DataFrame:
-    """Recovery of known parameters from simulated histories."""
-    row = fit(simulated(spark, 4000, 7, phi=0.7, p=0.6, seed=42))
-    return rounded(parameters(spark.createDataFrame([row], FIT_SCHEMA)), 4)
+    """Whether the fitted survival and detection are found again in histories simulated from them, as many as the population has."""
+    frame = population(spark, sf)
+    row = fit(frame)
+    true = {q["param"]: q["estimate"] for q in row["params"]}
+    rate = {k: 1 / (1 + math.exp(-true[k])) for k in ("phi", "p")}
+    again = fit(simulated(spark, row["n"], frame.occasions, phi=rate["phi"], p=rate["p"], seed=42))
+    rows = [(q["param"], true[q["param"]], q["estimate"], q["se"]) for q in again["params"] if q["param"] in rate]
+    out = spark.createDataFrame(rows, "param string, simulated double, estimate double, se double")
+    return rounded(out.withColumn("z", (F.col("estimate") - F.col("simulated")) / F.col("se")), 4)
 
 
 @query("bootstrap_covariance")
