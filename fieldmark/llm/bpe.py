@@ -1,6 +1,7 @@
 """Byte-level BPE encoding and decoding by merge replay over the corpus' distinct pieces.
 
-1. Rows are dealt to units of bounded size by a hash of their text, in compressed parts.
+1. Rows are dealt to units of bounded size by a hash of their kept columns and text, in compressed parts, so that copies of a
+   text go to many units.
 2. A unit cuts its texts by the tokenizer's pattern and sends its distinct pieces to hash ranges.
 3. A range, with each of its distinct pieces once whatever the number of units that hold it, replays
    the merges block by block: an inverted index from token pair to positions in all the block's
@@ -33,6 +34,8 @@ from .common import cells, chunks, dealt
 
 #: Text in a part of a unit, text whose pieces fall into a range, bytes of pieces that are replayed together.
 PACK_BYTES, PIECE_BYTES, BLOCK_BYTES = 8 << 20, 16 << 20, 1 << 20
+#: Pieces whose ids are put together at once (a longer text stands alone).
+AT_ONCE = 1 << 18
 
 
 @lru_cache(maxsize=2)
@@ -133,6 +136,9 @@ class Vocabulary:
         self.bytes_of = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
+        self.data = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.size = np.array([len(x) for x in self.bytes_of], np.int64)
+        self.at = np.cumsum(self.size) - self.size
         self.kind = np.uint16 if len(self.bytes_of) <= 1 << 16 else np.int32  # of an id as it is sent
 
     def replayed(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
@@ -148,8 +154,15 @@ class Vocabulary:
                 block, size = [], 0
         return out + replay(block, self.ranks, self.merges) if block else out
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decoded(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that ids stand for, end to end, and how many each has."""
+        return self.data[_runs(self.at[ids], self.size[ids])], self.size[ids]
+
+
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices start, start + 1, ... of each run, end to end."""
+    end = np.cumsum(size)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(start - (end - size), size)
 
 
 @lru_cache(maxsize=2)
@@ -178,7 +191,7 @@ def _ranged(every: Iterable[str], n: int) -> list[list[str]]:
     return out
 
 
-def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", batch: int = 64, digests: bool = False, keep: tuple[str, ...] | None = None) -> DataFrame:
+def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, keep: tuple[str, ...] | None = None) -> DataFrame:
     """Per row: the columns ``keep`` (default: the id), ``ids array<int>``, ``n_tokens`` and ``decoded``
     (the bytes the ids stand for).
 
@@ -192,7 +205,7 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
     text = F.coalesce(F.col(text_col), F.lit(""))
     parts, n = dealt(df, text_col, PIECE_BYTES)
     parts = -(-parts // 2)  # larger units share more pieces, and a unit holds little else
-    docs = df.select(*keep, text.alias("__text"), F.pmod(F.xxhash64(text), F.lit(parts)).alias("__unit"))
+    docs = df.select(*keep, text.alias("__text"), F.pmod(F.xxhash64(*keep, text), F.lit(parts)).alias("__unit"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[: len(keep)]]
     text_at = len(keep)
 
@@ -249,22 +262,39 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
         place: dict[str, int] = {}
         cuts = [np.fromiter([place.setdefault(p, len(place)) for p in v.find(t.as_py())], np.int32) for t in rows.column(text_at)]
         pieces = _ranged(place, n)
-        known: list[list[int]] = [[]] * len(place)
-        for k, ids, size in zip(back.column("bucket").to_pylist(), cells(back.column("ids"), v.kind), cells(back.column("counts"), np.int32)):
-            ids, cut = ids.tolist(), np.concatenate([[0], np.cumsum(size)]).tolist()
-            for p, a, b in zip(pieces[k], cut, cut[1:]):
-                known[place[p]] = ids[a:b]
+        at, size = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        flat = cells(back.column("ids"), v.kind)
+        before = 0
+        for k, ids, own in zip(back.column("bucket").to_pylist(), flat, cells(back.column("counts"), np.int32)):
+            of = np.fromiter(map(place.__getitem__, pieces[k]), np.int64, len(own))
+            at[of], size[of] = before + np.cumsum(own) - own, own
+            before += len(ids)
+        known = np.concatenate([*flat, np.empty(0, v.kind)])
         count, first, second = [], [], []
-        for a in range(0, len(cuts), batch):
-            ids = [list(chain.from_iterable(map(known.__getitem__, c.tolist()))) for c in cuts[a : a + batch]]
-            back_ = map(v.decode, ids)
-            count += [len(x) for x in ids]
+        start = 0
+        while start < len(cuts):
+            stop, pieces_left = start + 1, AT_ONCE - len(cuts[start])
+            while stop < len(cuts) and (pieces_left := pieces_left - len(cuts[stop])) >= 0:
+                stop += 1
+            some = cuts[start:stop]
+            c = np.concatenate(some)
+            ids = known[_runs(at[c], size[c])]
+            spelt, width = v.decoded(ids)
+            # ends of texts in pieces, ids and bytes
+            ends = np.cumsum([len(x) for x in some])
+            ends = np.concatenate([[0], np.cumsum(size[c])])[ends]
+            byte_ends = np.concatenate([[0], np.cumsum(width)])[ends]
+            cut, byte_cut = np.concatenate([[0], ends]), np.concatenate([[0], byte_ends])
+            count += np.diff(cut).tolist()
             if digests:
-                first += [hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in ids]
-                second += [hashlib.sha256(x).hexdigest() for x in back_]
+                wide, spelt = ids.astype("<u4"), spelt.tobytes()
+                first += [hashlib.sha256(wide[x:y]).hexdigest() for x, y in zip(cut, cut[1:])]
+                second += [hashlib.sha256(spelt[x:y]).hexdigest() for x, y in zip(byte_cut, byte_cut[1:])]
             else:
-                first.append(pa.array(ids, pa.list_(pa.int32())))
-                second.append(pa.array(back_, pa.binary()))
+                first.append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids.astype(np.int32))))
+                spelt = spelt.tobytes()
+                second.append(pa.array([spelt[x:y] for x, y in zip(byte_cut, byte_cut[1:])], pa.binary()))
+            start = stop
         kinds = (pa.list_(pa.int32()), pa.binary())
         made = [pa.array(first, pa.string()), pa.array(second, pa.string())] if digests else [pa.chunked_array(x, k) for x, k in zip((first, second), kinds)]
         return pa.table([*[rows.column(i) for i in range(text_at)], pa.array(count, pa.int64()), *made], names=names)
