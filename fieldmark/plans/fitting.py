@@ -9,15 +9,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldmark.operators import agree, infer, monitor, prepare, sampling
-from fieldmark.operators.fit import FIT_SCHEMA, Penalty, Spec, bootstrap, bootstrap_covariance, bootstrap_summary, covariance, cross_validated, fit, fit_models, formula_grid, parameters, predicted, prediction_summary, selection_workflow, strategies_compared
+from fieldmark.operators.fit import FIT_SCHEMA, PARAMETERS, Penalty, Spec, bootstrap, bootstrap_covariance, bootstrap_summary, covariance, cross_validated, fit, fit_models, formula_grid, parameters, predicted, prediction_summary, selection_workflow, strategies_compared
 from fieldmark.operators.select import comparison
-from fieldmark.plans.base import OPEN, population, query
+from fieldmark.plans.base import OPEN, ll_sql, population, query
 from fieldmark.plans.newton import CONDITION, inverse_sql, newton_sql
 from fieldmark.sources.histories import CaptureFrame, rounded
 from fieldmark.sources.simulate import simulated
 
 
 _FIT = f"WITH RECURSIVE {OPEN}, {newton_sql()}, {inverse_sql()}"
+_SEGMENT = ("1", *[f"CAST(segment = '{v}' AS INT)" for v in ("BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")])
+_NAMES = ("(Intercept)", "segment_BUILDING", "segment_FURNITURE", "segment_HOUSEHOLD", "segment_MACHINERY")
+
+
+def _designs(spec: Spec) -> list[tuple[str, ...]]:
+    return [_SEGMENT if getattr(spec, k) == "~segment" else ("1",) for k in PARAMETERS]
+
+
+def _terms(designs) -> list[tuple[str, str]]:
+    """(parameter, term) of every coefficient."""
+    return [(k, t) for k, d in zip(PARAMETERS, designs) for t in _NAMES[: len(d)]]
+
+
+def _rates(designs) -> list[str]:
+    """Survival, detection and recruitment of an individual at coefficients t0, t1, ..."""
+    at, out = 0, []
+    for d in designs:
+        out.append(" + ".join(f"t{at + i} * {c}" for i, c in enumerate(d)))
+        at += len(d)
+    return [f"(1 / (1 + exp(-({out[0]}))))", f"(1 / (1 + exp(-({out[1]}))))", f"exp({out[2]})"]
+
+
+def _estimates(designs, name: str = "") -> str:
+    """Query (i, param, term, estimate, se) of a fit in SQL."""
+    k = len(_terms(designs))
+    cells = ", ".join(f"({i}, '{a}', '{t}')" for i, (a, t) in enumerate(_terms(designs)))
+    return f"SELECT n.i, param, term, [{', '.join(f't{i}' for i in range(k))}][n.i + 1] AS estimate, sqrt(cov) AS se, ll FROM (VALUES {cells}) n(i, param, term) JOIN cov{name} c ON c.i = n.i AND c.j = n.i, opt{name}"
+
+
 _TERMS = "k(i, param) AS (VALUES (0, 'phi'), (1, 'p'), (2, 'f'))"
 
 
@@ -34,19 +63,37 @@ def fit_constant(spark: SparkSession, sf: str) -> DataFrame:
 CANDIDATES = [Spec(a, b, c) for a, b, c in (("~1", "~1", "~1"), ("~segment", "~1", "~1"), ("~1", "~segment", "~1"), ("~1", "~1", "~segment"), ("~segment", "~segment", "~1"), ("~segment", "~1", "~segment"))]
 
 
-@query("fit_candidates")
+_SPECS = [_designs(c) for c in CANDIDATES]
+_EACH = " UNION ALL ".join(
+    f"SELECT {i} AS model_id, '{c.label}' AS model_name, TRUE AS converged, ll AS log_likelihood, {len(_terms(d))} AS n_parameters, CAST(n AS BIGINT) AS n, growth AS lambda_mean FROM opt_{i}"
+    for i, (c, d) in enumerate(zip(CANDIDATES, _SPECS))
+)
+
+
+@query("fit_candidates", f"""WITH RECURSIVE {OPEN}, {', '.join(newton_sql(designs=d, name=f'_{i}') for i, d in enumerate(_SPECS))},
+m AS (SELECT *, 2.0::DOUBLE * n_parameters - 2 * log_likelihood AS aic, n_parameters * ln(n) - 2 * log_likelihood AS bic FROM ({_EACH})),
+c AS (SELECT *, aic - min(aic) OVER () AS delta, exp(-(aic - (SELECT min(aic) FROM m)) / 2) / (SELECT sum(exp(-(aic - (SELECT min(aic) FROM m)) / 2)) FROM m) AS weight FROM m)
+SELECT model_id, model_name, converged, round(log_likelihood, 4) AS log_likelihood, n_parameters, n, round(aic, 4) AS aic, round(bic, 4) AS bic, round(lambda_mean, 4) AS lambda_mean, round(delta, 4) AS delta, round(weight, 4) AS weight,
+ CAST(row_number() OVER (ORDER BY aic, model_id) AS INT) AS rank, round(sum(weight) OVER (ORDER BY aic, model_id), 4) AS cumulative_weight, CASE WHEN delta <= 2 THEN 'substantial' WHEN delta <= 7 THEN 'some' ELSE 'little' END AS support FROM c""")
 def fit_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Candidate models in one job, ranked."""
     fits = fit_models(population(spark, sf), CANDIDATES).select("model_id", "model_name", "converged", "log_likelihood", "n_parameters", "n", "aic", "bic", "lambda_mean")
     return rounded(comparison(fits).drop("evidence_ratio"), 4)
 
 
-@query("fit_parameters")
+@query("fit_parameters", f"""WITH RECURSIVE {OPEN}, {newton_sql(name='_0')}, {inverse_sql(3, '_0')}, {newton_sql(designs=_SPECS[1], name='_1')}, {inverse_sql(7, '_1')},
+p AS (SELECT 0 AS model_id, * FROM ({_estimates(_SPECS[0], '_0')}) UNION ALL SELECT 1, * FROM ({_estimates(_SPECS[1], '_1')}))
+SELECT model_id, param, term, CAST(i AS INT) AS idx, round(estimate, 4) AS estimate, round(se, 4) AS se, FALSE AS at_bound, round(estimate / se, 4) AS z_value, round(estimate - 1.959963984540054 * se, 4) AS ci_lower, round(estimate + 1.959963984540054 * se, 4) AS ci_upper FROM p""")
 def fit_parameters(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(infer.wald(parameters(fit_models(population(spark, sf), formula_grid(["~1", "~segment"], ["~1"], ["~1"]))).drop("ci_lower", "ci_upper")), 4)
 
 
-@query("fit_continuous")
+_ZBAL = (("1", "zbal"), ("1",), ("1",))
+
+
+@query("fit_continuous", f"""WITH RECURSIVE {OPEN}, zed AS (SELECT *, (acctbal - avg(acctbal) OVER ()) / stddev_samp(acctbal) OVER () AS zbal FROM ind), {newton_sql('zed', designs=_ZBAL)}, {inverse_sql(4)},
+p AS (SELECT n.i, param, term, [t0, t1, t2, t3][n.i + 1] AS estimate, sqrt(cov) AS se FROM (VALUES (0, 'phi', '(Intercept)'), (1, 'phi', 'acctbal'), (2, 'p', '(Intercept)'), (3, 'f', '(Intercept)')) n(i, param, term) JOIN cov c ON c.i = n.i AND c.j = n.i, opt)
+SELECT 0 AS model_id, param, term, CAST(i AS INT) AS idx, round(estimate, 4) AS estimate, round(se, 4) AS se, round(estimate - 1.959963984540054 * se, 4) AS ci_lower, round(estimate + 1.959963984540054 * se, 4) AS ci_upper, FALSE AS at_bound FROM p""")
 def fit_continuous(spark: SparkSession, sf: str) -> DataFrame:
     """A continuous covariate leaves nothing to group: the gradient is an aggregate each iteration."""
     frame = population(spark, sf)
@@ -117,7 +164,19 @@ def bootstrap_covariances(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(bootstrap_covariance(bootstrap(population(spark, sf), replicates=40)), 5)
 
 
-@query("fit_penalised")
+_BETA = "ln({phi}) + ln(1 - {phi}) + ln({p}) + ln(1 - {p})"
+_KINDS = {
+    "plain": {}, "ridge": {"ridge": 5.0, "free": (0, 5, 6)}, "barrier": {"prior": f"2.0 / (SELECT count(*) FROM ind) * ({_BETA})"}, "warm": {},
+    "priors": {"prior": f"{_BETA} + 0.5 * (-0.5 * power((ln({{f}}) - ln(0.05::DOUBLE) - 0.5625) / 0.75, 2) - ln({{f}}) - ln(0.75::DOUBLE) - 0.5 * ln(2 * pi()))"},
+}
+
+
+def _penalised(kind: str) -> str:
+    cells = ", ".join(f"('{a}', '{t}', {i})" for i, (a, t) in enumerate(_terms(_SPECS[1])))
+    return f"SELECT '{kind}' AS kind, param, term, round([t0, t1, t2, t3, t4, t5, t6][i + 1], 4) AS estimate, round(ll, 4) AS log_likelihood FROM (VALUES {cells}) n(param, term, i), opt_{kind}"
+
+
+@query("fit_penalised", f"WITH RECURSIVE {OPEN}, {', '.join(newton_sql(designs=_SPECS[1], name=f'_{k}', **how) for k, how in _KINDS.items())} {' UNION ALL '.join(map(_penalised, _KINDS))}")
 def fit_penalised(spark: SparkSession, sf: str) -> DataFrame:
     """The segment model with a ridge, with priors, and from a warm start."""
     frame, spec = population(spark, sf), Spec("~segment", "~1", "~1")
@@ -135,7 +194,25 @@ def fit_varying_levels(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(parameters(spark.createDataFrame([row], FIT_SCHEMA)).select("param", "term", "estimate"), 3)
 
 
-@query("cross_validation")
+_U42 = "((CAST('0x' || substr(md5('42-' || id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+
+
+def _left_out(i: int, fold: int) -> tuple[str, str]:
+    """(CTEs of model i's fit without a fold, query of its likelihoods on both parts), from a CTE ``split`` with ``part``."""
+    name, d = f"_{i}_{fold}", _SPECS[i]
+    ctes = f"tr{name} AS (SELECT * FROM split WHERE part <> {fold}), {newton_sql(f'tr{name}', designs=d, name=name)}"
+    held = f"(SELECT x, e, l, t.*, {', '.join(f'{r} AS {k}' for k, r in zip(('rs', 'rp', 'rf'), _rates(d)))} FROM (SELECT x, e, l, segment FROM split WHERE part = {fold}), opt{name} t)"
+    return ctes, f"SELECT {i} AS model_id, {fold} AS fold, any_value(ll) AS train_ll, any_value(n) AS train_n, sum({ll_sql('rs', 'rp', 'rf')}) AS val_ll, count(*) AS val_n, {len(_terms(d))} AS n_parameters FROM {held}"
+
+
+_FOLDS = [_left_out(i, j) for i in range(2) for j in range(5)]
+
+
+@query("cross_validation", f"""WITH RECURSIVE {OPEN}, split AS (SELECT *, CAST(floor({_U42} * 5) AS INT) AS part FROM ind), {', '.join(c for c, _ in _FOLDS)},
+r AS (SELECT model_id, val_ll / val_n AS v, train_ll / train_n AS t FROM ({' UNION ALL '.join(q for _, q in _FOLDS)})),
+a AS (SELECT model_id, count(*) AS folds, avg(v) AS mean_ll, stddev_pop(v) AS sd_ll, avg(t) AS train_mean_ll FROM r GROUP BY model_id)
+SELECT model_id, folds, round(mean_ll, 4) AS mean_ll, round(sd_ll, 4) AS sd_ll, round(train_mean_ll, 4) AS train_mean_ll, round(sd_ll / abs(mean_ll), 4) AS consistency,
+ CASE WHEN sd_ll / abs(mean_ll) < 0.05 THEN 'consistent' WHEN sd_ll / abs(mean_ll) < 0.15 THEN 'moderate' ELSE 'inconsistent' END AS label FROM a""")
 def cross_validation(spark: SparkSession, sf: str) -> DataFrame:
     """Two models refitted without each of five folds and judged on it; consistency over folds."""
     rows = cross_validated(population(spark, sf), CANDIDATES[:2], k=5)
@@ -160,7 +237,14 @@ def fit_traces(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("session_id", "evaluations", "first", "last", "best", "improvement", (F.col("rate") > 0).alias("converging")), 3)
 
 
-@query("model_selection")
+_JUDGED = [_left_out(i, 0) for i in range(len(_SPECS))]
+
+
+@query("model_selection", f"""WITH RECURSIVE {OPEN}, split AS (SELECT *, CAST({_U42} >= 0.2 AS INT) AS part FROM ind), {', '.join(c for c, _ in _JUDGED)},
+r AS (SELECT *, 2.0::DOUBLE * n_parameters - 2 * train_ll AS aic, -val_ll / val_n AS loss, abs((train_ll / train_n - val_ll / val_n) / (train_ll / train_n)) AS over FROM ({' UNION ALL '.join(q for _, q in _JUDGED)}))
+SELECT model_id, n_parameters, round(train_ll, 4) AS train_ll, round(val_ll, 4) AS val_ll, round(aic, 4) AS aic, CAST(row_number() OVER (ORDER BY aic, model_id) AS INT) AS ic_rank,
+ round(exp(-(aic - (SELECT min(aic) FROM r)) / 2) / (SELECT sum(exp(-(aic - (SELECT min(aic) FROM r)) / 2)) FROM r), 4) AS weight, round(loss, 4) AS loss, CAST(row_number() OVER (ORDER BY loss, model_id) AS INT) AS loss_rank,
+ round(over, 4) AS overfitting, CASE WHEN over < 0.05 THEN 'good' WHEN over < 0.15 THEN 'moderate' ELSE 'poor' END AS label FROM r""")
 def model_selection(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates fitted on a training part, judged on the rest and ranked both ways."""
     out = selection_workflow(population(spark, sf), CANDIDATES)
