@@ -1,5 +1,5 @@
-"""Fits on the open population.  Those of the constant model have SQL, Newton's method as a recursive query; the others
-are held against them, against each other and against published estimates by tests."""
+"""Fits on the open population.  Most have SQL, Newton's method as a recursive query; tests hold the others against
+closed forms, against each other and against published estimates."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from fieldmark.operators import agree, infer, monitor, prepare, sampling
 from fieldmark.operators.fit import FIT_SCHEMA, PARAMETERS, Penalty, Spec, bootstrap, bootstrap_covariance, bootstrap_summary, covariance, cross_validated, fit, fit_models, formula_grid, parameters, predicted, prediction_summary, selection_workflow, strategies_compared
 from fieldmark.operators.select import comparison
 from fieldmark.plans.base import OPEN, ll_sql, population, query
-from fieldmark.plans.newton import CONDITION, inverse_sql, newton_sql
+from fieldmark.plans.newton import CONDITION, CONSTANT, inverse_sql, newton_sql
 from fieldmark.sources.histories import CaptureFrame, rounded
 from fieldmark.sources.simulate import simulated
 
@@ -130,7 +130,12 @@ def prediction_from_fit(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(*[F.round(c, 4 if c in ("log_likelihood", "aic") else 5).alias(c) for c in out.columns])
 
 
-@query("predictions_by_segment")
+_BOTH = ((*_SEGMENT, "zbal"), ("1",), _SEGMENT)
+
+
+@query("predictions_by_segment", f"""WITH RECURSIVE {OPEN}, zed AS (SELECT *, (acctbal - avg(acctbal) OVER ()) / stddev_samp(acctbal) OVER () AS zbal FROM ind), {newton_sql('zed', designs=_BOTH)},
+q AS (SELECT x, e, l, segment, {', '.join(f'{r} AS {k}' for k, r in zip(('rs', 'rp', 'rf'), _rates(_BOTH)))} FROM (SELECT x, e, l, segment, zbal FROM zed), opt)
+SELECT segment, count(*) AS n, round(avg(rs), 4) AS phi, round(avg(rp), 4) AS p, round(avg(rf), 4) AS f, round(avg(rs + rf), 4) AS lambda, round(sum({ll_sql('rs', 'rp', 'rf')}), 4) AS log_likelihood FROM q GROUP BY segment""")
 def predictions_by_segment(spark: SparkSession, sf: str) -> DataFrame:
     """The same from a model with covariates, continuous ones too: means by segment."""
     frame = population(spark, sf)
@@ -197,29 +202,36 @@ def fit_varying_levels(spark: SparkSession, sf: str) -> DataFrame:
 _U42 = "((CAST('0x' || substr(md5('42-' || id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
 
 
-def _left_out(i: int, fold: int) -> tuple[str, str]:
+def _left_out(i: int, fold: int, designs=None, columns: str = "segment") -> tuple[str, str]:
     """(CTEs of model i's fit without a fold, query of its likelihoods on both parts), from a CTE ``split`` with ``part``."""
-    name, d = f"_{i}_{fold}", _SPECS[i]
+    name, d = f"_{i}_{fold}", designs or _SPECS[i]
     ctes = f"tr{name} AS (SELECT * FROM split WHERE part <> {fold}), {newton_sql(f'tr{name}', designs=d, name=name)}"
-    held = f"(SELECT x, e, l, t.*, {', '.join(f'{r} AS {k}' for k, r in zip(('rs', 'rp', 'rf'), _rates(d)))} FROM (SELECT x, e, l, segment FROM split WHERE part = {fold}), opt{name} t)"
-    return ctes, f"SELECT {i} AS model_id, {fold} AS fold, any_value(ll) AS train_ll, any_value(n) AS train_n, sum({ll_sql('rs', 'rp', 'rf')}) AS val_ll, count(*) AS val_n, {len(_terms(d))} AS n_parameters FROM {held}"
+    rates = ", ".join(f"{r} AS {k}" for k, r in zip(("rs", "rp", "rf"), _rates(d)))
+    held = f"(SELECT x, e, l, t.*, {rates} FROM (SELECT x, e, l, {columns} FROM split WHERE part = {fold}), opt{name} t)"
+    size = sum(map(len, d))
+    return ctes, f"SELECT {i} AS model_id, {fold} AS fold, any_value(ll) AS train_ll, any_value(n) AS train_n, sum({ll_sql('rs', 'rp', 'rf')}) AS val_ll, count(*) AS val_n, {size} AS n_parameters FROM {held}"
+
+
+def _folds_sql(split: str, folds: list[tuple[str, str]]) -> str:
+    return f"""WITH RECURSIVE {OPEN}, split AS ({split}), {', '.join(c for c, _ in folds)},
+r AS (SELECT model_id, val_ll / val_n AS v, train_ll / train_n AS t FROM ({' UNION ALL '.join(q for _, q in folds)})),
+a AS (SELECT model_id, count(*) AS folds, avg(v) AS mean_ll, stddev_pop(v) AS sd_ll, avg(t) AS train_mean_ll FROM r GROUP BY model_id)
+SELECT model_id, folds, round(mean_ll, 4) AS mean_ll, round(sd_ll, 4) AS sd_ll, round(train_mean_ll, 4) AS train_mean_ll, round(sd_ll / abs(mean_ll), 4) AS consistency,
+ CASE WHEN sd_ll / abs(mean_ll) < 0.05 THEN 'consistent' WHEN sd_ll / abs(mean_ll) < 0.15 THEN 'moderate' ELSE 'inconsistent' END AS label FROM a"""
 
 
+_ZED = "(acctbal - avg(acctbal) OVER ()) / stddev_samp(acctbal) OVER () AS zbal"
 _FOLDS = [_left_out(i, j) for i in range(2) for j in range(5)]
 
 
-@query("cross_validation", f"""WITH RECURSIVE {OPEN}, split AS (SELECT *, CAST(floor({_U42} * 5) AS INT) AS part FROM ind), {', '.join(c for c, _ in _FOLDS)},
-r AS (SELECT model_id, val_ll / val_n AS v, train_ll / train_n AS t FROM ({' UNION ALL '.join(q for _, q in _FOLDS)})),
-a AS (SELECT model_id, count(*) AS folds, avg(v) AS mean_ll, stddev_pop(v) AS sd_ll, avg(t) AS train_mean_ll FROM r GROUP BY model_id)
-SELECT model_id, folds, round(mean_ll, 4) AS mean_ll, round(sd_ll, 4) AS sd_ll, round(train_mean_ll, 4) AS train_mean_ll, round(sd_ll / abs(mean_ll), 4) AS consistency,
- CASE WHEN sd_ll / abs(mean_ll) < 0.05 THEN 'consistent' WHEN sd_ll / abs(mean_ll) < 0.15 THEN 'moderate' ELSE 'inconsistent' END AS label FROM a""")
+@query("cross_validation", _folds_sql(f"SELECT *, CAST(floor({_U42} * 5) AS INT) AS part FROM ind", _FOLDS))
 def cross_validation(spark: SparkSession, sf: str) -> DataFrame:
     """Two models refitted without each of five folds and judged on it; consistency over folds."""
     rows = cross_validated(population(spark, sf), CANDIDATES[:2], k=5)
     return rounded(agree.fold_likelihoods(rows, ["model_id"]), 4)
 
 
-@query("cross_validation_continuous")
+@query("cross_validation_continuous", _folds_sql(f"SELECT *, CAST(floor({_U42} * 5) AS INT) AS part, {_ZED} FROM ind", [_left_out(i, j, d, "zbal") for i, d in enumerate((CONSTANT, _ZBAL)) for j in range(5)]))
 def cross_validation_continuous(spark: SparkSession, sf: str) -> DataFrame:
     """Models with a continuous covariate: nothing to group, so all models and folds are fitted in step."""
     frame = population(spark, sf)
