@@ -23,7 +23,7 @@ def support(delta: Column) -> Column:
 
 
 def comparison(fits: DataFrame, ic: str = "aic", id_col: str = "model_id", ascending: bool = True) -> DataFrame:
-    """rank, delta, weight, evidence_ratio, cumulative_weight and support by an information criterion.
+    """rank, delta, weight, evidence_ratio (infinite where the weight is 0), cumulative_weight and support by an information criterion.
 
     Where the table says which fits converged, only those are compared.
     """
@@ -34,7 +34,8 @@ def comparison(fits: DataFrame, ic: str = "aic", id_col: str = "model_id", ascen
     by = Window.orderBy(F.col(ic).asc() if ascending else F.col(ic).desc(), F.col(id_col))
     out = fits.withColumn("delta", F.col(ic) - F.min(ic).over(everything()))
     out = out.withColumn("weight", F.exp(-F.col("delta") / 2.0) / F.sum(F.exp(-F.col("delta") / 2.0)).over(everything()))
-    out = out.withColumn("evidence_ratio", F.max("weight").over(everything()) / F.greatest(F.col("weight"), F.lit(1e-300)))
+    ratio = F.max("weight").over(everything()) / F.col("weight")
+    out = out.withColumn("evidence_ratio", F.when(F.col("weight") == 0, float("inf")).otherwise(ratio))  # weights of far worse models underflow
     out = out.withColumn("rank", F.row_number().over(by)).withColumn("cumulative_weight", F.sum("weight").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     return out.withColumn("support", support(F.col("delta")))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldmark import plans
 from fieldmark.operators import agree, infer, sampling, select, sparse
 from fieldmark.operators.fit import Penalty, Spec, fit
+from fieldmark.plans import selection
 from fieldmark.plans.base import population
 
 TABLES = "region nation customer supplier orders events".split()
@@ -129,6 +130,20 @@ def test_selection_edges(spark):
     assert one["aicc"] == float("inf") and one["aic"] == 26
 
 
+def test_comparison_of_models_far_apart(spark, duck, monkeypatch):
+    """Weights under 1e-300, subnormal and 0: the query and its SQL over the same fits."""
+    rows = [(1, 100.0), (2, 1500.0), (3, 1515.0), (4, 1560.0), (5, 2000.0)]
+    fits = f"fits(model_id, aic) AS (VALUES {', '.join(f'({i}, {v}::DOUBLE)' for i, v in rows)})"
+    monkeypatch.setattr(selection, "fits", lambda spark, sf: spark.createDataFrame(rows, "model_id int, aic double"))
+    cols, got = plain(selection.model_comparison(spark, "").toPandas())
+    want_cols, want = plain(duck.sql(plans.ORACLES["model_comparison"].replace(selection.FITS_SQL, fits)).df())
+    assert cols == want_cols and got == [pytest.approx(r) for r in want]
+    evidence = {r[cols.index("model_id")]: r[cols.index("log10_evidence")] for r in got}
+    assert evidence[2] == pytest.approx(700 / math.log(10)) and evidence[3] == pytest.approx(707.5 / math.log(10)) and evidence[5] == math.inf
+    unknown = select.comparison(spark.createDataFrame([(1, 10.0), (2, None)], "model_id int, aic double"))
+    assert {r["model_id"]: r["evidence_ratio"] for r in unknown.collect()} == {1: 1.0, 2: None}
+
+
 def test_sparse_edges(spark):
     df = spark.createDataFrame([(0,), (1,), (1,)], "x int")
     one = sparse.coverage_estimate(sparse.counts(df, 3)).first()
